@@ -1,3 +1,58 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .mixing import MOST, WEIGHTS
+from .sharding import BUCKETS, PRIME, ROUNDS, constants
+
+_MIXING = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         coalesce(doc_id, -9223372036854775808) AS id,
+         (CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+r AS (SELECT *, CAST(floor(sqrt(size::DOUBLE) * 10) AS BIGINT) AS root FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * root) AS BIGINT) AS roots FROM r GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place,
+         [{', '.join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}) + 1]::DOUBLE AS weight FROM s),
+l AS (SELECT *, source_size / weight AS ratio,
+         (sum(source_size) OVER () - {MOST} * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS remains,
+         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy FROM w),
+c AS (SELECT *, {MOST} * source_size <= weight * remains / heavy AS capped FROM l),
+f AS (SELECT remains, heavy FROM c WHERE NOT capped ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, source_size, roots, CASE WHEN capped OR f.heavy IS NULL THEN ({MOST} * source_size)::DOUBLE ELSE weight * f.remains / f.heavy END AS target FROM c LEFT JOIN f ON true),
+j AS (SELECT r.*, t.source_size, t.roots, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS certain
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, target - certain * source_size AS need,
+         least(0.999::DOUBLE, greatest(0.001::DOUBLE, CASE WHEN roots > 0 THEN (target - certain * source_size) * root / roots ELSE 0.5 END)) AS p FROM j),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM p),
+m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
+n AS (SELECT *, CASE WHEN size > 0 THEN certain + CASE WHEN need > 0 AND upto - size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END ELSE 0 END AS copies FROM m)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM n
+"""
+
+_CONSTANTS = constants(7)
+_F = " ".join(f"WHEN {i} THEN (((((r + {k[0]}) % {PRIME}) * ((r + {k[0]}) % {PRIME})) % {PRIME}) * {k[1]} + {k[2]}) % {PRIME}" for i, k in enumerate(_CONSTANTS))
+_SHARDING = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::BIGINT, list_transform(range(0, 8), lambda i: 0::BIGINT)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, md5(coalesce(text, '')) AS digest,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 8) AS BIGINT) % {BUCKETS} AS bucket
+  FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, digest) - 1 AS num FROM d),
+s AS (SELECT total, a, CASE WHEN total = 0 THEN 1 ELSE (total + a - 1) // a END AS b FROM (SELECT total, CASE WHEN total < 2 THEN 1 ELSE CAST(floor(sqrt(total - 1)) AS BIGINT) + 1 END AS a FROM (SELECT count(*) AS total FROM d))),
+f AS (
+  SELECT num, num // b AS l, num % b AS r, 0 AS i, false AS done FROM n, s
+  UNION ALL
+  SELECT num, CASE WHEN i = {ROUNDS} THEN (l * b + r) // b ELSE r END, CASE WHEN i = {ROUNDS} THEN (l * b + r) % b ELSE (l + CASE i {_F} END) % CASE WHEN i % 2 = 0 THEN a ELSE b END END,
+         CASE WHEN i = {ROUNDS} THEN 0 ELSE i + 1 END, i = {ROUNDS - 1} AND (r * b + (l + CASE i {_F} END) % b) < total
+  FROM f, s WHERE NOT done),
+p AS (SELECT num, l * b + r AS place FROM f, s WHERE done),
+x AS (SELECT n.*, place, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes, crc.t AS t FROM n JOIN p USING (num), crc)
+SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])))::BIGINT AS text_crc32,
+       'rows' AS law, CAST(place % 24 AS INTEGER) AS shard, place // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM x
+"""
+
+ORACLES: dict[str, str] = {"op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING}

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
-from .common import table
+from . import mixing, near_dedup, sharding
+from .common import table, utf8
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,4 +14,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket, order = sharding.row_keys(F.col("doc_id"), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(utf8(F.col("text"))).cast("long") + 8).alias("size"), F.crc32(utf8(F.col("text"))).alias("text_crc32"), F.lit("rows").alias("law"), bucket.alias("bucket"), order.alias("order"))
+    return sharding.shard(rows, 24, id_col="doc_id", bucket="bucket", order="order").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding)}

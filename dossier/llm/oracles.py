@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import CONTROL, END, START
 from .mixing import MOST, WEIGHTS
 from .sharding import BUCKETS, PRIME, ROUNDS, constants
 
@@ -55,4 +56,23 @@ SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING}
+_ESC = "replace(coalesce({0}, ''), '\\', '\\\\')"
+for _s in CONTROL:
+    _ESC = f"replace({_ESC}, '{_s}', '{_s[0]}\\{_s[1:]}')"
+_CHAT = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+  length({_ESC.format('text')}) + length(replace({_ESC.format('role')}, chr(10), '\' || chr(10))) + {len(START) + 1 + len(END)} AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS learned, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, count(*) OVER (PARTITION BY payload_digest) AS n FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND n > 1 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
+ORACLES: dict[str, str] = {"op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING, "op8_chat_formatting": _CHAT, "op10_warc_revisits": _WARC}

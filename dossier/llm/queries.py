@@ -5,8 +5,19 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, sharding
-from .common import table, utf8
+from . import chat, mixing, near_dedup, sharding, url_filter, warc
+from .common import materialize, table, utf8
+
+
+#: (host, path, action); the longest that fits wins.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("low"))
+    labelled = pages.join(labels, "page_id").select("url", "low")
+    return url_filter.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,4 +35,19 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 24, id_col="doc_id", bucket="bucket", order="order").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding)}
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)")
+    messages = materialize(chat.reply_chains(rows.unionByName(extra)), "messages")
+    done = chat.format_paths(chat.best_paths(messages), messages)
+    turns, learned = chat.parse(F.col("formatted")), chat.learned_text(F.col("formatted"), F.col("mask"))
+    back = done.select(F.col("tree.conv_id").alias("conv_id"), turns.alias("turns"), learned.alias("learned"), "formatted")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rewrite(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding, op8_chat_formatting, op10_warc_revisits)}

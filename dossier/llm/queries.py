@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, near_dedup, sharding, url_filter, warc
+from . import chat, decontaminate, mixing, near_dedup, sharding, url_filter, warc
 from .common import materialize, table, utf8
 
 
@@ -35,6 +35,11 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 24, id_col="doc_id", bucket="bucket", order="order").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "similarity")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)")
@@ -50,4 +55,4 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding, op8_chat_formatting, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding, op7_decontamination, op8_chat_formatting, op10_warc_revisits)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, sharding, url_filter, warc
-from .common import materialize, table, utf8
+from . import chat, decontaminate, language, media, mixing, near_dedup, sharding, toxicity, url_filter, warc
+from .common import held_out, materialize, table, utf8
 
 
 #: (host, path, action); the longest that fits wins.
@@ -29,6 +29,18 @@ def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.describe(media.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(" ", F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")), "thumb_hash")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", F.col("n_samples").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket, order = sharding.row_keys(F.col("doc_id"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(utf8(F.col("text"))).cast("long") + 8).alias("size"), F.crc32(utf8(F.col("text"))).alias("text_crc32"), F.lit("rows").alias("law"), bucket.alias("bucket"), order.alias("order"))
@@ -51,8 +63,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("id")))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_pareto_mixing, op6_feistel_sharding, op7_decontamination, op8_chat_formatting, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_pareto_mixing, op4_media_columns, op5_language_id, op6_feistel_sharding, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_warc_revisits)}

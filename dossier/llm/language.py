@@ -186,9 +186,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return train(tokens, np.array([languages.index(lang) for lang, _, _ in got]), languages, seed=seed)
 
 
-def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the probability of that language. Other columns pass through."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, net: Network | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with the predicted language and its probability, in place of columns of these names. Other columns pass through."""
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     letters = docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
                     p = document_probabilities(net, *text_bytes(part.column(text_col)))
                     known = part.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
                     names[known], score[known] = np.array(net.languages, object)[p.argmax(axis=1)][known], p.max(axis=1)[known]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score)], [*kept, lang_out, score_out])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return letters.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return letters.mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")

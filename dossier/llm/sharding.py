@@ -67,7 +67,8 @@ def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
 
 
 def shard(docs: DataFrame, n: int = 24, seed: int = 7, id_col: str = "doc_id", bucket: str | None = None, order: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with shard (0 to n-1) and slot (from 0, without gaps). bucket and order name columns that already hold row_keys()."""
+    """docs with shard (0 to n-1) and slot (from 0, without gaps). bucket and order name columns that already hold row_keys(). Columns named shard or slot are replaced."""
+    docs = docs.drop("shard", "slot")
     keyed = docs
     if bucket is None:
         bucket, order = "__bucket", "__order"

@@ -6,8 +6,8 @@ linear model over the presence of words and word beginnings minimises, in numpy,
     prior * E_toxic[l(g)] + max(0, E_unlabelled[l(-g)] - prior * E_toxic[l(-g)])
 
 with the logistic loss l: when the part in max() falls below 0, it is stepped back from, so that it can't be driven down
-by overfitting. Features are those seen more often in toxic texts than the prior explains, the most telling first, at most
-`n_features`. Training takes whole texts of at most `n_toxic` toxic and `n_unlabelled` other rows, chosen by a hash of the id.
+by overfitting. Features are those that make a text toxic with a probability of 0.6 at least, by the prior and Bayes' rule,
+the most telling first, at most `n_features`. Training takes whole texts of at most `n_toxic` toxic and `n_unlabelled` other rows, chosen by a hash of the id.
 
 A text's score is the sigmoid of its sum over the distinct features it holds, read whole. Null and empty texts get the score of
 a text without any feature. Without a confirmed toxic text all scores are the prior (0 without labels)."""
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from .kernels import slices
 
 #: Lengths of word beginnings that are features beside the words.
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7)
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose weight a task remembers.
 REMEMBERED = 500_000
@@ -63,20 +63,20 @@ class Model:
         return 0.5 * (1 + np.tanh(out / 2))
 
 
-def select(toxic: list[set[str]], other: list[set[str]], n_features: int, least: int = 4, lift: float = 2.0) -> list[str]:
-    """The features seen in at least `least` toxic texts and `lift` times as often there as elsewhere, by how surely so."""
+def select(toxic: list[set[str]], other: list[set[str]], prior: float, n_features: int, least: int = 5, sure: float = 0.6) -> list[str]:
+    """The features seen in at least `least` toxic texts that make a text toxic with a probability of `sure` at least, by Bayes' rule; those that tell the most apart first."""
     p, u = Counter(f for t in toxic for f in t), Counter(f for t in other for f in t)
     n_p, n_u = max(1, len(toxic)), max(1, len(other))
     found = []
     for f, n in p.items():
         there, here = n / n_p, (u[f] + 1) / n_u
-        if n >= least and there >= lift * here:
+        if n >= least and prior * there >= sure * here:
             found.append((-(there - here) / np.sqrt(there * (1 - there) / n_p + here * (1 - min(here, 1.0)) / n_u + 1e-9), f))
     return [f for _, f in sorted(found)[:n_features]]
 
 
-def train(toxic: list[set[str]], other: list[set[str]], prior: float, n_features: int = 1500, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> Model:
-    chosen = {f: i for i, f in enumerate(select(toxic, other, n_features))}
+def train(toxic: list[set[str]], other: list[set[str]], prior: float, n_features: int = 600, steps: int = 200, rate: float = 0.05, ridge: float = 2e-4) -> Model:
+    chosen = {f: i for i, f in enumerate(select(toxic, other, prior, n_features))}
     x = []
     for rows in (toxic, other):
         m = np.zeros((len(rows), len(chosen)), np.float32)

@@ -53,7 +53,9 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             break
         waiting = left
         above = now.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        step = now.join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+        # Messages that have reached their root are not joined again.
+        step = now.where("up is not null").join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+        step = now.where("up is null").unionByName(step)
         steps.append(materialize(step, "paths"))
     done = steps[-1].where("up is null").select("tree", "id", "depth", (F.col("score") / F.col("depth")).alias("score"))
     leaves = done.join(steps[0].select("tree", F.col("up").alias("id")).where("id is not null").distinct(), ["tree", "id"], "left_anti")

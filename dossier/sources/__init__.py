@@ -1 +1 @@
-"""See the package README."""
+"""Sources and sinks: node, question and ranking tables, and the mapping of text tables to evidence nodes."""

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from .common import materialize, release
 from .kernels import slices
 
 #: Lengths of word beginnings that are features beside the words.
@@ -63,66 +64,95 @@ class Model:
         return 0.5 * (1 + np.tanh(out / 2))
 
 
-def select(toxic: list[set[str]], other: list[set[str]], prior: float, n_features: int, least: int = 5, sure: float = 0.6) -> list[str]:
-    """The features seen in at least `least` toxic texts that make a text toxic with a probability of `sure` at least, by Bayes' rule; those that tell the most apart first."""
-    p, u = Counter(f for t in toxic for f in t), Counter(f for t in other for f in t)
-    n_p, n_u = max(1, len(toxic)), max(1, len(other))
-    found = []
-    for f, n in p.items():
-        there, here = n / n_p, (u[f] + 1) / n_u
-        if n >= least and prior * there >= sure * here:
-            found.append((-(there - here) / np.sqrt(there * (1 - there) / n_p + here * (1 - min(here, 1.0)) / n_u + 1e-9), f))
-    return [f for _, f in sorted(found)[:n_features]]
+def choose_features(sample: DataFrame, n_toxic: int, n_other: int, prior: float, n_features: int, least: int = 5, sure: float = 0.6) -> list[str]:
+    """The features seen in at least `least` toxic texts that make a text toxic with a probability of `sure` at least, by Bayes' rule; those that tell the most apart first.
 
+    sample: (text, toxic, other). Tasks count the features of their own texts, one sum adds them up; n_features names come to the driver."""
 
-def train(toxic: list[set[str]], other: list[set[str]], prior: float, n_features: int = 600, steps: int = 200, rate: float = 0.05, ridge: float = 2e-4) -> Model:
-    chosen = {f: i for i, f in enumerate(select(toxic, other, prior, n_features))}
-    x = []
-    for rows in (toxic, other):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                p, u = Counter(), Counter()
+                for text, toxic, other in zip(*[part.column(c).to_pylist() for c in ("text", "toxic", "other")], strict=True):
+                    held = features(text)
+                    if toxic:
+                        p.update(held)
+                    if other:
+                        u.update(held)
+                names = sorted(p.keys() | u.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], ["feature", "p", "u"])
+
+    sums = sample.mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    there, here = F.col("p") / max(1, n_toxic), F.least(F.lit(1.0), (F.col("u") + 1) / max(1, n_other))
+    apart = (there - here) / F.sqrt(there * (1 - there) / max(1, n_toxic) + here * (1 - here) / max(1, n_other) + 1e-9)
+    found = sums.where((F.col("p") >= least) & (prior * there >= sure * here)).select("feature", F.round(apart, 6).alias("apart"))
+    return [r["feature"] for r in found.orderBy(F.desc("apart"), "feature").limit(n_features).collect()]
+
+
+def matrices(sample: DataFrame, chosen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Presence of the chosen features in the toxic and the other texts, rows in the order of ids."""
+    at = {f: i for i, f in enumerate(chosen)}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held = [sorted(at[f] for f in features(x) if f in at) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), part.column("other"), pa.array(held, pa.list_(pa.int32()))], ["id", "toxic", "other", "held"])
+
+    got = sorted(map(tuple, sample.mapInArrow(look, "id long, toxic boolean, other boolean, held array<int>").collect()))
+    out = []
+    for k in (1, 2):
+        rows = [r[3] for r in got if r[k]]
         m = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, row in enumerate(rows):
-            for f in row:
-                if (j := chosen.get(f)) is not None:
-                    m[i, j] = 1
-        x.append(m)
-    p, u = x
-    w, b = np.zeros(len(chosen) + 1, np.float64), float(np.log(prior / (1 - prior)))
-    w[-1] = b
+        for i, held in enumerate(rows):
+            m[i, held] = 1
+        out.append(m)
+    return out[0], out[1]
+
+
+def train(p: np.ndarray, u: np.ndarray, chosen: list[str], prior: float, steps: int = 200, rate: float = 0.05, ridge: float = 5e-4) -> Model:
+    """Adam on the non-negative risk. p, u: presence of the chosen features in toxic and unlabelled texts."""
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for step in range(1, steps + 1):
-        g_p, g_u = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
-        # l(g) = log(1 + exp(-g)): l'(g) = sigmoid(g) - 1; of l(-g) it is sigmoid(g).
+        now = w[:-1].astype(np.float32)
+        g_p, g_u = p @ now + w[-1], u @ now + w[-1]
+        # l(g) = log(1 + exp(-g)), its slope is sigmoid(g) - 1; that of l(-g) is sigmoid(g).
         negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
         sign = 1.0 if negative >= 0 else -1.0
         d_p = prior * ((sigmoid(g_p) - 1) * (negative >= 0) - sign * sigmoid(g_p)) / len(p)
         d_u = sign * sigmoid(g_u) / len(u)
-        grad = np.append(p.T @ d_p + u.T @ d_u, d_p.sum() + d_u.sum())
+        grad = np.append(p.T @ d_p.astype(np.float32) + u.T @ d_u.astype(np.float32), d_p.sum() + d_u.sum())
         grad[:-1] += ridge * w[:-1]
         first += 0.1 * (grad - first)
         second += 0.001 * (grad * grad - second)
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model({f: float(w[i]) for f, i in chosen.items() if abs(w[i]) > 1e-3}, float(w[-1]))
+    return Model({f: float(x) for f, x in zip(chosen, w[:-1], strict=True) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", n_toxic: int = 2000, n_unlabelled: int = 6000, seed: int = 9) -> Model:
-    """labels: (id, toxic 0 or 1); only rows for which `learn` is true are used, of docs and labels both."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", n_toxic: int = 2000, n_unlabelled: int = 6000, n_features: int = 600, seed: int = 9) -> Model:
+    """labels: (id, toxic 0 or 1); only rows for which `learn` is true are used, of docs and labels both. Of rows that repeat an id, all texts are taken."""
     known = labels.where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).where(learn)
-    counts = known.agg(F.avg("toxic").alias("share")).first()
-    prior = counts["share"] or 0.0
+    prior = known.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
     if prior <= 0:
         return Model({}, -30.0)
     mark = F.xxhash64(F.lit(seed), F.col("id"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     # Bounded by the parameters: the first rows by the hash.
-    toxic_ids = known.where("toxic = 1").orderBy(mark, "id").limit(n_toxic).select("id")
-    other_ids = rows.select("id").where("id is not null").where(learn).distinct().orderBy(mark, "id").limit(n_unlabelled)
-    texts = lambda ids: sorted((r["id"], r["text"]) for r in rows.where("text is not null").join(F.broadcast(ids), "id", "left_semi").collect())
-    sets = lambda got: [features(t) for _, t in got]
-    toxic = sets(texts(toxic_ids))
-    if not toxic:
-        return Model({}, float(np.log(prior / (1 - prior))) if prior < 1 else 30.0)
-    return train(toxic, sets(texts(other_ids)), min(max(prior, 0.001), 0.999))
+    toxic = known.where("toxic = 1").orderBy(mark, "id").limit(n_toxic).select("id", F.lit(True).alias("toxic"))
+    other = rows.select("id").where(learn).distinct().orderBy(mark, "id").limit(n_unlabelled).select("id", F.lit(True).alias("other"))
+    ids = materialize(toxic.join(other, "id", "full").select("id", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.coalesce("other", F.lit(False)).alias("other")), "sampled")
+    sample = materialize(rows.join(F.broadcast(ids), "id"), "sample")
+    counts = sample.agg(F.count_if("toxic").alias("p"), F.count_if("other").alias("u")).first()
+    prior = min(max(prior, 0.001), 0.999)
+    if not counts["p"] or not counts["u"]:
+        return Model({}, float(np.log(prior / (1 - prior))))
+    chosen = choose_features(sample, counts["p"], counts["u"], prior, n_features)
+    model = train(*matrices(sample, chosen), chosen, prior)
+    release(ids, sample)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:

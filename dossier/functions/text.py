@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column
@@ -61,17 +62,30 @@ def node_id(node_type: Column, doc_id: Column, page: Column, index: Column) -> C
     return F.when(node_type == "page", F.concat_ws("_", prefix, doc_id, page)).otherwise(F.concat_ws("_", prefix, doc_id, page, index))
 
 
-def grams(c: Column, n: int) -> Column:
-    """The runs of n characters; empty if the text is shorter."""
-    k = F.length(c) - (n - 1)
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once though a lambda refers to it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def grams(c: Column, *sizes: int) -> Column:
+    """The runs of so many characters, size by size; none of a size if the text is shorter. Linear in the text."""
+
+    def runs_of(chars: Column, n: int) -> Column:
+        k = F.size(chars) - (n - 1)
+        run = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+        return F.when(k > 0, run).otherwise(F.array().cast("array<string>"))
+
+    def runs(chars: Column) -> Column:
+        return F.concat(*[runs_of(chars, n) for n in sizes])
+
+    return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), runs)
 
 
 def bm25_tokens(c: Column) -> Column:
     """Words of at least two characters with + - . / _ inside, also without a plural s beyond four letters; runs of CJK characters as uni-, bi- and trigrams, and whole up to four."""
     found = F.regexp_extract_all(casefold(clean_text(c)), F.lit(_TOKEN), F.lit(0))
     found = F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"^[._\-/]+|[._\-/]+$", "")), lambda t: t != "")
-    cjk = lambda t: F.concat(F.when(F.length(t) <= 4, F.array(t)).otherwise(F.array().cast("array<string>")), grams(t, 1), grams(t, 2), grams(t, 3))
+    cjk = lambda t: F.concat(F.when(F.length(t) <= 4, F.array(t)).otherwise(F.array().cast("array<string>")), grams(t, 1, 2, 3))
     word = lambda t: F.when(t.endswith("s") & (F.length(t) > 4), F.array(t, F.regexp_replace(t, "s$", ""))).otherwise(F.array(t))
     return F.flatten(F.transform(found, lambda t: F.when(t.rlike(f"^[{CJK}]"), cjk(t)).otherwise(word(t))))
 
@@ -110,10 +124,12 @@ def document_refs(c: Column) -> Column:
     """The sorted distinct references kind:number, such as figure:2 or table:s1, spaced letters mended."""
     c = F.regexp_replace(F.regexp_replace(clean_text(c), r"(?i)F\s*i\s*g\s*u\s*r\s*e", "Figure"), r"(?i)T\s*a\s*b\s*l\s*e", "Table")
     no = r"([Ss]?\d+(?:[.\-]\d+)?[A-Za-z]?)"
-    found = []
-    for pattern, kind in ((rf"(?i)\b(?:fig\.?|figure)\s*{no}", "figure"), (rf"(?i)\btable\s*{no}", "table"), (rf"[图圖]\s*{no}", "figure"), (rf"表\s*{no}", "table")):
-        numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-        found.append(F.transform(numbers, lambda x, kind=kind: F.concat(F.lit(f"{kind}:"), F.regexp_extract(F.lower(x), r"^(s?\d+)", 1))))
+
+    def numbers(pattern: str, kind: str) -> Column:
+        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        return F.transform(found, lambda x: F.concat(F.lit(f"{kind}:"), F.regexp_extract(F.lower(x), r"^(s?\d+)", 1)))
+
+    found = [numbers(*x) for x in ((rf"(?i)\b(?:fig\.?|figure)\s*{no}", "figure"), (rf"(?i)\btable\s*{no}", "table"), (rf"[图圖]\s*{no}", "figure"), (rf"表\s*{no}", "table"))]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 

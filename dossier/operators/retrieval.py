@@ -46,7 +46,7 @@ def bm25(nodes: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.7
 def char_terms(c: Column) -> Column:
     """The character 2- to 4-grams of a text, lower-cased, white space runs as one blank."""
     c = F.regexp_replace(F.lower(clean_text(c)), r"\s\s+", " ")
-    return F.concat(grams(c, 2), grams(c, 3), grams(c, 4))
+    return grams(c, 2, 3, 4)
 
 
 def char_tfidf(nodes: DataFrame, questions: DataFrame) -> DataFrame:

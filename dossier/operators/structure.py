@@ -125,39 +125,40 @@ def degrees(graph: DataFrame) -> DataFrame:
     return both_ways(graph).groupBy(F.col("x").alias("node_id")).agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 4).alias("strength"))
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Cuts a loop's lineage: writes to the folder of spark.checkpoint.dir and reads back; without one the table is persisted, which spills to disk."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/dossier/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pagerank(links: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """(question_id, node_id, score): personalised PageRank of all questions at once, by power iteration.
 
     links: (question_id, x, y, weight) both ways, the graph of each question; seeds: (question_id, node_id, weight). It begins uniform;
-    what nodes without links hold goes back to the seeds. Ends after `rounds`, or when a round's change is below tolerance for each
-    node of every question. Each round is one join and one sum on (question_id, node); every fifth round is written to the
-    checkpoint folder."""
-    spark = links.sparkSession
+    what nodes without links hold goes back to the seeds. Ends after `rounds`, or when the sum of a round's changes is below
+    n * tolerance for every question, which is looked at every fifth round. A round is one join and one sum on (question_id, node)."""
     total = links.groupBy("question_id", "x").agg(F.sum("weight").alias("t"))
-    moves = links.join(total, ["question_id", "x"]).select("question_id", "x", "y", (F.col("weight") / F.col("t")).alias("p"))
-    nodes = links.select("question_id", F.col("x").alias("node_id")).union(seeds.select("question_id", "node_id")).distinct()
-    size = nodes.groupBy("question_id").agg(F.count("*").alias("n"))
+    moves = settle(links.join(total, ["question_id", "x"]).select("question_id", "x", "y", (F.col("weight") / F.col("t")).alias("p")), "moves")
+    nodes = moves.select("question_id", F.col("x").alias("node_id"), F.lit(True).alias("linked")).union(seeds.select("question_id", "node_id", F.lit(False))).groupBy("question_id", "node_id").agg(F.max("linked").alias("linked"))
     given = seeds.groupBy("question_id", "node_id").agg(F.sum("weight").alias("w"))
-    given = given.join(given.groupBy("question_id").agg(F.sum("w").alias("all")), "question_id").select("question_id", "node_id", F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0).alias("seed"))
-    base = nodes.join(given, ["question_id", "node_id"], "left").join(size, "question_id").withColumn("seed", F.coalesce("seed", F.lit(0.0)))
-    base = base.join(total.select("question_id", F.col("x").alias("node_id"), F.lit(True).alias("linked")), ["question_id", "node_id"], "left")
-    state = base.select("question_id", "node_id", "seed", "n", F.coalesce("linked", F.lit(False)).alias("linked"), (1.0 / F.col("n")).alias("score"))
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    whole = Window.partitionBy("question_id")
+    base = nodes.join(given, ["question_id", "node_id"], "left").withColumn("w", F.coalesce("w", F.lit(0.0))).withColumn("all", F.sum("w").over(whole)).withColumn("n", F.count("*").over(whole))
+    state = settle(base.select("question_id", "node_id", F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0).alias("seed"), "n", "linked", (1.0 / F.col("n")).alias("score"), F.lit(0.0).alias("before")), "rank")
     for i in range(1, rounds + 1):
         got = state.select("question_id", F.col("node_id").alias("x"), "score").join(moves, ["question_id", "x"]).groupBy("question_id", F.col("y").alias("node_id")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        lost = F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("score"))).over(Window.partitionBy("question_id"))
-        state = state.withColumn("lost", lost).join(got, ["question_id", "node_id"], "left")
+        lost = F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("score"))).over(whole)
         new = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("seed")) + (1 - alpha) * F.col("seed")
-        state = state.select("question_id", "node_id", "seed", "n", "linked", new.alias("score"), F.col("score").alias("before"))
+        state = state.withColumn("lost", lost).join(got, ["question_id", "node_id"], "left").select("question_id", "node_id", "seed", "n", "linked", new.alias("score"), F.col("score").alias("before"))
+        state = settle(state, "rank")
         if i % 5 == 0 and i < rounds:
-            if folder:
-                path = f"{folder.rstrip('/')}/dossier/pagerank-{uuid.uuid4().hex}"
-                state.write.parquet(path)
-                state = spark.read.schema(state.schema).parquet(path)
-            moved = state.groupBy("question_id").agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("d"), F.first("n").alias("n")).where(F.col("d") >= F.col("n") * tolerance)
-            if not moved.limit(1).count():
+            moved = state.groupBy("question_id").agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("d"), F.first("n").alias("n"))
+            if not moved.where(F.col("d") >= F.col("n") * tolerance).limit(1).count():
                 break
-        state = state.drop("before")
     return state.select("question_id", "node_id", "score")
 
 

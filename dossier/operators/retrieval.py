@@ -100,7 +100,7 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 def top_k(scores: DataFrame, k: int, tie: str = "node_id") -> DataFrame:
     """The k best rows of each question with their rank; ties in the order of `tie`."""
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), tie))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), tie)).cast("long")
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions import text as T
-from dossier.operators import answers, chains, chunking, evaluate, fusion, knowledge, questions, retrieval, structure, tables
+from dossier.operators import answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, structure, tables
 from dossier.sources.tables import document_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,7 +251,7 @@ def embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     got = retrieval.embedding_topk(v, v.where("vec_id % 20 = 0"), 10).select("question_id", "node_id", "rank")
-    by_id = F.row_number().over(Window.partitionBy("question_id").orderBy("node_id"))
+    by_id = F.row_number().over(Window.partitionBy("question_id").orderBy("node_id")).cast("long")
     both = got.select("question_id", "node_id", "rank", F.lit("cosine").alias("method")).unionByName(got.select("question_id", "node_id", by_id.alias("rank"), F.lit("by_id").alias("method")))
     ideal = v.groupBy("label").agg(F.count("*").alias("ideal"))
     ask = v.select(F.col("vec_id").alias("question_id"), F.col("label").alias("want")).join(ideal.withColumnRenamed("label", "want"), "want")
@@ -371,3 +371,59 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = lines(spark, sf_dir)
     return knowledge.communities(nodes, knowledge.node_terms(nodes))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a question, its first twenty lines as candidates, the earlier the better."""
+    nodes = lines(spark, sf_dir)
+    return nodes.where("node_pos < 20").select(F.col("doc_id").alias("question_id"), "node_id", (1.0 / (1 + F.col("node_pos"))).alias("score"))
+
+
+@query
+def context_expansion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rerank.expand_context(_candidates(spark, sf_dir).where("score >= 0.2"), lines(spark, sf_dir), 24)
+    return out.select("question_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def bridge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = lines(spark, sf_dir)
+    return rounded(rerank.bridge(_candidates(spark, sf_dir), nodes, structure.collapse(structure.all_edges(nodes))), 5)
+
+
+@query
+def g_methods_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 to G3 over the candidates, the bridge score and a reference to every seventh line."""
+    nodes = lines(spark, sf_dir)
+    cand = _candidates(spark, sf_dir)
+    bridges = rounded(rerank.bridge(cand, nodes, structure.collapse(structure.all_edges(nodes)))).withColumnRenamed("score", "bridge")
+    kind = nodes.select("node_id", F.col("node_type").alias("kind"), "node_pos")
+    ref = F.when(F.col("node_pos") % 7 == 3, rerank.reference_weight(F.col("kind"), F.lit(True))).otherwise(0.0)
+    signals = cand.withColumnRenamed("score", "sim").join(bridges, ["question_id", "node_id"]).join(kind, "node_id").select("question_id", "node_id", "sim", F.round(1.0 / (2 + F.col("node_pos") % 5), 6).alias("ppr"), "bridge", ref.alias("ref"))
+    return rounded(rerank.methods(signals).where("rank <= 5"), 4)
+
+
+@query
+def answer_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = lines(spark, sf_dir)
+    q = F.col("doc_id")
+    prior = rerank.answer_prior(F.col("node_type"), q % 2 == 0, q % 3 == 0, q % 5 == 0, q % 7 == 0)
+    return nodes.select("node_id", F.round(prior, 4).alias("prior"))
+
+
+@query
+def layout_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's lines as blocks in two columns, every fifth across the page."""
+    i = F.col("node_pos") % 10
+    full = i % 5 == 4
+    blocks = lines(spark, sf_dir).select("doc_id", "page", F.col("node_id").alias("block_id"), F.when(full | (i % 2 == 0), 0.0).otherwise(310.0).alias("x0"), (i * 50.0).alias("y0"), F.when(full | (i % 2 == 1), 600.0).otherwise(290.0).alias("x1"), (i * 50.0 + 40).alias("y1"), F.col("content").alias("text"), F.lit(600.0).alias("page_width"))
+    return layout.reading_order(blocks)
+
+
+@query
+def ragbench_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold documents of questions from sentence keys such as 2b; all of them where no key tells."""
+    rows = spark.sql("SELECT id, n, keys FROM VALUES (1L, 3, array('0a', '2b', '2c')), (2L, 2, array('x', '')), (3L, 4, array('9a', '1z')) AS t(id, n, keys)")
+    found = F.filter(F.transform(F.filter("keys", lambda k: k.rlike("^[0-9]+[A-Za-z]")), lambda k: F.regexp_extract(k, "^([0-9]+)", 1).cast("int")), lambda i: i < F.col("n"))
+    gold = F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
+    return rows.select("id", F.array_join(F.transform(gold, lambda i: i.cast("string")), ";").alias("gold"))

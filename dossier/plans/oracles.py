@@ -247,3 +247,39 @@ SELECT source_id, target_id, relation_type, round(sum(weight), 2)::DOUBLE AS wei
 ORACLES["communities"] = f"""WITH {KG}, n AS (SELECT *, CASE WHEN section <> '' THEN section ELSE 'page:' || page END AS label FROM nodes), o AS (SELECT doc_id, label, count(*) AS node_count, count(DISTINCT page) AS pages, count(*) FILTER (WHERE node_type = 'table') AS n_tables FROM n GROUP BY ALL),
 s AS (SELECT n.doc_id, n.label, term, count(*) AS c FROM terms JOIN n USING (node_id) WHERE place <= 8 GROUP BY ALL), t AS (SELECT doc_id, label, string_agg(term, '|' ORDER BY c DESC, term) AS top_terms FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY c DESC, term) <= 10) GROUP BY ALL)
 SELECT doc_id, label, node_count, pages, n_tables, coalesce(top_terms, '') AS top_terms FROM o LEFT JOIN t USING (doc_id, label)"""
+
+CANDIDATES = "cand AS (SELECT doc_id AS question_id, node_id, 1.0::DOUBLE / (1 + node_pos) AS score FROM nodes WHERE node_pos < 20)"
+_VIS = "('table', 'figure', 'caption')"
+ORACLES["context_expansion_topk"] = f"""WITH {NODES}, {CANDIDATES}, p AS (SELECT c.*, doc_id, section, page, node_type, node_pos FROM cand c JOIN nodes USING (node_id) WHERE score >= 0.2),
+s AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_pos) AS r FROM p QUALIFY r <= 14), o AS (SELECT * FROM nodes WHERE NOT (contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$'))),
+b AS (SELECT s.question_id, s.node_id AS seed, s.node_type AS kind, s.node_pos AS seed_pos, s.score AS lent, o.node_id, o.node_type, o.node_pos, 0.82 AS base FROM s JOIN o ON s.doc_id = o.doc_id AND s.section = o.section AND s.section <> '' UNION ALL
+  SELECT s.question_id, s.node_id, s.node_type, s.node_pos, s.score, o.node_id, o.node_type, o.node_pos, 0.62 FROM s JOIN o ON s.doc_id = o.doc_id AND s.page = o.page),
+v AS (SELECT question_id, seed, node_id, node_pos, max(round(lent * least(1.0, base::DOUBLE + CASE WHEN node_type IN {_VIS} THEN 0.12 ELSE 0 END + CASE WHEN kind IN {_VIS} AND node_type = 'text' THEN 0.05 ELSE 0 END) * (0.75 + 0.25 / sqrt(1.0 + least(abs(seed_pos - node_pos), 24))) * CASE WHEN node_type IN {_VIS} THEN 1.0 ELSE 0.92 END, 9)) AS value FROM b WHERE seed <> node_id GROUP BY ALL),
+k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id, seed ORDER BY value DESC, node_pos) <= 8),
+m AS (SELECT question_id, node_id, node_pos, max(score) AS score FROM (SELECT question_id, node_id, node_pos, value AS score FROM k UNION ALL SELECT question_id, node_id, node_pos, score FROM p) GROUP BY ALL)
+SELECT question_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY m.score DESC, node_pos) AS rank FROM m QUALIFY rank <= 24"""
+
+
+def _weights(d: dict[str, float], x: str, default: float) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in d.items()) + f" ELSE {default}::DOUBLE END"
+
+
+BRIDGE = f"""{ALL}, {CANDIDATES}, rel AS (SELECT source_id AS u, target_id AS v, max({_weights(L.RELATION_WEIGHTS, 'edge_type', 0.2)}) AS relation FROM edges WHERE source_id <> target_id GROUP BY ALL),
+rl AS (SELECT u AS x, v AS y, relation FROM rel UNION ALL SELECT v, u, relation FROM rel), dg AS (SELECT x AS node_id, count(*) AS degree FROM rl GROUP BY x),
+toc AS (SELECT node_id, node_type, contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$') AS toc FROM nodes),
+ar AS (SELECT c.question_id, rl.x, relation, n.node_type AS kind, coalesce(s.score, 0) AS sim FROM cand c JOIN rl ON rl.x = c.node_id JOIN toc n ON n.node_id = rl.y LEFT JOIN cand s ON s.question_id = c.question_id AND s.node_id = rl.y
+  WHERE NOT n.toc AND n.node_type IN ('text', 'table', 'figure', 'page', 'caption') AND (coalesce(s.score, 0) >= 0.2 OR n.node_type IN {_VIS})),
+ag AS (SELECT question_id, x AS node_id, sum(relation * {_weights(L.TYPE_WEIGHTS, 'kind', 0)} * (0.5 + sim)) AS near, sum({_weights(L.TYPE_WEIGHTS, 'kind', 0)}) AS covered FROM ar GROUP BY ALL),
+br AS (SELECT c.question_id, c.node_id, CASE WHEN toc THEN 0 ELSE (0.35 * {_weights(L.TYPE_WEIGHTS, 'node_type', 0)} + 0.65 * coalesce(near, 0)) * least(1.0, ({_weights(L.TYPE_WEIGHTS, 'node_type', 0)} + coalesce(covered, 0)) / {max(1.0, sum(L.TYPE_WEIGHTS.values()))}) / ln(2.0 + least(coalesce(degree, 0), 12)) END AS score
+  FROM cand c JOIN toc USING (node_id) LEFT JOIN ag ON ag.question_id = c.question_id AND ag.node_id = c.node_id LEFT JOIN dg ON dg.node_id = c.node_id)"""
+ORACLES["bridge_score"] = f"WITH {BRIDGE} SELECT question_id, node_id, round(score, 5) AS score FROM br"
+ORACLES["g_methods_rank"] = f"""WITH {BRIDGE}, sg AS (SELECT c.question_id, c.node_id, c.score AS sim, round(1.0 / (2 + node_pos % 5), 6)::DOUBLE AS ppr, round(br.score, 6) AS bridge, CASE WHEN node_pos % 7 = 3 THEN {_weights({"table": 0.9, "caption": 0.95, "text": 0.75, "page": 0.1, "figure": 0.1}, 'node_type', 0.2)} ELSE 0 END AS ref FROM cand c JOIN br ON br.question_id = c.question_id AND br.node_id = c.node_id JOIN nodes n ON n.node_id = c.node_id),
+sn AS (SELECT question_id, node_id, {', '.join(f"{ratio(c, 'question_id')} AS n_{c}" for c in ('sim', 'ppr', 'bridge', 'ref'))} FROM sg), sr AS (SELECT *, CASE WHEN max(n_ref) OVER (PARTITION BY question_id) > 0 THEN 0.1 ELSE 0 END AS r FROM sn),
+mt AS (SELECT question_id, node_id, 'G1' AS method, round(n_sim, 6)::DOUBLE AS score FROM sr UNION ALL SELECT question_id, node_id, 'G2', round(0.93 * n_sim + 0.07 * n_ppr, 6)::DOUBLE FROM sr UNION ALL SELECT question_id, node_id, 'G3', round((0.85 - r) * n_sim + 0.15 * n_bridge + r * n_ref, 6)::DOUBLE FROM sr)
+SELECT question_id, node_id, method, round(score, 4) AS score, row_number() OVER (PARTITION BY question_id, method ORDER BY mt.score DESC, node_id) AS rank FROM mt QUALIFY rank <= 5"""
+ORACLES["answer_priors"] = f"""WITH {NODES} SELECT node_id, round(CASE node_type WHEN 'title' THEN 0.72 WHEN 'text' THEN 1.08 ELSE (CASE WHEN doc_id % 3 = 0 THEN 1.08 WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 7 = 0 THEN 1.02 ELSE 0.92 END ELSE 0.72 END) * CASE WHEN doc_id % 5 = 0 THEN 0.55 ELSE 1 END END, 4)::DOUBLE AS prior FROM nodes"""
+ORACLES["layout_reading_order"] = f"""WITH {NODES}, b AS (SELECT doc_id, page, node_id AS block_id, node_pos % 10 AS i, length(trim(content)) >= 20 AS ok FROM nodes), k AS (SELECT *, i % 5 = 4 AS wide FROM b),
+c AS (SELECT doc_id, page, count(*) FILTER (WHERE ok AND NOT wide AND i % 2 = 0) AS l, count(*) FILTER (WHERE ok AND NOT wide AND i % 2 = 1) AS r FROM k GROUP BY ALL), d AS (SELECT k.*, l + r >= 8 AND l >= 3 AND r >= 3 AS two FROM k JOIN c USING (doc_id, page)),
+e AS (SELECT *, CASE WHEN NOT two THEN 'single' WHEN wide THEN 'full' WHEN i % 2 = 0 THEN 'left' ELSE 'right' END AS layout_column, CASE WHEN NOT two THEN 0 ELSE CASE WHEN wide THEN 2 * (i // 5) + 1 ELSE 2 * (i // 5) END END AS band FROM d)
+SELECT doc_id, page, block_id, layout_column, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, layout_column = 'right', i) AS reading_order FROM e"""
+ORACLES["ragbench_gold"] = "SELECT * FROM (VALUES (1::BIGINT, '0;2'), (2, '0;1'), (3, '1')) AS t(id, gold)"

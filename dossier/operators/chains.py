@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+
+from dossier.functions.text import is_toc_entry
 
 #: Flags that call for correction (fixed values).
 SEVERE = ("no_ranking", "no_chain", "missing_table", "missing_figure", "ungrounded_figure", "missing_cross_modal_pair", "visual_top1_for_text_query")
@@ -62,3 +64,30 @@ def merge(primary: Column, fallback: Column, needed: Column, most: int = 5, adde
     new = F.slice(new, 1, added)
     room = F.greatest(F.lit(1), most - F.size(new))
     return F.when(F.size(primary) == 0, fallback).otherwise(F.concat(F.slice(primary, F.lit(1), room), new))
+
+
+def build(ranked: DataFrame, nodes: DataFrame, links: DataFrame, most: int = 5) -> DataFrame:
+    """(question_id, step, node_id, role): each question's evidence chain of at most `most` different nodes.
+
+    Steps come by phases: the best node that is no page and no entry of a table of contents; nodes with a reference score; the best
+    visual on the page of the first three, where the question wants one; other visuals by reference, bridge and score; the first
+    node's neighbours by relation; the other texts by rank. A node takes the first phase it is in.
+    ranked: (question_id, node_id, rank, score, bridge, ref, wants_visual); links: (x, y, relation) both ways."""
+    info = nodes.select("node_id", "doc_id", "page", "node_type", is_toc_entry(F.col("content")).alias("toc")).where("not toc")
+    rows = ranked.join(info, "node_id").where("node_type <> 'page'")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "node_id"))
+    rows = rows.withColumn("n", place)
+    visual = F.col("node_type").isin("table", "figure", "caption")
+    step = lambda df, phase, role, *order: df.select("question_id", "node_id", F.lit(phase).alias("phase"), F.lit(role).alias("role"), F.struct(*[(o if isinstance(o, Column) else F.col(o)).cast("double").alias(f"o{i}") for i, o in enumerate((*order, *[F.lit(0)] * (3 - len(order))))]).alias("o"))
+    main = rows.where("n = 1")
+    pages = rows.where("n <= 3").select("question_id", "doc_id", "page").distinct()
+    near = rows.where(visual & F.col("wants_visual")).join(pages, ["question_id", "doc_id", "page"], "left_semi")
+    near = near.withColumn("v", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "rank", "node_id"))).where("v = 1")
+    around = main.select("question_id", F.col("node_id").alias("x")).join(links, "x").select("question_id", F.col("y").alias("node_id"), "relation").join(info.select("node_id", "node_type"), "node_id").where("node_type <> 'page'")
+    around = around.withColumn("v", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("relation"), "node_id"))).where("v <= 8")
+    every = step(main, 1, "main", "n")
+    for part in (step(rows.where("ref > 0"), 2, "reference", "n"), step(near, 4, "visual_companion", "n"), step(rows.where(visual), 5, "visual", -F.col("ref"), -F.col("bridge"), -F.col("score")), step(around, 7, "graph_neighbor", "v"), step(rows.where("node_type = 'text'"), 8, "context", "n")):
+        every = every.unionByName(part)
+    first = every.groupBy("question_id", "node_id").agg(F.min(F.struct("phase", "o", "role")).alias("m"))
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy("m.phase", "m.o", "node_id")).cast("long")
+    return first.withColumn("step", order).where(F.col("step") <= most).select("question_id", "step", "node_id", "m.role")

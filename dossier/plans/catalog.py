@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions import text as T
 from dossier.operators import answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, structure, tables
+from dossier.operators import routes as routes_of
 from dossier.sources.tables import document_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,3 +428,43 @@ def ragbench_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(F.transform(F.filter("keys", lambda k: k.rlike("^[0-9]+[A-Za-z]")), lambda k: F.regexp_extract(k, "^([0-9]+)", 1).cast("int")), lambda i: i < F.col("n"))
     gold = F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
     return rows.select("id", F.array_join(F.transform(gold, lambda i: i.cast("string")), ";").alias("gold"))
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's title as a question to its lines, wants and traits by remainders of ids and positions."""
+    nodes = lines(spark, sf_dir)
+    title = F.first("content").over(Window.partitionBy("doc_id").orderBy("node_pos"))
+    q, p = F.col("doc_id"), F.col("node_pos")
+    flags = {"wants_table": q % 2, "wants_figure": q % 3, "wants_cross": q % 5, "wants_location": q % 7, "wants_visual": q % 4, "structured": q % 11, "numeric": q % 13, "bbox": p % 2, "captioned": p % 3, "section_hit": p % 5, "has_headers": p % 4, "has_facts": p % 6, "has_numbers": p % 7, "page_image": p % 8, "crop_image": p % 9, "parsed": p % 10}
+    return nodes.withColumn("title", title).select(q.alias("question_id"), "node_id", "node_type", F.round(T.char_jaccard(F.col("title"), F.col("content")), 6).alias("lexical"), F.lit("").alias("structure_type"), *[(v == 0).alias(k) for k, v in flags.items()])
+
+
+@query
+def route_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(routes_of.all_routes(_flagged(spark, sf_dir)), 4)
+
+
+@query
+def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = {"a": ("the", "and"), "b": ("der", "und"), "c": ("les", "que")}
+    strong = {"a": ("that",), "b": ("nicht",), "c": ("pour",)}
+    return routes_of.domain_scores(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), words, strong)
+
+
+@query
+def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = lines(spark, sf_dir)
+    graph = structure.collapse(structure.all_edges(nodes))
+    links = structure.both_ways(graph).withColumnRenamed("weight", "relation")
+    p = F.col("node_pos")
+    ranked = nodes.where("node_pos < 20").select(F.col("doc_id").alias("question_id"), "node_id", (p + 1).cast("long").alias("rank"), (1.0 / (1 + p)).alias("score"), (p % 3 / 3).alias("bridge"), F.when(p % 9 == 4, 0.5).otherwise(0.0).alias("ref"), (F.col("doc_id") % 2 == 0).alias("wants_visual"))
+    return chains.build(ranked, nodes, links)
+
+
+@query
+def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pages and nodes by kind, and the questions of the same id, of documents and questions both."""
+    nodes = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("pages"), *[F.count_if(F.col("node_type") == t).alias(t) for t in ("title", "text", "table")])
+    asks = read(spark, sf_dir, "benchmark").groupBy(F.col("item_id").alias("doc_id")).agg(F.count("*").alias("questions"))
+    out = nodes.join(asks, "doc_id", "full")
+    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pages", "title", "text", "table", "questions")])

@@ -283,3 +283,37 @@ c AS (SELECT doc_id, page, count(*) FILTER (WHERE ok AND NOT wide AND i % 2 = 0)
 e AS (SELECT *, CASE WHEN NOT two THEN 'single' WHEN wide THEN 'full' WHEN i % 2 = 0 THEN 'left' ELSE 'right' END AS layout_column, CASE WHEN NOT two THEN 0 ELSE CASE WHEN wide THEN 2 * (i // 5) + 1 ELSE 2 * (i // 5) END END AS band FROM d)
 SELECT doc_id, page, block_id, layout_column, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, layout_column = 'right', i) AS reading_order FROM e"""
 ORACLES["ragbench_gold"] = "SELECT * FROM (VALUES (1::BIGINT, '0;2'), (2, '0;1'), (3, '1')) AS t(id, gold)"
+
+
+def _plus(cond: str, x: float) -> str:
+    return f"CASE WHEN {cond} THEN {x}::DOUBLE ELSE 0 END"
+
+
+_FLAGS = {"wants_table": "doc_id % 2", "wants_figure": "doc_id % 3", "wants_cross": "doc_id % 5", "wants_location": "doc_id % 7", "wants_visual": "doc_id % 4", "structured": "doc_id % 11", "numeric": "doc_id % 13", "bbox": "node_pos % 2", "captioned": "node_pos % 3", "section_hit": "node_pos % 5", "has_headers": "node_pos % 4", "has_facts": "node_pos % 6", "has_numbers": "node_pos % 7", "page_image": "node_pos % 8", "crop_image": "node_pos % 9", "parsed": "node_pos % 10"}
+ORACLES["route_scores"] = f"""WITH {NODES}, c AS (SELECT doc_id, node_id, node_type, node_pos, regexp_extract_all(first_value(content) OVER (PARTITION BY doc_id ORDER BY node_pos), '(?s).') AS x, regexp_extract_all(content, '(?s).') AS y FROM nodes),
+s AS (SELECT *, {_BIGRAMS.format('x')} AS a, {_BIGRAMS.format('y')} AS b FROM c), f AS (SELECT doc_id AS question_id, node_id, node_type, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS l, {', '.join(f'{v} = 0 AS {k}' for k, v in _FLAGS.items())} FROM s),
+r AS (SELECT question_id, node_id, 'lexical' AS route, l AS score FROM f UNION ALL SELECT question_id, node_id, 'section', l + {_plus("node_type = 'title'", 0.08)} + {_plus('section_hit', 0.12)} FROM f
+  UNION ALL SELECT question_id, node_id, 'visual', CASE WHEN wants_visual THEN l + {_plus("wants_table AND node_type = 'table'", 0.35)} + {_plus("wants_figure AND node_type IN ('figure', 'caption')", 0.35)} + {_plus("node_type IN ('table', 'figure', 'caption')", 0.15)} + {_plus('bbox', 0.05)} + {_plus('captioned', 0.08)} ELSE 0 END FROM f
+  UNION ALL SELECT question_id, node_id, 'table', CASE WHEN NOT (structured OR wants_table OR wants_cross) THEN 0 WHEN node_type = 'table' THEN l + 0.32::DOUBLE + {_plus('has_headers', 0.1)} + {_plus('has_facts', 0.1)} + {_plus('numeric AND has_numbers', 0.12)} + {_plus('structured', 0.12)} WHEN node_type = 'text' THEN 0.58::DOUBLE * l ELSE l END FROM f
+  UNION ALL SELECT question_id, node_id, 'layout', CASE WHEN wants_location THEN {_plus('bbox', 0.35)} + {_plus('page_image', 0.15)} + {_plus('crop_image', 0.2)} + {_plus('parsed', 0.1)} ELSE 0 END FROM f)
+SELECT question_id, route, node_id, round(score, 4) AS score FROM r QUALIFY max(r.score) OVER (PARTITION BY question_id, route) > 0"""
+
+
+def _count_words(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")::INTEGER"
+
+
+ORACLES["domain_scores"] = f"""WITH d AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents), k AS (SELECT id, {_count_words(('the', 'and'))} AS k_a, {_count_words(('der', 'und'))} AS k_b, {_count_words(('les', 'que'))} AS k_c, {_count_words(('that',))} AS s_a, {_count_words(('nicht',))} AS s_b, {_count_words(('pour',))} AS s_c FROM d),
+r AS (SELECT *, list_sort([(-k_a, 'a', s_a), (-k_b, 'b', s_b), (-k_c, 'c', s_c)]) AS r FROM k)
+SELECT id, k_a, k_b, k_c, CASE WHEN -r[1][1] < 2 OR r[1][3] = 0 OR (r[2][1] < 0 AND -r[1][1] < -1.15 * r[2][1] AND r[1][3] <= r[2][3]) THEN 'general' ELSE r[1][2] END AS domain FROM r"""
+ORACLES["corpus_index"] = f"WITH {NODES}, n AS (SELECT doc_id, max(page) AS pages, count(*) FILTER (WHERE node_type = 'title') AS title, count(*) FILTER (WHERE node_type = 'text') AS text, count(*) FILTER (WHERE node_type = 'table') AS tab FROM nodes GROUP BY doc_id), q AS (SELECT item_id, count(*) AS questions FROM benchmark GROUP BY item_id) SELECT coalesce(doc_id, item_id) AS doc_id, coalesce(pages, 0) AS pages, coalesce(title, 0) AS title, coalesce(text, 0) AS text, coalesce(tab, 0) AS \"table\", coalesce(questions, 0) AS questions FROM n FULL JOIN q ON doc_id = item_id"
+_P = "node_pos"
+ORACLES["evidence_chain"] = f"""WITH {ALL}, i AS (SELECT * FROM nodes WHERE NOT (contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\\\.{{4,}}\\\\s*[0-9]+\\\\s*$'))),
+rows_ AS (SELECT doc_id AS question_id, *, 1.0::DOUBLE / (1 + {_P}) AS score, {_P} % 3 / 3.0::DOUBLE AS bridge, CASE WHEN {_P} % 9 = 4 THEN 0.5 ELSE 0 END::DOUBLE AS ref, doc_id % 2 = 0 AS wants, row_number() OVER (PARTITION BY doc_id ORDER BY {_P}) AS n FROM i WHERE {_P} < 20),
+pg AS (SELECT DISTINCT question_id, page FROM rows_ WHERE n <= 3),
+nr AS (SELECT r.* FROM rows_ r JOIN pg USING (question_id, page) WHERE wants AND node_type IN ('table', 'figure', 'caption') QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n) = 1),
+ar AS (SELECT r.question_id, l.y AS node_id, row_number() OVER (PARTITION BY r.question_id ORDER BY l.weight DESC, l.y) AS v FROM rows_ r JOIN links l ON l.x = r.node_id JOIN i ON i.node_id = l.y WHERE r.n = 1 QUALIFY v <= 8),
+ev AS (SELECT question_id, node_id, 1 AS phase, 'main' AS role, n::DOUBLE AS o0, 0::DOUBLE AS o1, 0::DOUBLE AS o2 FROM rows_ WHERE n = 1 UNION ALL SELECT question_id, node_id, 2, 'reference', n, 0, 0 FROM rows_ WHERE ref > 0 UNION ALL SELECT question_id, node_id, 4, 'visual_companion', n, 0, 0 FROM nr
+  UNION ALL SELECT question_id, node_id, 5, 'visual', -ref, -bridge, -score FROM rows_ WHERE node_type IN ('table', 'figure', 'caption') UNION ALL SELECT question_id, node_id, 7, 'graph_neighbor', v, 0, 0 FROM ar UNION ALL SELECT question_id, node_id, 8, 'context', n, 0, 0 FROM rows_ WHERE node_type = 'text'),
+fi AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY phase, o0, o1, o2) = 1)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, o0, o1, o2, node_id) AS step, node_id, role FROM fi QUALIFY step <= 5"""

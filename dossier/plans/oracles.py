@@ -317,3 +317,32 @@ ev AS (SELECT question_id, node_id, 1 AS phase, 'main' AS role, n::DOUBLE AS o0,
   UNION ALL SELECT question_id, node_id, 5, 'visual', -ref, -bridge, -score FROM rows_ WHERE node_type IN ('table', 'figure', 'caption') UNION ALL SELECT question_id, node_id, 7, 'graph_neighbor', v, 0, 0 FROM ar UNION ALL SELECT question_id, node_id, 8, 'context', n, 0, 0 FROM rows_ WHERE node_type = 'text'),
 fi AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY phase, o0, o1, o2) = 1)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, o0, o1, o2, node_id) AS step, node_id, role FROM fi QUALIFY step <= 5"""
+ORACLES["edges_text_ref"] = "SELECT * FROM (VALUES ('C_d_1_1', 'C_d_1_1', 'text_ref_figure', 1.0::DOUBLE), ('C_d_1_4', 'C_d_1_4', 'text_ref_table', 1.0), ('C_d_1_4', 'TB_d_1_5', 'text_ref_table', 1.0), ('C_d_1_4', 'T_d_1_6', 'text_ref_table', 1.0), ('TB_d_1_5', 'T_d_1_6', 'text_ref_table', 1.0), ('C_d_1_1', 'T_d_1_6', 'text_ref_figure', 1.0), ('C_e_1_1', 'C_e_1_1', 'text_ref_figure', 1.0), ('C_e_1_1', 'F_e_1_2', 'text_ref_figure', 1.0)) AS t(source_id, target_id, edge_type, weight)"
+
+
+def _verified(name: str) -> str:
+    """CTEs that end in v_name: question_id, score, flags and the steps' ids and kinds."""
+    has = lambda *k: f"list_has_any(kinds, [{', '.join(map(lit, k))}])"
+    table, figure, text = has("table"), has("figure", "caption"), has("text")
+    pairs = (("wt", table), ("wf", f"({figure} AND ok)"), ("wc", f"({text} AND ({table} OR {figure}) AND (NOT wf OR ok))"), ("NOT (wt OR wf OR wc)", text))
+    need = " + ".join(f"({w})::INTEGER" for w, _ in pairs)
+    met = " + ".join(f"(({w}) AND {s})::INTEGER" for w, s in pairs)
+    flags = (("no_ranking", "n_rows = 0"), ("no_chain", "n_steps = 0"), ("missing_table", f"wt AND NOT {table}"), ("missing_figure", f"wf AND NOT {figure}"), ("ungrounded_figure", f"wf AND {figure} AND NOT ok"), ("missing_cross_modal_pair", f"wc AND NOT ({text} AND ({table} OR {figure}))"), ("visual_top1_for_text_query", "NOT (wt OR wf OR wc) AND top_kind IN ('table', 'figure', 'caption')"), ("low_semantic_confidence", "semantic < 0.42"), ("requirement_not_satisfied", "required < 1"))
+    return f"""t_{name} AS (SELECT t.*, {_KIND} AS kind FROM ({top(name, 5)}) t JOIN documents d ON d.doc_id = t.node_id), n_{name} AS (SELECT *, {ratio('score', 'question_id')} AS s FROM t_{name}),
+g_{name} AS (SELECT question_id, list_distinct(list(kind)) AS kinds, min_by(kind, rank) AS top_kind, count(*) AS n_rows, max(s) AS sim, max(CASE WHEN rank = 1 THEN s END) - coalesce(max(CASE WHEN rank = 2 THEN s END), 0) AS margin, list(node_id ORDER BY rank) AS ids, list(kind ORDER BY rank) AS ks FROM n_{name} GROUP BY question_id),
+h_{name} AS (SELECT *, question_id % 3 = 0 AS wt, question_id % 5 = 0 AS wf, question_id % 7 = 0 AS wc, question_id % 2 = 0 AS ok, question_id % 6 AS n_steps, (question_id % 6) // 2 AS n_related, greatest(0, least(1, 0.55 * sim + 0.25 * ((question_id % 10) / 10.0) + 0.1))::DOUBLE AS semantic FROM g_{name}),
+j_{name} AS (SELECT *, ({met})::DOUBLE / greatest(1, {need}) AS required FROM h_{name}),
+v_{name} AS (SELECT question_id, ids, ks, round(0.34 * required + 0.22 * semantic + 0.14 * CASE WHEN n_steps > 0 THEN least(1, n_steps / 4.0) ELSE least(0.5, least(n_rows, 5) / 10.0) END + 0.10 * CASE WHEN n_steps > 1 THEN n_related / (n_steps - 1.0) ELSE 0 END
+  + 0.08 * CASE WHEN wt AND top_kind = 'table' THEN 1 WHEN wf AND top_kind IN ('figure', 'caption') THEN 1 WHEN NOT (wt OR wf OR wc) AND top_kind = 'text' THEN 1 WHEN top_kind = 'text' THEN 0.65 WHEN wt OR wf OR wc THEN 0.72 ELSE 0 END
+  + 0.07 * least(1, (question_id % 4) / 5.0) + 0.05 * CASE WHEN n_rows >= 2 THEN greatest(0, least(1, margin * 3)) WHEN n_rows = 1 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score,
+  list_filter([{', '.join(f"CASE WHEN {c} THEN '{f}' END" for f, c in flags)}], lambda x: x IS NOT NULL) AS flags FROM j_{name})"""
+
+
+_SEVERE = "[" + ", ".join(map(lit, ("no_ranking", "no_chain", "missing_table", "missing_figure", "ungrounded_figure", "missing_cross_modal_pair", "visual_top1_for_text_query"))) + "]"
+DECISIONS = f"""{BM25}, {LEXICAL}, {_verified('bm25')}, {_verified('lexical')},
+pf AS (SELECT p.question_id, p.score AS p, f.score AS f, p.flags AS pf, f.flags AS ff, p.ids AS pi, f.ids AS fi, f.ks AS fk, len(list_intersect(p.flags, {_SEVERE})) AS pb, len(list_intersect(f.flags, {_SEVERE})) AS fb FROM v_bm25 p JOIN v_lexical f USING (question_id)),
+dc_ AS (SELECT *, CASE WHEN list_contains(pf, 'visual_top1_for_text_query') AND fb = 0 AND f >= p - 0.02 THEN 'fallback' WHEN p < 0.52 AND pb > 0 AND fb < pb AND f >= p + 0.06 THEN 'fallback' WHEN pb > 0 AND fb < pb AND f >= p - 0.04 THEN 'merge' WHEN p < 0.50 AND f >= p + 0.02 THEN 'fallback' ELSE 'primary' END AS source FROM pf)"""
+ORACLES["verifier_decision"] = f"WITH {DECISIONS} SELECT question_id, round(p, 4) AS p_score, round(f, 4) AS f_score, array_to_string(pf, ';') AS p_flags, array_to_string(ff, ';') AS f_flags, source FROM dc_"
+ORACLES["chain_merge"] = f"""WITH {DECISIONS}, nd AS (SELECT *, CASE WHEN list_contains(pf, 'missing_table') THEN ['table'] ELSE ['figure', 'caption'] END AS need FROM dc_),
+ad AS (SELECT *, list_filter(list_transform(range(1, len(fi) + 1), lambda i: CASE WHEN list_contains(need, fk[i]) AND NOT list_contains(pi, fi[i]) THEN fi[i] END), lambda x: x IS NOT NULL)[1:2] AS a FROM nd)
+SELECT question_id, array_to_string(list_concat(pi[1:greatest(1, 5 - len(a))], a), ';') AS nodes FROM ad"""

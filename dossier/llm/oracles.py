@@ -75,4 +75,57 @@ r AS (SELECT *, payload_bytes >= 100 AND n > 1 AND first IS NOT NULL AND page_id
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
 """
 
-ORACLES: dict[str, str] = {"op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING, "op8_chat_formatting": _CHAT, "op10_warc_revisits": _WARC}
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
+"""
+
+_LEAKS = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+dp AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a FROM dw), ip AS (SELECT item_id, len(w) AS length, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a FROM iw),
+ds AS (SELECT doc_id, pos, a || ' ' || lead(a, 1) OVER v || ' ' || lead(a, 2) OVER v || ' ' || lead(a, 3) OVER v || ' ' || lead(a, 4) OVER v AS g FROM dp WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+gs AS (SELECT item_id, length, pos, a || ' ' || lead(a, 1) OVER v || ' ' || lead(a, 2) OVER v || ' ' || lead(a, 3) OVER v || ' ' || lead(a, 4) OVER v AS g FROM ip WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
+h AS (SELECT DISTINCT doc_id, item_id, length, greatest(0, d.pos - i.pos) AS start FROM ds d JOIN gs i USING (g)),
+wc AS (SELECT h.doc_id, h.item_id, h.start, g, count(*) AS n FROM h JOIN ds ON ds.doc_id = h.doc_id AND ds.pos BETWEEN h.start AND h.start + h.length - 5 WHERE g IS NOT NULL GROUP BY ALL),
+ic AS (SELECT item_id, g, count(*) AS n FROM gs WHERE g IS NOT NULL GROUP BY ALL), it AS (SELECT item_id, sum(n) AS n FROM ic GROUP BY item_id),
+wt AS (SELECT doc_id, item_id, start, sum(n) AS n FROM wc GROUP BY ALL), b AS (SELECT doc_id, item_id, start, sum(least(wc.n, ic.n)) AS n FROM wc JOIN ic USING (item_id, g) GROUP BY ALL),
+s AS (SELECT b.doc_id, b.item_id, b.start, b.n / (wt.n + it.n - b.n)::DOUBLE AS similarity FROM b JOIN wt USING (doc_id, item_id, start) JOIN it USING (item_id))
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, similarity FROM s WHERE similarity * 100 >= 80 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+_RULE, _VERDICT = "NULL", "NULL"
+for _h, _p, _act in sorted(_RULES, key=lambda r: len(r[0] + r[1])):
+    _fits = f"(host = '{_h}' OR ends_with(host, '.{_h}')) AND starts_with(path, '{_p}')"
+    _RULE, _VERDICT = f"CASE WHEN {_fits} THEN '{_h}{_p}' ELSE {_RULE} END", f"CASE WHEN {_fits} THEN '{_act}' ELSE {_VERDICT} END"
+_URLS = rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+w AS (SELECT *, {_RULE} AS rule, {_VERDICT} AS written FROM u),
+k AS (SELECT DISTINCT url, list_sort(list_distinct(flatten([
+  ['scheme=' || lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), 'ending=' || array_to_string(string_split(host, '.')[greatest(1, len(string_split(host, '.')) - 1):], '.')],
+  list_transform(list_filter(string_split(host, '.'), lambda s: s <> ''), lambda s: 'host=' || s),
+  list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: 'path=' || CASE WHEN regexp_matches(s, '^[0-9]+') THEN '<number>' ELSE s END),
+  list_transform(list_filter([regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)], lambda s: s <> ''), lambda s: 'file=' || s),
+  list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> ''), lambda s: 'query=' || string_split(s, '=')[1]),
+  list_transform(list_filter([regexp_extract(url, '#(.*)$', 1)], lambda s: s <> ''), lambda s: 'fragment=' || s)]))) AS t FROM u WHERE url IS NOT NULL),
+lab AS (SELECT page_id, url, min(quality) = 0 AS low FROM pages JOIN labels ON doc_id = page_id WHERE url IS NOT NULL GROUP BY ALL HAVING min(quality) IS NOT NULL),
+num AS (SELECT count(*) AS n, greatest(0.002, 20.0 / greatest(count(*), 1)) AS least FROM lab),
+few AS (SELECT unnest(t) AS tok FROM lab JOIN k USING (url) WHERE low GROUP BY tok HAVING count(*) >= (SELECT n * least - 1e-9 FROM num)),
+b AS (SELECT row_number() OVER () AS id, low, list_filter(t, lambda x: list_contains(keep, x)) AS t FROM lab JOIN k USING (url), (SELECT coalesce(list(tok), []) AS keep FROM few)),
+s AS (SELECT id, low, t, CAST([] AS VARCHAR[]) AS items, 0 AS last FROM b UNION ALL SELECT id, low, t, list_append(items, t[j]), j FROM (SELECT *, unnest(range(last + 1, len(t) + 1)) AS j FROM s)),
+f AS (SELECT items, count(*) FILTER (WHERE low) AS hits, count(*) FILTER (WHERE low) / count(*)::DOUBLE AS confidence FROM s WHERE len(items) > 0 GROUP BY items),
+r AS (SELECT items, confidence, array_to_string(items, ' ') AS rule FROM f, num WHERE hits >= n * least - 1e-9 AND confidence >= 0.6),
+m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS p WHERE len(p.items) < len(r.items) AND list_has_all(r.items, p.items) AND p.confidence >= r.confidence)),
+g AS (SELECT url, m.rule AS mined FROM k JOIN m ON list_has_all(t, items) QUALIFY row_number() OVER (PARTITION BY url ORDER BY confidence DESC, m.rule) = 1)
+SELECT page_id, host, path, rule, coalesce(written, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined FROM w LEFT JOIN g USING (url)
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": _URLS, "op2_minhash_near_dedup": _NEAR, "op7_decontamination": _LEAKS, "op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING, "op8_chat_formatting": _CHAT, "op10_warc_revisits": _WARC}

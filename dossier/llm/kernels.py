@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +78,18 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, min(size, len(words))))
 
 
-def min_hashes(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """n MinHash values of a set, cut to 16 bits each."""
+@lru_cache(8)
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    flip, times = rng.integers(0, 2**63, (n, 1), dtype=np.uint64), rng.integers(1, 2**63, (n, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 1 << 14):
-        np.minimum(least, ((values[i : i + (1 << 14)] ^ flip) * times).min(axis=1), out=least)
-    return (mix(least) >> np.uint64(48)).astype(np.uint16)
+    return rng.integers(0, 1 << 32, (n, 1), dtype=np.uint32), rng.integers(0, 1 << 31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def min_hashes(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
+    """n MinHash values of a set of hashes, cut to 16 bits each. Arrays in between have 2^17 elements, however large the set is."""
+    flip, times = _permutations(n, seed)
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    high = (values >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 17) // n)
+    for i in range(0, len(high), step):
+        np.minimum(least, ((high[i : i + step] ^ flip) * times).min(axis=1), out=least)
+    return (mix(least + np.arange(n, dtype=np.uint64) * MULTIPLIER) >> np.uint64(48)).astype(np.uint16)

@@ -1,14 +1,16 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles gives `chunks * chunk_symbols` MinHash values of 16 bits, its signature. Two signatures
-whose distance (values that differ) is at most `chunks * (chunk_errors + 1) - 1` have, by the pigeonhole principle, a chunk
-with at most `chunk_errors` differing values; so every chunk is indexed once for each way to leave out that many values, and
-such pairs always share a key. With 10 chunks of 5 values and one error, pairs of similarity 0.8 share none with
-probability 2e-6. Candidates are confirmed on the full sets.
+A document's set of word shingles gives 129 MinHash values of 15 bits, its signature, kept as 43 longs of three values. The
+first 72 are indexed, in 12 chunks of 6: two documents that differ in at most 12 * (1 + 1) - 1 = 23 of them have, by the
+pigeonhole principle, a chunk with at most one differing value; so every chunk is indexed once for each value left out, and such
+pairs always share a key. Pairs of similarity 0.8 share none with probability 3e-6. Of a bucket's pairs, those whose sizes
+allow the similarity and whose signatures are near are confirmed on the full sets.
 
 No bucket is expanded into all pairs. Documents with equal sets form a class with one representative. First each
 representative is paired with the smallest of its buckets (pairs grow with the documents, not with their square), confirmed
-links merge into components, and only members of one bucket in different components are compared after that, all of them.
+links merge into components, and only members of one bucket in different components are compared after that, all of them. Those
+that are near some other get a finer sketch of 3072 bits for it, so that a large group of loose copies yields few pairs to
+confirm; a pair is made at the first key it shares only.
 
 Null or empty texts have empty sets and are linked with nothing. A text with fewer words than a shingle is one shingle.
 Rows with a null id are linked with nothing and have a null component. Rows that repeat an id count as one document."""
@@ -16,7 +18,6 @@ Rows with a null id are linked with nothing and have a null component. Rows that
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,107 +28,194 @@ from .common import materialize, release
 from .components import components, roots, with_tops
 from .kernels import min_hashes, mix, shingle_set, slices, text_bytes, word_hashes
 
-#: A member row of the verification, so many per salted part of a hot representative.
-PART = 256
+#: Candidates are dealt to blocks of about so many documents; two blocks at a time are held in memory.
+BLOCK = 64
+#: Up to so many ids (16 bytes each) are broadcast to choose the texts of candidates; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+CHUNKS = 12
+LANES = 43
+SIG = [f"s{i}" for i in range(LANES)]
+#: Longs of the finer sketch.
+WIDE = 48
+#: Distances up to which a pair is confirmed. At similarity 0.8 they are 26 +- 4.5 of 129 values and 307 +- 16.6 of 3072 bits; beyond these with probability 1e-5 each.
+NEAR, NEAR_BITS = 45, 378
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, values: int = 50) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, sig): the size of each document's set, a 128-bit hash of the set, and its MinHash values (null if empty)."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:
+    """(id, n_shingles, set_a, set_b, s0 to s42): the size of each document's set, a 128-bit hash of the set, and its signature (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, first = word_hashes(*text_bytes(part.column("text")))
-                rows = []
-                for i in range(len(first) - 1):
+                n = len(first) - 1
+                sizes, sums, packed = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.zeros((n, LANES), np.int64)
+                for i in range(n):
                     s = shingle_set(hashes[first[i] : first[i + 1]], words)
-                    whole = (int(mix(s).sum().astype(np.int64)), int(mix(s ^ np.uint64(0x5DEECE66D)).sum().astype(np.int64))) if len(s) else (0, 0)
-                    rows.append((len(s), *whole, min_hashes(s, values).astype(np.int16) if len(s) else None))
-                n, a, b, sig = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int16()))], ["id", "n_shingles", "set_a", "set_b", "sig"])
+                    if len(s):
+                        sizes[i], sums[i] = len(s), (mix(s).sum().astype(np.int64), mix(s ^ np.uint64(0x5DEECE66D)).sum().astype(np.int64))
+                        v = (min_hashes(s, 3 * LANES) >> 1).astype(np.int64).reshape(LANES, 3)
+                        packed[i] = v[:, 0] | v[:, 1] << 16 | v[:, 2] << 32
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, (sizes, sums[:, 0], sums[:, 1])), *[pa.array(packed[:, k]) for k in range(LANES)]], ["id", "n_shingles", "set_a", "set_b", *SIG])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, sig array<smallint>")
+    return rows.mapInArrow(run, f"id long, n_shingles long, set_a long, set_b long, {', '.join(f'{c} long' for c in SIG)}")
 
 
-def index_keys(sig: Column, chunks: int, symbols: int, errors: int) -> Column:
-    """The keys of a signature: each chunk without each choice of `errors` of its values."""
-    return F.array(*[F.xxhash64(F.lit(c), F.lit(i), *[sig[c * symbols + k] for k in kept]) for c in range(chunks) for i, kept in enumerate(combinations(range(symbols), symbols - errors))])
+def value(i: int) -> Column:
+    """The i-th value of a signature."""
+    return F.shiftright(F.col(SIG[i // 3]), 16 * (i % 3)).bitwiseAND(F.lit(0x7FFF))
 
 
-def distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+def index_keys() -> Column:
+    """The keys of a signature as array<struct<k, key>>: each chunk without each of its values."""
+    keys = []
+    for c in range(CHUNKS):
+        for m in range(6):
+            kept = [value(6 * c + i) for i in range(6) if i != m]
+            keys.append(F.struct(F.lit(6 * c + m).alias("k"), F.xxhash64(F.lit(6 * c + m), *kept).alias("key")))
+    return F.array(*keys)
+
+
+def apart(i: int, x: str = "x", y: str = "y") -> Column:
+    """How many of the three values of lane i differ: a value of 15 bits that isn't 0 carries into the 16th."""
+    return F.bit_count((F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")) + F.lit(0x7FFF7FFF7FFF)).bitwiseAND(F.lit(0x800080008000)))
+
+
+def total(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
+def first_shared(k: Column) -> Column:
+    """Whether k is the first key that a pair shares."""
+    errors = [apart(2 * c) + apart(2 * c + 1) for c in range(CHUNKS)]
+    first, of = F.lit(-1), F.lit(-1)
+    for c in reversed(range(CHUNKS)):
+        first, of = F.when(errors[c] <= 1, c).otherwise(first), F.when(errors[c] <= 1, errors[c]).otherwise(of)
+    return (first == F.floor(k / 6)) & ((of == 1) | (k % 6 == 0))
+
+
+def lanes(df: DataFrame, prefix: str, n: int = LANES) -> list[Column]:
+    return [df[c].alias(f"{prefix}{i}") for i, c in enumerate(SIG[:n])]
+
+
+def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(v, b0 to b47): one bit of each of 3072 MinHash values for the documents of these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, first = word_hashes(*text_bytes(part.column("text")))
+                n = len(first) - 1
+                bits = np.zeros((n, 64 * WIDE), np.uint8)
+                for i in range(n):
+                    bits[i] = min_hashes(shingle_set(hashes[first[i] : first[i + 1]], words), 64 * WIDE, 2) & 1
+                packed = np.packbits(bits, axis=1).view(np.int64).reshape(n, WIDE)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(np.ascontiguousarray(packed[:, k])) for k in range(WIDE)]], ["v", *[f"b{k}" for k in range(WIDE)]])
+
+    rows = candidate_texts(ids, docs, id_col, text_col)
+    return rows.mapInArrow(run, f"v long, {', '.join(f'b{k} long' for k in range(WIDE))}").dropDuplicates(["v"])
+
+
+def candidate_texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents of these ids."""
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Each b brings its text to its a. The rows of an a stand together, its own text first, and are read as a stream: memory holds
-    one set and one slice of texts however many partners an a has; beyond PART partners they are dealt to several tasks."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    members = pairs.join(heads, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    own = texts.join(heads.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
-    members = members.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "part", "text")
+    Documents that share a smallest partner, as those of a group of copies do, are dealt to blocks of about BLOCK; a pair is checked
+    where its two blocks meet. So a text is sent once for each meeting of its block, not once for each of its pairs, and a
+    task holds the sets of two blocks at a time, however large a group is."""
+    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    anchors = both.groupBy("v").agg(F.least("v", F.min("w")).alias("anchor"))
+    parts = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    blocks = materialize(anchors.join(parts, "anchor").select("v", F.xxhash64("anchor", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("block")), "blocks")
+    # Only the candidates' texts are shuffled.
+    texts = materialize(candidate_texts(blocks.select(F.col("v").alias("id")), docs, id_col, text_col), "texts")
+    of = lambda c, x: blocks.select(F.col("v").alias(c), F.col("block").alias(x))
+    meets = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"), "meets")
+    members = meets.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("p", "q", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = own.union(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = members.unionByName(meets.withColumn("text", F.lit(None).cast("string"))).repartition(n, "p", "q").sortWithinPartitions("p", "q", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head = None, None
+        key, sets = None, {}
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, first = word_hashes(*text_bytes(part.column("text")))
                 found = []
-                for i, (a, b, p) in enumerate(zip(*[part.column(c).to_pylist() for c in ("a", "b", "part")], strict=True)):
-                    s = shingle_set(hashes[first[i] : first[i + 1]], words)
+                for i, (p, q, a, b) in enumerate(zip(*[part.column(c).to_pylist() for c in ("p", "q", "a", "b")], strict=True)):
+                    if key != (p, q):
+                        key, sets = (p, q), {}
                     if b is None:
-                        key, head = (a, p), s
-                    elif key == (a, p):
-                        both = len(np.intersect1d(s, head, assume_unique=True))
-                        if both and 100 * both >= percent * (len(s) + len(head) - both):
+                        # Of rows that repeat an id, the last counts.
+                        sets[a] = shingle_set(hashes[first[i] : first[i + 1]], words)
+                    elif a in sets and b in sets:
+                        x, y = sets[a], sets[b]
+                        same = len(np.intersect1d(x, y, assume_unique=True))
+                        if same and 100 * same >= percent * (len(x) + len(y) - same):
                             found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    links = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(blocks, texts, meets)
+    return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80, chunks: int = 10, chunk_symbols: int = 5, chunk_errors: int = 1, near: int = 28) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs: the size of its set and the smallest id of its component.
 
-    Links are the pairs of documents whose sets have 100 * intersection >= percent * union. `near` is the signature distance up to
-    which a bucket's pair is confirmed on full sets; at similarity 0.8 a distance beyond 28 of 50 has probability 1e-9."""
-    guaranteed = chunks * (chunk_errors + 1) - 1
-    assert guaranteed <= near <= chunks * chunk_symbols
-    sigs = materialize(signatures(docs, id_col, text_col, words, chunks * chunk_symbols), "signatures")
+    Links are the pairs of documents whose sets have 100 * intersection >= percent * union; percent is 80 at least, to which the index and its distances are made."""
+    assert percent >= 80
+    sigs = materialize(signatures(docs, id_col, text_col, words), "signatures")
     # Equal sets: one class each. A group of copies of any size is a partial minimum.
     classes = sigs.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     # A set of fewer shingles than this can't reach the similarity with a different set.
     least = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1))
     reps = sigs.where(f"n_shingles >= {least} and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("id"))
-    reps = materialize(sigs.join(reps, ["set_a", "set_b", "id"], "left_semi").dropDuplicates(["id"]).select("id", "sig"), "representatives")
-    keyed = reps.select(F.col("id").alias("b"), F.explode(index_keys(F.col("sig"), chunks, chunk_symbols, chunk_errors)).alias("key"))
+    reps = materialize(sigs.join(reps, ["set_a", "set_b", "id"], "left_semi").dropDuplicates(["id"]).drop("set_a", "set_b"), "representatives")
+    sizes_allow = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    keyed = reps.select(F.col("id").alias("b"), F.explode(index_keys()).alias("e")).select("b", "e.k", "e.key")
     buckets = materialize(keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
-    shared = materialize(keyed.join(buckets, "key").select("key", "a", "b"), "shared")
-    left, right = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    stars = shared.where("a <> b").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", distance("sig_a", "sig_b").alias("d")).where(f"d <= {guaranteed}")
-    first = stars.groupBy("b").agg(F.min(F.struct((F.col("d") > 12).alias("far"), "a")).alias("m")).select("m.a", "b")
-    linked = materialize(confirm(materialize(first, "pairs"), docs, words, percent, id_col, text_col), "links")
+    shared = materialize(keyed.join(buckets, "key").select("key", "k", "a", "b"), "shared")
+    side = lambda v, n, x: reps.select(F.col("id").alias(v), F.col("n_shingles").alias(n), *lanes(reps, x))
+    stars = shared.where("a <> b").select("a", "b").distinct().join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").where(sizes_allow)
+    stars = stars.select("a", "b", total([apart(i) for i in range(LANES)]).alias("d")).where(F.col("d") <= NEAR)
+    first = stars.groupBy("b").agg(F.min(F.struct((F.col("d") > NEAR // 2).alias("far"), "a")).alias("m")).select("m.a", "b")
+    linked = confirm(materialize(first, "pairs"), docs, words, percent, id_col, text_col)
     # Each b has one smaller a: a forest.
     labels = roots(with_tops(linked.select(F.col("b").alias("v"), F.col("a").alias("comp"))))
-    # Members of one bucket in different components: those outside the bucket's largest component meet all others.
-    member = shared.select("key", F.col("b").alias("v")).join(labels, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = materialize(member.join(sizes, "key").join(reps.withColumnRenamed("id", "v"), "v"), "mixed")
-    one = mixed.where("comp <> main").select("key", F.col("v").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"))
-    two = mixed.select("key", F.col("v").alias("y"), F.col("comp").alias("cy"), F.col("main"), F.col("sig").alias("sy"))
-    meets = one.join(two, "key").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (distance("sx", "sy") <= near))
-    rest = materialize(meets.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    more = materialize(confirm(rest, docs, words, percent, id_col, text_col), "links")
+    # Buckets with several components: those outside the largest component meet all others.
+    member = shared.select("key", "k", F.col("b").alias("v")).join(labels, "v", "left").select("key", "k", "v", F.coalesce("comp", "v").alias("comp"))
+    main = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("m.comp").alias("main"))
+    mixed = materialize(member.join(main, "key"), "mixed")
+
+    def ends(rows: DataFrame, extra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        full = rows.join(extra, "v")
+        one, two = (full.select("key", "k", F.col("v").alias(f"v{s}"), F.col("comp").alias(f"c{s}"), F.col("main").alias(f"m{s}"), F.col("n_shingles").alias(f"n{s}"), *[F.col(c).alias(s + c[1:] if c in SIG else f"{s}_{c}") for c in names]) for s in "xy")
+        return one, two.drop("k")
+
+    def near(one: DataFrame, two: DataFrame) -> Column:
+        return (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & sizes_allow & (total([apart(i) for i in range(LANES)]) <= NEAR)
+
+    one, two = ends(mixed, reps.withColumnRenamed("id", "v"), SIG)
+    outer = one.where("cx <> mx").join(two, near(one, two), "left_semi").select(F.col("vx").alias("id"))
+    inner = one.where("cx = mx").join(two.where("cy <> my"), near(one, two), "left_semi").select(F.col("vx").alias("id"))
+    close = materialize(outer.union(inner).distinct(), "close")
+    fine = materialize(sketches(close, docs, id_col, text_col, words), "sketches")
+    extra = reps.select(F.col("id").alias("v"), "n_shingles", *SIG[: 2 * CHUNKS]).join(fine, "v")
+    one, two = ends(mixed, extra, [*SIG[: 2 * CHUNKS], *[f"b{k}" for k in range(WIDE)]])
+    bits = total([F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(WIDE)])
+    meets = one.where("cx <> mx").join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("vx") < F.col("vy"))) & sizes_allow & (bits <= NEAR_BITS) & first_shared(F.col("k")))
+    rest = materialize(meets.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct(), "pairs")
+    more = confirm(rest, docs, words, percent, id_col, text_col)
     final = components(more, labels)
-    release(buckets, shared, mixed, rest, linked, labels)
+    release(buckets, shared, mixed, close, fine, rest, linked, labels)
     named = classes.join(final.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    # Repeated ids hold together, whatever their texts: the smallest component of an id's rows is theirs.
-    out = sigs.where("n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("comp")).alias("component_id"))
+    out = sigs.where("n_shingles > 0").select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("comp")).alias("component_id"))
     return out.unionByName(sigs.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 

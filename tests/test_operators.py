@@ -36,7 +36,7 @@ def test_text_functions(spark):
     assert one(spark, T.split_multi, "a; b，c| ") == ["a", "b", "c"]
     assert one(spark, T.split_ints, "p3; 12, x, p3") == [3, 12]
     assert one(spark, T.as_float, "x") == 0.0
-    assert one(spark, T.doc_name, "dir/My file (1).v2.pdf") == "My_file_1_v2"
+    assert one(spark, T.doc_name, "dir/My file (1).v2.pdf") == "My_file__1_v2"
     assert one(spark, T.document_refs, "F i g u r e 2 and table S1a, 图3") == ["figure:2", "figure:3", "table:s1"]
     assert one(spark, T.is_toc_entry, "Intro ..... 3")
     assert one(spark, T.source_context, "p/1/figure_2") == "p/1"

@@ -5,10 +5,11 @@ happen before a shuffle; only terms that some question has are joined."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -67,29 +68,36 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
 
     Queries go out in blocks of bounded size; each task keeps the best k of its rows for each query, so the shuffle has k rows for each query and task."""
     schema = "question_id long, node_id long, score double"
-    ids = [r[0] for r in queries.select(F.col(id_col).cast("long")).orderBy(id_col).collect()]
-    out = None
-    for i in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col(id_col).between(ids[i], ids[min(i + QUERY_BLOCK, len(ids)) - 1])).select(id_col, vector_col).orderBy(id_col).toArrow()
-        names = block.column(0).to_numpy()
-        q = unit(np.array(block.column(1).to_pylist(), np.float64))
-
-        def nearest(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(names), 0), -1.0), np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                v = unit(np.array(batch.column(1).to_pylist(), np.float64))
-                s = np.round(np.maximum(q @ v.T, 0), 9)
-                s, d = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], 1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["question_id", "node_id", "score"])
-
-        part = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("node_id"), vector_col).mapInArrow(nearest, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.select(F.lit(0).cast("long").alias("question_id"), F.col(id_col).cast("long").alias("node_id"), F.lit(0.0).alias("score")).where("false")
-    return top_k(out, k)
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).dropDuplicates(["id"])
+    own = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("node_id"), vector_col)
+    out, last = own.select(F.lit(0).cast("long").alias("question_id"), "node_id", F.lit(0.0).alias("score")).where("false"), None
+    while True:
+        rest = asked if last is None else asked.where(F.col("id") > last)
+        block = rest.where("id is not null").orderBy("id").limit(QUERY_BLOCK).toArrow()
+        if not len(block):
+            return top_k(out, k)
+        last = block.column("id")[-1].as_py()
+        out = out.unionByName(own.mapInArrow(nearest(block.column("id").to_numpy(), unit(matrix(block.column("v"))), k), schema))
+
+
+def nearest(names: np.ndarray, q: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches (id, vector) that ends with the best k of a task's rows for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, node = np.full((len(names), 0), -1.0), np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            s = np.round(np.maximum(q @ unit(matrix(batch.column(1))).T, 0), 9)
+            s, d = np.concatenate([score, s], 1), np.concatenate([node, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], 1)
+            order = np.lexsort((d, -s), axis=1)[:, :k]
+            score, node = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, score.shape[1])), pa.array(node.ravel()), pa.array(score.ravel())], ["question_id", "node_id", "score"])
+
+    return run
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column without nulls as rows of doubles."""
+    return np.asarray(pa.compute.list_flatten(column), np.float64).reshape(len(column), -1)
 
 
 def unit(m: np.ndarray) -> np.ndarray:

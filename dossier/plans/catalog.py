@@ -11,8 +11,9 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions import text as T
-from dossier.operators import answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, structure, tables
+from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, structure, tables
 from dossier.operators import routes as routes_of
+from dossier.sources import benchmarks
 from dossier.sources.tables import document_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,3 +469,49 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = read(spark, sf_dir, "benchmark").groupBy(F.col("item_id").alias("doc_id")).agg(F.count("*").alias("questions"))
     out = nodes.join(asks, "doc_id", "full")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pages", "title", "text", "table", "questions")])
+
+
+@query
+def multihop_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's evidence: the pages of its remainder, every second one named by its title only."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("node_id"), "url", title.alias("title"))
+    step = F.struct(F.col("node_id").alias("pos"), F.struct(F.when(F.col("node_id") % 2 == 0, F.col("url")).alias("url"), "title").alias("e"))
+    evidence = pages.groupBy((F.col("node_id") % 40).alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["e"]).alias("evidence"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id")).join(evidence, "question_id", "left")
+    out = benchmarks.evidence_gold(items, pages)
+    return out.select("question_id", F.array_join(F.transform("gold", lambda g: g.cast("string")), ";").alias("gold"))
+
+
+@query
+def qrels_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as judgements: toxic documents of each quality, among those with an even id."""
+    qrels = read(spark, sf_dir, "labels").select(F.col("quality").cast("long").alias("question_id"), F.col("doc_id").alias("node_id"), F.col("toxic").alias("score"))
+    out = benchmarks.qrels_gold(qrels, read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("node_id")))
+    return out.select("question_id", F.array_join(F.transform("gold", lambda g: g.cast("string")), ";").alias("gold"))
+
+
+@query
+def variant_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = lines(spark, sf_dir).withColumn("content", F.when(F.col("node_pos") % 3 == 0, F.concat("content", F.lit("\n\nVisual summary: a chart"))).otherwise(F.col("content"))).withColumn("visual_caption", F.lit("a chart"))
+    out = ablation.variant(nodes, text_only=True, strip_visual=True)
+    return out.select("node_id", "node_type", F.length("content").alias("n_chars"), F.col("visual_caption").isNull().alias("stripped"))
+
+
+@query
+def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation.deltas(evaluate.method_summary(evaluate.ranking_metrics(_judged(spark, sf_dir))), "by_id", ("hit_at_1", "mrr", "ndcg_at_5"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_k(rounded(fusion.multiroute(routes(spark, sf_dir), WEIGHTS)), 10)
+
+
+@query
+def route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation.route_counts(_ranked(spark, sf_dir))
+
+
+@query
+def route_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation.route_combinations(_ranked(spark, sf_dir))

@@ -346,3 +346,14 @@ ORACLES["verifier_decision"] = f"WITH {DECISIONS} SELECT question_id, round(p, 4
 ORACLES["chain_merge"] = f"""WITH {DECISIONS}, nd AS (SELECT *, CASE WHEN list_contains(pf, 'missing_table') THEN ['table'] ELSE ['figure', 'caption'] END AS need FROM dc_),
 ad AS (SELECT *, list_filter(list_transform(range(1, len(fi) + 1), lambda i: CASE WHEN list_contains(need, fk[i]) AND NOT list_contains(pi, fi[i]) THEN fi[i] END), lambda x: x IS NOT NULL)[1:2] AS a FROM nd)
 SELECT question_id, array_to_string(list_concat(pi[1:greatest(1, 5 - len(a))], a), ';') AS nodes FROM ad"""
+
+ORACLES["multihop_gold"] = r"""WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages), u AS (SELECT url, min(page_id) AS id FROM p WHERE url <> '' GROUP BY url), t AS (SELECT title, min(page_id) AS id FROM p WHERE title <> '' GROUP BY title),
+e AS (SELECT page_id % 40 AS question_id, page_id AS pos, coalesce(CASE WHEN page_id % 2 = 0 THEN u.id END, t.id) AS node FROM p LEFT JOIN u USING (url) LEFT JOIN t USING (title)),
+g AS (SELECT question_id, node, min(pos) AS pos FROM e WHERE node IS NOT NULL GROUP BY ALL) SELECT item_id AS question_id, coalesce(string_agg(node, ';' ORDER BY pos), '') AS gold FROM benchmark LEFT JOIN g ON question_id = item_id GROUP BY item_id"""
+ORACLES["qrels_gold"] = "SELECT quality::BIGINT AS question_id, string_agg(DISTINCT doc_id, ';' ORDER BY doc_id) AS gold FROM labels WHERE toxic > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY quality"
+ORACLES["variant_transform"] = f"WITH {NODES} SELECT node_id, 'text' AS node_type, CAST(length(content) AS INTEGER) AS n_chars, true AS stripped FROM nodes"
+ORACLES["ablation_deltas"] = f"WITH {JUDGED}, s AS (SELECT method, round(avg(hit_at_1), 4) AS h, round(avg(mrr), 4) AS m, round(avg(ndcg_at_5), 4) AS n FROM metrics GROUP BY method) SELECT s.method, round(s.h - b.h, 4) AS delta_hit_at_1, round(s.m - b.m, 4) AS delta_mrr, round(s.n - b.n, 4) AS delta_ndcg_at_5 FROM s, s b WHERE b.method = 'by_id'"
+_RANKED = ORACLES["multiroute_fusion"][len("WITH "):ORACLES["multiroute_fusion"].rindex("\nSELECT question_id, rank")]
+_TOP = f"ranked10 AS ({top('m', 10, ', routes')}), each AS (SELECT question_id, node_id, list_transform(string_split(routes, '|'), lambda r: string_split(r, ':')[1]) AS r FROM ranked10)"
+ORACLES["route_stats"] = f"WITH {_RANKED}, {_TOP}, x AS (SELECT unnest(r) AS route FROM each) SELECT route, count(*) AS n, round(count(*) / (SELECT count(*) FROM each)::DOUBLE, 4) AS share FROM x GROUP BY route"
+ORACLES["route_combinations"] = f"WITH {_RANKED}, {_TOP} SELECT array_to_string(r, '+') AS combination, count(*) AS n FROM each GROUP BY r ORDER BY n DESC, combination LIMIT 20"

@@ -515,3 +515,23 @@ def route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def route_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.route_combinations(_ranked(spark, sf_dir))
+
+
+@query
+def table_text_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table and a text of each document, scored by remainders of its length, for its source as the question."""
+    docs = read(spark, sf_dir, "documents").where("doc_id is not null")
+    each = F.explode(F.array(F.struct(F.lit("table").alias("kind"), (F.col("n_chars") % 97).alias("score")), F.struct(F.lit("text").alias("kind"), (F.col("n_chars") % 53).alias("score"))))
+    rows = docs.select(F.col("source").alias("question_id"), "doc_id", each.alias("e")).select("question_id", F.concat_ws("_", F.col("doc_id").cast("string"), "e.kind").alias("node_id"), F.col("e.kind").alias("node_type"), F.col("e.score").cast("double").alias("score"))
+    return rounded(rerank.smooth_pairs(rows.select("question_id", "node_id", "score"), rows.select("node_id", "node_type")), 4)
+
+
+@query
+def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node with its degree, its terms and its community's label."""
+    nodes = lines(spark, sf_dir)
+    degree = structure.degrees(structure.collapse(structure.all_edges(nodes))).select("node_id", "degree")
+    terms = knowledge.node_terms(nodes).groupBy("node_id").agg(F.count("*").alias("terms"))
+    label = F.when(F.col("section") != "", F.col("section")).otherwise(F.concat(F.lit("page:"), F.col("page").cast("string")))
+    out = nodes.join(degree, "node_id", "left").join(terms, "node_id", "left")
+    return out.select("node_id", "doc_id", "page", "node_type", label.alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("terms", F.lit(0)).alias("terms"))

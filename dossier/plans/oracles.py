@@ -357,3 +357,6 @@ _RANKED = ORACLES["multiroute_fusion"][len("WITH "):ORACLES["multiroute_fusion"]
 _TOP = f"ranked10 AS ({top('m', 10, ', routes')}), each AS (SELECT question_id, node_id, list_transform(string_split(routes, '|'), lambda r: string_split(r, ':')[1]) AS r FROM ranked10)"
 ORACLES["route_stats"] = f"WITH {_RANKED}, {_TOP}, x AS (SELECT unnest(r) AS route FROM each) SELECT route, count(*) AS n, round(count(*) / (SELECT count(*) FROM each)::DOUBLE, 4) AS share FROM x GROUP BY route"
 ORACLES["route_combinations"] = f"WITH {_RANKED}, {_TOP} SELECT array_to_string(r, '+') AS combination, count(*) AS n FROM each GROUP BY r ORDER BY n DESC, combination LIMIT 20"
+ORACLES["table_text_smoothing"] = f"""WITH r AS (SELECT source AS question_id, doc_id, doc_id || '_table' AS node_id, (n_chars % 97)::DOUBLE AS score FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT source, doc_id, doc_id || '_text', (n_chars % 53)::DOUBLE FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT *, {ratio('score', 'question_id')} AS s FROM r), d AS (SELECT *, greatest(s, 0.72::DOUBLE * s + 0.28::DOUBLE * max(s.s) OVER (PARTITION BY question_id, doc_id)) AS d FROM s) SELECT question_id, node_id, round({ratio('d', 'question_id')}, 4)::DOUBLE AS score FROM d"""
+ORACLES["node_index"] = f"WITH {ALL}, g AS (SELECT x AS node_id, count(*) AS degree FROM links GROUP BY x), {KG[len(NODES) + 2:]}, t AS (SELECT node_id, count(*) AS terms FROM terms GROUP BY node_id) SELECT node_id, doc_id, page, node_type, CASE WHEN section <> '' THEN section ELSE 'page:' || page END AS label, coalesce(degree, 0) AS degree, coalesce(terms, 0) AS terms FROM nodes LEFT JOIN g USING (node_id) LEFT JOIN t USING (node_id)"

@@ -1 +1 @@
-"""See the package README."""
+"""Incremental ingest: new node files as they come in."""

@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming join, then exact weighted-shingle similarity.
 
-Words are runs of letters and digits, lower-cased; shingles are five words, each counted as often as it occurs. A window that
-resembles an item shares a shingle with it, so only windows in which a shared shingle stands where the item has it are
-made, all of those, as long as the item (shorter at the ends of a text). A window's and an item's 64-bit SimHash at a
+Words are runs of letters and digits, lower-cased; shingles are five words, each counted as often as it occurs. A window is as
+long as the item (shorter at the end of a text) and may start at any word. Its similarity is at most the share of the item's
+shingles that it can hold, so the windows made are all those that hold enough shingles of items of that length, wherever
+these stand in the item: no other can match, and reordered or interrupted copies are found. A window's and an item's 64-bit SimHash at a
 distance of at most 23 agree in one of 8 bytes up to 2 bits (8 * 3 - 1 = 23); items are indexed under each such byte, windows look
 theirs up. At similarity 0.8 the expected distance is 10, beyond 23 with probability 1e-5. What is found is verified: the
 sum of smaller counts over the sum of larger ones.
@@ -53,6 +54,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.array_sort(a) == F.array_sort(b), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def starts(at: Column, n: Column, percent: int) -> Column:
+    """All starts, in order, of windows of n shingles that hold at least percent of n of the sorted positions at."""
+    least = F.greatest(F.lit(1), F.ceil(n * percent / 100).cast("int"))
+
+    def first(i: Column) -> Column:
+        """The starts of such windows whose first position is the i-th."""
+        low = F.greatest(F.when(i > 0, at[i - 1] + 1).otherwise(0), at[i + least - 1] - n + 1)
+        return F.when(low <= at[i], F.sequence(low, at[i])).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= least, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), first))).otherwise(F.array().cast("array<int>"))
+
+
 def checked(df: DataFrame) -> DataFrame:
     """A broadcast of a small table; a larger one as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -71,18 +84,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # At most five sizes, nearly always one.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     texts = docs.select(key(docs, id_col, text_col).alias("key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    at = checked(materialize(items.select("size", "length", F.posexplode("s").alias("offset", "h")).distinct(), "shingles"))
+    at = checked(materialize(items.select("size", "length", F.explode("s").alias("h")).distinct(), "shingles"))
     hits = []
     for k in sizes:
         runs = texts.select("key", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
-        hits.append(runs.join(at.where(F.col("size") == k).drop("size"), "h").select("key", F.lit(k).alias("size"), "length", F.greatest(F.lit(0), F.col("pos") - F.col("offset")).alias("start")))
+        hits.append(runs.join(at.where(F.col("size") == k).drop("size"), "h").select("key", F.lit(k).alias("size"), "length", "pos"))
     if not hits:
         return texts.select("key", "id", items_type(benchmark, item_col), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).where("false")
     found = hits[0]
     for h in hits[1:]:
         found = found.unionByName(h)
-    windows = materialize(found.distinct(), "windows")
-    # Equal rows have equal keys and windows: one of them is enough.
+    # Equal rows have equal keys and positions: one of them is enough.
+    found = found.groupBy("key", "size", "length").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    windows = materialize(found.select("key", "size", "length", F.explode(starts(F.col("at"), F.col("length") - F.col("size") + 1, percent)).alias("start")), "windows")
     held = windows.groupBy("key", "size").agg(F.collect_list(F.struct("start", "length")).alias("at"))
     here = docs.select(key(docs, id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(held, "key").dropDuplicates(["key", "size"])
     here = here.withColumn("w", words(F.col("text"))).withColumn("s", F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in sizes])).select("key", "id", "size", "s", F.explode("at").alias("at"))

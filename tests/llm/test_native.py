@@ -162,6 +162,47 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def best_window(text, item, size=5):
+    """(similarity, start) of the best of all windows, and of those that start at a word of the text that the item has at the same offset."""
+    d, w = text.lower().split(), item.lower().split()
+    a, b = [tuple(d[i : i + size]) for i in range(len(d) - size + 1)], [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+    own, out = Counter(b), []
+    for start in range(len(a)):
+        seen = Counter(a[start : start + len(b)])
+        both = sum((seen & own).values())
+        out.append((both / (sum(seen.values()) + len(b) - both), -start))
+    aligned = [out[max(0, i - j)] for i, g in enumerate(a) for j, h in enumerate(b) if g == h]
+    return max(out), max(aligned, default=(0, 0))
+
+
+def test_leaks_by_brute_force(spark):
+    texts = {1: words(60), 2: words(100, 1000), 3: words(60, 2000) + " " + words(7, 2000), 4: words(100, 3000)}
+    a, b, c = texts[1].split(), texts[2].split(), texts[4].split()
+    passages = [
+        a[45:] + a[:45],
+        a[30:] + a[:30],
+        b[50:] + b[:50],
+        "x1 x2 x3".split() + c[3:50] + "y1 y2 y3 y4 y5 y6".split() + c[50:97] + "z1 z2 z3".split(),
+        a[:20] + ["new"] + a[20:],
+        a[5:],
+        a[:48],
+        a[12:] + ["own"],
+        a,
+        texts[3].split(),
+        a[:20] + a[40:60] + a[20:40],
+        b[::-1],
+    ]
+    rows = [(2 * i + k, " ".join([words(30, 9000), *p, words(30, 9100)] if k else p)) for i, p in enumerate(passages) for k in (0, 1)]
+    items = spark.createDataFrame(sorted(texts.items()), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {(i, j): best_window(t, x) for i, t in rows for j, x in texts.items()}
+    expected = {k: (round(m[0], 9), -m[1]) for k, (m, _) in every.items() if m[0] * 100 >= 80}
+    assert sum(aligned[0] * 100 < 80 for k, (_, aligned) in every.items() if k in expected) >= 4
+    got = {(r["id"], r["item"]): (round(r["similarity"], 9), r["start"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == expected
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {i for i, _ in rows} - {i for i, _ in expected}
+
+
 # op8
 
 

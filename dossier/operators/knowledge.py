@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from dossier.functions.text import clean_text
 
@@ -11,16 +11,47 @@ from dossier.functions.text import clean_text
 STOP_TERMS = ("this", "that", "with", "from", "into", "were", "been", "have", "will", "should", "using", "based", "figure", "table", "page", "section", "system", "method", "result", "results", "the", "and", "for", "are", "not")
 _WORD = r"(?:[A-Z][A-Za-z0-9+\-]{2,}|[a-z][a-z0-9+\-]{3,})"
 TERM = rf"\b{_WORD}(?:\s+{_WORD}){{0,2}}\b"
-#: Words with a letter beyond ASCII, which hold no Latin term.
+#: For SQL, whose word boundaries know ASCII only: words with a letter beyond it, which hold no Latin term.
 FOREIGN = "[A-Za-z0-9_À-￿]*[À-￿][A-Za-z0-9_À-￿]*"
 
 
+#: A letter, digit or underscore of any script, and a boundary between such and others.
+_IN = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_IN})(?!{_IN})|(?<!{_IN})(?={_IN}))"
+_LATIN = rf"(?U)(?<!{_IN}){_WORD}(?:\s+{_WORD}){{0,2}}{_EDGE}"
+_NUMBER = r"[Ss]?\d+(?:[.\-]\d+)?[A-Za-z]?"
+_REFERENCE = rf"(?iU)(?:(?<!{_IN})(?:fig\.?|figure|table)|[图圖表])\s*{_NUMBER}"
+_CJK = "[\u4e00-\u9fff]{2,12}"
+
+
+def _weighted(terms: Column, n: Column) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), n.alias("n")))
+
+
+def _references(text: Column) -> Column:
+    """The figures and tables that a text names, as figure 3 or table S2a; each counts 4."""
+    kind = lambda m: F.when(m.rlike("(?i)^(table|表)"), "table").otherwise("figure")
+    return _weighted(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), lambda m: F.concat_ws(" ", kind(m), F.regexp_extract(m, f"(?U){_NUMBER}$", 0))), F.lit(4))
+
+
+def _latin(text: Column) -> Column:
+    """Terms of one to three words; with a capital they count twice."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(_LATIN), F.lit(0)), lambda t: ~F.lower(t).isin(*STOP_TERMS) & (F.length(t) >= 3))
+    return F.transform(found, lambda t: F.struct(t.alias("term"), F.when(t.rlike("[A-Z]"), 2).otherwise(1).alias("n")))
+
+
+def _cjk(text: Column) -> Column:
+    """Runs of up to six ideographs, which count twice; of longer ones (a run ends after twelve) the parts of two to four."""
+    parts = lambda run: F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.length(run) - k + 1), lambda i: run.substr(i, k))))
+    each = lambda run: F.when(F.length(run) <= 6, _weighted(F.array(run), F.lit(2))).otherwise(_weighted(parts(run), F.lit(1)))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_CJK), F.lit(0)), each))
+
+
 def node_terms(nodes: DataFrame, limit: int = 12) -> DataFrame:
-    """(node_id, doc_id, section, term, n, place): each node's `limit` weightiest terms of one to three words; a capital counts twice, ties go to the longer, then to the first."""
-    text = F.regexp_replace(clean_text(F.col("content")), FOREIGN, "§")
-    found = nodes.select("node_id", "doc_id", "section", F.posexplode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("pos", "term"))
-    found = found.where(~F.lower("term").isin(*STOP_TERMS) & (F.length("term") >= 3))
-    counts = found.groupBy("node_id", "doc_id", "section", "term").agg((F.count("*") * F.when(F.col("term").rlike("[A-Z]"), 2).otherwise(1)).alias("n"), F.min("pos").alias("pos"))
+    """(node_id, doc_id, section, term, n, place): each node's `limit` weightiest references, Latin and CJK terms; ties go to the longer, then to the first in this order."""
+    text = F.col("__text")
+    every = nodes.select("node_id", "doc_id", "section", clean_text(F.col("content")).alias("__text")).select("node_id", "doc_id", "section", F.posexplode(F.concat(_references(text), _latin(text), _cjk(text))).alias("pos", "t"))
+    counts = every.groupBy("node_id", "doc_id", "section", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("n"), F.desc(F.length("term")), "pos"))
     return counts.withColumn("place", place).where(F.col("place") <= limit).drop("pos")
 

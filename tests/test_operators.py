@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from dossier.functions import text as T
-from dossier.operators import answers, chains, chunking, fusion, retrieval, structure
+from dossier.operators import answers, chains, chunking, fusion, knowledge, retrieval, structure
 from dossier.sources import tables as S
 
 
@@ -89,6 +89,33 @@ def test_text_references(spark):
     assert got == {("t1", "tb"), ("t1", "c"), ("c", "tb")}
 
 
+def test_terms_of_references_and_cjk(spark):
+    texts = {
+        1: "空气净化器的滤网，见图 3和表S2a。滤网",
+        2: "如何安全地清洁滤网组件",
+        3: "See Fig. 2, figure 2 and Table 1-4b; the Motor，motor",
+        4: "使用Motor功能",
+        5: "the and",
+    }
+    df = spark.createDataFrame([(k, 1, "s", v) for k, v in texts.items()], "node_id long, doc_id long, section string, content string")
+    got = {(r["node_id"], r["term"]): (r["n"], r["place"]) for r in knowledge.node_terms(df, 40).collect()}
+    of = lambda k: {t: n for (i, t), (n, _) in got.items() if i == k}
+    long = "空气净化器的滤网"
+    grams = {long[i : i + k]: 1 for k in (2, 3, 4) for i in range(len(long) - k + 1)}
+    assert of(1) == grams | {"figure 3": 4, "table S2a": 4, "见图": 2, "和表": 2, "滤网": 3}
+    run = texts[2]
+    assert of(2) == {run[i : i + k]: 1 for k in (2, 3, 4) for i in range(len(run) - k + 1)}
+    assert of(3) == {"figure 2": 8, "table 1-4b": 4, "See Fig": 2, "Motor": 2, "motor": 1}
+    assert of(4) == {"使用": 2, "功能": 2}
+    assert not of(5)
+    assert got[1, "table S2a"][1] == 1 and got[1, "figure 3"][1] == 2
+    nodes = df.withColumn("page", F.lit(1)).withColumn("node_type", F.lit("text"))
+    terms = knowledge.node_terms(nodes)
+    assert {"part:滤网", "part:figure 3"} <= {r["entity_id"] for r in knowledge.entities(terms).collect()}
+    assert knowledge.relations(terms).where("relation_type = 'concept_cooccurs' and source_id = 'part:使用' and target_id = 'part:功能'").count() == 1
+    assert {"figure 3", "使用"} <= set(knowledge.communities(nodes, terms).first()["top_terms"].split("|"))
+
+
 def test_answers(spark):
     rows = [("a", "who", "The motor drives a pump quietly here; see below now.\nUnicorns dance over purple mountains nightly forever.", "the motor drives a pump quietly here")]
     got = answers.correct(spark.createDataFrame(rows, "answer_id string, question string, answer string, evidence string")).first()

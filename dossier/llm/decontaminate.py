@@ -107,7 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     index = index.select("item", "length", "print_i", "s_i", "k", F.col("byte").alias("own"), F.explode("flips").alias("flip")).withColumn("byte", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
     looked = prints.select("key", "id", "start", "length", "print", "s", F.posexplode("print").alias("k", "byte"))
     near = looked.join(checked(index), ["length", "k", "byte"]).where(bits_apart(F.col("print"), F.col("print_i")) <= RADIUS)
-    near = near.dropDuplicates(["key", "start", "length", "item"]).withColumn("similarity", similarity(F.col("s"), F.col("s_i"))).where(F.col("similarity") * 100 >= percent)
+    # An id may stand for several texts; each is held against the window.
+    near = near.dropDuplicates(["key", "start", "length", "item", "s_i"]).withColumn("similarity", similarity(F.col("s"), F.col("s_i"))).where(F.col("similarity") * 100 >= percent)
     best = near.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("m"), F.first("id").alias("id"))
     out = materialize(best.select("key", "id", "item", (-F.col("m.before")).alias("start"), F.col("m.similarity").alias("similarity")), "leaks")
     release(windows, prints)

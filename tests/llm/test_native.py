@@ -203,6 +203,18 @@ def test_leaks_by_brute_force(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_leaks_of_items_that_repeat_an_id(spark):
+    rows = []
+    for k in range(6):
+        w = words(40, 100 * k).split()
+        variants = [[*w[:i], f"other{i}", *w[i + 1 :]] for i in range(12, 28, 2)]
+        rows += [(k or None, " ".join(v)) for v in [*variants[:4], w, *variants[4:]]]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{words(9, 900)} {words(40, 100 * k)} {words(9, 950)}") for k in range(6)], "doc_id long, text string")
+    got = {(r["id"], r["item"], r["start"], r["similarity"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(k, k or None, 9, 1.0) for k in range(6)}
+
+
 # op8
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Only where it is unset, as in tests, a local one is made and set."""
+    """The folder of spark.checkpoint.dir, which all executors see. A session without one must set it: a folder made here would be one machine's."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = Path(tempfile.mkdtemp(prefix="dossier-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     return path.rstrip("/")
 
 
@@ -45,6 +42,11 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A broadcast of a table of up to `most` rows, which are counted; a larger one as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,13 +7,17 @@ pairs always share a key. Pairs of similarity 0.8 share none with probability 3e
 allow the similarity and whose signatures are near are confirmed on the full sets.
 
 No bucket is expanded into all pairs. Documents with equal sets form a class with one representative. First each
-representative is paired with the smallest of its buckets (pairs grow with the documents, not with their square), confirmed
-links merge into components, and only members of one bucket in different components are compared after that, all of them. Those
-that are near some other get a finer sketch of 3072 bits for it, so that a large group of loose copies yields few pairs to
-confirm; a pair is made at the first key it shares only.
-
-Null or empty texts have empty sets and are linked with nothing. A text with fewer words than a shingle is one shingle.
-Rows with a null id are linked with nothing and have a null component. Rows that repeat an id count as one document."""
+representative is paired with the smallest of its buckets, and confirmed links merge into components. Then
+buckets that hold several components are dealt into parts of about 64, and each member outside the largest component of its
+bucket is confirmed against the nearest of its parts' centers: so far, pairs grow with the documents. Only what is
+then still apart is compared in full: members of one bucket in different components that are near by a finer sketch of 3072 bits
+are listed, a pair at the first key it shares only, and confirmed nearest first, 1, 64 and so on for each member; pairs whose
+components have met meanwhile fall out. Every listed pair is either within one component or confirmed: nothing is capped.
+
+Ids are whole numbers. Null or empty texts have empty sets and are linked with nothing. A text with fewer words than a shingle is
+one shingle; texts of any length are read whole, one at a time. Rows with a null id are linked with nothing and have a null
+component. Rows that repeat an id count as one document. Ties between equally near partners go to the smaller id. Columns of the
+caller but id and text are not touched, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -22,16 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
-from .common import materialize, release
+from .common import materialize, release, small
 from .components import components, roots, with_tops
 from .kernels import min_hashes, mix, shingle_set, slices, text_bytes, word_hashes
 
 #: Candidates are dealt to blocks of about so many documents; two blocks at a time are held in memory.
 BLOCK = 64
-#: Up to so many ids (16 bytes each) are broadcast to choose the texts of candidates; more are joined by a shuffle.
+#: Up to so many rows of ids (16 bytes each) are broadcast; more are joined by a shuffle, with equal results.
 BROADCAST_IDS = 500_000
+#: The same for the rows that drop_near_duplicates leaves out (64 MB), which saves a shuffle of the texts.
+BROADCAST_ROWS = 2_000_000
+#: Classes of more than this share of all rows are broadcast: there are no more of them than its inverse.
+HEAVY = 1e-5
+#: Rounds of centers before what is apart is compared in full (more found few links), and the size of a bucket's parts.
+ROUNDS, PART = 1, 64
 CHUNKS = 12
 LANES = 43
 SIG = [f"s{i}" for i in range(LANES)]
@@ -42,7 +52,7 @@ NEAR, NEAR_BITS = 45, 378
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, s0 to s42): the size of each document's set, a 128-bit hash of the set, and its signature (null if empty)."""
+    """(id, n_shingles, set_a, set_b, s0 to s42): the size of each document's set, a 128-bit hash of the set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,12 +78,12 @@ def value(i: int) -> Column:
 
 
 def index_keys() -> Column:
-    """The keys of a signature as array<struct<k, key>>: each chunk without each of its values."""
+    """The keys of a signature: each chunk without each of its values. A key's lowest seven bits tell which."""
     keys = []
     for c in range(CHUNKS):
         for m in range(6):
             kept = [value(6 * c + i) for i in range(6) if i != m]
-            keys.append(F.struct(F.lit(6 * c + m).alias("k"), F.xxhash64(F.lit(6 * c + m), *kept).alias("key")))
+            keys.append(F.shiftleft(F.xxhash64(F.lit(6 * c + m), *kept), 7).bitwiseOR(F.lit(6 * c + m).cast("long")))
     return F.array(*keys)
 
 
@@ -95,8 +105,8 @@ def first_shared(k: Column) -> Column:
     return (first == F.floor(k / 6)) & ((of == 1) | (k % 6 == 0))
 
 
-def lanes(df: DataFrame, prefix: str, n: int = LANES) -> list[Column]:
-    return [df[c].alias(f"{prefix}{i}") for i, c in enumerate(SIG[:n])]
+def signature_distance() -> Column:
+    return total([apart(i) for i in range(LANES)])
 
 
 def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -119,8 +129,7 @@ def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
 
 def candidate_texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the documents of these ids."""
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(ids, BROADCAST_IDS), "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -132,10 +141,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     both = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
     anchors = both.groupBy("v").agg(F.least("v", F.min("w")).alias("anchor"))
     parts = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    blocks = materialize(anchors.join(parts, "anchor").select("v", F.xxhash64("anchor", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("block")), "blocks")
+    blocks = materialize(anchors.join(small(parts, BROADCAST_IDS), "anchor").select("v", F.xxhash64("anchor", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("block")), "blocks")
     # Only the candidates' texts are shuffled.
     texts = materialize(candidate_texts(blocks.select(F.col("v").alias("id")), docs, id_col, text_col), "texts")
-    of = lambda c, x: blocks.select(F.col("v").alias(c), F.col("block").alias(x))
+    of = lambda c, x: small(blocks.select(F.col("v").alias(c), F.col("block").alias(x)), BROADCAST_IDS)
     meets = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"), "meets")
     members = meets.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("p", "q", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,66 +174,166 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row of docs: the size of its set and the smallest id of its component.
+def side(lanes: DataFrame, v: str, n: str, x: str) -> DataFrame:
+    """The signatures (v, n_shingles, s0 to s42) under other names."""
+    return lanes.select(F.col("v").alias(v), F.col("n_shingles").alias(n), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(SIG)])
+
+
+def near_pairs(pairs: DataFrame, lanes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d): the pairs whose sizes allow the similarity and whose signatures differ in d of 129 values, NEAR at most."""
+    both = pairs.join(side(lanes, "a", "nx", "x"), "a").join(side(lanes, "b", "ny", "y"), "b").where(sizes_allow(percent))
+    return both.select("a", "b", signature_distance().alias("d")).where(F.col("d") <= NEAR)
+
+
+def sizes_allow(percent: int) -> Column:
+    return F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+
+
+def mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, v, comp, main, size) of the buckets with members of several components, main being the one with most of the size members."""
+    member = shared.join(small(labels, BROADCAST_IDS), "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
+    by_comp = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    return materialize(member.join(main.select("key", F.col("m.comp").alias("main"), "size"), "key"), "mixed")
 
-    Links are the pairs of documents whose sets have 100 * intersection >= percent * union; percent is 80 at least, to which the index and its distances are made."""
-    assert percent >= 80
-    sigs = materialize(signatures(docs, id_col, text_col, words), "signatures")
-    # Equal sets: one class each. A group of copies of any size is a partial minimum.
-    classes = sigs.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    # A set of fewer shingles than this can't reach the similarity with a different set.
-    least = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1))
-    reps = sigs.where(f"n_shingles >= {least} and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("id"))
-    reps = materialize(sigs.join(reps, ["set_a", "set_b", "id"], "left_semi").dropDuplicates(["id"]).drop("set_a", "set_b"), "representatives")
-    sizes_allow = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    keyed = reps.select(F.col("id").alias("b"), F.explode(index_keys()).alias("e")).select("b", "e.k", "e.key")
-    buckets = materialize(keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
-    shared = materialize(keyed.join(buckets, "key").select("key", "k", "a", "b"), "shared")
-    side = lambda v, n, x: reps.select(F.col("id").alias(v), F.col("n_shingles").alias(n), *lanes(reps, x))
-    stars = shared.where("a <> b").select("a", "b").distinct().join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").where(sizes_allow)
-    stars = stars.select("a", "b", total([apart(i) for i in range(LANES)]).alias("d")).where(F.col("d") <= NEAR)
-    first = stars.groupBy("b").agg(F.min(F.struct((F.col("d") > NEAR // 2).alias("far"), "a")).alias("m")).select("m.a", "b")
-    linked = confirm(materialize(first, "pairs"), docs, words, percent, id_col, text_col)
-    # Each b has one smaller a: a forest.
-    labels = roots(with_tops(linked.select(F.col("b").alias("v"), F.col("a").alias("comp"))))
-    # Buckets with several components: those outside the largest component meet all others.
-    member = shared.select("key", "k", F.col("b").alias("v")).join(labels, "v", "left").select("key", "k", "v", F.coalesce("comp", "v").alias("comp"))
-    main = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = materialize(member.join(main, "key"), "mixed")
+
+def central_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """(a, b), one for each member b outside its bucket's main component and each of its buckets: a is the center of b's part of the bucket, of main if it has any there."""
+    mark = F.xxhash64("v", F.lit(turn))
+    rows = mixed.withColumn("part", F.pmod(mark, F.ceil(F.col("size") / PART))).withColumn("o", F.struct((F.col("comp") != F.col("main")).alias("outer"), mark.alias("mark"), "v", "comp"))
+    centers = rows.groupBy("key", "part").agg(F.min("o").alias("c")).select("key", "part", F.col("c.v").alias("a"), F.col("c.comp").alias("ca"))
+    met = rows.where("comp <> main").select("key", "part", F.col("v").alias("b"), F.col("comp").alias("cb")).join(centers, ["key", "part"]).where("ca <> cb")
+    return met.select("a", "b").distinct()
+
+
+def apart_pairs(mixed: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, bits): all pairs of members of one bucket in different components that are near by signature and by sketch."""
 
     def ends(rows: DataFrame, extra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        full = rows.join(extra, "v")
-        one, two = (full.select("key", "k", F.col("v").alias(f"v{s}"), F.col("comp").alias(f"c{s}"), F.col("main").alias(f"m{s}"), F.col("n_shingles").alias(f"n{s}"), *[F.col(c).alias(s + c[1:] if c in SIG else f"{s}_{c}") for c in names]) for s in "xy")
-        return one, two.drop("k")
+        full = rows.drop("size").join(extra, "v")
+        return tuple(full.select("key", F.col("v").alias(f"v{s}"), F.col("comp").alias(f"c{s}"), F.col("main").alias(f"m{s}"), F.col("n_shingles").alias(f"n{s}"), *[F.col(c).alias(s + c[1:] if c in SIG else f"{s}_{c}") for c in names]) for s in "xy")
 
     def near(one: DataFrame, two: DataFrame) -> Column:
-        return (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & sizes_allow & (total([apart(i) for i in range(LANES)]) <= NEAR)
+        return (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & sizes_allow(percent) & (signature_distance() <= NEAR)
 
-    one, two = ends(mixed, reps.withColumnRenamed("id", "v"), SIG)
+    one, two = ends(mixed, lanes, SIG)
     outer = one.where("cx <> mx").join(two, near(one, two), "left_semi").select(F.col("vx").alias("id"))
     inner = one.where("cx = mx").join(two.where("cy <> my"), near(one, two), "left_semi").select(F.col("vx").alias("id"))
     close = materialize(outer.union(inner).distinct(), "close")
     fine = materialize(sketches(close, docs, id_col, text_col, words), "sketches")
-    extra = reps.select(F.col("id").alias("v"), "n_shingles", *SIG[: 2 * CHUNKS]).join(fine, "v")
+    extra = lanes.select("v", "n_shingles", *SIG[: 2 * CHUNKS]).join(fine, "v")
     one, two = ends(mixed, extra, [*SIG[: 2 * CHUNKS], *[f"b{k}" for k in range(WIDE)]])
     bits = total([F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(WIDE)])
-    meets = one.where("cx <> mx").join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("vx") < F.col("vy"))) & sizes_allow & (bits <= NEAR_BITS) & first_shared(F.col("k")))
-    rest = materialize(meets.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct(), "pairs")
-    more = confirm(rest, docs, words, percent, id_col, text_col)
-    final = components(more, labels)
-    release(buckets, shared, mixed, close, fine, rest, linked, labels)
-    named = classes.join(final.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    out = sigs.where("n_shingles > 0").select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("comp")).alias("component_id"))
-    return out.unionByName(sigs.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    k = one["key"].bitwiseAND(F.lit(127))
+    meets = one.where("cx <> mx").join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("vx") < F.col("vy"))) & sizes_allow(percent) & (bits <= NEAR_BITS) & first_shared(k))
+    rest = materialize(meets.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b"), bits.alias("bits")).distinct(), "apart")
+    release(close, fine)
+    return rest
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with these as ca and cb."""
+    of = lambda v, c: small(labels.select(F.col("v").alias(v), F.col("comp").alias(c)), BROADCAST_IDS)
+    out = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+
+
+def linked_components(shared: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(v, comp) of the linked representatives, from buckets (key, v, a) with their smallest member a."""
+    check = lambda pairs: confirm(pairs, docs, words, percent, id_col, text_col)
+    stars = near_pairs(shared.where("a <> v").select("a", F.col("v").alias("b")).distinct(), lanes, percent)
+    first = materialize(stars.groupBy("b").agg(F.min(F.struct((F.col("d") > NEAR // 2).alias("far"), "a")).alias("m")).select("m.a", "b"), "pairs")
+    linked = check(first)
+    # Each b has one smaller a: a forest.
+    labels = roots(with_tops(linked.select(F.col("b").alias("v"), F.col("a").alias("comp"))))
+    tested = first.select("a", "b")
+    for turn in range(1, ROUNDS + 1):
+        mixed = mixed_buckets(shared.select("key", "v"), labels)
+        pairs = central_pairs(mixed, turn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("outer")).join(tested, ["a", "b"], "left_anti")
+        near = near_pairs(pairs, lanes, percent)
+        best = materialize(near.join(pairs, ["a", "b"]).groupBy("outer").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
+        if not best.limit(1).count():
+            release(best, mixed)
+            break
+        labels, old = components(check(best), labels), labels
+        tested = tested.unionByName(best)
+        release(old, mixed)
+    mixed = mixed_buckets(shared.select("key", "v"), labels)
+    rest = apart_pairs(mixed, lanes, docs, words, percent, id_col, text_col)
+    rest, listed = materialize(rest.join(tested, ["a", "b"], "left_anti"), "apart"), rest
+    release(listed, mixed)
+    most = 1
+    while True:
+        live = still_apart(rest, labels)
+        # The ends outside the component that has more pairs choose their nearest partners.
+        each = live.select("a", "b", "bits", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("ca").alias("c"), F.col("cb").alias("other")), F.struct(F.col("b").alias("v"), F.col("cb").alias("c"), F.col("ca").alias("other")))).alias("e"))
+        weight = live.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+        of = lambda c, n: small(weight.select(F.col("c").alias(c), F.col("n").alias(n)), BROADCAST_IDS)
+        outer = each.select("a", "b", "bits", "e.v", "e.c", "e.other").join(of("c", "n"), "c").join(of("other", "m"), "other").where(F.struct("n", "c") < F.struct("m", "other"))
+        place = F.row_number().over(Window.partitionBy("v").orderBy("bits", "a", "b"))
+        now = materialize(outer.withColumn("place", place).where(F.col("place") <= most).select("a", "b").distinct(), "pairs")
+        if not now.limit(1).count():
+            release(now)
+            break
+        labels, old = components(check(now), labels), labels
+        left = materialize(rest.join(now, ["a", "b"], "left_anti"), "apart")
+        release(old, rest, now)
+        rest, most = left, 64 * most
+    release(rest, first, linked)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id), a row for each row of docs: the size of its set and the smallest id of its component.
+
+    Links are the pairs of documents whose sets have 100 * intersection >= percent * union; percent is 80 at least, to which the index and its distances are made."""
+    assert percent >= 80
+    sigs = materialize(signatures(docs, id_col, text_col, words), "signatures")
+    # Equal sets have equal signatures: one class each, whose first row stands for it. A group of copies of any size is a partial aggregate.
+    classes = sigs.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("v"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n_shingles", *SIG)])
+    classes = materialize(classes, "classes")
+    # A set of fewer shingles than this can't reach the similarity with a different set.
+    least = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1))
+    keyed = classes.where(F.col("n_shingles") >= least).select("v", F.explode(index_keys()).alias("key"))
+    buckets = materialize(keyed.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
+    shared = materialize(keyed.join(buckets, "key").select("key", "a", "v"), "shared")
+    met = shared.select("v").distinct()
+    lanes = classes.where(F.col("n_shingles") >= least).select("v", "n_shingles", *SIG).join(small(met, BROADCAST_IDS), "v", "left_semi")
+    # Only where ids repeat do classes share one.
+    lanes = materialize(lanes.dropDuplicates(["v"]), "lanes")
+    labels = linked_components(shared, lanes, docs, words, percent, id_col, text_col)
+    named = materialize(classes.select("set_a", "set_b", "v", "members").join(small(labels, BROADCAST_IDS), "v", "left").select("set_a", "set_b", "members", F.coalesce("comp", "v").alias("comp")), "named")
+    release(buckets, shared, lanes, labels, classes)
+    rows = sigs.select("id", "n_shingles", "set_a", "set_b")
+    filled = rows.where("n_shingles > 0 and id is not null")
+    heavy = F.greatest(F.lit(2), F.ceil(F.lit(HEAVY) * sigs.count()))
+    large = F.broadcast(named.where(F.col("members") >= heavy).drop("members"))
+    light = named.where(F.col("members") < heavy).drop("members")
+    names = ("id", "n_shingles", F.col("comp").alias("component_id"))
+    out = filled.join(large, ["set_a", "set_b"]).select(*names).unionByName(filled.join(large, ["set_a", "set_b"], "left_anti").join(light, ["set_a", "set_b"]).select(*names))
+    rest = rows.where("n_shingles = 0 or id is null")
+    return out.unionByName(rest.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates, the one with the smallest id. Rows with a null id all stay; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, id_col, text_col, words, percent)
-    kept = materialize(found.where("id is not null").groupBy("id").agg(F.min("component_id").alias("comp"), F.count("*").alias("n")).where("id = comp").select("id", "n"), "kept")
-    named, ids = docs.withColumnRenamed(id_col, "__id").withColumn("__id", F.col("__id").cast("long")), kept.select(F.col("id").alias("__id"), F.col("n").alias("__n"))
-    once = named.join(ids.where("__n = 1").drop("__n"), "__id", "left_semi")
-    again = named.join(ids.where("__n > 1").drop("__n"), "__id", "left_semi").dropDuplicates(["__id"])
-    out = once.unionByName(again).unionByName(named.where("__id is null"))
-    return out.withColumn("__id", F.col("__id").cast(docs.schema[id_col].dataType)).withColumnRenamed("__id", id_col).select(*docs.columns)
+    """docs with one document of each group of near-duplicates, the one with the smallest id. Documents without words and rows with a null id all stay.
+
+    Rows that repeat an id and a text are one document. Rows that repeat an id with other texts are documents of their own, after
+    all others in the order of ids. Texts are not shuffled while the ids to leave out are few enough to be broadcast."""
+    own = docs.select("*", F.col(id_col).cast("long").alias("__id"))
+    text = F.xxhash64(F.col(text_col))
+    several = own.where("__id is not null").groupBy(F.col("__id").alias("__of")).agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("__of")
+    several = materialize(several, "several")
+    if several.limit(1).count():
+        marked = own.join(small(several, BROADCAST_ROWS), F.col("__id") == F.col("__of"), "left")
+        apart_id = F.shiftrightunsigned(F.xxhash64(F.col("__id"), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
+        own = marked.withColumn("__id", F.when(F.col("__of").isNull(), F.col("__id")).otherwise(apart_id)).drop("__of")
+    found = materialize(near_duplicates(own.select("__id", F.col(text_col).alias("__text")), "__id", "__text", words, percent).where("id is not null"), "found")
+    gone = materialize(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
+    again = materialize(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    release(found)
+    out = own.join(small(gone, BROADCAST_ROWS), F.col("__id") == F.col("__gone"), "left_anti")
+    if again.limit(1).count():
+        few = small(again.select(F.col("id").alias("__again")), BROADCAST_ROWS)
+        out = out.join(few, F.col("__id") == F.col("__again"), "left_anti").unionByName(out.join(few, F.col("__id") == F.col("__again"), "left_semi").dropDuplicates(["__id"]))
+    return out.select(*[F.col(c) for c in docs.columns])

@@ -88,6 +88,28 @@ def test_drop_near_duplicates(spark):
     assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(3, a), (7, a + " more"), (7, b), (7, b), (8, b + " more"), (9, "z " * 300_000), (11, "z " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("text_hash", F.lit("clash"))
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (8, b + " more"), (9, "z " * 300_000)]
+
+
+def test_loose_copies_that_are_linked_over_others(spark):
+    """Texts that drift away step by step: neighbours are linked, ends share nothing."""
+    rows, rng = [], random.Random(8)
+    w = [f"w{i}" for i in range(120)]
+    for i in range(200):
+        rows.append((i * 7 % 200, " ".join(w)))
+        w = list(w)
+        for _ in range(rng.choice([2, 6, 9])):
+            w[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == brute(rows, 2)
+
+
 # op4
 
 

@@ -7,12 +7,11 @@ pairs always share a key. Pairs of similarity 0.8 share none with probability 3e
 allow the similarity and whose signatures are near are confirmed on the full sets.
 
 No bucket is expanded into all pairs. Documents with equal sets form a class with one representative. First each
-representative is paired with the smallest of its buckets, and confirmed links merge into components. Then
-buckets that hold several components are dealt into parts of about 64, and each member outside the largest component of its
-bucket is confirmed against the nearest of its parts' centers: so far, pairs grow with the documents. Only what is
-then still apart is compared in full: members of one bucket in different components that are near by a finer sketch of 3072 bits
-are listed, a pair at the first key it shares only, and confirmed nearest first, 1, 64 and so on for each member; pairs whose
-components have met meanwhile fall out. Every listed pair is either within one component or confirmed: nothing is capped.
+representative is paired with the smallest of its buckets (pairs grow with the documents, not with their square), and confirmed
+links merge into components. Only members of one bucket in different components are compared after that: those outside the
+largest component that are near by a finer sketch of 3072 bits to members of others are listed, a pair at the first key it
+shares only. Each is confirmed against the nearest of its list, components merge again, and the pairs that are still apart are
+confirmed, all of them. A text is sent once for each meeting of its block of about 64 with another, not once for each pair.
 
 Ids are whole numbers. Null or empty texts have empty sets and are linked with nothing. A text with fewer words than a shingle is
 one shingle; texts of any length are read whole, one at a time. Rows with a null id are linked with nothing and have a null
@@ -40,8 +39,6 @@ BROADCAST_IDS = 500_000
 BROADCAST_ROWS = 2_000_000
 #: Classes of more than this share of all rows are broadcast: there are no more of them than its inverse.
 HEAVY = 1e-5
-#: Rounds of centers before what is apart is compared in full (more found few links), and the size of a bucket's parts.
-ROUNDS, PART = 1, 64
 CHUNKS = 12
 LANES = 43
 SIG = [f"s{i}" for i in range(LANES)]
@@ -145,10 +142,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     # Only the candidates' texts are shuffled.
     texts = materialize(candidate_texts(blocks.select(F.col("v").alias("id")), docs, id_col, text_col), "texts")
     of = lambda c, x: small(blocks.select(F.col("v").alias(c), F.col("block").alias(x)), BROADCAST_IDS)
-    meets = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"), "meets")
-    members = meets.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("p", "q", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    meets = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b")
+    # One row for each first end in a meeting, with up to a block of others.
+    meets = materialize(meets.groupBy("p", "q", "a").agg(F.collect_set("b").alias("bs")), "meets")
+    others = meets.select("p", "q", F.explode("bs").alias("id")).distinct()
+    members = meets.select("p", "q", F.col("a").alias("id")).unionByName(others).distinct().join(texts, "id").select("p", "q", F.col("id").alias("a"), F.lit(None).cast("array<long>").alias("bs"), "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.unionByName(meets.withColumn("text", F.lit(None).cast("string"))).repartition(n, "p", "q").sortWithinPartitions("p", "q", F.col("b").asc_nulls_first())
+    rows = members.unionByName(meets.withColumn("text", F.lit(None).cast("string"))).repartition(n, "p", "q").sortWithinPartitions("p", "q", F.col("bs").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, {}
@@ -156,17 +156,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
             for part in slices(batch, "text"):
                 hashes, first = word_hashes(*text_bytes(part.column("text")))
                 found = []
-                for i, (p, q, a, b) in enumerate(zip(*[part.column(c).to_pylist() for c in ("p", "q", "a", "b")], strict=True)):
+                for i, (p, q, a, bs) in enumerate(zip(*[part.column(c).to_pylist() for c in ("p", "q", "a", "bs")], strict=True)):
                     if key != (p, q):
                         key, sets = (p, q), {}
-                    if b is None:
+                    if bs is None:
                         # Of rows that repeat an id, the last counts.
                         sets[a] = shingle_set(hashes[first[i] : first[i + 1]], words)
-                    elif a in sets and b in sets:
-                        x, y = sets[a], sets[b]
-                        same = len(np.intersect1d(x, y, assume_unique=True))
-                        if same and 100 * same >= percent * (len(x) + len(y) - same):
-                            found.append((a, b))
+                    elif a in sets:
+                        x = sets[a]
+                        for b, y in ((b, sets[b]) for b in bs if b in sets):
+                            same = len(np.intersect1d(x, y, assume_unique=True))
+                            if same and 100 * same >= percent * (len(x) + len(y) - same):
+                                found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     links = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "links")
@@ -190,27 +191,18 @@ def sizes_allow(percent: int) -> Column:
 
 
 def mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, v, comp, main, size) of the buckets with members of several components, main being the one with most of the size members."""
+    """(key, v, comp, main) of the buckets with members of several components, main being the one with most members."""
     member = shared.join(small(labels, BROADCAST_IDS), "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
     by_comp = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
-    return materialize(member.join(main.select("key", F.col("m.comp").alias("main"), "size"), "key"), "mixed")
-
-
-def central_pairs(mixed: DataFrame, turn: int) -> DataFrame:
-    """(a, b), one for each member b outside its bucket's main component and each of its buckets: a is the center of b's part of the bucket, of main if it has any there."""
-    mark = F.xxhash64("v", F.lit(turn))
-    rows = mixed.withColumn("part", F.pmod(mark, F.ceil(F.col("size") / PART))).withColumn("o", F.struct((F.col("comp") != F.col("main")).alias("outer"), mark.alias("mark"), "v", "comp"))
-    centers = rows.groupBy("key", "part").agg(F.min("o").alias("c")).select("key", "part", F.col("c.v").alias("a"), F.col("c.comp").alias("ca"))
-    met = rows.where("comp <> main").select("key", "part", F.col("v").alias("b"), F.col("comp").alias("cb")).join(centers, ["key", "part"]).where("ca <> cb")
-    return met.select("a", "b").distinct()
+    main = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+    return materialize(member.join(main.select("key", F.col("m.comp").alias("main")), "key"), "mixed")
 
 
 def apart_pairs(mixed: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, bits): all pairs of members of one bucket in different components that are near by signature and by sketch."""
+    """(a, b, place): all pairs of members of one bucket in different components that are near by signature and by sketch; place counts from the nearest of each member outside its bucket's main component."""
 
     def ends(rows: DataFrame, extra: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        full = rows.drop("size").join(extra, "v")
+        full = rows.join(extra, "v")
         return tuple(full.select("key", F.col("v").alias(f"v{s}"), F.col("comp").alias(f"c{s}"), F.col("main").alias(f"m{s}"), F.col("n_shingles").alias(f"n{s}"), *[F.col(c).alias(s + c[1:] if c in SIG else f"{s}_{c}") for c in names]) for s in "xy")
 
     def near(one: DataFrame, two: DataFrame) -> Column:
@@ -226,18 +218,13 @@ def apart_pairs(mixed: DataFrame, lanes: DataFrame, docs: DataFrame, words: int,
     bits = total([F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(WIDE)])
     k = one["key"].bitwiseAND(F.lit(127))
     meets = one.where("cx <> mx").join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("vx") < F.col("vy"))) & sizes_allow(percent) & (bits <= NEAR_BITS) & first_shared(k))
-    rest = materialize(meets.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b"), bits.alias("bits")).distinct(), "apart")
+    place = F.row_number().over(Window.partitionBy("vx").orderBy("bits", "vy"))
+    rest = meets.select("vx", "vy", bits.alias("bits")).distinct().select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b"), place.alias("place"))
+    rest = materialize(rest, "apart")
     release(close, fine)
     return rest
 
 
-def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components, with these as ca and cb."""
-    of = lambda v, c: small(labels.select(F.col("v").alias(v), F.col("comp").alias(c)), BROADCAST_IDS)
-    out = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-    return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
-
-
 def linked_components(shared: DataFrame, lanes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(v, comp) of the linked representatives, from buckets (key, v, a) with their smallest member a."""
     check = lambda pairs: confirm(pairs, docs, words, percent, id_col, text_col)
@@ -246,41 +233,17 @@ def linked_components(shared: DataFrame, lanes: DataFrame, docs: DataFrame, word
     linked = check(first)
     # Each b has one smaller a: a forest.
     labels = roots(with_tops(linked.select(F.col("b").alias("v"), F.col("a").alias("comp"))))
-    tested = first.select("a", "b")
-    for turn in range(1, ROUNDS + 1):
-        mixed = mixed_buckets(shared.select("key", "v"), labels)
-        pairs = central_pairs(mixed, turn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("outer")).join(tested, ["a", "b"], "left_anti")
-        near = near_pairs(pairs, lanes, percent)
-        best = materialize(near.join(pairs, ["a", "b"]).groupBy("outer").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
-        if not best.limit(1).count():
-            release(best, mixed)
-            break
-        labels, old = components(check(best), labels), labels
-        tested = tested.unionByName(best)
-        release(old, mixed)
     mixed = mixed_buckets(shared.select("key", "v"), labels)
     rest = apart_pairs(mixed, lanes, docs, words, percent, id_col, text_col)
-    rest, listed = materialize(rest.join(tested, ["a", "b"], "left_anti"), "apart"), rest
-    release(listed, mixed)
-    most = 1
-    while True:
-        live = still_apart(rest, labels)
-        # The ends outside the component that has more pairs choose their nearest partners.
-        each = live.select("a", "b", "bits", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("ca").alias("c"), F.col("cb").alias("other")), F.struct(F.col("b").alias("v"), F.col("cb").alias("c"), F.col("ca").alias("other")))).alias("e"))
-        weight = live.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-        of = lambda c, n: small(weight.select(F.col("c").alias(c), F.col("n").alias(n)), BROADCAST_IDS)
-        outer = each.select("a", "b", "bits", "e.v", "e.c", "e.other").join(of("c", "n"), "c").join(of("other", "m"), "other").where(F.struct("n", "c") < F.struct("m", "other"))
-        place = F.row_number().over(Window.partitionBy("v").orderBy("bits", "a", "b"))
-        now = materialize(outer.withColumn("place", place).where(F.col("place") <= most).select("a", "b").distinct(), "pairs")
-        if not now.limit(1).count():
-            release(now)
-            break
-        labels, old = components(check(now), labels), labels
-        left = materialize(rest.join(now, ["a", "b"], "left_anti"), "apart")
-        release(old, rest, now)
-        rest, most = left, 64 * most
-    release(rest, first, linked)
-    return labels
+    nearest = check(rest.where("place = 1").select("a", "b"))
+    merged = components(nearest, labels)
+    of = lambda v, c: small(merged.select(F.col("v").alias(v), F.col("comp").alias(c)), BROADCAST_IDS)
+    left = rest.where("place > 1").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    left = materialize(left.select("a", "b"), "pairs")
+    last = check(left)
+    out = components(last, merged)
+    release(first, linked, labels, mixed, rest, nearest, merged, left, last)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:

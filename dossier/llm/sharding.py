@@ -4,7 +4,9 @@ Rows get numbers 0 to N-1 in an order that depends on their id and text alone. A
 a * b >= N and fewer than a values beyond N, permutes the numbers; a value beyond N is permuted again until it is below N. The
 place p of a row gives its shard p mod n and its slot p div n, so shard sizes differ by one at most and slots have no gaps.
 
-Rows with equal id and text (nulls being empty) get neighbouring numbers in any order. An empty table gives an empty result."""
+Rows with equal id and text (nulls being empty) get neighbouring numbers in any order, equal texts of other ids places of their
+own. Texts of any length are hashed whole. An empty table gives an empty result. Columns of the caller named shard or slot, in any
+case of letters, are replaced; names that begin with __ are taken for its own."""
 
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ from .common import utf8
 #: The field of the round function; products of two of its values fit in 63 bits.
 PRIME = (1 << 31) - 1
 ROUNDS = 6
-#: Fewer than a of the a * b values lie beyond N, a being about the root of N: a walk of more steps has probability below (1 / a) ** WALK.
+#: Steps of a walk within one expression. Fewer than a of the a * b values lie beyond N, a being about the root of N: a longer walk has probability below (1 / a) ** WALK.
 WALK = 16
 #: Row numbers are dealt in so many buckets, each numbered on its own.
 BUCKETS = 4096
@@ -55,8 +57,14 @@ def feistel(x: str, n: int, seed: int) -> str:
 
 def permuted(x: str, n: int, seed: int) -> Column:
     """The place of row number x among n."""
-    walk = f"aggregate(sequence(1, {WALK}), {feistel(x, n, seed)}, (p, j) -> if(p < {n}L, p, {feistel('p', n, seed)}))"
-    return F.expr(f"transform(array({walk}), p -> if(p < {n}L, p, raise_error('the walk did not end; take another seed')))[0]").cast("long")
+    a, b = sides(n)
+    step = lambda p, most: f"aggregate(sequence(1, {most}), {p}, (p, j) -> if(p < {n}L, p, {feistel('p', n, seed)}))"
+    # Each value beyond N is permuted to another value at each step, so a walk ends after as many steps as there are such values.
+    beyond = a * b - n
+    walk = step(feistel(x, n, seed), min(WALK, max(1, beyond)))
+    if beyond > WALK:
+        walk = f"transform(array({walk}), w -> if(w < {n}L, w, {step('w', beyond)}))[0]"
+    return F.expr(walk).cast("long")
 
 
 def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:

@@ -7,14 +7,16 @@ the words come nearest to the target. The cut is found from sums of 1024 rank cl
 so no source is sorted in one task; with the cut known, taking is a map over the documents.
 
 A null text or one without words has size 0 and is never taken. Null is a source of its own, the last. A null id counts as the
-smallest. Rows that repeat an id and size are taken or left together. An empty table gives an empty result."""
+smallest; ids are whole numbers. Rows that repeat an id and size are taken or left together; other rows of equal rank go by id, then
+size. Texts of any length are counted whole. An empty table gives an empty result. mix() replaces columns of the names it adds,
+mixed() keeps all of the caller's columns; names that begin with __ are taken for its own."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from .common import materialize, n_words, release
+from .common import materialize, n_words, release, small
 
 WEIGHTS = (5, 2, 1)
 #: No target and no document beyond so many times its size.
@@ -22,6 +24,8 @@ MOST = 3
 CLASSES = 1024
 #: A table of sources of up to so many rows is broadcast, a larger one is joined.
 BROADCAST_ROWS = 100_000
+#: The columns that mix() adds, in place of the caller's of these names.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -49,12 +53,11 @@ def ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def with_rank(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Joins the sources' targets, and adds __copies (the certain ones), __need (words left), __q (the rank) and __class."""
-    if sources.count() <= BROADCAST_ROWS:
-        sources = F.broadcast(sources)
-    out = rows.join(sources.withColumnRenamed("source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
-    size = F.col("source_size")
-    out = out.withColumn("__copies", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0)).withColumn("__need", F.col("target") - F.col("__copies") * size)
-    p = F.when(F.col("roots") > 0, F.col("__need") * F.col("__root") / F.col("roots")).otherwise(0.5)
+    named = small(sources.select(*[F.col(c).alias("__of" if c == "source" else f"__{c}") for c in sources.columns if c != "weight"]), BROADCAST_ROWS)
+    out = rows.join(named, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
+    size = F.col("__source_size")
+    out = out.withColumn("__copies", F.when(size > 0, F.floor(F.col("__target") / size)).otherwise(0)).withColumn("__need", F.col("__target") - F.col("__copies") * size)
+    p = F.when(F.col("__roots") > 0, F.col("__need") * F.col("__root") / F.col("__roots")).otherwise(0.5)
     p = F.least(F.lit(0.999), F.greatest(F.lit(0.001), p))
     out = out.withColumn("__p", p).withColumn("__q", (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
     return out.withColumn("__class", F.floor(F.col("__q") / (1 + F.col("__q")) * CLASSES).cast("int"))
@@ -71,22 +74,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # The first class that does not fit whole; a source without one takes all.
     cuts = sums.where("__before + __sum > __need").groupBy("__source").agg(F.min(F.struct("__class", "__before")).alias("c")).select(F.col("__source").alias("source"), F.col("c.__class").alias("cut"), F.col("c.__before").alias("before"))
     cuts = materialize(cuts, "cuts")
-    edge = with_rank(small.where("__size > 0"), sources.join(cuts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")).where("__class = cut")
+    edge = with_rank(small.where("__size > 0"), sources.join(cuts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")).where("__class = __cut")
     upto = F.sum("__size").over(Window.partitionBy("__source").orderBy("__q", "__id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = edge.withColumn("__upto", F.col("before") + upto).where("__upto - __size / 2 <= __need").groupBy("__source").agg(F.max(F.struct("__q", "__id", "__size")).alias("last"))
+    last = edge.withColumn("__upto", F.col("__before") + upto).where("__upto - __size / 2 <= __need").groupBy("__source").agg(F.max(F.struct("__q", "__id", "__size")).alias("last"))
     known = sources.join(cuts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "before")
     known = materialize(known.join(last, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source"), "known")
     release(cuts)
     out = with_rank(rows, known)
-    one = (F.col("__size") > 0) & (F.col("cut").isNull() | (F.col("__class") < F.col("cut")) | (F.col("__class") == F.col("cut")) & F.coalesce(F.struct("__q", "__id", "__size") <= F.col("last"), F.lit(False)))
+    one = (F.col("__size") > 0) & (F.col("__cut").isNull() | (F.col("__class") < F.col("__cut")) | (F.col("__class") == F.col("__cut")) & F.coalesce(F.struct("__q", "__id", "__size") <= F.col("__last"), F.lit(False)))
     copies = (F.when(F.col("__size") > 0, F.col("__copies")).otherwise(0) + F.when(one & (F.col("__need") > 0), 1).otherwise(0)).cast("long")
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return out.select(*kept, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*kept, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options: str) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    named = docs.select(*[F.col(c).alias(f"{c}__in") if c in ("size", "source_size", "target", "copies", "taken") else F.col(c) for c in docs.columns])
+    named = docs.select(*[F.col(c).alias(f"{c}__in") if c.lower() in ADDED else F.col(c) for c in docs.columns])
     out = mix(named, **options).where("copies > 0")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*[F.col(f"{c}__in").alias(c) if f"{c}__in" in named.columns else F.col(c) for c in docs.columns])

@@ -104,6 +104,17 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("name", ["weight", "roots", "cut", "last", "target", "source_size", "before", "place", "Size"])
+def test_mixing_with_clashing_names(spark, name):
+    rows = [(i, "w " * (i % 40), f"s{i % 3}", f"own{i}") for i in range(90)] + [(90, None, None, None), (91, "long " * 200_000, "s1", "x"), (91, "long " * 200_000, "s1", "x")]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {name} string")
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == plain
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {(r["doc_id"], r[name]) for r in out.collect()} <= {(r[0], r[3]) for r in rows}
+
+
 # op6
 
 
@@ -120,10 +131,19 @@ def test_shards_are_even_and_gapless(spark, n):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_long_walks_end(spark, monkeypatch):
+    """With one step in the first expression, all other steps are in the second."""
+    monkeypatch.setattr(sharding, "WALK", 1)
+    for n in (3, 7, 101, 4000):
+        assert sorted(r[0] for r in spark.range(n).select(sharding.permuted("id", n, 3)).collect()) == list(range(n))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 5000])
 def test_permutation(spark, n):
     got = [r[0] for r in spark.range(n).select(sharding.permuted("id", n, 3)).collect()]
     assert sorted(got) == list(range(n))
+    a, b = sharding.sides(n)
+    assert n <= a * b < n + a
     if n == 5000:
         assert abs(sum(abs(x - i) for i, x in enumerate(got)) / n - n / 3) < n / 20
 

@@ -3,13 +3,15 @@
 Words are runs of letters and digits, lower-cased; shingles are five words, each counted as often as it occurs. A window is as
 long as the item (shorter at the end of a text) and may start at any word. Its similarity is at most the share of the item's
 shingles that it can hold, so the windows made are all those that hold enough shingles of items of that length, wherever
-these stand in the item: no other can match, and reordered or interrupted copies are found. A window's and an item's 64-bit SimHash at a
-distance of at most 23 agree in one of 8 bytes up to 2 bits (8 * 3 - 1 = 23); items are indexed under each such byte, windows look
-theirs up. At similarity 0.8 the expected distance is 10, beyond 23 with probability 1e-5. What is found is verified: the
-sum of smaller counts over the sum of larger ones.
+these stand in the item: no other can match, and reordered or interrupted copies are found. Fingerprints have 256 bits in 16
+blocks of 16. Two at a distance of at most 63 agree in one block up to 3 bits (16 * 4 - 1 = 63); items are indexed under each block
+with up to 2 bits flipped, windows look up each of theirs with up to 1 flipped. At similarity 0.8 the expected distance is
+39 +- 5.7, beyond 63 with probability 1e-5; a window and an item that have nothing in common meet with probability 0.16. What is found
+is verified: the sum of smaller counts over the sum of larger ones.
 
 Items of fewer words than a shingle are one shingle. Null and empty texts, and items without words, match nothing. Texts of
-any length are searched whole. Rows that repeat an id are searched each on its own; a null id is reported as null."""
+any length are searched whole. Rows that repeat an id are searched each on its own, equal rows once; a null id is reported as null. Of
+equally similar windows the first is reported. Empty tables hold nothing. Columns of the caller named __key are taken for its own."""
 
 from __future__ import annotations
 
@@ -20,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 
 from .common import materialize, release
 
-BYTES, ERRORS = 8, 2
-RADIUS = BYTES * (ERRORS + 1) - 1
+#: 64-bit hashes of a shingle, blocks of a fingerprint, bits of a block, and how many bits the index and a look-up flip.
+HASHES, BLOCKS, BITS, FLIP_ITEM, FLIP_WINDOW = 4, 16, 16, 2, 1
+RADIUS = BLOCKS * (FLIP_ITEM + FLIP_WINDOW + 1) - 1
 #: Up to so many rows of item shingles or keys are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -37,9 +40,27 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """The sign of the sum of the hashes' bits, as 8 bytes: array<int>."""
-    bit = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int") * 2 - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, j: s + F.when(bit(k * 8 + j) > 0, F.pow(F.lit(2), j).cast("int")).otherwise(0)))
+    """The signs of the sums of the hashes' bits, as blocks: array<int>."""
+
+    def seeded(k: int) -> Column:
+        return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))
+
+    each = F.array(*[seeded(k) for k in range(HASHES)])
+    bit = lambda hs, b: F.aggregate(hs, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int") * 2 - 1)
+    block = lambda hs, k: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0), lambda s, j: s + F.when(bit(hs, k * BITS + j) > 0, F.pow(F.lit(2), j).cast("int")).otherwise(0))
+    return F.flatten(F.transform(each, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(BLOCKS // HASHES - 1)), lambda k: block(hs, k))))
+
+
+def flipped(block: Column, most: int) -> Column:
+    """The values that differ from a block in at most so many bits."""
+    masks = F.array(*[F.lit(sum(1 << j for j in c)) for e in range(most + 1) for c in combinations(range(BITS), e)])
+    return F.transform(masks, lambda m: block.bitwiseXOR(m))
+
+
+def block_keys(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The columns with k and block: each block of `print` in all its values with up to `most` bits flipped."""
+    each = rows.select(*columns, F.posexplode("print").alias("k", "own"))
+    return each.select(*columns, "k", F.explode(flipped(F.col("own"), most)).alias("block"))
 
 
 def bits_apart(a: Column, b: Column) -> Column:
@@ -80,7 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     items = items.select("item", F.size("w").alias("length"), F.least(F.lit(size), F.size("w")).alias("size"), "w")
     items = items.withColumn("s", F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in range(1, size + 1)])).drop("w")
-    items = materialize(items.withColumn("print", simhash(F.col("s"))), "items")
+    items = materialize(items.withColumn("print", simhash(F.col("s"))).withColumn("number", F.xxhash64("item", "length", "s")), "items")
     # At most five sizes, nearly always one.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     texts = docs.select(key(docs, id_col, text_col).alias("key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
@@ -102,19 +123,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     here = here.withColumn("w", words(F.col("text"))).withColumn("s", F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in sizes])).select("key", "id", "size", "s", F.explode("at").alias("at"))
     prints = here.select("key", "id", "size", "at.start", "at.length", F.slice("s", F.col("at.start") + 1, F.col("at.length") - F.col("size") + 1).alias("s"))
     prints = materialize(prints.withColumn("print", simhash(F.col("s"))), "prints")
-    flips = F.array(*[F.lit(sum(1 << j for j in c)) for e in range(ERRORS + 1) for c in combinations(range(8), e)])
-    index = items.select("item", "length", F.col("print").alias("print_i"), F.col("s").alias("s_i"), F.posexplode("print").alias("k", "byte"), flips.alias("flips"))
-    index = index.select("item", "length", "print_i", "s_i", "k", F.col("byte").alias("own"), F.explode("flips").alias("flip")).withColumn("byte", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip")
-    looked = prints.select("key", "id", "start", "length", "print", "s", F.posexplode("print").alias("k", "byte"))
-    near = looked.join(checked(index), ["length", "k", "byte"]).where(bits_apart(F.col("print"), F.col("print_i")) <= RADIUS)
-    # An id may stand for several texts; each is held against the window.
-    near = near.dropDuplicates(["key", "start", "length", "item", "s_i"]).withColumn("similarity", similarity(F.col("s"), F.col("s_i"))).where(F.col("similarity") * 100 >= percent)
+    near = candidates(prints, items).where(bits_apart(F.col("print"), F.col("print_i")) <= RADIUS)
+    near = near.withColumn("similarity", similarity(F.col("s"), F.col("s_i"))).where(F.col("similarity") * 100 >= percent)
     best = near.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("m"), F.first("id").alias("id"))
     out = materialize(best.select("key", "id", "item", (-F.col("m.before")).alias("start"), F.col("m.similarity").alias("similarity")), "leaks")
     release(windows, prints)
     return out
 
 
+def candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows with the items of their length that share a block up to the flipped bits, each pair once.
+
+    An id may stand for several texts; each of them, told by its number, is held against the window."""
+    index = checked(block_keys(items, FLIP_ITEM, "length", "number").distinct())
+    met = block_keys(prints, FLIP_WINDOW, "key", "start", "length").join(index, ["length", "k", "block"]).select("key", "start", "length", "number").distinct()
+    own = checked(items.select("number", "item", F.col("print").alias("print_i"), F.col("s").alias("s_i")).dropDuplicates(["number", "item"]))
+    return prints.join(met, ["key", "start", "length"]).join(own, "number")
+
+
 def items_type(benchmark: DataFrame, item_col: str) -> Column:
     return F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item")
 

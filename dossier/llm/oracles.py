@@ -92,7 +92,8 @@ iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
 dp AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a FROM dw), ip AS (SELECT item_id, len(w) AS length, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a FROM iw),
 ds AS (SELECT doc_id, pos, a || ' ' || lead(a, 1) OVER v || ' ' || lead(a, 2) OVER v || ' ' || lead(a, 3) OVER v || ' ' || lead(a, 4) OVER v AS g FROM dp WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
 gs AS (SELECT item_id, length, pos, a || ' ' || lead(a, 1) OVER v || ' ' || lead(a, 2) OVER v || ' ' || lead(a, 3) OVER v || ' ' || lead(a, 4) OVER v AS g FROM ip WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
-h AS (SELECT DISTINCT doc_id, item_id, length, greatest(0, d.pos - i.pos) AS start FROM ds d JOIN gs i USING (g)),
+hs AS (SELECT DISTINCT doc_id, item_id, length, d.pos FROM ds d JOIN gs i USING (g)),
+h AS (SELECT DISTINCT doc_id, item_id, length, unnest(range(greatest(0, pos - length + 5), pos + 1)) AS start FROM hs),
 wc AS (SELECT h.doc_id, h.item_id, h.start, g, count(*) AS n FROM h JOIN ds ON ds.doc_id = h.doc_id AND ds.pos BETWEEN h.start AND h.start + h.length - 5 WHERE g IS NOT NULL GROUP BY ALL),
 ic AS (SELECT item_id, g, count(*) AS n FROM gs WHERE g IS NOT NULL GROUP BY ALL), it AS (SELECT item_id, sum(n) AS n FROM ic GROUP BY item_id),
 wt AS (SELECT doc_id, item_id, start, sum(n) AS n FROM wc GROUP BY ALL), b AS (SELECT doc_id, item_id, start, sum(least(wc.n, ic.n)) AS n FROM wc JOIN ic USING (item_id, g) GROUP BY ALL),

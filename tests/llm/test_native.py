@@ -1,5 +1,6 @@
 """The operators that run without Python on the executors, against brute force and planted cases."""
 
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -223,6 +224,39 @@ def test_leaks_by_brute_force(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_recall_over_all_windows(spark):
+    """Passages near the threshold, changed at random: all that a search of every window finds, and nothing else. Few unlike pairs meet in the index."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([30, 60, 61, 90])))) for i in range(40)]
+    rows = []
+    for i in range(400):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+        if rng.random() < 0.4:
+            cut = rng.randrange(len(w))
+            w = w[cut:] + w[:cut]
+        rows.append((i, " ".join([*rng.choices(vocabulary, k=rng.randrange(30)), *w, *rng.choices(vocabulary, k=rng.randrange(30))])))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = {(i, j): best_window(t, x)[0] for i, t in rows for j, x in items if set(t.split()) & set(x.split())}
+    expected = {k: (round(s, 9), -start) for k, (s, start) in expected.items() if s * 100 >= 80}
+    got = {(r["id"], r["item"]): (round(r["similarity"], 9), r["start"]) for r in decontaminate.leaks(docs, marks).collect()}
+    assert len(expected) > 150 and set(got) <= set(expected)
+    assert sum(got.get(k) == v for k, v in expected.items()) >= 0.999 * len(expected)
+
+
+def test_unlike_pairs_seldom_meet(spark):
+    def prints(n, seed):
+        rng = random.Random(seed)
+        rows = [(f"{seed}-{i}", i, 60, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(56)]) for i in range(n)]
+        return spark.createDataFrame(rows, "key string, start int, length int, s array<long>").withColumn("print", decontaminate.simhash(F.col("s")))
+
+    items = prints(100, 1).select(F.col("key").alias("item"), F.col("start").cast("long").alias("number"), "length", "s", "print")
+    assert 0.10 <= decontaminate.candidates(prints(100, 2), items).count() / 10_000 <= 0.22
+
+
 def test_leaks_of_items_that_repeat_an_id(spark):
     rows = []
     for k in range(6):

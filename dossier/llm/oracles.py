@@ -117,16 +117,19 @@ k AS (SELECT DISTINCT url, list_sort(list_distinct(flatten([
   list_transform(list_filter([regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)], lambda s: s <> ''), lambda s: 'file=' || s),
   list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> ''), lambda s: 'query=' || string_split(s, '=')[1]),
   list_transform(list_filter([regexp_extract(url, '#(.*)$', 1)], lambda s: s <> ''), lambda s: 'fragment=' || s)]))) AS t FROM u WHERE url IS NOT NULL),
-lab AS (SELECT page_id, url, min(quality) = 0 AS low FROM pages JOIN labels ON doc_id = page_id WHERE url IS NOT NULL GROUP BY ALL HAVING min(quality) IS NOT NULL),
+lab AS (SELECT page_id, url, min(quality) = 0 AS low FROM pages JOIN labels ON doc_id = page_id WHERE url IS NOT NULL GROUP BY page_id, url HAVING min(quality) IS NOT NULL),
 num AS (SELECT count(*) AS n, greatest(0.002, 20.0 / greatest(count(*), 1)) AS least FROM lab),
-few AS (SELECT unnest(t) AS tok FROM lab JOIN k USING (url) WHERE low GROUP BY tok HAVING count(*) >= (SELECT n * least - 1e-9 FROM num)),
-b AS (SELECT row_number() OVER () AS id, low, list_filter(t, lambda x: list_contains(keep, x)) AS t FROM lab JOIN k USING (url), (SELECT coalesce(list(tok), []) AS keep FROM few)),
+each AS (SELECT row_number() OVER () AS id, low, t FROM lab JOIN k USING (url)),
+tok AS (SELECT tok, list_sort(list(id)) AS ids, count(*) AS n FROM (SELECT id, unnest(t) AS tok FROM each) GROUP BY tok HAVING count(*) >= (SELECT n * least - 1e-9 FROM num)),
+mrg AS (SELECT ids, array_to_string(list_sort(list(tok)), ' | ') AS item, list_sort(list(tok)) AS toks FROM tok GROUP BY ids),
+b AS (SELECT id, low, list_sort(list(item)) AS t FROM each, mrg WHERE list_contains(t, toks[1]) GROUP BY id, low),
 s AS (SELECT id, low, t, CAST([] AS VARCHAR[]) AS items, 0 AS last FROM b UNION ALL SELECT id, low, t, list_append(items, t[j]), j FROM (SELECT *, unnest(range(last + 1, len(t) + 1)) AS j FROM s)),
-f AS (SELECT items, count(*) FILTER (WHERE low) AS hits, count(*) FILTER (WHERE low) / count(*)::DOUBLE AS confidence FROM s WHERE len(items) > 0 GROUP BY items),
-r AS (SELECT items, confidence, array_to_string(items, ' ') AS rule FROM f, num WHERE hits >= n * least - 1e-9 AND confidence >= 0.6),
-m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS p WHERE len(p.items) < len(r.items) AND list_has_all(r.items, p.items) AND p.confidence >= r.confidence)),
-g AS (SELECT url, m.rule AS mined FROM k JOIN m ON list_has_all(t, items) QUALIFY row_number() OVER (PARTITION BY url ORDER BY confidence DESC, m.rule) = 1)
-SELECT page_id, host, path, rule, coalesce(written, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined FROM w LEFT JOIN g USING (url)
+f AS (SELECT items, label, count(*) FILTER (WHERE low = (label = 'label=low')) AS hits, count(*) FILTER (WHERE low = (label = 'label=low')) / count(*)::DOUBLE AS confidence FROM s, (VALUES ('label=low'), ('label=high')) AS v(label) WHERE len(items) > 0 GROUP BY items, label),
+base AS (SELECT 'label=low' AS label, count(*) FILTER (WHERE low) / greatest(count(*), 1)::DOUBLE AS share FROM lab UNION ALL SELECT 'label=high', count(*) FILTER (WHERE NOT low) / greatest(count(*), 1)::DOUBLE FROM lab),
+r AS (SELECT items, label, confidence, array_to_string(items, ' ') AS rule FROM f JOIN base USING (label), num WHERE hits >= n * least - 1e-9 AND confidence >= 0.6 AND confidence >= 1.02::DOUBLE * share),
+m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS p WHERE p.label = r.label AND len(p.items) < len(r.items) AND list_has_all(r.items, p.items) AND p.confidence >= r.confidence)),
+g AS (SELECT url, m.rule AS mined, label, confidence FROM k JOIN m ON len(list_filter(items, lambda i: NOT list_has_any(t, string_split(i, ' | ')))) = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY confidence DESC, m.rule, label) = 1)
+SELECT page_id, host, path, rule, coalesce(written, CASE WHEN label = 'label=low' THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined, CASE WHEN rule IS NULL THEN round(confidence, 6) END AS confidence FROM w LEFT JOIN g USING (url)
 """
 
 ORACLES: dict[str, str] = {"op1_url_filters": _URLS, "op2_minhash_near_dedup": _NEAR, "op7_decontamination": _LEAKS, "op3_pareto_mixing": _MIXING, "op6_feistel_sharding": _SHARDING, "op8_chat_formatting": _CHAT, "op10_warc_revisits": _WARC}

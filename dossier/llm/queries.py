@@ -17,7 +17,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("low"))
     labelled = pages.join(labels, "page_id").select("url", "low")
-    return url_filter.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
+    return url_filter.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined", F.round("confidence", 6).alias("confidence"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ roots. Messages on or below a cycle have no root and are in no conversation.
 
 The template opens a turn with <|im_start|>role and a line feed, and ends it with <|im_end|> and a line feed. Texts and roles have
 each backslash doubled, and a backslash put after the first character of each control string of common templates, so no text
-can end its turn, and taking backslashes out gives it back. Null roles and texts are empty."""
+can end its turn, and taking backslashes out gives it back. Null roles and texts are empty; texts of any length are kept whole. Rows
+that repeat are turns of their own, in any order of equal ones. Null scores are 0. Empty tables give empty results. Other columns of
+the caller are not read, whatever their names."""
 
 from __future__ import annotations
 

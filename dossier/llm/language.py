@@ -6,7 +6,9 @@ sharpness. Training is backpropagation through time in numpy on the driver, on a
 documents for each language, the same for equal input: for each language and each value of a hash, the first id.
 
 Null texts and texts without a letter are `und` with score 0. A language label of null teaches nothing. Without any labelled
-text all documents are `und`. Texts are read whole, whatever their length."""
+text all documents are `und`. Texts are read whole, whatever their length. Of rows that repeat an id and a language, one text is
+learned from; each row is judged on its own. Equally probable languages go by name. An empty table teaches nothing and gives an empty
+result. Columns of the caller with the names of the results are replaced, others pass through."""
 
 from __future__ import annotations
 
@@ -163,6 +165,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     # A row for each language and hash value: partial minima, then at most per_language ids of a language.
     chosen = rows.groupBy(F.col(lang_col).alias("lang"), F.pmod(mark, F.lit(per_language)).alias("slot")).agg(F.min(F.struct(mark.alias("mark"), F.col(id_col).alias("id"))).alias("m")).select("lang", "m.id")
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+    # One text of an id, however many rows repeat it.
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,9 @@
 store() adds a column of images that hold each text; describe() reads any column of baseline JPEGs back. Both are maps over
 Arrow batches, cut into slices of bounded size; there is no shuffle, and a lost task is simply run again.
 
-A null text is stored like an empty one. Null or unreadable media have null features."""
+A null text is stored like an empty one; texts of any length are stored whole, long ones as several images. Equal texts have equal
+media, rows that repeat are stored each. Null or unreadable media have null features. An empty table gives an empty result. Columns of
+the caller with the names of features are replaced by describe(), others pass through; store() takes id and text only."""
 
 from __future__ import annotations
 

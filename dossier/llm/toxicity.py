@@ -10,7 +10,9 @@ by overfitting. Features are those that make a text toxic with a probability of
 the most telling first, at most `n_features`. Training takes whole texts of at most `n_toxic` toxic and `n_unlabelled` other rows, chosen by a hash of the id.
 
 A text's score is the sigmoid of its sum over the distinct features it holds, read whole. Null and empty texts get the score of
-a text without any feature. Without a confirmed toxic text all scores are the prior (0 without labels)."""
+a text without any feature. Without a confirmed toxic text all scores are the prior (0 without labels). Rows that repeat an id are
+scored each by its own text; ids are whole numbers. An empty table gives an empty result. Columns of the caller named score or predicted
+are replaced, others pass through."""
 
 from __future__ import annotations
 
@@ -110,21 +112,27 @@ def matrices(sample: DataFrame, chosen: list[str]) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk of toxic texts, the part in max(), and the gradient that is stepped along: the risk's, or against that part's when it is below 0."""
+    sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
+    now = w[:-1].astype(np.float32)
+    g_p, g_u = p @ now + w[-1], u @ now + w[-1]
+    # l(g) = log(1 + exp(-g)), its slope is sigmoid(g) - 1; that of l(-g) is sigmoid(g).
+    negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
+    sign = 1.0 if negative >= 0 else -1.0
+    d_p = prior * ((sigmoid(g_p) - 1) * (negative >= 0) - sign * sigmoid(g_p)) / len(p)
+    d_u = sign * sigmoid(g_u) / len(u)
+    grad = np.append(p.T @ d_p.astype(np.float32) + u.T @ d_u.astype(np.float32), d_p.sum() + d_u.sum())
+    return float(prior * np.logaddexp(0, -g_p).mean()), float(negative), grad
+
+
 def train(p: np.ndarray, u: np.ndarray, chosen: list[str], prior: float, steps: int = 200, rate: float = 0.05, ridge: float = 5e-4) -> Model:
     """Adam on the non-negative risk. p, u: presence of the chosen features in toxic and unlabelled texts."""
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for step in range(1, steps + 1):
-        now = w[:-1].astype(np.float32)
-        g_p, g_u = p @ now + w[-1], u @ now + w[-1]
-        # l(g) = log(1 + exp(-g)), its slope is sigmoid(g) - 1; that of l(-g) is sigmoid(g).
-        negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
-        sign = 1.0 if negative >= 0 else -1.0
-        d_p = prior * ((sigmoid(g_p) - 1) * (negative >= 0) - sign * sigmoid(g_p)) / len(p)
-        d_u = sign * sigmoid(g_u) / len(u)
-        grad = np.append(p.T @ d_p.astype(np.float32) + u.T @ d_u.astype(np.float32), d_p.sum() + d_u.sum())
+        grad = risk(w, p, u, prior)[2]
         grad[:-1] += ridge * w[:-1]
         first += 0.1 * (grad - first)
         second += 0.001 * (grad * grad - second)
@@ -133,7 +141,7 @@ def train(p: np.ndarray, u: np.ndarray, chosen: list[str], prior: float, steps:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", n_toxic: int = 2000, n_unlabelled: int = 6000, n_features: int = 600, seed: int = 9) -> Model:
-    """labels: (id, toxic 0 or 1); only rows for which `learn` is true are used, of docs and labels both. Of rows that repeat an id, all texts are taken."""
+    """labels: (id, toxic 0 or 1); only rows for which `learn` is true are used, of docs and labels both. Of rows that repeat an id, one text is taken, and the label 1 if any is."""
     known = labels.where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).where(learn)
     prior = known.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
     if prior <= 0:
@@ -144,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     toxic = known.where("toxic = 1").orderBy(mark, "id").limit(n_toxic).select("id", F.lit(True).alias("toxic"))
     other = rows.select("id").where(learn).distinct().orderBy(mark, "id").limit(n_unlabelled).select("id", F.lit(True).alias("other"))
     ids = materialize(toxic.join(other, "id", "full").select("id", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.coalesce("other", F.lit(False)).alias("other")), "sampled")
-    sample = materialize(rows.join(F.broadcast(ids), "id"), "sample")
+    # One text of an id, however many rows repeat it.
+    sample = materialize(rows.join(F.broadcast(ids), "id").groupBy("id", "toxic", "other").agg(F.min("text").alias("text")), "sample")
     counts = sample.agg(F.count_if("toxic").alias("p"), F.count_if("other").alias("u")).first()
     prior = min(max(prior, 0.001), 0.999)
     if not counts["p"] or not counts["u"]:

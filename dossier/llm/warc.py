@@ -7,7 +7,8 @@ Reading takes files as Spark's binary source gives them and cuts records by thei
 their payload from the response by a join on the digest.
 
 Null payloads are empty. Payloads of fewer than min_bytes are always responses. Every row with the smallest page_id of its digest
-is a response; null page_ids are never the smallest, unless all are null. Repeated rows give repeated records."""
+is a response; null page_ids are never the smallest, unless all are null. Repeated rows give repeated records. Payloads of any length
+are written whole. An empty table gives empty archives. Other columns of the caller are not read, whatever their names."""
 
 from __future__ import annotations
 

@@ -1,7 +1,9 @@
 """The operators with numpy kernels, against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 from itertools import combinations
@@ -177,9 +179,80 @@ def test_media_round_trip(spark):
     assert [r["n_samples"] for r in got] == [None, None, 576]
 
 
+def plain_thumb_hash(rows):
+    """The average hash with loops over cells, for sides of 8 and more."""
+    h, w = len(rows), len(rows[0])
+    cells = []
+    for i in range(8):
+        for j in range(8):
+            band = range(i * h // 8, (i + 1) * h // 8)
+            part = range(j * w // 8, (j + 1) * w // 8)
+            down = [sum(rows[y][x] for y in band) * 840 // len(band) for x in part]
+            cells.append(sum(down) * 840 // len(down))
+    mean = sum(cells) / 64
+    return f"{int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
+def test_media_features_by_hand(spark):
+    texts = ["", "ab" * 900, "the same", "the same", "é" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(4, texts[4])], "doc_id long, text string")
+    stored = {r["id"]: bytes(r["media"]) for r in media.store(docs).collect()}
+    for r in media.describe(media.store(docs)).collect():
+        data = stored[r["id"]]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        at = data.index(b"\xff\xc0")
+        height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+        assert (r["width"], r["height"]) == (width, height)
+        raw = texts[r["id"]].encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        side = -(-width // 8)
+        rows = [list(payload[i : i + side]) for i in range(0, len(payload), side)]
+        assert r["thumb_hash"] == plain_thumb_hash(rows)
+    assert stored[2] == stored[3]
+    assert media.describe(media.store(docs.limit(0))).count() == 0
+
+
 # op5
 
 
+def plain_probabilities(net, text):
+    """The network's pooled probabilities of one text, a byte at a time in Python floats."""
+    data, h = text.encode(), language.HIDDEN
+    sums = [0.0] * len(net.languages)
+    for i in range(0, len(data), language.WINDOW):
+        tokens = list(data[i : i + language.WINDOW])
+        tokens += [language.PAD] * (language.WINDOW - len(tokens))
+        both = []
+        for d in (0, 1):
+            state, found = [0.0] * h, {}
+            for t in range(language.WINDOW) if d == 0 else reversed(range(language.WINDOW)):
+                x, loop = net.table[d][tokens[t]], net.loop[d]
+                gate = [1 / (1 + math.exp(-(float(x[k]) + sum(state[j] * float(loop[j][k]) for j in range(h))))) for k in range(2 * h)]
+                new = []
+                for k in range(h):
+                    held = sum(state[j] * float(loop[j][2 * h + k]) for j in range(h))
+                    c = math.tanh(float(x[2 * h + k]) + gate[h + k] * held)
+                    new.append(c + gate[k] * (state[k] - c))
+                state = found[t] = new
+            both.append(found)
+        for t in range(min(language.WINDOW, len(data) - i)):
+            s = both[0][t] + both[1][t]
+            raw = [sum(s[j] * float(net.out[j][k]) for j in range(2 * h)) + float(net.bias[k]) for k in range(len(sums))]
+            norm = math.log(sum(math.exp(r) for r in raw))
+            sums = [a + r - norm for a, r in zip(sums, raw, strict=True)]
+    e = [math.exp(a / max(1, len(data)) * language.SHARPNESS) for a in sums]
+    return [x / sum(e) for x in e]
+
+
+def test_network_against_plain_python():
+    net = language.start(["a", "b", "c"], seed=3)
+    texts = ["a", "hello world, é😀 " * 5, "x" * 64, "y" * 65]
+    data, at = b"".join(t.encode() for t in texts), np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = language.document_probabilities(net, np.frombuffer(data, np.uint8), at)
+    for row, t in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_probabilities(net, t), atol=1e-4)
+
+
 def spoken(lang, n, rng):
     letters = {"aa": "abcde ", "bb": "vwxyz ", "cc": "lmnop "}[lang]
     return "".join(rng.choice(letters) for _ in range(n)) + letters[0]
@@ -224,6 +297,43 @@ def test_language(spark):
 # op9
 
 
+def plain_risk(w, p, u, prior):
+    score = lambda row: w[-1] + sum(a * b for a, b in zip(row, w, strict=False))
+    loss = lambda g: math.log1p(math.exp(-g))
+    toxic = prior * sum(loss(score(r)) for r in p) / len(p)
+    rest = sum(loss(-score(r)) for r in u) / len(u) - prior * sum(loss(-score(r)) for r in p) / len(p)
+    return toxic, rest
+
+
+@pytest.mark.parametrize("bias", [-1.0, 3.0, -6.0])
+def test_risk_and_its_gradient(bias):
+    rng = np.random.default_rng(1)
+    p, u = (rng.random((n, 5)) < 0.4 for n in (7, 30))
+    p, u, w = p.astype(np.float32), u.astype(np.float32), np.append(rng.standard_normal(5), bias)
+    if bias == 3.0:
+        # Toxic texts score far above the others: the estimate of the others' risk falls below 0.
+        p, u, w = np.ones((7, 5), np.float32), np.zeros((30, 5), np.float32), np.array([2.0] * 5 + [-8.0])
+    toxic, rest, grad = toxicity.risk(w, p, u, 0.4)
+    assert np.allclose((toxic, rest), plain_risk(w, p, u, 0.4), atol=1e-5)
+    assert (rest < 0) == (bias == 3.0)
+    value = lambda x: (lambda t, r: t + r if rest >= 0 else -r)(*plain_risk(x, p, u, 0.4))
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-4
+        assert abs((value(w + step) - value(w - step)) / 2e-4 - grad[k]) < 1e-4
+
+
+def test_scores_against_plain_python(spark):
+    model = toxicity.Model({"scum": 2.0, "zqu*": 1.5, "zquexa": 0.25, "the": -0.5}, -3.0)
+    texts = ["", None, "The scum.", "SCUM scum the ZQUexa", "zquexb the " * 50_000, "é zqu"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, "é zqu")], "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        words = set(re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()))
+        held = {f for f in model.weights if f in words or f.endswith("*") and any(w.startswith(f[:-1]) and len(w) > len(f) - 1 for w in words)}
+        expected = 1 / (1 + math.exp(-(model.bias + sum(model.weights[f] for f in held))))
+        assert abs(r["score"] - expected) < 1e-9 and r["predicted"] == int(expected >= 0.3)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "su", "ti", "vo", "wu")]

@@ -1,6 +1,6 @@
 """Queries of the library's operators over the driver's tables. Each is a plan over whole tables.
 
-Questions are the first twelve words of benchmark items; the corpus has a node for each document; structure queries use a node
+Questions are the texts of benchmark items; the corpus has a node for each document; structure queries use a node
 for each line. Vectors stand for the documents of the same id."""
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions import text as T
-from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, structure, tables
+from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, sparse, structure, tables
 from dossier.operators import routes as routes_of
 from dossier.sources import benchmarks
 from dossier.sources.tables import document_nodes
@@ -37,7 +37,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumn("score", F.round("score", digits))
 
 
+def bm25_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return sparse.bm25_topk(corpus(spark, sf_dir), asked(spark, sf_dir), k)
+
+
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)))
 
 
-def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.char_tfidf(corpus(spark, sf_dir), asked(spark, sf_dir)))
+def lexical_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return sparse.gram_topk(corpus(spark, sf_dir), asked(spark, sf_dir), k)
 
 
 def vector_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -64,12 +68,13 @@ def vector_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """(question_id, route, node_id, score): the k best of three routes."""
-    got = (("bm25", retrieval.top_k(bm25_scores(spark, sf_dir), k)), ("lexical", retrieval.top_k(lexical_scores(spark, sf_dir), k)), ("embedding", vector_scores(spark, sf_dir, k)))
+    got = (("bm25", bm25_best(spark, sf_dir, k)), ("lexical", lexical_best(spark, sf_dir, k)), ("embedding", vector_scores(spark, sf_dir, k)))
     out = None
     for name, df in got:
         part = df.where("score > 0").select("question_id", F.lit(name).alias("route"), "node_id", "score")
         out = part if out is None else out.unionByName(part)
-    return out
+    # A few rows for each question, which the fusion reads several times.
+    return structure.settle(out, "routes")
 
 
 @query
@@ -87,12 +92,12 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.top_k(bm25_scores(spark, sf_dir), 10), 4).select("question_id", "rank", "node_id", "score")
+    return bm25_best(spark, sf_dir, 10).select("question_id", "rank", "node_id", "score")
 
 
 @query
 def tfidf_char_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.top_k(lexical_scores(spark, sf_dir), 10), 4).select("question_id", "rank", "node_id", "score")
+    return lexical_best(spark, sf_dir, 10).select("question_id", "rank", "node_id", "score")
 
 
 @query
@@ -112,8 +117,8 @@ def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fusion.hybrid(vector_scores(spark, sf_dir, 50), retrieval.top_k(lexical_scores(spark, sf_dir), 50))
-    return rounded(retrieval.top_k(rounded(out), 10), 4).select("question_id", "rank", "node_id", "score")
+    out = fusion.hybrid(vector_scores(spark, sf_dir, 50), lexical_best(spark, sf_dir, 50))
+    return retrieval.top_k(rounded(out), 10).select("question_id", "rank", "node_id", "score")
 
 
 @query
@@ -123,19 +128,19 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.top_k(rounded(fusion.rrf(routes(spark, sf_dir), WEIGHTS)), 10), 4).select("question_id", "rank", "node_id", "score")
+    return retrieval.top_k(rounded(fusion.rrf(routes(spark, sf_dir), WEIGHTS)), 10).select("question_id", "rank", "node_id", "score")
 
 
 @query
 def multiroute_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.top_k(rounded(fusion.multiroute(routes(spark, sf_dir), WEIGHTS)), 10), 4).select("question_id", "rank", "node_id", "score", "routes")
+    return retrieval.top_k(rounded(fusion.multiroute(routes(spark, sf_dir), WEIGHTS)), 10).select("question_id", "rank", "node_id", "score", "routes")
 
 
 @query
 def bm25_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = routes(spark, sf_dir)
     out = fusion.anchor(rounded(fusion.rrf(got, WEIGHTS)), got.where("route = 'bm25'"))
-    return rounded(retrieval.top_k(rounded(out), 10), 4).select("question_id", "rank", "node_id", "score")
+    return retrieval.top_k(rounded(out), 10).select("question_id", "rank", "node_id", "score")
 
 
 @query
@@ -144,7 +149,7 @@ def doc_scoped_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scope = docs.select(F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "absent").otherwise(F.col("source")).alias("scope"))
     out = retrieval.scoped_top_k(bm25_scores(spark, sf_dir), docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("doc_id")), scope, 5)
-    return rounded(out, 4).select("question_id", "rank", "node_id", "score")
+    return out.select("question_id", "rank", "node_id", "score")
 
 
 @query
@@ -272,7 +277,7 @@ def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first one to six BM25 documents of each question as its chain."""
-    got = retrieval.top_k(bm25_scores(spark, sf_dir), 6).where(F.col("rank") <= 1 + F.col("question_id") % 6)
+    got = bm25_best(spark, sf_dir, 6).where(F.col("rank") <= 1 + F.col("question_id") % 6)
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("lang"))
     rows = got.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), kind.alias("kind")), "node_id")
     out = rows.groupBy("question_id").agg(F.collect_list("node_id").alias("nodes"), F.collect_list(F.col("node_id") % 7).alias("pages"), F.collect_list("kind").alias("kinds"), F.count_if(F.col("node_id") % 2 == 0).alias("grounded"), F.min_by("node_id", "rank").alias("top"))
@@ -292,9 +297,9 @@ def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.chain_summary(evaluate.chain_metrics(_chains(spark, sf_dir)))
 
 
-def _runs(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("lang"))
-    top = retrieval.top_k(scores, 5).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), kind.alias("kind")), "node_id")
+    top = best.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), kind.alias("kind")), "node_id")
     norm = fusion.min_max(F.col("score"), "question_id")
     out = top.withColumn("s", norm).groupBy("question_id").agg(F.collect_set("kind").alias("kinds"), F.min_by("kind", "rank").alias("top_kind"), F.count("*").alias("n_rows"), F.max("s").alias("sim"), (F.max(F.when(F.col("rank") == 1, F.col("s"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("s"))), F.lit(0.0))).alias("margin"), F.array_sort(F.collect_list(F.struct("rank", "node_id", "kind"))).alias("steps"))
     q = F.col("question_id")
@@ -302,8 +307,8 @@ def _runs(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = chains.verify(_runs(spark, sf_dir, bm25_scores(spark, sf_dir))).select("question_id", F.col("score").alias("p_score"), F.col("flags").alias("p_flags"), F.col("steps").alias("p_steps"))
-    f = chains.verify(_runs(spark, sf_dir, lexical_scores(spark, sf_dir))).select("question_id", F.col("score").alias("f_score"), F.col("flags").alias("f_flags"), F.col("steps").alias("f_steps"))
+    p = chains.verify(_runs(spark, sf_dir, bm25_best(spark, sf_dir, 5))).select("question_id", F.col("score").alias("p_score"), F.col("flags").alias("p_flags"), F.col("steps").alias("p_steps"))
+    f = chains.verify(_runs(spark, sf_dir, lexical_best(spark, sf_dir, 5))).select("question_id", F.col("score").alias("f_score"), F.col("flags").alias("f_flags"), F.col("steps").alias("f_steps"))
     return chains.choose(p.join(f, "question_id"))
 
 
@@ -485,9 +490,9 @@ def multihop_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def qrels_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as judgements: toxic documents of each quality, among those with an even id."""
+    """Labels as judgements: toxic documents of each quality, among those that are documents."""
     qrels = read(spark, sf_dir, "labels").select(F.col("quality").cast("long").alias("question_id"), F.col("doc_id").alias("node_id"), F.col("toxic").alias("score"))
-    out = benchmarks.qrels_gold(qrels, read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("node_id")))
+    out = benchmarks.qrels_gold(qrels, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id")))
     return out.select("question_id", F.array_join(F.transform("gold", lambda g: g.cast("string")), ";").alias("gold"))
 
 

@@ -50,7 +50,7 @@ def tokens(x: str) -> str:
 
 
 DOCS = "docs AS (SELECT doc_id AS node_id, coalesce(text, '') AS text FROM documents)"
-ASKED = r"asked AS (SELECT item_id AS question_id, array_to_string(string_split_regex(text, '\s+')[1:12], ' ') AS text FROM benchmark)"
+ASKED = "asked AS (SELECT item_id AS question_id, coalesce(text, '') AS text FROM benchmark)"
 BM25 = f"""{DOCS}, {ASKED},
 dt AS (SELECT node_id, {tokens('text')} AS t FROM docs), size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt),
 dw AS (SELECT node_id, len(t) AS len, unnest(t) AS term FROM dt), dp AS (SELECT node_id, len, term, count(*) AS tf FROM dw GROUP BY ALL),
@@ -93,7 +93,7 @@ normed AS (SELECT *, {ratio('score', 'question_id, route')} AS s FROM filled),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, route ORDER BY s DESC, node_id) AS r FROM normed),
 raw AS (SELECT question_id, node_id, sum(CASE WHEN s > 0 THEN weight / (60 + r) * (0.5 + 0.5 * s) ELSE 0 END) AS x FROM ranked JOIN weights USING (route) GROUP BY ALL),
 rrf AS (SELECT question_id, node_id, round({ratio('x', 'question_id')}, 6) AS score FROM raw)"""
-_FINAL = "SELECT question_id, rank, node_id, round(score, 4) AS score FROM "
+_FINAL = "SELECT question_id, rank, node_id, score FROM "
 ORACLES["bm25_tokens"] = f"WITH {DOCS}, t AS (SELECT node_id, {tokens('text')} AS t FROM docs) SELECT node_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS chars FROM t"
 ORACLES["bm25_idf"] = f"WITH {BM25} SELECT term, df, round(idf, 4) AS idf FROM di"
 ORACLES["bm25_topk"] = f"WITH {BM25} {_FINAL} ({top('bm25', 10)})"
@@ -109,7 +109,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id, route ORDER BY s DE
 g AS (SELECT question_id, node_id, sum(weight / (50 + r) * (0.35 + 0.65 * s)) AS x, count(*) AS n, list_sort(list(route || ':' || r)) AS names, bool_or(route = 'embedding') AND bool_or(route = 'bm25') AS agree FROM r JOIN weights USING (route) GROUP BY ALL),
 b AS (SELECT *, {ratio('x', 'question_id')} + least(0.08, 0.018 * (n - 1)) + CASE WHEN agree THEN 0.018 ELSE 0 END AS y FROM g),
 m AS (SELECT question_id, node_id, round({ratio('y', 'question_id')}, 6) AS score, array_to_string(names, '|') AS routes FROM b)
-SELECT question_id, rank, node_id, round(score, 4) AS score, routes FROM ({top('m', 10, ', routes')})"""
+SELECT question_id, rank, node_id, score, routes FROM ({top('m', 10, ', routes')})"""
 ORACLES["bm25_anchor"] = f"""WITH {RRF}, b AS (SELECT rrf.question_id, rrf.node_id, rrf.score, coalesce(routes.score, 0) AS b FROM rrf LEFT JOIN routes ON routes.question_id = rrf.question_id AND routes.node_id = rrf.node_id AND route = 'bm25'),
 c AS (SELECT question_id, node_id, 0.62 * score + 0.38 * ({ratio('b', 'question_id')}) AS x FROM b), a AS (SELECT question_id, node_id, round({ratio('x', 'question_id')}, 6) AS score FROM c) {_FINAL} ({top('a', 10)})"""
 ORACLES["doc_scoped_retrieval"] = f"""WITH {BM25}, p AS (SELECT b.question_id, b.node_id, b.score, d.source = CASE WHEN q.doc_id % 3 = 0 THEN 'absent' ELSE q.source END AS inside FROM bm25 b JOIN documents d ON d.doc_id = b.node_id LEFT JOIN documents q ON q.doc_id = b.question_id),
@@ -350,7 +350,7 @@ SELECT question_id, array_to_string(list_concat(pi[1:greatest(1, 5 - len(a))], a
 ORACLES["multihop_gold"] = r"""WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages), u AS (SELECT url, min(page_id) AS id FROM p WHERE url <> '' GROUP BY url), t AS (SELECT title, min(page_id) AS id FROM p WHERE title <> '' GROUP BY title),
 e AS (SELECT page_id % 40 AS question_id, page_id AS pos, coalesce(CASE WHEN page_id % 2 = 0 THEN u.id END, t.id) AS node FROM p LEFT JOIN u USING (url) LEFT JOIN t USING (title)),
 g AS (SELECT question_id, node, min(pos) AS pos FROM e WHERE node IS NOT NULL GROUP BY ALL) SELECT item_id AS question_id, coalesce(string_agg(node, ';' ORDER BY pos), '') AS gold FROM benchmark LEFT JOIN g ON question_id = item_id GROUP BY item_id"""
-ORACLES["qrels_gold"] = "SELECT quality::BIGINT AS question_id, string_agg(DISTINCT doc_id, ';' ORDER BY doc_id) AS gold FROM labels WHERE toxic > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY quality"
+ORACLES["qrels_gold"] = "SELECT quality::BIGINT AS question_id, string_agg(DISTINCT doc_id, ';' ORDER BY doc_id) AS gold FROM labels WHERE toxic > 0 AND doc_id IN (SELECT doc_id FROM documents) GROUP BY quality"
 ORACLES["variant_transform"] = f"WITH {NODES} SELECT node_id, 'text' AS node_type, CAST(length(content) AS INTEGER) AS n_chars, true AS stripped FROM nodes"
 ORACLES["ablation_deltas"] = f"WITH {JUDGED}, s AS (SELECT method, round(avg(hit_at_1), 4) AS h, round(avg(mrr), 4) AS m, round(avg(ndcg_at_5), 4) AS n FROM metrics GROUP BY method) SELECT s.method, round(s.h - b.h, 4) AS delta_hit_at_1, round(s.m - b.m, 4) AS delta_mrr, round(s.n - b.n, 4) AS delta_ndcg_at_5 FROM s, s b WHERE b.method = 'by_id'"
 _RANKED = ORACLES["multiroute_fusion"][len("WITH "):ORACLES["multiroute_fusion"].rindex("\nSELECT question_id, rank")]

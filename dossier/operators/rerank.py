@@ -1,11 +1,11 @@
-"""Reranking signals over candidates (question_id, node_id, score): context expansion, bridge score, priors, and the methods that blend them."""
+"""Reranking of candidates (question_id, node_id, score): context expansion, answer priors, and smoothing of table and text pairs."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from dossier.functions.lexicon import RELATION_WEIGHTS, TYPE_WEIGHTS, VISUAL_TYPES
+from dossier.functions.lexicon import VISUAL_TYPES
 from dossier.functions.text import is_toc_entry
 from dossier.operators.fusion import min_max
 
@@ -39,30 +39,6 @@ def expand_context(candidates: DataFrame, nodes: DataFrame, k: int, seeds: int =
     return merged.withColumn("rank", F.row_number().over(by_score).cast("long")).where(F.col("rank") <= k).drop("node_pos")
 
 
-def bridge(candidates: DataFrame, nodes: DataFrame, graph: DataFrame, tau: float = 0.2) -> DataFrame:
-    """(question_id, node_id, score): how well a candidate ties together neighbours of other kinds that are near the question.
-
-    graph: (u, v, weight, edge_types). A neighbour counts by its strongest relation, its kind and its similarity; those below tau only if visual."""
-    kinds = nodes.select("node_id", "node_type", is_toc_entry(F.col("content")).alias("toc"))
-    strongest = F.array_max(F.transform("edge_types", lambda t: _map(RELATION_WEIGHTS, t, RELATION_WEIGHTS["related"])))
-    links = graph.select(F.col("u").alias("x"), F.col("v").alias("y"), strongest.alias("relation"))
-    links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "relation"))
-    degree = links.groupBy(F.col("x").alias("node_id")).agg(F.count("*").alias("degree"))
-    own = candidates.select("question_id", "node_id").join(kinds, "node_id")
-    sims = candidates.select("question_id", F.col("node_id").alias("y"), F.greatest(F.col("score"), F.lit(0.0)).alias("sim"))
-    around = own.select("question_id", F.col("node_id").alias("x")).join(links, "x").join(kinds.select(F.col("node_id").alias("y"), F.col("node_type").alias("kind"), F.col("toc").alias("hidden")), "y")
-    around = around.where(F.col("kind").isin("text", "table", "figure", "page", "caption") & ~F.col("hidden")).join(sims, ["question_id", "y"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    around = around.where((F.col("sim") >= tau) | F.col("kind").isin(*VISUAL_TYPES))
-    weight = _map(TYPE_WEIGHTS, F.col("kind"), 0.0)
-    got = around.groupBy("question_id", F.col("x").alias("node_id")).agg(F.sum(F.col("relation") * weight * (0.5 + F.col("sim"))).alias("near"), F.sum(weight).alias("covered"))
-    out = own.join(got, ["question_id", "node_id"], "left").join(degree, "node_id", "left")
-    mine = _map(TYPE_WEIGHTS, F.col("node_type"), 0.0)
-    target = max(1.0, sum(TYPE_WEIGHTS.values()))
-    coverage = F.least(F.lit(1.0), (mine + F.coalesce("covered", F.lit(0.0))) / target)
-    score = (0.35 * mine + 0.65 * F.coalesce("near", F.lit(0.0))) * coverage / F.ln(2.0 + F.least(F.coalesce("degree", F.lit(0)), F.lit(12)))
-    return out.select("question_id", "node_id", F.when(F.col("toc"), 0.0).otherwise(score).alias("score"))
-
-
 def reference_weight(node_type: Column, has_table: Column) -> Column:
     """What a node that a question refers to is worth, by its kind."""
     table = _map({"table": 0.9, "caption": 0.95, "text": 0.75, "page": 0.1, "figure": 0.1}, node_type, 0.2)
@@ -85,16 +61,3 @@ def smooth_pairs(scores: DataFrame, nodes: DataFrame) -> DataFrame:
     drawn = F.when(pair, F.greatest(F.col("s"), 0.72 * F.col("s") + 0.28 * F.max("s").over(w))).otherwise(F.col("s"))
     out = placed.withColumn("d", drawn)
     return out.select("question_id", "node_id", min_max(F.col("d"), "question_id").alias("score"))
-
-
-def methods(signals: DataFrame, alpha: float = 0.93, beta: float = 0.07, sim: float = 0.85, ppr: float = 0.0, bridge: float = 0.15, ref: float = 0.1) -> DataFrame:
-    """(question_id, method, rank, node_id, score) of G1 to G3. signals: (question_id, node_id, sim, ppr, bridge, ref), normalised here over a question's candidates."""
-    out = signals
-    for c in ("sim", "ppr", "bridge", "ref"):
-        out = out.withColumn(f"_{c}", min_max(F.col(c), "question_id"))
-    out = out.withColumn("_r", F.when(F.max("_ref").over(Window.partitionBy("question_id")) > 0, min(ref, sim)).otherwise(0.0))
-    g3 = (sim - F.col("_r")) * F.col("_sim") + ppr * F.col("_ppr") + bridge * F.col("_bridge") + F.col("_r") * F.col("_ref")
-    each = F.array(*[F.struct(F.lit(m).alias("method"), F.round(s, 6).alias("score")) for m, s in (("G1", F.col("_sim")), ("G2", alpha * F.col("_sim") + beta * F.col("_ppr")), ("G3", g3))])
-    long = out.withColumn("e", F.explode(each)).select("question_id", "node_id", "e.method", "e.score")
-    rank = F.row_number().over(Window.partitionBy("question_id", "method").orderBy(F.desc("score"), "node_id")).cast("long")
-    return long.withColumn("rank", rank)

@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions import text as T
-from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, questions, rerank, retrieval, sparse, structure, tables
+from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, planning, questions, rerank, retrieval, signals, sparse, structure, tables
 from dossier.operators import routes as routes_of
 from dossier.sources import benchmarks
 from dossier.sources.tables import document_nodes
@@ -169,13 +169,57 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("node_id", F.md5(T.clean_text(c).cast("binary")).alias("clean_md5"), T.preview(c, 60).alias("preview"), F.size(T.split_multi(c)).cast("long").alias("parts"), T.is_toc_entry(c).alias("toc"))
 
 
+#: What is asked of each document, after its title.
+ASKS = ("", "in the table?", "as shown in Figure 1", "compare the table and the chart of both", "on which page, 定位", "how do I return the dishwasher for a refund?", "what was net sales growth in 2019 in Table 2?", "what came before and after it")
+
+
+def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each document: its title and one of ASKS."""
+    ask = F.element_at(F.array(*map(F.lit, ASKS)), (F.pmod(F.col("doc_id"), F.lit(len(ASKS))) + 1).cast("int"))
+    return lines(spark, sf_dir).where("node_pos = 0").select(F.col("doc_id").alias("question_id"), F.concat_ws(" ", "content", ask).alias("question"), F.lit("").alias("question_type"), F.col("content").alias("title"))
+
+
+def planned(spark: SparkSession, sf_dir: str, asked_of: DataFrame) -> DataFrame:
+    plans = planning.query_plan(questions.understand(asked_of))
+    return planning.anchor_weight(planning.g4_profile(planning.graph_multipliers(planning.graph_profile(plans))))
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question, one for each route, and one of each document."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.coalesce("text", F.lit("")).alias("question"), F.lit("").alias("question_type")).dropDuplicates()
+    fixed = spark.sql(f"SELECT question_id, question, question_type FROM VALUES {QUESTION_FIXTURE} AS t(question_id, question, question_type)")
+    own = document_questions(spark, sf_dir).select(F.concat(F.lit("d"), F.col("question_id").cast("string")).alias("question_id"), "question", "question_type")
+    return turns.unionByName(fixed).unionByName(own)
+
+
 @query
 def document_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in fixed sentences: the tables hold none."""
-    rows = spark.sql("SELECT id, s FROM VALUES (1L, 'See Figure 2 and fig. 3b'), (2L, 'F i g u r e 12 beside T a b l e S1'), (3L, '如图 4 和表2所示'), (4L, 'Table of contents'), (5L, 'Tables and figures'), (6L, '') AS t(id, s)")
+    """References of the documents' questions and of fixed sentences."""
+    rows = spark.sql("SELECT id, s FROM VALUES (-1L, 'See Figure 2 and fig. 3b'), (-2L, 'F i g u r e 12 beside T a b l e S1'), (-3L, '如图 4 和表2所示'), (-4L, 'Table of contents'), (-5L, 'Tables and figures'), (-6L, '') AS t(id, s)")
+    rows = rows.unionByName(document_questions(spark, sf_dir).select(F.col("question_id").alias("id"), F.col("question").alias("s")))
     return rows.select("id", F.array_join(T.document_refs(F.col("s")), ";").alias("refs"))
 
 
+@query
+def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = planned(spark, sf_dir, said(spark, sf_dir))
+    return out.select("question_id", "route", "profile", "has_refs", "context_expansion", "rerank_boost", "graph_boost", planning.plan_summary().alias("summary"), *[F.round(f"x_{r}", 4).alias(f"x_{r}") for r in planning.ROUTES])
+
+
+@query
+def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of routes by profile and plan, those of the precision profile, and how many nodes each route may bring."""
+    out = planning.route_limits(planning.precision_weights(planning.route_weights(planned(spark, sf_dir, said(spark, sf_dir)))))
+    return out.select("question_id", "bm25_anchor", *[F.col(f"{k}_{r}") for k in "wp" for r in planning.ROUTES], *[F.col(f"n_{r}") for r in planning.ROUTES])
+
+
+@query
+def graph_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kinds of nodes and relations are worth for each question, and the bounds of the ranker's weights."""
+    out = planned(spark, sf_dir, said(spark, sf_dir))
+    return out.select("question_id", "ppr_mult", "bridge_mult", "ref_mult", *[F.element_at("kind_weights", F.lit(k)).alias(f"kind_{k}") for k in planning.KINDS], *[F.element_at("relation_weights", F.lit(k)).alias(f"rel_{k}") for k in ("text_ref_table", "text_ref_figure", "table_caption", "figure_caption", "same_page", "belongs_to_page", "same_section", "chunk_sequence", "section_title")], *[c for c in out.columns if c.startswith("g4_")])
+
+
 @query
 def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chunk_context(lines(spark, sf_dir))
@@ -315,7 +359,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def verifier_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _decisions(spark, sf_dir)
-    return out.select("question_id", F.round("p_score", 4).alias("p_score"), F.round("f_score", 4).alias("f_score"), F.array_join("p_flags", ";").alias("p_flags"), F.array_join("f_flags", ";").alias("f_flags"), "source")
+    return out.select("question_id", "p_score", "f_score", F.array_join("p_flags", ";").alias("p_flags"), F.array_join("f_flags", ";").alias("f_flags"), "source")
 
 
 @query
@@ -380,34 +424,79 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.communities(nodes, knowledge.node_terms(nodes))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with what they name, and for table rows with three bars and more a caption."""
+    caption = F.when((F.col("node_type") == "table") & (F.length("content") - F.length(F.replace("content", F.lit("|"), F.lit(""))) >= 3), F.col("content")).otherwise("")
+    return signals.node_refs(lines(spark, sf_dir)).withColumn("visual_caption", caption)
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a question, its first twenty lines as candidates, the earlier the better."""
+    """Each document's question with all its lines, by their likeness to its title."""
     nodes = lines(spark, sf_dir)
-    return nodes.where("node_pos < 20").select(F.col("doc_id").alias("question_id"), "node_id", (1.0 / (1 + F.col("node_pos"))).alias("score"))
+    title = F.first("content").over(Window.partitionBy("doc_id").orderBy("node_pos"))
+    return nodes.select(F.col("doc_id").alias("question_id"), "node_id", F.round(T.char_jaccard(title, F.col("content")), 6).alias("sim"))
 
 
 @query
 def context_expansion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rerank.expand_context(_candidates(spark, sf_dir).where("score >= 0.2"), lines(spark, sf_dir), 24)
+    """The ten likest lines of each document, and their companions."""
+    first = retrieval.top_k(_candidates(spark, sf_dir).withColumnRenamed("sim", "score"), 10).select("question_id", "node_id", "score")
+    out = rerank.expand_context(first, lines(spark, sf_dir), 24)
     return out.select("question_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.collapse(structure.all_edges(lines(spark, sf_dir)))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every signal of the documents' candidates, and the questions' plans."""
+    plans = structure.settle(planned(spark, sf_dir, document_questions(spark, sf_dir)), "plans")
+    cand, nodes, graph = _candidates(spark, sf_dir), _placed(spark, sf_dir), structure.settle(_graph(spark, sf_dir), "graph")
+    got = signals.graph_signals(cand, nodes, graph, plans)
+    ppr = _walked(spark, sf_dir, graph).select("question_id", "node_id", F.round("score", 6).alias("ppr"))
+    ref = signals.reference_scores(cand, nodes, graph, plans).withColumnRenamed("score", "ref")
+    out = got.join(ppr, ["question_id", "node_id"], "left").join(ref, ["question_id", "node_id"]).withColumn("ppr", F.coalesce("ppr", F.lit(0.0)))
+    return structure.settle(out, "signals"), plans
+
+
+def _walked(spark: SparkSession, sf_dir: str, graph: DataFrame) -> DataFrame:
+    links = structure.both_ways(graph).select(F.split("x", "_")[1].cast("long").alias("question_id"), "x", "y", "weight")
+    return signals.walk(links, _candidates(spark, sf_dir).select("question_id", "node_id", F.col("sim").alias("weight")))
+
+
 @query
-def bridge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = lines(spark, sf_dir)
-    return rounded(rerank.bridge(_candidates(spark, sf_dir), nodes, structure.collapse(structure.all_edges(nodes))), 5)
+def personalised_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk over each document's graph from its lines, as far as they are like its title, to its end."""
+    return _walked(spark, sf_dir, _graph(spark, sf_dir)).select("question_id", "node_id", F.round("score", 6).alias("score"))
+
+
+@query
+def graph_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridge, modality, visual grounding and chain coherence of every line."""
+    plans = planned(spark, sf_dir, document_questions(spark, sf_dir))
+    return signals.graph_signals(_candidates(spark, sf_dir), _placed(spark, sf_dir), _graph(spark, sf_dir), plans).drop("caption")
+
+
+@query
+def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = planned(spark, sf_dir, document_questions(spark, sf_dir))
+    return signals.reference_scores(_candidates(spark, sf_dir), _placed(spark, sf_dir), _graph(spark, sf_dir), plans)
+
+
+@query
+def local_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's question against its lines, fitted on these alone."""
+    asks = document_questions(spark, sf_dir).select("question_id", "question")
+    pairs = lines(spark, sf_dir).select(F.col("doc_id").alias("question_id"), "node_id", F.col("content").alias("text")).join(asks, "question_id")
+    return signals.local_lexical(pairs)
 
 
 @query
 def g_methods_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 to G3 over the candidates, the bridge score and a reference to every seventh line."""
-    nodes = lines(spark, sf_dir)
-    cand = _candidates(spark, sf_dir)
-    bridges = rounded(rerank.bridge(cand, nodes, structure.collapse(structure.all_edges(nodes)))).withColumnRenamed("score", "bridge")
-    kind = nodes.select("node_id", F.col("node_type").alias("kind"), "node_pos")
-    ref = F.when(F.col("node_pos") % 7 == 3, rerank.reference_weight(F.col("kind"), F.lit(True))).otherwise(0.0)
-    signals = cand.withColumnRenamed("score", "sim").join(bridges, ["question_id", "node_id"]).join(kind, "node_id").select("question_id", "node_id", "sim", F.round(1.0 / (2 + F.col("node_pos") % 5), 6).alias("ppr"), "bridge", ref.alias("ref"))
-    return rounded(rerank.methods(signals).where("rank <= 5"), 4)
+    """G0 to G4: the five best lines of every document by each method, over all signals."""
+    got, plans = _signals(spark, sf_dir)
+    return signals.rank_methods(got, plans, 5)
 
 
 @query
@@ -447,7 +536,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(routes_of.all_routes(_flagged(spark, sf_dir)), 4)
+    return rounded(routes_of.all_routes(_flagged(spark, sf_dir)), 8)
 
 
 @query
@@ -459,12 +548,12 @@ def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = lines(spark, sf_dir)
-    graph = structure.collapse(structure.all_edges(nodes))
-    links = structure.both_ways(graph).withColumnRenamed("weight", "relation")
-    p = F.col("node_pos")
-    ranked = nodes.where("node_pos < 20").select(F.col("doc_id").alias("question_id"), "node_id", (p + 1).cast("long").alias("rank"), (1.0 / (1 + p)).alias("score"), (p % 3 / 3).alias("bridge"), F.when(p % 9 == 4, 0.5).otherwise(0.0).alias("ref"), (F.col("doc_id") % 2 == 0).alias("wants_visual"))
-    return chains.build(ranked, nodes, links)
+    """Chains from the ten best lines by G4, with their bridge and reference scores."""
+    got, plans = _signals(spark, sf_dir)
+    best = signals.rank_methods(got, plans, 10).where("method = 'G4'")
+    ranked = best.join(got.select("question_id", "node_id", "bridge", "ref"), ["question_id", "node_id"]).join(plans.select("question_id", "wants_visual"), "question_id")
+    links = structure.both_ways(_graph(spark, sf_dir)).withColumnRenamed("weight", "relation")
+    return chains.build(ranked, lines(spark, sf_dir), links)
 
 
 @query

@@ -7,7 +7,8 @@ import re
 from dossier.functions import lexicon as L
 from dossier.functions.text import term_pattern
 from dossier.operators.knowledge import FOREIGN, STOP_TERMS, TERM
-from dossier.plans.catalog import KINDS, QUESTION_FIXTURE, WEIGHTS
+from dossier.operators import planning as P
+from dossier.plans.catalog import ASKS, KINDS, QUESTION_FIXTURE, WEIGHTS
 
 ORACLES: dict[str, str] = {}
 
@@ -130,7 +131,6 @@ ORACLES["char_jaccard"] = f"""WITH {NODES}, c AS (SELECT node_id, regexp_extract
 s AS (SELECT node_id, {_BIGRAMS.format('x')} AS a, {_BIGRAMS.format('y')} AS b FROM c) SELECT node_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 4) AS jaccard FROM s"""
 ORACLES["document_nodes_table"] = f"WITH {NODES} SELECT node_id, doc_id, page, node_type, section, node_pos, CAST(length(content) AS INTEGER) AS n_chars FROM nodes"
 ORACLES["text_functions"] = f"WITH {NODES} SELECT node_id, md5({clean('content')}) AS clean_md5, {preview('content', 60)} AS preview, len(list_filter(list_transform(string_split_regex(content, '[;；,，|]'), lambda p: {clean('p')}), lambda p: p <> '')) AS parts, contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$') AS toc FROM nodes"
-ORACLES["document_refs"] = "SELECT * FROM (VALUES (1::BIGINT, 'figure:2;figure:3'), (2, 'figure:12;table:s1'), (3, 'figure:4;table:2'), (4, ''), (5, ''), (6, '')) AS t(id, refs)"
 ORACLES["chunk_context"] = f"""WITH {NODES} SELECT node_id, doc_id, CAST(row_number() OVER w AS INTEGER) AS chunk_order, lag(node_id) OVER w AS previous_node_id, lead(node_id) OVER w AS next_node_id, lag({preview('content', 120)}) OVER w AS previous_preview, lead({preview('content', 120)}) OVER w AS next_preview FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY node_pos)"""
 ORACLES["margin_text"] = f"""WITH {NODES}, k AS (SELECT doc_id, page, substr(regexp_replace(lower(content), '[^0-9a-z一-鿿]+', '', 'g'), 1, 100) AS key FROM nodes), p AS (SELECT doc_id, count(DISTINCT page) AS n FROM nodes GROUP BY doc_id),
 s AS (SELECT doc_id, key, count(DISTINCT page) AS pages FROM k WHERE key <> '' GROUP BY ALL) SELECT doc_id, key, pages FROM s JOIN p USING (doc_id) WHERE pages >= greatest(2, ceil(0.25 * n))"""
@@ -170,17 +170,19 @@ def _count(x: str, terms: tuple[str, ...], whole: bool = True) -> str:
 
 
 _PRODUCTS = tuple(dict.fromkeys([*L.PRODUCT_ALIASES, *(a for g in L.PRODUCT_ALIASES.values() for a in g)]))
-ORACLES["question_understanding"] = f"""WITH s AS (SELECT conv_id || '-' || turn AS question_id, text AS question, '' AS question_type FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES {QUESTION_FIXTURE}) AS f(question_id, question, question_type)),
-b AS (SELECT *, {fold(clean('question'))} AS q, {fold(clean('question_type'))} AS t, {clean('question')} AS plain FROM s), c AS (SELECT *, trim(t || ' ' || q) AS blob FROM b),
+UNDERSTOOD = f"""b AS (SELECT *, {fold(clean('question'))} AS q, {fold(clean('question_type'))} AS t, {clean('question')} AS plain FROM s), c AS (SELECT *, trim(t || ' ' || q) AS blob FROM b),
 i AS (SELECT *, {any_of('blob', L.TABLE_TERMS)} OR contains(t, 'table') AS wants_table, {any_of('blob', L.FIGURE_TERMS)} OR contains(t, 'image') OR contains(t, 'figure') AS wants_figure, {any_of('blob', L.LOCATION_TERMS)} AS wants_location, {any_of('t', L.TEXT_FACT_TERMS)} AS text_fact FROM c),
 j AS (SELECT *, {any_of('blob', L.CROSS_MODAL_TERMS)} OR (wants_table AND wants_figure) AS wants_cross FROM i),
 k AS (SELECT *, {any_of('t', L.VISUAL_TYPE_TERMS)} OR wants_table OR wants_figure OR wants_cross OR wants_location AS wants_visual, {part_of('t', L.STRUCTURED_TYPE_TERMS)} OR ({part_of('blob', L.TABLEISH_TERMS)} AND regexp_matches(q, '[$%]|\\b\\d+') AND {part_of('q', L.STRUCTURED_QUERY_TERMS)}) AS structured,
   {_count('q', L.MULTIHOP_QUERY_TERMS, False)} AS hits, len(regexp_extract_all(plain, '\\b[A-Z][A-Za-z0-9&.''-]{{2,}}')) AS names, {any_of('blob', _PRODUCTS, False)} AS has_product, {any_of('blob', L.AFTER_SALES_HINTS)} AS hinted,
   [{', '.join(_count('blob', v) for v in L.AFTER_SALES_TERMS.values())}] AS h FROM j),
 l AS (SELECT *, {part_of('t', L.MULTIHOP_TYPE_TERMS)} OR hits >= 2 OR (hits >= 1 AND names >= 2) AS hops, len(list_filter(h, lambda x: x > 0)) AS kinds, list_max(h) AS most, h[6] > 0 OR h[7] > 0 AS generic FROM k),
-m AS (SELECT *, CASE WHEN kinds = 0 OR (kinds = 1 AND generic AND NOT (hinted OR has_product)) THEN CASE WHEN hinted THEN 0.45 ELSE 0 END ELSE least(1.0, 0.35 + 0.18 * most) END::DOUBLE AS score FROM l)
-SELECT question_id, wants_table, wants_figure, wants_cross, wants_location, wants_visual, structured, hops, has_product, round(score, 4) AS sales_score,
-  CASE WHEN structured THEN 'structured_table' WHEN hops THEN 'multihop_graph' WHEN score > 0 AND wants_visual THEN 'after_sales_visual' WHEN score > 0 THEN 'after_sales_policy' WHEN wants_cross THEN 'cross_modal' WHEN wants_table OR wants_figure OR wants_location THEN 'visual_grounding' WHEN text_fact THEN 'text_fact' ELSE 'general_text' END AS route FROM m"""
+m AS (SELECT *, CASE WHEN kinds = 0 OR (kinds = 1 AND generic AND NOT (hinted OR has_product)) THEN CASE WHEN hinted THEN 0.45 ELSE 0 END ELSE least(1.0, 0.35 + 0.18 * most) END::DOUBLE AS score FROM l),
+und AS (SELECT *, CASE WHEN structured THEN 'structured_table' WHEN hops THEN 'multihop_graph' WHEN score > 0 AND wants_visual THEN 'after_sales_visual' WHEN score > 0 THEN 'after_sales_policy' WHEN wants_cross THEN 'cross_modal' WHEN wants_table OR wants_figure OR wants_location THEN 'visual_grounding' WHEN text_fact THEN 'text_fact' ELSE 'general_text' END AS route, list_position(list_transform(h, lambda x: CASE WHEN x > 0 THEN least(1.0, 0.35 + 0.18 * x) ELSE 0 END), list_max(list_transform(h, lambda x: CASE WHEN x > 0 THEN least(1.0, 0.35 + 0.18 * x) ELSE 0 END))) AS strongest FROM m),
+prof AS (SELECT *, CASE WHEN score > 0 THEN CASE WHEN kinds = 0 THEN 'after_sales' WHEN strongest <= 4 AND NOT has_product THEN 'policy' WHEN strongest = 5 THEN 'troubleshooting' WHEN strongest >= 6 THEN CASE WHEN wants_visual THEN 'manual_visual' ELSE 'manual' END ELSE 'after_sales' END
+  WHEN structured THEN 'structured_table' WHEN wants_table OR wants_figure OR wants_cross OR wants_location THEN 'visual' WHEN text_fact THEN 'text_fact' ELSE 'general' END AS profile FROM und)"""
+ORACLES["question_understanding"] = f"""WITH s AS (SELECT conv_id || '-' || turn AS question_id, text AS question, '' AS question_type FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES {QUESTION_FIXTURE}) AS f(question_id, question, question_type)), {UNDERSTOOD}
+SELECT question_id, wants_table, wants_figure, wants_cross, wants_location, wants_visual, structured, hops, has_product, round(score, 4) AS sales_score, route FROM und"""
 
 JUDGED = f"""{vectors('vec_id % 20 = 0', 10)}, both_ways AS (SELECT question_id, node_id, 'cosine' AS method, rank, label = want AS relevant, want FROM embedding UNION ALL SELECT question_id, node_id, 'by_id', row_number() OVER (PARTITION BY question_id ORDER BY node_id), label = want, want FROM embedding),
 ideal AS (SELECT label AS want, count(*) AS ideal FROM embeddings GROUP BY label),
@@ -248,35 +250,10 @@ ORACLES["communities"] = f"""WITH {KG}, n AS (SELECT *, CASE WHEN section <> ''
 s AS (SELECT n.doc_id, n.label, term, count(*) AS c FROM terms JOIN n USING (node_id) WHERE place <= 8 GROUP BY ALL), t AS (SELECT doc_id, label, string_agg(term, '|' ORDER BY c DESC, term) AS top_terms FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY c DESC, term) <= 10) GROUP BY ALL)
 SELECT doc_id, label, node_count, pages, n_tables, coalesce(top_terms, '') AS top_terms FROM o LEFT JOIN t USING (doc_id, label)"""
 
-CANDIDATES = "cand AS (SELECT doc_id AS question_id, node_id, 1.0::DOUBLE / (1 + node_pos) AS score FROM nodes WHERE node_pos < 20)"
-_VIS = "('table', 'figure', 'caption')"
-ORACLES["context_expansion_topk"] = f"""WITH {NODES}, {CANDIDATES}, p AS (SELECT c.*, doc_id, section, page, node_type, node_pos FROM cand c JOIN nodes USING (node_id) WHERE score >= 0.2),
-s AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_pos) AS r FROM p QUALIFY r <= 14), o AS (SELECT * FROM nodes WHERE NOT (contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$'))),
-b AS (SELECT s.question_id, s.node_id AS seed, s.node_type AS kind, s.node_pos AS seed_pos, s.score AS lent, o.node_id, o.node_type, o.node_pos, 0.82 AS base FROM s JOIN o ON s.doc_id = o.doc_id AND s.section = o.section AND s.section <> '' UNION ALL
-  SELECT s.question_id, s.node_id, s.node_type, s.node_pos, s.score, o.node_id, o.node_type, o.node_pos, 0.62 FROM s JOIN o ON s.doc_id = o.doc_id AND s.page = o.page),
-v AS (SELECT question_id, seed, node_id, node_pos, max(round(lent * least(1.0, base::DOUBLE + CASE WHEN node_type IN {_VIS} THEN 0.12 ELSE 0 END + CASE WHEN kind IN {_VIS} AND node_type = 'text' THEN 0.05 ELSE 0 END) * (0.75 + 0.25 / sqrt(1.0 + least(abs(seed_pos - node_pos), 24))) * CASE WHEN node_type IN {_VIS} THEN 1.0 ELSE 0.92 END, 9)) AS value FROM b WHERE seed <> node_id GROUP BY ALL),
-k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id, seed ORDER BY value DESC, node_pos) <= 8),
-m AS (SELECT question_id, node_id, node_pos, max(score) AS score FROM (SELECT question_id, node_id, node_pos, value AS score FROM k UNION ALL SELECT question_id, node_id, node_pos, score FROM p) GROUP BY ALL)
-SELECT question_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY m.score DESC, node_pos) AS rank FROM m QUALIFY rank <= 24"""
-
-
 def _weights(d: dict[str, float], x: str, default: float) -> str:
     return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in d.items()) + f" ELSE {default}::DOUBLE END"
 
 
-BRIDGE = f"""{ALL}, {CANDIDATES}, rel AS (SELECT source_id AS u, target_id AS v, max({_weights(L.RELATION_WEIGHTS, 'edge_type', 0.2)}) AS relation FROM edges WHERE source_id <> target_id GROUP BY ALL),
-rl AS (SELECT u AS x, v AS y, relation FROM rel UNION ALL SELECT v, u, relation FROM rel), dg AS (SELECT x AS node_id, count(*) AS degree FROM rl GROUP BY x),
-toc AS (SELECT node_id, node_type, contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$') AS toc FROM nodes),
-ar AS (SELECT c.question_id, rl.x, relation, n.node_type AS kind, coalesce(s.score, 0) AS sim FROM cand c JOIN rl ON rl.x = c.node_id JOIN toc n ON n.node_id = rl.y LEFT JOIN cand s ON s.question_id = c.question_id AND s.node_id = rl.y
-  WHERE NOT n.toc AND n.node_type IN ('text', 'table', 'figure', 'page', 'caption') AND (coalesce(s.score, 0) >= 0.2 OR n.node_type IN {_VIS})),
-ag AS (SELECT question_id, x AS node_id, sum(relation * {_weights(L.TYPE_WEIGHTS, 'kind', 0)} * (0.5 + sim)) AS near, sum({_weights(L.TYPE_WEIGHTS, 'kind', 0)}) AS covered FROM ar GROUP BY ALL),
-br AS (SELECT c.question_id, c.node_id, CASE WHEN toc THEN 0 ELSE (0.35 * {_weights(L.TYPE_WEIGHTS, 'node_type', 0)} + 0.65 * coalesce(near, 0)) * least(1.0, ({_weights(L.TYPE_WEIGHTS, 'node_type', 0)} + coalesce(covered, 0)) / {max(1.0, sum(L.TYPE_WEIGHTS.values()))}) / ln(2.0 + least(coalesce(degree, 0), 12)) END AS score
-  FROM cand c JOIN toc USING (node_id) LEFT JOIN ag ON ag.question_id = c.question_id AND ag.node_id = c.node_id LEFT JOIN dg ON dg.node_id = c.node_id)"""
-ORACLES["bridge_score"] = f"WITH {BRIDGE} SELECT question_id, node_id, round(score, 5) AS score FROM br"
-ORACLES["g_methods_rank"] = f"""WITH {BRIDGE}, sg AS (SELECT c.question_id, c.node_id, c.score AS sim, round(1.0 / (2 + node_pos % 5), 6)::DOUBLE AS ppr, round(br.score, 6) AS bridge, CASE WHEN node_pos % 7 = 3 THEN {_weights({"table": 0.9, "caption": 0.95, "text": 0.75, "page": 0.1, "figure": 0.1}, 'node_type', 0.2)} ELSE 0 END AS ref FROM cand c JOIN br ON br.question_id = c.question_id AND br.node_id = c.node_id JOIN nodes n ON n.node_id = c.node_id),
-sn AS (SELECT question_id, node_id, {', '.join(f"{ratio(c, 'question_id')} AS n_{c}" for c in ('sim', 'ppr', 'bridge', 'ref'))} FROM sg), sr AS (SELECT *, CASE WHEN max(n_ref) OVER (PARTITION BY question_id) > 0 THEN 0.1 ELSE 0 END AS r FROM sn),
-mt AS (SELECT question_id, node_id, 'G1' AS method, round(n_sim, 6)::DOUBLE AS score FROM sr UNION ALL SELECT question_id, node_id, 'G2', round(0.93 * n_sim + 0.07 * n_ppr, 6)::DOUBLE FROM sr UNION ALL SELECT question_id, node_id, 'G3', round((0.85 - r) * n_sim + 0.15 * n_bridge + r * n_ref, 6)::DOUBLE FROM sr)
-SELECT question_id, node_id, method, round(score, 4) AS score, row_number() OVER (PARTITION BY question_id, method ORDER BY mt.score DESC, node_id) AS rank FROM mt QUALIFY rank <= 5"""
 ORACLES["answer_priors"] = f"""WITH {NODES} SELECT node_id, round(CASE node_type WHEN 'title' THEN 0.72 WHEN 'text' THEN 1.08 ELSE (CASE WHEN doc_id % 3 = 0 THEN 1.08 WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 7 = 0 THEN 1.02 ELSE 0.92 END ELSE 0.72 END) * CASE WHEN doc_id % 5 = 0 THEN 0.55 ELSE 1 END END, 4)::DOUBLE AS prior FROM nodes"""
 ORACLES["layout_reading_order"] = f"""WITH {NODES}, b AS (SELECT doc_id, page, node_id AS block_id, node_pos % 10 AS i, length(trim(content)) >= 20 AS ok FROM nodes), k AS (SELECT *, i % 5 = 4 AS wide FROM b),
 c AS (SELECT doc_id, page, count(*) FILTER (WHERE ok AND NOT wide AND i % 2 = 0) AS l, count(*) FILTER (WHERE ok AND NOT wide AND i % 2 = 1) AS r FROM k GROUP BY ALL), d AS (SELECT k.*, l + r >= 8 AND l >= 3 AND r >= 3 AS two FROM k JOIN c USING (doc_id, page)),
@@ -296,7 +273,7 @@ r AS (SELECT question_id, node_id, 'lexical' AS route, l AS score FROM f UNION A
   UNION ALL SELECT question_id, node_id, 'visual', CASE WHEN wants_visual THEN l + {_plus("wants_table AND node_type = 'table'", 0.35)} + {_plus("wants_figure AND node_type IN ('figure', 'caption')", 0.35)} + {_plus("node_type IN ('table', 'figure', 'caption')", 0.15)} + {_plus('bbox', 0.05)} + {_plus('captioned', 0.08)} ELSE 0 END FROM f
   UNION ALL SELECT question_id, node_id, 'table', CASE WHEN NOT (structured OR wants_table OR wants_cross) THEN 0 WHEN node_type = 'table' THEN l + 0.32::DOUBLE + {_plus('has_headers', 0.1)} + {_plus('has_facts', 0.1)} + {_plus('numeric AND has_numbers', 0.12)} + {_plus('structured', 0.12)} WHEN node_type = 'text' THEN 0.58::DOUBLE * l ELSE l END FROM f
   UNION ALL SELECT question_id, node_id, 'layout', CASE WHEN wants_location THEN {_plus('bbox', 0.35)} + {_plus('page_image', 0.15)} + {_plus('crop_image', 0.2)} + {_plus('parsed', 0.1)} ELSE 0 END FROM f)
-SELECT question_id, route, node_id, round(score, 4) AS score FROM r QUALIFY max(r.score) OVER (PARTITION BY question_id, route) > 0"""
+SELECT question_id, route, node_id, round(score, 8) AS score FROM r QUALIFY max(r.score) OVER (PARTITION BY question_id, route) > 0"""
 
 
 def _count_words(words: tuple[str, ...]) -> str:
@@ -307,16 +284,6 @@ ORACLES["domain_scores"] = f"""WITH d AS (SELECT doc_id AS id, lower(coalesce(te
 r AS (SELECT *, list_sort([(-k_a, 'a', s_a), (-k_b, 'b', s_b), (-k_c, 'c', s_c)]) AS r FROM k)
 SELECT id, k_a, k_b, k_c, CASE WHEN -r[1][1] < 2 OR r[1][3] = 0 OR (r[2][1] < 0 AND -r[1][1] < -1.15 * r[2][1] AND r[1][3] <= r[2][3]) THEN 'general' ELSE r[1][2] END AS domain FROM r"""
 ORACLES["corpus_index"] = f"WITH {NODES}, n AS (SELECT doc_id, max(page) AS pages, count(*) FILTER (WHERE node_type = 'title') AS title, count(*) FILTER (WHERE node_type = 'text') AS text, count(*) FILTER (WHERE node_type = 'table') AS tab FROM nodes GROUP BY doc_id), q AS (SELECT item_id, count(*) AS questions FROM benchmark GROUP BY item_id) SELECT coalesce(doc_id, item_id) AS doc_id, coalesce(pages, 0) AS pages, coalesce(title, 0) AS title, coalesce(text, 0) AS text, coalesce(tab, 0) AS \"table\", coalesce(questions, 0) AS questions FROM n FULL JOIN q ON doc_id = item_id"
-_P = "node_pos"
-ORACLES["evidence_chain"] = f"""WITH {ALL}, i AS (SELECT * FROM nodes WHERE NOT (contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\\\.{{4,}}\\\\s*[0-9]+\\\\s*$'))),
-rows_ AS (SELECT doc_id AS question_id, *, 1.0::DOUBLE / (1 + {_P}) AS score, {_P} % 3 / 3.0::DOUBLE AS bridge, CASE WHEN {_P} % 9 = 4 THEN 0.5 ELSE 0 END::DOUBLE AS ref, doc_id % 2 = 0 AS wants, row_number() OVER (PARTITION BY doc_id ORDER BY {_P}) AS n FROM i WHERE {_P} < 20),
-pg AS (SELECT DISTINCT question_id, page FROM rows_ WHERE n <= 3),
-nr AS (SELECT r.* FROM rows_ r JOIN pg USING (question_id, page) WHERE wants AND node_type IN ('table', 'figure', 'caption') QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n) = 1),
-ar AS (SELECT r.question_id, l.y AS node_id, row_number() OVER (PARTITION BY r.question_id ORDER BY l.weight DESC, l.y) AS v FROM rows_ r JOIN links l ON l.x = r.node_id JOIN i ON i.node_id = l.y WHERE r.n = 1 QUALIFY v <= 8),
-ev AS (SELECT question_id, node_id, 1 AS phase, 'main' AS role, n::DOUBLE AS o0, 0::DOUBLE AS o1, 0::DOUBLE AS o2 FROM rows_ WHERE n = 1 UNION ALL SELECT question_id, node_id, 2, 'reference', n, 0, 0 FROM rows_ WHERE ref > 0 UNION ALL SELECT question_id, node_id, 4, 'visual_companion', n, 0, 0 FROM nr
-  UNION ALL SELECT question_id, node_id, 5, 'visual', -ref, -bridge, -score FROM rows_ WHERE node_type IN ('table', 'figure', 'caption') UNION ALL SELECT question_id, node_id, 7, 'graph_neighbor', v, 0, 0 FROM ar UNION ALL SELECT question_id, node_id, 8, 'context', n, 0, 0 FROM rows_ WHERE node_type = 'text'),
-fi AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY phase, o0, o1, o2) = 1)
-SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, o0, o1, o2, node_id) AS step, node_id, role FROM fi QUALIFY step <= 5"""
 ORACLES["edges_text_ref"] = "SELECT * FROM (VALUES ('C_d_1_1', 'C_d_1_1', 'text_ref_figure', 1.0::DOUBLE), ('C_d_1_4', 'C_d_1_4', 'text_ref_table', 1.0), ('C_d_1_4', 'TB_d_1_5', 'text_ref_table', 1.0), ('C_d_1_4', 'T_d_1_6', 'text_ref_table', 1.0), ('TB_d_1_5', 'T_d_1_6', 'text_ref_table', 1.0), ('C_d_1_1', 'T_d_1_6', 'text_ref_figure', 1.0), ('C_e_1_1', 'C_e_1_1', 'text_ref_figure', 1.0), ('C_e_1_1', 'F_e_1_2', 'text_ref_figure', 1.0)) AS t(source_id, target_id, edge_type, weight)"
 
 
@@ -342,7 +309,7 @@ _SEVERE = "[" + ", ".join(map(lit, ("no_ranking", "no_chain", "missing_table", "
 DECISIONS = f"""{BM25}, {LEXICAL}, {_verified('bm25')}, {_verified('lexical')},
 pf AS (SELECT p.question_id, p.score AS p, f.score AS f, p.flags AS pf, f.flags AS ff, p.ids AS pi, f.ids AS fi, f.ks AS fk, len(list_intersect(p.flags, {_SEVERE})) AS pb, len(list_intersect(f.flags, {_SEVERE})) AS fb FROM v_bm25 p JOIN v_lexical f USING (question_id)),
 dc_ AS (SELECT *, CASE WHEN list_contains(pf, 'visual_top1_for_text_query') AND fb = 0 AND f >= p - 0.02 THEN 'fallback' WHEN p < 0.52 AND pb > 0 AND fb < pb AND f >= p + 0.06 THEN 'fallback' WHEN pb > 0 AND fb < pb AND f >= p - 0.04 THEN 'merge' WHEN p < 0.50 AND f >= p + 0.02 THEN 'fallback' ELSE 'primary' END AS source FROM pf)"""
-ORACLES["verifier_decision"] = f"WITH {DECISIONS} SELECT question_id, round(p, 4) AS p_score, round(f, 4) AS f_score, array_to_string(pf, ';') AS p_flags, array_to_string(ff, ';') AS f_flags, source FROM dc_"
+ORACLES["verifier_decision"] = f"WITH {DECISIONS} SELECT question_id, p AS p_score, f AS f_score, array_to_string(pf, ';') AS p_flags, array_to_string(ff, ';') AS f_flags, source FROM dc_"
 ORACLES["chain_merge"] = f"""WITH {DECISIONS}, nd AS (SELECT *, CASE WHEN list_contains(pf, 'missing_table') THEN ['table'] ELSE ['figure', 'caption'] END AS need FROM dc_),
 ad AS (SELECT *, list_filter(list_transform(range(1, len(fi) + 1), lambda i: CASE WHEN list_contains(need, fk[i]) AND NOT list_contains(pi, fi[i]) THEN fi[i] END), lambda x: x IS NOT NULL)[1:2] AS a FROM nd)
 SELECT question_id, array_to_string(list_concat(pi[1:greatest(1, 5 - len(a))], a), ';') AS nodes FROM ad"""
@@ -360,3 +327,170 @@ ORACLES["route_combinations"] = f"WITH {_RANKED}, {_TOP} SELECT array_to_string(
 ORACLES["table_text_smoothing"] = f"""WITH r AS (SELECT source AS question_id, doc_id, doc_id || '_table' AS node_id, (n_chars % 97)::DOUBLE AS score FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT source, doc_id, doc_id || '_text', (n_chars % 53)::DOUBLE FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT *, {ratio('score', 'question_id')} AS s FROM r), d AS (SELECT *, greatest(s, 0.72::DOUBLE * s + 0.28::DOUBLE * max(s.s) OVER (PARTITION BY question_id, doc_id)) AS d FROM s) SELECT question_id, node_id, round({ratio('d', 'question_id')}, 4)::DOUBLE AS score FROM d"""
 ORACLES["node_index"] = f"WITH {ALL}, g AS (SELECT x AS node_id, count(*) AS degree FROM links GROUP BY x), {KG[len(NODES) + 2:]}, t AS (SELECT node_id, count(*) AS terms FROM terms GROUP BY node_id) SELECT node_id, doc_id, page, node_type, CASE WHEN section <> '' THEN section ELSE 'page:' || page END AS label, coalesce(degree, 0) AS degree, coalesce(terms, 0) AS terms FROM nodes LEFT JOIN g USING (node_id) LEFT JOIN t USING (node_id)"
+
+
+# Plans of questions, and the signals of the default ranker.
+
+
+def _case(d: dict[str, object], key: str, other: object) -> str:
+    show = lambda v: lit(v) if isinstance(v, str) and not v.startswith("CASE") else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {show(v)}" for k, v in d.items()) + f" ELSE {show(other)} END" if d else show(other)
+
+
+_NO = r"([Ss]?\d+(?:[.\-]\d+)?[A-Za-z]?)"
+
+
+def refs(x: str) -> str:
+    mended = f"regexp_replace(regexp_replace({clean(x)}, '(?i)F\\s*i\\s*g\\s*u\\s*r\\s*e', 'Figure', 'g'), '(?i)T\\s*a\\s*b\\s*l\\s*e', 'Table', 'g')"
+    each = [f"list_transform(regexp_extract_all({mended}, '{p}', 1), lambda r: '{k}:' || regexp_extract(lower(r), '^(s?\\d+)', 1))" for p, k in ((rf"(?i)\b(?:fig\.?|figure)\s*{_NO}", "figure"), (rf"(?i)\btable\s*{_NO}", "table"), (rf"[图圖]\s*{_NO}", "figure"), (rf"表\s*{_NO}", "table"))]
+    return f"list_sort(list_distinct(flatten([{', '.join(each)}])))"
+
+
+DOC_ASKS = f"dq AS (SELECT doc_id AS question_id, rtrim(content || CASE WHEN a = '' THEN '' ELSE ' ' || a END, chr(0)) || CASE WHEN a = '' THEN ' ' ELSE '' END AS question, '' AS question_type, content AS title FROM (SELECT *, ([{', '.join(map(lit, ASKS))}])[doc_id % {len(ASKS)} + 1] AS a FROM nodes WHERE node_pos = 0))"
+SAID = f"""{NODES}, {DOC_ASKS}, s AS (SELECT DISTINCT conv_id || '-' || turn AS question_id, coalesce(text, '') AS question, '' AS question_type FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES {QUESTION_FIXTURE}) AS f(question_id, question, question_type)
+  UNION ALL SELECT 'd' || question_id, question, question_type FROM dq)"""
+ORACLES["document_refs"] = f"""WITH {NODES}, {DOC_ASKS}, r AS (SELECT * FROM (VALUES (-1::BIGINT, 'See Figure 2 and fig. 3b'), (-2, 'F i g u r e 12 beside T a b l e S1'), (-3, '如图 4 和表2所示'), (-4, 'Table of contents'), (-5, 'Tables and figures'), (-6, '')) AS t(id, s) UNION ALL SELECT question_id, question FROM dq)
+SELECT id, array_to_string({refs('s')}, ';') AS refs FROM r"""
+
+_AFTER = "starts_with(route, 'after_sales')"
+_X = {r: _case({k: m[r] for k, m in P.MULTIPLIERS.items() if r in m}, "route", 1.0) for r in P.ROUTES}
+_X["reference"] = "CASE WHEN has_refs THEN greatest(1.35, CASE route WHEN 'visual_grounding' THEN 1.18 WHEN 'cross_modal' THEN 1.2 WHEN 'multihop_graph' THEN 1.15 ELSE 1 END) WHEN route = 'cross_modal' THEN 1.05 ELSE 1 END"
+_X["table_structure"] = f"CASE WHEN route = 'visual_grounding' THEN CASE WHEN wants_table THEN 1.22 ELSE 0.76 END ELSE {_X['table_structure']} END"
+_X["kg"] = f"CASE route WHEN 'cross_modal' THEN 0.9 WHEN 'multihop_graph' THEN 1.05 ELSE {_X['kg']} END"
+_X["product"] = f"CASE WHEN {_AFTER} THEN CASE WHEN has_product THEN 1.2 ELSE 0.85 END ELSE 1 END"
+_X["visual"] = f"CASE WHEN {_AFTER} THEN CASE WHEN wants_visual THEN 1.2 ELSE 0.62 END ELSE {_X['visual']} END"
+_X["layout"] = f"CASE WHEN wants_location THEN greatest(1.35, {_X['layout']}) ELSE {_X['layout']} END"
+_NEEDS = "list_concat(['cite_evidence'], CASE route " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(lit, v))}]" for k, v in P.REQUIREMENTS.items()) + " ELSE [] END, CASE WHEN wants_visual THEN ['verify_visual_support'] ELSE [] END)"
+_MODES = "list_concat(['text'], CASE WHEN wants_table OR wants_cross OR route = 'structured_table' THEN ['table'] ELSE [] END, CASE WHEN wants_figure OR wants_location OR wants_cross THEN ['figure', 'caption'] ELSE [] END)"
+PLAN = f"""{UNDERSTOOD},
+pl AS (SELECT *, len({refs('question')}) > 0 AS has_refs, {_case(P.STRATEGY, 'route', 'balanced')} AS strategy, {_MODES} AS modes, {_NEEDS} AS needs FROM prof),
+plan AS (SELECT *, has_refs OR route IN ('visual_grounding', 'cross_modal', 'multihop_graph') OR ({_AFTER} AND wants_visual) AS context_expansion, route <> 'text_fact' AS rerank_boost, route IN ('cross_modal', 'multihop_graph') AS graph_boost, {', '.join(f'({c})::DOUBLE AS x_{r}' for r, c in _X.items())} FROM pl)"""
+ORACLES["query_plan"] = f"WITH {SAID}, {PLAN} SELECT question_id, route, profile, has_refs, context_expansion, rerank_boost, graph_boost, 'route=' || route || ';strategy=' || strategy || ';modalities=' || array_to_string(modes, ',') || ';answer=' || array_to_string(needs, ',') AS summary, {', '.join(f'round(x_{r}, 4) AS x_{r}' for r in P.ROUTES)} FROM plan"
+
+_LOOKS, _LOOSE = "profile = 'visual'", "NOT structured"
+_W0 = {r: _case({p: d[r] for p, d in P.PROFILE_WEIGHTS.items() if r in d}, "profile", v) for r, v in {**P.WEIGHTS, "product": "CASE WHEN has_product THEN 0.8 ELSE 0 END", "kg": 0.0, "reference": "CASE WHEN has_refs THEN 0.95 ELSE 0.35 END"}.items()}
+_MANUAL = "profile IN ('manual', 'troubleshooting')"
+_W1 = {
+    "lexical": "lexical", "embedding": "CASE WHEN profile = 'text_fact' THEN least(embedding, 0.62) ELSE embedding END", "kg": "0", "bm25": "CASE WHEN profile = 'text_fact' THEN greatest(bm25, 1.85) ELSE bm25 END",
+    "product": f"CASE WHEN {_MANUAL} THEN greatest(product, CASE WHEN has_product THEN 0.55 ELSE 0.18 END) ELSE product END",
+    "section": f"CASE WHEN wants_cross AND {_LOOSE} THEN greatest(section, 0.62) ELSE section END",
+    "reference": f"greatest(CASE profile WHEN 'structured_table' THEN CASE WHEN has_refs THEN 0.3 ELSE 0.12 END WHEN 'manual_visual' THEN greatest(reference, 0.65) WHEN 'visual' THEN greatest(reference, 0.9) ELSE reference END, CASE WHEN (wants_table OR wants_figure) AND {_LOOSE} THEN 0.8 ELSE 0 END)",
+    "visual": f"least(greatest(CASE WHEN {_MANUAL} THEN greatest(visual, 0.28) ELSE visual END * CASE WHEN profile = 'text_fact' THEN 0.25 ELSE 1 END, CASE WHEN (wants_table OR wants_figure) AND {_LOOSE} THEN 0.62 ELSE 0 END, CASE WHEN wants_cross AND {_LOOSE} THEN 0.55 ELSE 0 END) * CASE WHEN text_fact THEN 0.35 ELSE 1 END, CASE WHEN structured THEN 0.06 ELSE 9 END)",
+    "table_structure": f"greatest(CASE WHEN {_LOOKS} THEN CASE WHEN wants_table THEN 0.72 ELSE 0.22 END ELSE table_structure END, CASE WHEN wants_table AND {_LOOSE} THEN 0.88 ELSE 0 END, CASE WHEN wants_cross AND {_LOOSE} THEN CASE WHEN wants_table THEN 0.72 ELSE 0.28 END ELSE 0 END, CASE WHEN structured THEN 1.35 ELSE 0 END)",
+    "layout": f"CASE WHEN structured THEN 0 ELSE CASE WHEN wants_location THEN 0.4 ELSE CASE WHEN {_LOOKS} THEN greatest(layout, 0.28) ELSE layout END * CASE WHEN profile = 'text_fact' THEN 0.3 ELSE 1 END END * CASE WHEN text_fact THEN 0.4 ELSE 1 END END",
+}
+_PLAIN = "route IN ('general_text', 'text_fact')"
+_TIMES = {
+    "embedding": f"1.35 * CASE WHEN {_PLAIN} THEN 1.18 WHEN route = 'visual_grounding' THEN 1.05 WHEN route = 'cross_modal' THEN 1.02 ELSE 1 END", "bm25": "0.72 * CASE route WHEN 'structured_table' THEN 0.95 WHEN 'cross_modal' THEN 0.92 ELSE 1 END", "lexical": "0.72", "section": "0.82 * CASE route WHEN 'multihop_graph' THEN 1.1 ELSE 1 END",
+    "visual": f"CASE WHEN {_PLAIN} OR route = 'structured_table' THEN 0.45 WHEN route = 'visual_grounding' THEN 1.18 WHEN route = 'cross_modal' THEN 1.12 ELSE 1 END", "kg": "1",
+    "table_structure": f"CASE WHEN {_PLAIN} THEN 0.45 WHEN route = 'structured_table' THEN 1.28 WHEN route = 'visual_grounding' THEN CASE WHEN wants_table THEN 1.05 ELSE 0.5 END WHEN route = 'cross_modal' THEN 1.15 ELSE 1 END",
+}
+_LIMITS = {"visual": "CASE WHEN wants_visual THEN 80 ELSE 20 END", "layout": "CASE WHEN wants_visual THEN 80 ELSE 20 END", "table_structure": "CASE WHEN wants_table OR wants_cross OR structured THEN 80 ELSE 16 END", "kg": "CASE WHEN hops OR score > 0 THEN 80 ELSE 26 END", "reference": "CASE WHEN has_refs THEN 80 ELSE 26 END"}
+ORACLES["route_weights"] = f"""WITH {SAID}, {PLAN}, w0 AS (SELECT *, {', '.join(f'({c})::DOUBLE AS {r}' for r, c in _W0.items())} FROM plan), w1 AS (SELECT * EXCLUDE ({', '.join(P.ROUTES)}), {', '.join(f'round(({_W1[r]})::DOUBLE * x_{r}, 9) AS w_{r}' for r in P.ROUTES)} FROM w0)
+SELECT question_id, (CASE WHEN structured THEN 0.54 WHEN text_fact THEN 0.46 WHEN wants_table OR wants_figure OR wants_location THEN 0.12 WHEN wants_cross THEN 0.3 ELSE 0.38 END)::DOUBLE AS bm25_anchor, {', '.join(f'w_{r}' for r in P.ROUTES)}, {', '.join(f"round(w_{r} * ({_TIMES.get(r, '1')})::DOUBLE, 9) AS p_{r}" for r in P.ROUTES)}, {', '.join(f"{_LIMITS.get(r, '80')} AS n_{r}" for r in P.ROUTES)} FROM w1"""
+
+MORE = """more AS (SELECT *, wants_cross OR contains(t, '跨模态') OR (contains(q, '结合') AND (mt OR mf)) AS mc, wants_location OR contains(t, '证据定位') OR contains(q, '定位') OR contains(q, '页') AS ml
+  FROM (SELECT *, wants_table OR contains(t, '表格') OR contains(q, 'table') OR contains(q, '表') AS mt, wants_figure OR contains(t, '图表') OR contains(t, '图文') OR contains(q, 'figure') OR contains(q, 'fig.') OR contains(q, '图') OR contains(q, 'chart') AS mf FROM plan))"""
+
+
+def _stepped(base: float, steps: tuple, key: str, structured: dict[str, float]) -> str:
+    of = {"wants_table": "mt", "wants_figure": "mf", "wants_cross": "mc", "wants_location": "ml"}
+    whens = "".join(f" WHEN {of[w]} THEN {d[key]}" for w, d in reversed(steps) if key in d)
+    return f"(CASE WHEN structured THEN {structured.get(key, base)}{whens} ELSE {base} END)::DOUBLE"
+
+
+_KINDS = {k: _stepped(v, P.KINDS_WANTED, k, P.KINDS_STRUCTURED) for k, v in P.KINDS.items()}
+_RELS = {k: _stepped(v, P.RELATIONS_WANTED, k, P.RELATIONS_STRUCTURED) for k, v in L.RELATION_WEIGHTS.items()}
+_SAYS = {"table": "(contains(t, '表格') OR contains(q, 'table') OR contains(q, '表'))", "chart": "(contains(t, '图表理解') OR contains(q, 'chart'))", "figure": "(contains(q, 'figure') OR contains(q, 'fig.') OR contains(q, '图'))", "plain": "(contains(t, '文本事实') OR contains(t, '证据定位'))"}
+_MULT = lambda *v: f"(CASE WHEN structured THEN {v[0]} WHEN {_SAYS['plain']} THEN 0 WHEN wants_cross AND (wants_table OR wants_figure) THEN {v[1]} WHEN wants_table AND wants_figure THEN {v[2]} WHEN wants_table THEN {v[3]} WHEN wants_figure THEN {v[4]} WHEN {_SAYS['table']} THEN {v[5]} WHEN {_SAYS['chart']} THEN {v[6]} WHEN contains(t, '图文一致性') THEN {v[7]} WHEN contains(t, '跨模态') THEN {v[8]} WHEN {_SAYS['figure']} THEN {v[9]} ELSE 0 END)::DOUBLE"
+_G4 = {k: _case({r: d[k] for r, d in P.G4_ROUTES.items() if k in d}, "route", v) for k, v in P.G4.items()}
+PROFILES = f"""{MORE}, profiles AS (SELECT *, {_MULT(0.1, 0.75, 0.85, 0.8, 0.75, 1.0, 1.0, 0.2, 0.1, 0.5)} AS ppr_mult, {_MULT(0.25, 1.0, 1.0, 0.85, 0.85, 0.8, 1.0, 0.0, 1.0, 0.6)} AS bridge_mult, {_MULT('CASE WHEN has_refs THEN 0.8 ELSE 0 END', 'CASE WHEN wants_table AND wants_figure THEN 1.2 WHEN wants_table THEN 1.3 ELSE 1.1 END', 1.2, 1.3, 1.1, 1.5, 1.0, 1.5, 0.2, 1.0)} AS ref_mult,
+  {', '.join(f'{c} AS kind_{k}' for k, c in _KINDS.items())}, {', '.join(f'{c} AS rel_{k}' for k, c in _RELS.items())}, {', '.join(f'{c} AS g4_{k}' for k, c in _G4.items())} FROM more)"""
+ORACLES["graph_profiles"] = f"WITH {SAID}, {PLAN}, {PROFILES} SELECT question_id, ppr_mult, bridge_mult, ref_mult, {', '.join(f'kind_{k}' for k in P.KINDS)}, {', '.join(f'rel_{k}' for k in ('text_ref_table', 'text_ref_figure', 'table_caption', 'figure_caption', 'same_page', 'belongs_to_page', 'same_section', 'chunk_sequence', 'section_title'))}, {', '.join(f'g4_{k}' for k in P.G4)} FROM profiles"
+
+CANDIDATES = f"""cc AS (SELECT doc_id AS question_id, node_id, node_pos, regexp_extract_all(first_value(content) OVER (PARTITION BY doc_id ORDER BY node_pos), '(?s).') AS x, regexp_extract_all(content, '(?s).') AS y FROM nodes),
+cs AS (SELECT question_id, node_id, node_pos, {_BIGRAMS.format('x')} AS a, {_BIGRAMS.format('y')} AS b FROM cc), cand AS (SELECT question_id, node_id, node_pos, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS sim FROM cs)"""
+_TOC = f"(contains({clean('content')}, '···') OR regexp_matches({clean('content')}, '\\.{{4,}}\\s*[0-9]+\\s*$'))"
+_VIS = "('table', 'figure', 'caption')"
+ORACLES["context_expansion_topk"] = f"""WITH {NODES}, {CANDIDATES}, ct AS (SELECT question_id, node_id, sim AS score FROM cand QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, node_id) <= 10),
+p AS (SELECT c.*, doc_id, section, page, node_type, node_pos FROM ct c JOIN nodes USING (node_id)), s AS (SELECT *, CASE WHEN score > 0 THEN score ELSE greatest(0.01, 1 / (r + 3.0::DOUBLE)) END AS lent FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_pos) AS r FROM p QUALIFY r <= 14)), o AS (SELECT * FROM nodes WHERE NOT {_TOC}),
+b AS (SELECT s.question_id, s.node_id AS seed, s.node_type AS kind, s.node_pos AS seed_pos, lent, o.node_id, o.node_type, o.node_pos, 0.82 AS base FROM s JOIN o ON s.doc_id = o.doc_id AND s.section = o.section AND s.section <> '' UNION ALL
+  SELECT s.question_id, s.node_id, s.node_type, s.node_pos, lent, o.node_id, o.node_type, o.node_pos, 0.62 FROM s JOIN o ON s.doc_id = o.doc_id AND s.page = o.page),
+v AS (SELECT question_id, seed, node_id, node_pos, max(round(lent * least(1.0, base::DOUBLE + CASE WHEN node_type IN {_VIS} THEN 0.12 ELSE 0 END + CASE WHEN kind IN {_VIS} AND node_type = 'text' THEN 0.05 ELSE 0 END) * (0.75 + 0.25 / sqrt(1.0 + least(abs(seed_pos - node_pos), 24))) * CASE WHEN node_type IN {_VIS} THEN 1.0 ELSE 0.92 END, 9)) AS value FROM b WHERE seed <> node_id GROUP BY ALL),
+k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id, seed ORDER BY value DESC, node_pos) <= 8),
+m AS (SELECT question_id, node_id, node_pos, max(score) AS score FROM (SELECT question_id, node_id, node_pos, value AS score FROM k UNION ALL SELECT question_id, node_id, node_pos, score FROM p) GROUP BY ALL)
+SELECT question_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY m.score DESC, node_pos) AS rank FROM m QUALIFY rank <= 24"""
+
+#: Power iteration in lists, a row for each question.
+WALK = """wn AS (SELECT question_id, node_id, sum(sim) AS seed FROM (SELECT question_id, node_id, sim FROM cand UNION ALL SELECT CAST(string_split(x, '_')[2] AS BIGINT), x, 0 FROM links) GROUP BY ALL),
+wi AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY node_id) AS i, count(*) OVER (PARTITION BY question_id) AS n, sum(seed) OVER (PARTITION BY question_id) AS total FROM wn),
+we AS (SELECT b.question_id, b.i AS target, list({'j': a.i, 'p': weight / t}) AS into_ FROM (SELECT *, sum(weight) OVER (PARTITION BY x) AS t FROM links) l JOIN wi a ON a.node_id = l.x JOIN wi b ON b.node_id = l.y GROUP BY ALL),
+wg AS (SELECT wi.question_id, any_value(n) AS n, list(seed / total ORDER BY i) AS seed, list(coalesce(into_, []) ORDER BY i) AS adj, list(NOT EXISTS (SELECT 1 FROM links WHERE x = wi.node_id) ORDER BY i) AS lost, list(node_id ORDER BY i) AS ids FROM wi LEFT JOIN we ON we.question_id = wi.question_id AND we.target = wi.i GROUP BY wi.question_id),
+wr AS (SELECT question_id, 0 AS it, list_transform(seed, lambda e: 1.0::DOUBLE / n) AS v FROM wg
+  UNION ALL SELECT wr.question_id, it + 1, list_transform(range(1, n + 1), lambda k: 0.85::DOUBLE * (coalesce(list_sum(list_transform(adj[k], lambda e: v[e.j] * e.p)), 0) + seed[k] * coalesce(list_sum(list_transform(range(1, n + 1), lambda z: CASE WHEN lost[z] THEN v[z] ELSE 0 END)), 0)) + 0.15::DOUBLE * seed[k]) FROM wr JOIN wg USING (question_id) WHERE it < 160),
+walked AS (SELECT question_id, unnest(ids) AS node_id, unnest(v) AS score FROM wr JOIN wg USING (question_id) WHERE it = 160)"""
+ORACLES["personalised_pagerank"] = f"WITH RECURSIVE {ALL}, {CANDIDATES}, {WALK} SELECT question_id, node_id, round(score, 6) AS score FROM walked"
+
+_B = lambda x: f"CAST(round(({x}) * 1e9) AS BIGINT)"
+_HAS = lambda *k: f"list_has_any(types, [{', '.join(map(lit, k))}])"
+_WORTH = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN kind_{k}" for k in P.KINDS) + " ELSE 0 END"
+_REL = "CASE e " + " ".join(f"WHEN '{k}' THEN rel_{k}" for k in L.RELATION_WEIGHTS if k != "related") + " ELSE rel_related END"
+PLACED = f"""pn AS (SELECT *, {_TOC} AS toc, node_type = 'table' AND length(content) - length(replace(content, '|', '')) >= 3 AS caption, list_sort(list_distinct(list_concat({refs('content')}, CASE WHEN node_type = 'table' THEN ['table:' || count(*) FILTER (WHERE node_type = 'table') OVER (PARTITION BY doc_id ORDER BY node_pos)] ELSE [] END))) AS refs FROM nodes),
+gt AS (SELECT source_id AS u, target_id AS v, list(DISTINCT edge_type) AS types FROM edges WHERE source_id <> target_id GROUP BY ALL), tl AS (SELECT u AS x, v AS y, types, weight FROM gt JOIN graph USING (u, v) UNION ALL SELECT v, u, types, weight FROM gt JOIN graph USING (u, v))"""
+DOC_PLANS = f"{DOC_ASKS}, s AS (SELECT * FROM dq), {PLAN}, {PROFILES}"
+_AND = " AND "
+SIGNALS = f"""{PLACED}, ar AS (SELECT c.question_id, c.node_id, c.sim AS sim_x, x.node_type AS tx, x.toc AS toc_x, x.caption AS cap_x, x.section AS sec_x, tl.y, types, weight, y.node_type AS ty, y.section AS sec_y, y.caption AS cap_y, coalesce(NOT y.toc, false) AS here, coalesce(cy.sim, 0) AS sim_y, p.*  EXCLUDE (question_id)
+  FROM cand c JOIN profiles p USING (question_id) JOIN pn x ON x.node_id = c.node_id LEFT JOIN tl ON tl.x = c.node_id LEFT JOIN pn y ON y.node_id = tl.y LEFT JOIN cand cy ON cy.node_id = tl.y),
+sg AS (SELECT question_id, node_id, any_value(sim_x) AS sim, any_value(tx) AS node_type, any_value(toc_x) AS toc, any_value(cap_x) AS caption, count(y) AS degree,
+  sum(CASE WHEN here AND ty IN ('text', 'table', 'figure', 'page', 'caption') AND (sim_y >= 0.2 OR ty IN {_VIS}) THEN {_B(f"list_max(list_transform(types, lambda e: {_REL})) * ({_WORTH('ty')}) * (0.5 + sim_y)")} END) / 1e9 AS near, sum(CASE WHEN here AND ty IN ('text', 'table', 'figure', 'page', 'caption') AND (sim_y >= 0.2 OR ty IN {_VIS}) THEN {_B(_WORTH('ty'))} END) / 1e9 AS covered,
+  max(CASE WHEN here AND {_HAS('same_section', 'section_multimodal_peer')} THEN 0.12 ELSE 0 END) AS tie, max(CASE WHEN ty IN {_VIS} THEN 0.03 + CASE WHEN cap_y THEN 0.03 ELSE 0 END ELSE 0 END) AS shown,
+  sum(CASE WHEN here THEN {_B(f"CASE WHEN {_HAS('section_title')} THEN 0.22 * least(weight, 2) WHEN {_HAS('chunk_sequence', 'same_section', 'same_page')} THEN 0.08 * least(weight, 2) ELSE 0 END")} END) / 1e9 AS steps, max(CASE WHEN here THEN sim_y ELSE 0 END) AS said,
+  sum(CASE WHEN here THEN {_B("0.03 + CASE WHEN sec_x <> '' AND sec_y = sec_x THEN 0.04 ELSE 0 END")} END) / 1e9 AS beside, bool_or(here AND ty = 'text') AS yt, bool_or(here AND ty = 'table') AS yb, bool_or(here AND ty = 'title') AS yh,
+  any_value(wants_table) AS wt, any_value(wants_figure) AS wf, any_value(wants_cross) AS wc, any_value(wants_visual) AS wv, any_value(score) > 0 AS sold, any_value({_WORTH('tx')}) AS mine, any_value({' + '.join(f'kind_{k}' for k in P.KINDS)}) AS all_kinds FROM ar GROUP BY question_id, node_id),
+sh AS (SELECT *, (node_type = 'table' OR coalesce(yb, false)) AS has_t, node_type IN ('figure', 'caption') AS has_f, (node_type = 'text' OR coalesce(yt, false)) AS has_x FROM sg),
+signals AS (SELECT question_id, node_id, sim, node_type, caption,
+  round(CASE WHEN toc THEN 0 ELSE (0.35 * mine + 0.65 * coalesce(near, 0)) * least(1, (CASE WHEN node_type = 'title' THEN 0 ELSE mine END + coalesce(covered, 0)) / greatest(1, all_kinds)) / ln(2.0 + least(degree, 12)) END + 1e-10, 6)::DOUBLE AS bridge,
+  round(CASE WHEN wv OR wt OR wf OR wc THEN least(1, CASE WHEN node_type = 'text' THEN 0.36 WHEN node_type = 'table' AND (wt OR wc) THEN 0.58 ELSE 0 END + CASE WHEN node_type IN {_VIS} AND caption THEN 0.08 ELSE 0 END + tie + CASE WHEN wt AND has_t THEN 0.24 ELSE 0 END + CASE WHEN wf AND has_f THEN 0.24 ELSE 0 END + CASE WHEN wc THEN CASE WHEN has_x AND (has_t OR has_f) THEN 0.22 ELSE 0 END + CASE WHEN has_t AND has_f THEN 0.14 ELSE 0 END ELSE 0 END) ELSE 0 END + 1e-10, 6)::DOUBLE AS modality,
+  round(CASE WHEN wt AND node_type = 'table' THEN 0.18 ELSE 0 END + CASE WHEN wv AND node_type IN {_VIS} THEN 0.08 ELSE 0 END + CASE WHEN caption THEN 0.05 ELSE 0 END + shown + 1e-10, 6)::DOUBLE AS grounding,
+  round(CASE WHEN toc OR degree = 0 THEN 0 ELSE greatest(0, least(1, 0.45 * least(coalesce(steps, 0), 1) + 0.3 * said + 0.15 * least(coalesce(beside, 0), 1) + (CASE WHEN wt AND yb THEN 0.22 ELSE 0 END + CASE WHEN wc AND coalesce(yt, false)::INT + coalesce(yb, false)::INT >= 2 THEN 0.25 ELSE 0 END + CASE WHEN sold AND (yh OR yt) THEN 0.12 ELSE 0 END) * CASE WHEN node_type IN ('page', 'title') AND NOT sold THEN 0.65 ELSE 1 END)) END + 1e-10, 6)::DOUBLE AS chain FROM sh)"""
+ORACLES["graph_signals"] = f"WITH {ALL}, {CANDIDATES}, {DOC_PLANS}, {SIGNALS} SELECT question_id, node_id, sim, node_type, bridge, modality, grounding, chain FROM signals"
+_RW = lambda x, hit: f"CASE WHEN {hit} THEN CASE {x} WHEN 'table' THEN 0.9 WHEN 'caption' THEN 0.95 WHEN 'text' THEN 0.75 WHEN 'page' THEN 0.1 WHEN 'figure' THEN 0.1 ELSE 0.2 END ELSE CASE {x} WHEN 'figure' THEN 1 WHEN 'caption' THEN 0.95 WHEN 'text' THEN 0.75 WHEN 'page' THEN 0.1 WHEN 'table' THEN 0.1 ELSE 0.2 END END"
+REFS = f"""ra AS (SELECT question_id, n.doc_id, page, node_id, node_pos, list_intersect(refs, {refs('question')}) AS hits, node_type FROM dq JOIN pn n ON n.doc_id = dq.question_id),
+rb AS (SELECT *, len(list_filter(hits, lambda h: starts_with(h, 'table:'))) > 0 AS ht, len(list_filter(hits, lambda h: starts_with(h, 'figure:'))) > 0 AS hf FROM ra WHERE len(hits) > 0),
+rn AS (SELECT b.question_id, p.node_id, CASE WHEN p.node_pos > b.node_pos THEN 0.95 ELSE 0.75 END / sqrt(abs(p.node_pos - b.node_pos)::DOUBLE) AS score FROM rb b JOIN pn p ON p.doc_id = b.doc_id AND p.page = b.page AND p.node_pos - b.node_pos BETWEEN -2 AND 3 AND p.node_pos <> b.node_pos
+  WHERE CASE WHEN p.node_pos > b.node_pos THEN (ht AND p.node_type = 'table') OR (hf AND p.node_type IN ('figure', 'caption')) ELSE hf AND p.node_type IN ('figure', 'caption') END QUALIFY row_number() OVER (PARTITION BY b.question_id, b.node_id, p.node_pos > b.node_pos ORDER BY abs(p.node_pos - b.node_pos)) = 1),
+re AS (SELECT question_id, node_id, ({_RW('node_type', 'ht')})::DOUBLE AS score FROM rb UNION ALL SELECT * FROM rn UNION ALL SELECT question_id, y, ({_RW('node_type', 'ht')})::DOUBLE * CASE WHEN {_HAS('text_ref_table', 'text_ref_figure', 'table_caption', 'figure_caption')} THEN 0.85 WHEN {_HAS('same_page')} THEN 0.35 ELSE 0.2 END FROM rb JOIN tl ON tl.x = rb.node_id),
+refscore AS (SELECT c.question_id, c.node_id, round(coalesce(max(re.score), 0), 6)::DOUBLE AS score FROM cand c LEFT JOIN re ON re.question_id = c.question_id AND re.node_id = c.node_id GROUP BY ALL)"""
+ORACLES["reference_scores"] = f"WITH {ALL}, {CANDIDATES}, {DOC_ASKS}, {PLACED}, {REFS} SELECT * FROM refscore"
+_N = lambda c: f"({ratio(c, 'question_id')})"
+METHODS = f"""al AS (SELECT sg.* EXCLUDE (sim), sg.sim AS sim, round(coalesce(w.score, 0), 6) AS ppr, r.score AS ref, CASE WHEN rerank_boost THEN modality ELSE 0 END AS mody, p.* EXCLUDE (question_id) FROM signals sg JOIN refscore r ON r.node_id = sg.node_id LEFT JOIN walked w ON w.node_id = sg.node_id JOIN profiles p ON p.question_id = sg.question_id),
+nm AS (SELECT *, {', '.join(f"{_N(c)} AS n_{c}, max({c}) OVER (PARTITION BY question_id) > 0 AS any_{c}" for c in ('sim', 'ppr', 'bridge', 'ref', 'grounding', 'mody', 'chain'))}, wants_table AND NOT wants_figure AND NOT wants_cross AS tonly, wants_visual OR wants_table OR wants_figure OR wants_cross AS looks FROM al),
+wt_ AS (SELECT *, CASE WHEN graph_boost AND NOT tonly THEN CASE WHEN looks THEN 0.035 WHEN hops THEN 0.07 ELSE 0.02 END ELSE 0 END::DOUBLE AS lp, CASE WHEN graph_boost AND NOT tonly THEN CASE WHEN looks THEN 0.17 WHEN hops THEN 0.18 ELSE 0.15 END ELSE 0.15 END::DOUBLE AS lb,
+  CASE WHEN NOT any_grounding OR structured THEN 0 WHEN text_fact AND NOT (wants_table OR wants_figure OR wants_location) THEN 0.02 WHEN wants_table OR wants_figure THEN 0.08 WHEN wants_cross OR wants_location THEN 0.05 WHEN wants_visual THEN 0.035 ELSE 0.015 END::DOUBLE AS vw,
+  CASE WHEN NOT any_chain THEN 0 WHEN nm.score > 0 THEN 0.09 WHEN structured THEN 0.025 WHEN wants_cross OR wants_table OR wants_figure THEN 0.08 WHEN wants_location THEN 0.06 WHEN text_fact THEN 0.025 ELSE 0.04 END::DOUBLE AS cw, CASE WHEN NOT any_mody OR NOT rerank_boost THEN 0 WHEN wants_cross AND (wants_table OR wants_figure) THEN 0.18 WHEN wants_table AND wants_figure THEN 0.17 WHEN wants_table OR wants_figure THEN 0.14 WHEN wants_visual THEN 0.1 ELSE 0 END::DOUBLE AS mw FROM nm),
+g3 AS (SELECT *, 0.85 + lp * (1 - ppr_mult) + lb * (1 - bridge_mult) AS sw, least(CASE WHEN any_ref THEN 0.1 * ref_mult ELSE 0 END, 0.85 + lp * (1 - ppr_mult) + lb * (1 - bridge_mult)) AS rw, route IN ('visual_grounding', 'cross_modal') AS shows FROM wt_),
+g4 AS (SELECT *, (0.93 + 0.07 * (1 - ppr_mult)) * n_sim + 0.07 * ppr_mult * n_ppr AS s2, (sw - rw) * n_sim + lp * ppr_mult * n_ppr + lb * bridge_mult * n_bridge + rw * n_ref AS s3,
+  greatest(least(g4_visual_max, greatest(g4_visual_min, vw)), CASE WHEN rerank_boost AND shows THEN 0.16 WHEN rerank_boost AND route <> 'structured_table' AND wants_visual THEN 0.12 ELSE 0 END) AS vw2, greatest(least(g4_chain_max, greatest(g4_chain_min, cw)), CASE WHEN rerank_boost AND shows THEN 0.12 WHEN rerank_boost AND route = 'structured_table' THEN 0.06 ELSE 0 END, CASE WHEN graph_boost AND any_chain THEN CASE WHEN wants_visual THEN 0.09 ELSE 0.055 END ELSE 0 END) AS cw2,
+  greatest(mw, CASE WHEN rerank_boost AND NOT shows AND route = 'structured_table' THEN 0.11 WHEN rerank_boost AND NOT shows AND wants_visual THEN 0.1 ELSE 0 END) AS mw2 FROM g3),
+g5 AS (SELECT *, ((1 - g4_retrieval_anchor) * (s3 + greatest(0.05, 1 - s3) * (vw2 * n_grounding + mw2 * n_mody + cw2 * n_chain)) + g4_retrieval_anchor * n_sim)
+  * CASE node_type WHEN 'title' THEN 0.72 WHEN 'text' THEN 1.08 ELSE CASE WHEN structured THEN 1.08 WHEN wants_table OR wants_figure OR wants_location OR wants_cross THEN CASE WHEN caption THEN 1.02 ELSE 0.92 END ELSE 0.72 END * CASE WHEN g4.score > 0 THEN 0.55 ELSE 1 END END AS s4 FROM g4),
+g6 AS (SELECT *, round(least(1, greatest(0, s4)), 9)::DOUBLE AS s5 FROM g5),
+mt_ AS (SELECT question_id, node_id, 'G0' AS method, round(n_sim + 1e-10, 6)::DOUBLE AS sc FROM g6 UNION ALL SELECT question_id, node_id, 'G1', round(n_sim + 1e-10, 6)::DOUBLE FROM g6 UNION ALL SELECT question_id, node_id, 'G2', round(s2 + 1e-10, 6)::DOUBLE FROM g6 UNION ALL SELECT question_id, node_id, 'G3', round(s3 + 1e-10, 6)::DOUBLE FROM g6 UNION ALL SELECT question_id, node_id, 'G4', round({_N('s5')} + 1e-10, 6)::DOUBLE FROM g6),
+methods AS (SELECT question_id, method, row_number() OVER (PARTITION BY question_id, method ORDER BY sc DESC, node_id) AS rank, node_id, sc AS score FROM mt_)"""
+_RANKING = f"{ALL}, {CANDIDATES}, {WALK}, {DOC_PLANS}, {SIGNALS}, {REFS}, {METHODS}"
+ORACLES["g_methods_rank"] = f"WITH RECURSIVE {_RANKING} SELECT question_id, method, rank, node_id, score FROM methods WHERE rank <= 5"
+ORACLES["evidence_chain"] = f"""WITH RECURSIVE {_RANKING}, ci AS (SELECT * FROM pn WHERE NOT toc),
+cr AS (SELECT m.question_id, m.node_id, m.rank, m.score, sg.bridge, r.score AS ref, p.wants_visual AS wants, ci.doc_id, ci.page, ci.node_type, row_number() OVER (PARTITION BY m.question_id ORDER BY m.rank, m.node_id) AS n FROM methods m JOIN ci USING (node_id) JOIN signals sg USING (node_id) JOIN refscore r USING (node_id) JOIN profiles p ON p.question_id = m.question_id WHERE method = 'G4' AND m.rank <= 10),
+pg AS (SELECT DISTINCT question_id, doc_id, page FROM cr WHERE n <= 3), nr AS (SELECT cr.* FROM cr JOIN pg USING (question_id, doc_id, page) WHERE wants AND node_type IN {_VIS} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY cr.score DESC, rank, node_id) = 1),
+cn AS (SELECT cr.question_id, tl.y AS node_id, row_number() OVER (PARTITION BY cr.question_id ORDER BY tl.weight DESC, tl.y) AS v FROM cr JOIN tl ON tl.x = cr.node_id JOIN ci ON ci.node_id = tl.y WHERE cr.n = 1 QUALIFY v <= 8),
+ev AS (SELECT question_id, node_id, 1 AS phase, 'main' AS role, n::DOUBLE AS o0, 0::DOUBLE AS o1, 0::DOUBLE AS o2 FROM cr WHERE n = 1 UNION ALL SELECT question_id, node_id, 2, 'reference', n, 0, 0 FROM cr WHERE ref > 0 UNION ALL SELECT question_id, node_id, 4, 'visual_companion', n, 0, 0 FROM nr
+  UNION ALL SELECT question_id, node_id, 5, 'visual', -ref, -bridge, -score FROM cr WHERE node_type IN {_VIS} UNION ALL SELECT question_id, node_id, 7, 'graph_neighbor', v, 0, 0 FROM cn UNION ALL SELECT question_id, node_id, 8, 'context', n, 0, 0 FROM cr WHERE node_type = 'text'),
+fi AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY phase, o0, o1, o2) = 1)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, o0, o1, o2, node_id) AS step, node_id, role FROM fi QUALIFY step <= 5"""
+_LG = "regexp_replace(lower(" + clean("text") + "), '\\s\\s+', ' ', 'g')"
+ORACLES["local_lexical"] = f"""WITH {NODES}, {DOC_ASKS}, lt AS (SELECT question_id, '' AS node_id, true AS ask, question AS text FROM dq UNION ALL SELECT doc_id, node_id, false, content FROM nodes),
+lc AS (SELECT question_id, node_id, ask, regexp_extract_all({_LG}, '(?s).') AS c FROM lt), lh AS (SELECT question_id, node_id, ask, generate_subscripts(c, 1) AS i, unnest(c) AS c FROM lc), lw AS (SELECT question_id, node_id, ask, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3 FROM lh WINDOW w AS (PARTITION BY question_id, node_id ORDER BY i)), lg AS (SELECT question_id, node_id, ask, unnest([c || c1, c || c1 || c2, c || c1 || c2 || c3]) AS term FROM lw),
+lp AS (SELECT question_id, node_id, ask, term, count(*) AS tf FROM lg WHERE term IS NOT NULL GROUP BY ALL), ln_ AS (SELECT question_id, count(*) AS n FROM lt GROUP BY question_id), li AS (SELECT question_id, term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM lp JOIN ln_ USING (question_id) GROUP BY ALL),
+lq AS (SELECT question_id, term, tf * idf AS w FROM lp JOIN li USING (question_id, term) WHERE ask), ll AS (SELECT question_id, sum({_B('w * w')}) AS length FROM lq GROUP BY question_id),
+ld AS (SELECT p.question_id, p.node_id, sum({_B('tf * idf * coalesce(lq.w, 0)')}) AS dot, sum({_B('tf * idf * tf * idf')}) AS norm FROM lp p JOIN li USING (question_id, term) LEFT JOIN lq USING (question_id, term) WHERE NOT ask GROUP BY ALL)
+SELECT n.doc_id AS question_id, n.node_id, round(coalesce(CASE WHEN norm > 0 AND length > 0 THEN dot::DOUBLE / sqrt(norm::DOUBLE * length::DOUBLE) END, 0), 6) AS score FROM nodes n JOIN dq ON dq.question_id = n.doc_id LEFT JOIN ld ON ld.question_id = n.doc_id AND ld.node_id = n.node_id LEFT JOIN ll ON ll.question_id = n.doc_id"""

@@ -281,6 +281,19 @@ def test_recall_over_all_windows(spark):
     assert sum(got.get(k) == v for k, v in expected.items()) >= 0.999 * len(expected)
 
 
+def test_fingerprints_by_hand(spark, monkeypatch):
+    """Both ways to count bits give the signs of the sums."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]) for i, n in enumerate((1, 2, 7, 56, 300))]
+    df = spark.createDataFrame(rows, "i long, s array<long>")
+    fast = {r["i"]: r["p"] for r in df.select("i", decontaminate.simhash(F.col("s")).alias("p")).collect()}
+    monkeypatch.setattr(decontaminate, "FIELD", 0)
+    assert {r["i"]: r["p"] for r in df.select("i", decontaminate.simhash(F.col("s")).alias("p")).collect()} == fast
+    seeded = {r["i"]: r["h"] for r in df.select("i", F.array(*[F.expr(f"transform(s, h -> xxhash64(h, {k}))") for k in range(4)]).alias("h")).collect()}
+    for i, words in seeded.items():
+        assert fast[i] == [sum(1 << j for j in range(16) if sum(1 if h >> (16 * f + j) & 1 else -1 for h in hs) > 0) for hs in words for f in range(4)]
+
+
 def test_unlike_pairs_seldom_meet(spark):
     def prints(n, seed):
         rng = random.Random(seed)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from pathlib import Path
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. A session without one must set it: a folder made here would be one machine's."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a session of one process makes a folder of its own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        path = Path(tempfile.mkdtemp(prefix="dossier-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -43,8 +48,8 @@ def release(*tables: DataFrame) -> None:
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
-    """A broadcast of a table of up to `most` rows, which are counted; a larger one as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A broadcast of a table of up to `most` rows, which are counted; a larger one is shuffled, whatever size the planner takes it for."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import materialize, release
+from .common import materialize, release, small
 
 #: 64-bit hashes of a shingle, blocks of a fingerprint, bits of a block, and how many bits the index and a look-up flip.
 HASHES, BLOCKS, BITS, FLIP_ITEM, FLIP_WINDOW = 4, 16, 16, 3, 0
@@ -101,11 +101,6 @@ def starts(at: Column, n: Column, percent: int) -> Column:
     return F.when(F.size(at) >= least, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), first))).otherwise(F.array().cast("array<int>"))
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """A broadcast of a small table; a larger one as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(docs[id_col], docs[text_col])
 
@@ -119,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # At most five sizes, nearly always one.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     texts = docs.select(key(docs, id_col, text_col).alias("key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    at = checked(materialize(items.select("size", "length", F.explode("s").alias("h")).distinct(), "shingles"))
+    at = small(materialize(items.select("size", "length", F.explode("s").alias("h")).distinct(), "shingles"), BROADCAST_ROWS)
     hits = []
     for k in sizes:
         runs = texts.select("key", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
@@ -149,9 +144,9 @@ def candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
     """Windows with the items of their length that share a block up to the flipped bits, each pair once.
 
     An id may stand for several texts; each of them, told by its number, is held against the window."""
-    index = checked(block_keys(items, FLIP_ITEM, "length", "number").distinct())
+    index = small(block_keys(items, FLIP_ITEM, "length", "number").distinct(), BROADCAST_ROWS)
     met = block_keys(prints, FLIP_WINDOW, "key", "start", "length").join(index, ["length", "k", "block"]).select("key", "start", "length", "number").distinct()
-    own = checked(items.select("number", "item", F.col("print").alias("print_i"), F.col("s").alias("s_i")).dropDuplicates(["number", "item"]))
+    own = small(items.select("number", "item", F.col("print").alias("print_i"), F.col("s").alias("s_i")).dropDuplicates(["number", "item"]), BROADCAST_ROWS)
     return prints.join(met, ["key", "start", "length"]).join(own, "number")
 
 

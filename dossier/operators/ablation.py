@@ -22,16 +22,16 @@ def variant(nodes: DataFrame, text_only: bool = False, strip_visual: bool = Fals
 
 
 def deltas(summary: DataFrame, base: str, names: tuple[str, ...]) -> DataFrame:
-    """Each method's metrics less those of the base; the base is one row."""
-    ref = summary.where(F.col("method") == base).select(*[F.col(n).alias(f"base_{n}") for n in names])
-    return summary.join(F.broadcast(ref.limit(1))).select("method", *[F.round(F.col(n) - F.col(f"base_{n}"), 4).alias(f"delta_{n}") for n in names])
+    """Each method's metrics less those of the base, a row of the summary."""
+    ref = summary.where(F.col("method") == base).agg(*[F.max(n).alias(n) for n in names]).first()
+    return summary.select("method", *[F.round(F.col(n) - F.lit(ref[n]), 4).alias(f"delta_{n}") for n in names])
 
 
 def route_counts(ranked: DataFrame) -> DataFrame:
     """(route, n, share): how many ranked rows each route brought, of strings route:rank joined by |, and the share of all rows."""
     each = ranked.select(F.explode(F.split("routes", r"\|")).alias("r")).select(F.substring_index("r", ":", 1).alias("route"))
-    total = ranked.agg(F.count("*").alias("total"))
-    return each.groupBy("route").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("route", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    total = max(1, ranked.count())
+    return each.groupBy("route").agg(F.count("*").alias("n")).select("route", "n", F.round(F.col("n") / total, 4).alias("share"))
 
 
 def route_combinations(ranked: DataFrame, k: int = 20) -> DataFrame:

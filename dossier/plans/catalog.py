@@ -63,7 +63,7 @@ def lexical_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 def vector_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return rounded(retrieval.embedding_topk(vectors, vectors.join(F.broadcast(items), "vec_id", "left_semi"), k))
+    return rounded(retrieval.embedding_topk(vectors, vectors.join(items, "vec_id", "left_semi"), k))
 
 
 def routes(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:

@@ -494,3 +494,13 @@ lp AS (SELECT question_id, node_id, ask, term, count(*) AS tf FROM lg WHERE term
 lq AS (SELECT question_id, term, tf * idf AS w FROM lp JOIN li USING (question_id, term) WHERE ask), ll AS (SELECT question_id, sum({_B('w * w')}) AS length FROM lq GROUP BY question_id),
 ld AS (SELECT p.question_id, p.node_id, sum({_B('tf * idf * coalesce(lq.w, 0)')}) AS dot, sum({_B('tf * idf * tf * idf')}) AS norm FROM lp p JOIN li USING (question_id, term) LEFT JOIN lq USING (question_id, term) WHERE NOT ask GROUP BY ALL)
 SELECT n.doc_id AS question_id, n.node_id, round(coalesce(CASE WHEN norm > 0 AND length > 0 THEN dot::DOUBLE / sqrt(norm::DOUBLE * length::DOUBLE) END, 0), 6) AS score FROM nodes n JOIN dq ON dq.question_id = n.doc_id LEFT JOIN ld ON ld.question_id = n.doc_id AND ld.node_id = n.node_id LEFT JOIN ll ON ll.question_id = n.doc_id"""
+
+_CUT = "CASE WHEN length(x) > 900 THEN list_transform(range(0, (length(x) - 1) // 900 + 1), lambda i: trim(substr(x, i * 900 + 1, 900))) ELSE [x] END"
+ORACLES["sentence_chunks"] = f"""WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents),
+p AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([。！？.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM d),
+e AS (SELECT doc_id, t, list_transform(s, lambda x: {{'big': length(x) > 900, 'p': {_CUT}, 'done': CAST([] AS VARCHAR[]), 'now': ''}}) AS s FROM p),
+f AS (SELECT doc_id, t, list_reduce(list_prepend({{'big': false, 'p': CAST([] AS VARCHAR[]), 'done': CAST([] AS VARCHAR[]), 'now': ''}}, s), lambda a, x: {{'big': false, 'p': CAST([] AS VARCHAR[]),
+  'done': CASE WHEN x.big THEN list_concat(a.done, CASE WHEN a.now <> '' THEN [a.now] ELSE [] END, x.p) WHEN a.now <> '' AND length(a.now) + length(x.p[1]) > 900 THEN list_append(a.done, a.now) ELSE a.done END,
+  'now': CASE WHEN x.big THEN '' WHEN a.now = '' OR length(a.now) + length(x.p[1]) > 900 THEN x.p[1] ELSE a.now || ' ' || x.p[1] END}}) AS r FROM e),
+c AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) <= 900 THEN [t] WHEN r.now <> '' THEN list_append(r.done, r.now) ELSE r.done END AS c FROM f)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk, unnest(c) AS text FROM c"""

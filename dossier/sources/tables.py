@@ -5,7 +5,6 @@ A missing path is an empty table. JSON lines keep null keys out; CSV files are a
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from dossier.functions.text import node_id
@@ -20,11 +19,14 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder fits the path, which may hold patterns, in whatever store it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = NODE_SCHEMA) -> DataFrame:
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException:
-        return _empty(spark, schema)
+    return spark.read.schema(schema).json(path) if _exists(spark, path) else _empty(spark, schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -33,10 +35,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str = QUESTION_SCHEMA) -> DataFrame:
     """All columns as strings, chosen by name; a byte-order mark before the first name is dropped, columns that a file lacks are null."""
-    try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    except AnalysisException:
+    if not _exists(spark, path):
         return _empty(spark, schema)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     names = [f.split()[0] for f in schema.split(", ")]
     return raw.select(*[F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +14,6 @@ def node_stream(spark: SparkSession, path: str, schema: str = NODE_SCHEMA, files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def ingest(nodes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends all that there is to Parquet under target, by document, and ends. A failed batch is taken again from the checkpoint."""
-    return nodes.writeStream.format("parquet").partitionBy("doc_id").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(nodes: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Appends all that there is to Parquet under target, in `buckets` folders by a hash of the document, and ends. A failed batch is taken again from the checkpoint."""
+    return nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).writeStream.format("parquet").partitionBy("bucket").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

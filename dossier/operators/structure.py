@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from dossier.functions.lexicon import EDGE_WEIGHTS
 from dossier.functions.text import preview
+from dossier.functions.text import source_context as source_context_name
 
 
 def chunk_context(nodes: DataFrame) -> DataFrame:
@@ -65,6 +66,46 @@ def section_title(nodes: DataFrame, titles: int = 2, contents: int = 30) -> Data
     return _edge(a.join(b, ["doc_id", "section"]), "a", "b", "section_title")
 
 
+def parent_section(nodes: DataFrame) -> DataFrame:
+    """nodes: with parent_chunk_id."""
+    return _edge(nodes.where("parent_chunk_id <> '' and parent_chunk_id <> node_id"), "parent_chunk_id", "node_id", "parent_section")
+
+
+def _pairs(rows: DataFrame, group: tuple[str, ...], most: int) -> DataFrame:
+    """(a, b, ta, tb, pa, pb): the ordered pairs of the first `most` nodes of each group."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("node_pos"))
+    kept = rows.withColumn("n", place).where(F.col("n") <= most).select(*group, "node_id", "node_type", "page", "n")
+    side = lambda x: kept.select(*group, F.col("node_id").alias(x), F.col("node_type").alias(f"t{x}"), F.col("page").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
+    return side("a").join(side("b"), list(group)).where("na < nb")
+
+
+def section_context(nodes: DataFrame, most: int = 24) -> DataFrame:
+    """Within a section, its first texts with its first visuals, and these with each other, if on one page."""
+    rows = nodes.where("node_type not in ('page', 'title') and section <> ''").select("doc_id", "section", "node_id", "node_type", F.col("page").alias("on"), "node_pos")
+    place = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("node_pos")).alias("n")
+    texts, visuals = rows.where("node_type = 'text'"), rows.where("node_type in ('table', 'figure', 'caption')")
+    first = lambda df, x: df.select("*", place).where(F.col("n") <= most).select("doc_id", "section", "on", F.col("node_id").alias(x), F.col("node_type").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+    kind = F.when(F.col("tb") == "table", "same_context_table").otherwise("same_context_figure")
+    mixed = first(texts, "a").join(first(visuals, "b"), ["doc_id", "section", "on"]).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), kind.alias("edge_type"), F.lit(0.24).alias("weight"))
+    peers = first(visuals, "a").join(first(visuals, "b"), ["doc_id", "section", "on"]).where("na < nb")
+    return mixed.unionByName(_edge(peers, "a", "b", "section_multimodal_peer"))
+
+
+def source_context(nodes: DataFrame, most: int = 36) -> DataFrame:
+    """The pairs of the first nodes that come from one source, figures' and tables' numbers in its name aside. nodes: with source_ref."""
+    rows = nodes.where("node_type <> 'page'").withColumn("context", source_context_name(F.col("source_ref"))).where("context <> ''")
+    pairs = _pairs(rows, ("context",), most)
+    any_of = lambda *k: F.col("ta").isin(*k) | F.col("tb").isin(*k)
+    kind = F.when((F.col("ta") == "text") & (F.col("tb") == "text"), "same_context_text").when(any_of("table"), "same_context_table").when(any_of("figure", "caption"), "same_context_figure").otherwise("same_context_visual")
+    weight = F.element_at(F.create_map(*[F.lit(x) for k in ("same_context_text", "same_context_table", "same_context_figure", "same_context_visual") for x in (k, EDGE_WEIGHTS[k])]), kind)
+    return pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), kind.alias("edge_type"), weight.alias("weight"))
+
+
+def enhanced_edges(nodes: DataFrame) -> DataFrame:
+    """The context edges of the enhanced graph, and those from sections to their parts."""
+    return dedup(parent_section(nodes).unionByName(section_context(nodes)).unionByName(source_context(nodes)))
+
+
 def horizontal_overlap(a: Column, b: Column) -> Column:
     """Shared width of two boxes (x0, y0, x1, y1) over the lesser width, at least 1."""
     shared = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from dossier.functions.text import clean_text
+
 
 def table_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, block, row, cells): the rows of each document's longest table block (the first of equal ones), without separator rows.
@@ -40,3 +42,10 @@ def numeric_facts(rows: DataFrame) -> DataFrame:
     low, high = F.min(F.struct("v", "row", "label")), F.max(F.struct("v", (-F.col("row")).alias("r"), "label"))
     out = got.groupBy("doc_id", "col").agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).where("n >= 2").join(header, ["doc_id", "col"])
     return out.select("doc_id", F.col("col").cast("long").alias("col"), "header", F.col("low.v").alias("low"), F.col("low.label").alias("low_row"), F.col("high.v").alias("high"), F.col("high.label").alias("high_row"))
+
+
+def table_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, text): each table as lines of cells between bars, short rows filled up with empty cells."""
+    out = rows.groupBy("doc_id").agg(F.max(F.size("cells")).alias("n"), F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("r"))
+    line = lambda r: F.array_join(F.concat(r["cells"], F.array_repeat(F.lit(""), F.col("n") - F.size(r["cells"]))), " | ")
+    return out.select("doc_id", clean_text(F.array_join(F.transform("r", line), "\n")).alias("text"))

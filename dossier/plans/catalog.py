@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from dossier.functions import blocks
 from dossier.functions import text as T
 from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, planning, questions, rerank, retrieval, signals, sparse, structure, tables
 from dossier.operators import routes as routes_of
@@ -556,6 +557,51 @@ def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.build(ranked, lines(spark, sf_dir), links)
 
 
+@query
+def edges_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context edges: a line's parent is its document's first, its source the page, with the number of a table row."""
+    nodes = lines(spark, sf_dir)
+    parent = F.first("node_id").over(Window.partitionBy("doc_id").orderBy("node_pos"))
+    source = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("/p"), F.col("page").cast("string"), F.when(F.col("node_type") == "table", F.concat(F.lit("/table_"), (F.col("node_pos") + 1).cast("string"))).otherwise(""))
+    return structure.enhanced_edges(nodes.withColumn("parent_chunk_id", parent).withColumn("source_ref", source))
+
+
+@query
+def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table_text(tables.table_lines(read(spark, sf_dir, "documents"))).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+@query
+def layout_block_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks down a page, as wide as they are long: margins, page numbers, notes at the side; boxes through JSON."""
+    i, wide = F.col("node_pos") % 10, F.least(F.lit(600.0), F.length("content") * 5.0)
+    json = F.concat(F.lit("[0, "), (i * 80.0).cast("string"), F.lit(", "), wide.cast("string"), F.lit(", "), (i * 80.0 + F.length("content")).cast("string"), F.lit("]"))
+    rows = lines(spark, sf_dir).withColumn("box", blocks.parse_box(json))
+    w, h, c = F.lit(600.0), F.lit(800.0), F.col("content")
+    return rows.select("node_id", F.round(blocks.area(F.col("box")), 3).alias("area"), blocks.in_margin(F.col("box"), h).alias("margin"), blocks.is_page_number(c).alias("page_number"), blocks.is_side_noise(F.col("box"), c, w, h).alias("side_noise"))
+
+
+@query
+def document_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box around all lines of a page, and the median length of those that have any."""
+    i = F.col("node_pos") % 10
+    box = F.array((i % 3) * 10.0, i * 80.0, F.length("content") * 1.0, i * 80.0 + 40)
+    return lines(spark, sf_dir).withColumn("box", box).groupBy("doc_id", "page").agg(*blocks.union_box(F.col("box")), blocks.median_positive(F.length("content")).alias("median_length"))
+
+
+@query
+def heading_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("content")
+    return lines(spark, sf_dir).select("node_id", F.md5(blocks.heading_text(c).cast("binary")).alias("heading_md5"), F.md5(blocks.trim_tail(c).cast("binary")).alias("trimmed_md5"), blocks.mostly_english(c).alias("english"), blocks.looks_chinese(c).alias("chinese"))
+
+
+@query
+def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The online type of every question, what the self-correction takes it to want, and its submission."""
+    wants = blocks.correction_wants(F.col("question"), F.col("question_type"))
+    return said(spark, sf_dir).select("question_id", blocks.online_type(F.col("question")).alias("online_type"), blocks.submission_id(F.col("question_id")).alias("submission_id"), *[c.alias(f"wants_{k}") for k, c in wants.items()])
+
+
 @query
 def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pages and nodes by kind, and the questions of the same id, of documents and questions both."""

@@ -504,3 +504,21 @@ f AS (SELECT doc_id, t, list_reduce(list_prepend({{'big': false, 'p': CAST([] AS
   'now': CASE WHEN x.big THEN '' WHEN a.now = '' OR length(a.now) + length(x.p[1]) > 900 THEN x.p[1] ELSE a.now || ' ' || x.p[1] END}}) AS r FROM e),
 c AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) <= 900 THEN [t] WHEN r.now <> '' THEN list_append(r.done, r.now) ELSE r.done END AS c FROM f)
 SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk, unnest(c) AS text FROM c"""
+
+ORACLES["edges_enhanced"] = f"""WITH {NODES}, n AS (SELECT *, first_value(node_id) OVER (PARTITION BY doc_id ORDER BY node_pos) AS parent, 'doc' || doc_id || '/p' || page AS context FROM nodes),
+t AS (SELECT * FROM n WHERE node_type = 'text' AND section <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY node_pos) <= 24), v AS (SELECT * FROM n WHERE node_type = 'table' AND section <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY node_pos) <= 24),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY context ORDER BY node_pos) <= 36),
+e AS (SELECT parent AS a, node_id AS b, 'parent_section' AS edge_type, 0.45::DOUBLE AS weight FROM n WHERE parent <> node_id UNION ALL SELECT t.node_id, v.node_id, 'same_context_table', 0.24 FROM t JOIN v USING (doc_id, section, page) UNION ALL SELECT x.node_id, y.node_id, 'section_multimodal_peer', 0.18 FROM v x JOIN v y USING (doc_id, section, page) WHERE x.node_pos < y.node_pos
+  UNION ALL SELECT x.node_id, y.node_id, CASE WHEN x.node_type = 'text' AND y.node_type = 'text' THEN 'same_context_text' WHEN 'table' IN (x.node_type, y.node_type) THEN 'same_context_table' ELSE 'same_context_visual' END, CASE WHEN x.node_type = 'text' AND y.node_type = 'text' THEN 0.2 WHEN 'table' IN (x.node_type, y.node_type) THEN 0.62 ELSE 0.48 END FROM k x JOIN k y USING (context) WHERE x.node_pos < y.node_pos)
+SELECT least(a, b) AS source_id, greatest(a, b) AS target_id, edge_type, round(sum(weight), 4) AS weight FROM e GROUP BY 1, 2, 3"""
+ORACLES["table_text"] = f"WITH {TABLES}, w AS (SELECT doc_id, max(len(cells)) AS n FROM tr GROUP BY doc_id), x AS (SELECT doc_id, string_agg(array_to_string(list_resize(cells, n, ''), ' | '), chr(10) ORDER BY row) AS t FROM tr JOIN w USING (doc_id) GROUP BY doc_id) SELECT doc_id, md5({clean('t')}) AS text_md5, CAST(length({clean('t')}) AS INTEGER) AS n_chars FROM x"
+ORACLES["layout_block_flags"] = f"""WITH {NODES}, b AS (SELECT node_id, content, {clean('content')} AS c, least(600.0::DOUBLE, length(content) * 5.0::DOUBLE) AS w, (node_pos % 10) * 80.0::DOUBLE AS y0, length(content)::DOUBLE AS h FROM nodes), r AS (SELECT *, w * h > 0 AS ok FROM b)
+SELECT node_id, CASE WHEN ok THEN round(w * h, 3) END AS area, ok AND (y0 + h / 2 <= 64 OR y0 + h / 2 >= 736) AS margin, regexp_matches(c, '(?i)^(?:(?:page\\s*)?\\d{{1,4}}|[ivxlcdm]{{1,8}})$') AS page_number,
+  ok AND (w / 2 <= 72 OR w / 2 >= 528) AND w <= 72 AND h >= 144 AND (regexp_matches(c, '(?i)arxiv|copyright|doi|preprint|submitted|accepted') OR h >= 224) AS side_noise FROM r"""
+ORACLES["document_boxes"] = f"""WITH {NODES}, b AS (SELECT doc_id, page, ((node_pos % 10) % 3) * 10.0::DOUBLE AS x0, (node_pos % 10) * 80.0::DOUBLE AS y0, length(content)::DOUBLE AS x1 FROM nodes)
+SELECT doc_id, page, min(x0) FILTER (WHERE x1 > x0) AS x0, min(y0) FILTER (WHERE x1 > x0) AS y0, max(x1) FILTER (WHERE x1 > x0) AS x1, max(y0 + 40) FILTER (WHERE x1 > x0) AS y1, coalesce(quantile_cont(x1, 0.5) FILTER (WHERE x1 > 0), 0) AS median_length FROM b GROUP BY ALL"""
+ORACLES["heading_texts"] = f"""WITH {NODES}, c AS (SELECT node_id, content, {clean('content')} AS c FROM nodes), l AS (SELECT *, len(regexp_extract_all(c, '[A-Za-z]')) AS la, len(regexp_extract_all(c, '[一-鿿]')) AS cj, len(regexp_extract_all(content, '[A-Za-z]')) AS lb, len(regexp_extract_all(content, '[一-鿿]')) AS ck FROM c)
+SELECT node_id, md5(trim(regexp_replace(regexp_replace(c, '(?i)^\\s*(?:[IVXLC]+|\\d+(?:\\.\\d+)*|[一二三四五六七八九十]+)[\\.\\s、-]+', ''), '[:：]\\s*$', ''))) AS heading_md5, md5(regexp_replace(c, '[\\s。；;,.，、]+$', '')) AS trimmed_md5, la > greatest(20, cj * 2) AS english, ck >= greatest(2, lb // 3) AS chinese FROM l"""
+ORACLES["question_kinds"] = f"""WITH {SAID}, b AS (SELECT *, lower(question) AS low, lower({clean('question_type')}) AS kind, lower({clean('question_type')}) || ' ' || lower({clean('question')}) AS blob FROM s),
+w AS (SELECT *, regexp_matches(blob, 'table|tabular|表') AS wants_table, regexp_matches(blob, 'image|figure|fig\\.|chart|plot|diagram|图') AS wants_figure FROM b), x AS (SELECT *, regexp_matches(blob, 'cross|multi') OR contains(kind, 'text-table-image') OR (wants_table AND wants_figure) AS wants_cross FROM w)
+SELECT question_id, CASE WHEN regexp_matches(low, 'table|表格|表 |表中') THEN '表格问答' WHEN regexp_matches(low, 'figure|fig\\.|图|曲线|趋势') THEN '图表理解' WHEN regexp_matches(low, '跨模态|结合|多模态') THEN '跨模态综合' ELSE '自定义问题' END AS online_type, CASE WHEN regexp_matches(question_id, '\\d$') THEN regexp_extract(question_id, '(\\d+)$', 1) ELSE question_id END AS submission_id, wants_table, wants_figure, wants_cross, wants_table OR wants_figure OR wants_cross AS wants_visual FROM x"""

@@ -3,8 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes
 each stage's rows to the shared folder and reads them back, so a stage's work is done once and survives lost executors.
 
-SQL can't express the network of the first stage nor the components of the second, so there is no oracle: the tests hold each
-stage against a brute-force version."""
+SQL can't express the network of the first stage, so there is no oracle for the whole. The operators' own tests hold near-duplicates,
+decontamination, mixing and sharding against brute force or SQL, and the network against plain Python.
+
+Nulls, repeats and edge cases: a null text has no letter, so language_id rejects it; empty texts likewise. Rows with a null id stay
+in every stage that decides by id; rows that repeat an id are each decided by their own text. Texts are read whole. Ties go to the
+smaller id. Columns beyond those of documents pass through all stages but names that begin with __; an empty table passes as an empty table."""
 
 from __future__ import annotations
 

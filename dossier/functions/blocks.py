@@ -97,3 +97,12 @@ def correction_wants(question: Column, question_type: Column) -> dict[str, Colum
     table, figure = blob.rlike("table|tabular|表"), blob.rlike(r"image|figure|fig\.|chart|plot|diagram|图")
     cross = blob.rlike("cross|multi") | F.contains(kind, F.lit("text-table-image")) | (table & figure)
     return {"table": table, "figure": figure, "cross": cross, "visual": table | figure | cross}
+
+
+def block_kind(c: Column, math: bool = False) -> Column:
+    """The kind of a text block: caption, table, equation or text (fixed patterns)."""
+    caption = c.rlike(r"(?i)^\s*(图|圖|Fig\.?|Figure|表|Table)\s*(?U:[\w\-\.]+)[:：]?")
+    rows = c.rlike(r"(\d+\s+\d+\s+\d+)|(\|.+\|)|(指标|方法|准确率|召回率|F1|Accuracy|Recall)") & (c.rlike(r"\n.") | c.rlike(r"\d+\s+\d+\s+\d+"))
+    formula = c.rlike(r"(\\begin\{equation\}|\\\[|\\\(|\bEq\.?\s*\(?\d+|\([0-9]{1,3}\)\s*$|[=<>]\s*[-+*/()A-Za-z0-9_{}^\\]+|[∑∫√∞≤≥≈≠±])")
+    short = (F.length(c) < 500) & (F.regexp_count(c, F.lit("[=∑∫≤≥≈]")) >= 2)
+    return F.when(caption, "caption").when(rows, "table").when(formula & (F.lit(math) | short), "equation").otherwise("text")

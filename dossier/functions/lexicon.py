@@ -79,3 +79,79 @@ VISUAL_TYPES = ("table", "figure", "caption")
 
 # Words that support no answer.
 ANSWER_STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "you", "your", "根据", "证据", "当前", "可以", "需要", "显示", "说明", "问题")
+
+# Knowledge graph of after-sales service.
+KG_CONCRETE = ("product", "part", "fault", "image")
+KG_POLICIES = {"return_refund": "退换货退款", "invoice": "发票开票", "shipping_damage": "物流包装破损", "warranty_repair": "保修维修", "troubleshooting": "故障排查", "usage_operation": "安装使用", "spec_parts": "规格配件", "safety": "安全警告"}
+KG_GENERIC_POLICY = ("售后", "客服", "商品", "服务", "支持", "范围", "如何", "怎么", "需要", "after-sales", "customer service", "service", "support")
+KG_GENERIC_ACTION = ("use", "operate", "使用", "操作")
+
+# Hints that expand a question by its route, product, type and service terms.
+ROUTE_HINTS = {
+    "service": "after-sales policy customer service proof order number receipt warranty return refund exchange shipping invoice complaint",
+    "service_with_product": "product manual troubleshooting operation parts installation safety specification diagram",
+    "manual": "manual instructions operation setup maintenance safety warning specification parts",
+    "manual_visual": "manual diagram figure picture button indicator part location table step visual evidence",
+    "visual": "figure diagram table image caption OCR label part position visual evidence",
+}
+PRODUCT_HINTS = {
+    "air_conditioner": "air conditioner AC indoor unit filter grille air inlet outlet operation lamp remote control clean safety",
+    "air_purifier": "air purifier filter plastic packaging top cover clean replacement indicator safety",
+    "camera": "camera shutter button battery CF card lens sensor power switch authorized repair disassembly",
+    "coffee_machine": "coffee machine espresso lungo Nespresso energy saving mode factory reset water volume descaling cleaning",
+    "boat": "boat anchor light bimini top livewell swim platform engine steering cooling system fuse throttle cable",
+    "dishwasher": "dishwasher installation water supply drain electrical connection detergent salt child safety",
+    "drill": "electric drill battery indicator charging overheat overcool delay bit torque speed",
+    "earphones": "earphones earbuds headphones pairing bluetooth charging indicator reset audio",
+    "ereader": "eReader ebook reader micro SD card reset screen battery charging troubleshooting",
+    "exercise_bike": "exercise bike fitness bike assembly seat pedal resistance console heart rate belt",
+    "fax": "fax fax machine product safety guide power cord warning maintenance telephone line",
+    "fitness_tracker": "fitness tracker activity tracker strap band charging cable package contents size wrist",
+    "generator": "generator engine fuel oil spark plug choke starter switch overload safety maintenance",
+    "grill": "grill barbecue burner gas propane ignition cleaning safety cooking grate",
+    "hair_dryer": "hair dryer blow dryer cool shot heat airflow filter nozzle cleaning indicator",
+    "jetski": "jetski jet ski watercraft engine start lanyard safety warning riding practice boarding throttle",
+    "keyboard": "keyboard function keyboard key switch warranty cable backlight cleaning",
+    "landline": "landline telephone handset base station cordless phone battery voicemail caller ID",
+    "loudspeaker": "loudspeaker speaker pairing Bluetooth buttons volume charging indicator",
+    "lawn_mower": "lawn mower blade start handle safety oil grass bag maintenance",
+    "microwave": "microwave oven turntable installation vent filter control panel safety",
+    "motherboard": "motherboard BIOS SATA ODD USB OS installation DDR4 DIMM CPU memory socket driver",
+    "mouse": "bluetooth laser mouse pairing battery button DPI receiver reset",
+    "oven": "oven installation cabinet electrical connection heat resistant door damage authorized service",
+    "pressure_cooker": "pressure cooker air fryer lid valve pressure release basket cooking safety clean",
+    "refrigerator": "refrigerator fridge freezer temperature door seal water filter defrost safety",
+    "gps_navigation": "GPS navigator navigation NAV route guidance screen reset pairing",
+    "robot_vacuum": "robot vacuum Roomba Home Base CLEAN button full bin sensors charging contacts troubleshooting indicator",
+    "snowmobile": "snowmobile engine start throttle brake safety warning maintenance track",
+    "steam_cleaner": "steam cleaner steam mop water tank nozzle brush descaling safety",
+    "toothbrush": "electric toothbrush brush head charging mode timer safety cleaning",
+    "tv_radio": "television TV radio DVD antenna caption channel power cord safety",
+    "vacuum": "vacuum cleaner robot vacuum home base filter bin sensor charging contacts clean",
+    "vr_headset": "VR headset processor unit HDMI USB AUX DC IN status indicator ventilation cable",
+    "water_pump": "water pump engine fuel switch priming plug drain plug throttle handle inlet outlet hose filter",
+}
+TYPE_HINTS = {
+    "退换货": "return refund exchange eligibility proof shipping fee RMA",
+    "退款": "return refund exchange eligibility proof shipping fee RMA",
+    "发票": "invoice receipt title tax number issue correction delivery time",
+    "物流": "shipping delivery pickup tracking receipt freight rural area",
+    "保修": "warranty repair fault responsibility proof RMA service scope",
+    "维修": "warranty repair fault responsibility proof RMA service scope",
+    "安装": "installation setup authorized service parts fee damage proof",
+    "故障": "troubleshooting fault error indicator reset repair safety",
+    "部件": "parts component diagram label position interface connector",
+    "安全": "safety warning caution danger personal injury electric shock",
+}
+SERVICE_HINTS = {
+    "售后": "after-sales customer service handling procedure responsibility proof",
+    "换货": "exchange eligibility proof RMA return shipping",
+    "退款": "refund return eligibility proof processing",
+    "退货": "return refund eligibility proof shipping",
+    "运费": "shipping fee freight return postage responsibility",
+    "发票": "invoice receipt title tax number issue time",
+    "保修": "warranty repair proof service period fault",
+    "维修": "repair warranty fault responsibility service center",
+    "物流": "shipping delivery pickup tracking receipt",
+    "投诉": "complaint evidence photos order number escalation",
+}

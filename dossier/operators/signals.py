@@ -11,8 +11,9 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from dossier.functions import lexicon as L
 from dossier.functions.lexicon import VISUAL_TYPES
-from dossier.functions.text import document_refs, is_toc_entry
+from dossier.functions.text import document_refs, has_any, is_toc_entry
 from dossier.operators.fusion import min_max
 from dossier.operators.rerank import answer_prior, reference_weight
 from dossier.operators.retrieval import char_terms
@@ -237,3 +238,20 @@ def rank_methods(signals: DataFrame, plans: DataFrame, k: int = 10, alpha: float
     long = rows.select("question_id", "node_id", F.explode(each).alias("e")).select("question_id", "node_id", "e.method", "e.score")
     rank = F.row_number().over(Window.partitionBy("question_id", "method").orderBy(F.desc("score"), "node_id")).cast("long")
     return long.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "method", "rank", "node_id", "score")
+
+
+def after_sales_scores(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, node_id, score): .65 * likeness to the question and its intents' terms, fitted on the question's own nodes, and bonuses for manuals, policies, titles and shared intents; 0 for questions without an intent.
+
+    pairs: (question_id, node_id, node_type, structure_type, paper_domain, text_after_sales); questions: (question_id, question, sales)."""
+    text, sales = F.col("text_after_sales"), F.map_from_entries("sales")
+    terms = F.create_map(*[x for k, v in L.AFTER_SALES_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    words = F.flatten(F.transform("sales", lambda s: F.coalesce(terms[s["intent"]], F.array().cast("array<string>"))))
+    sold = questions.where(F.size("sales") > 0).select("question_id", F.array_join(F.concat(words, F.array("question")), " ").alias("question"), sales.alias("__sales"))
+    rows = pairs.join(sold, "question_id")
+    alike = local_lexical(rows.select("question_id", "node_id", "question", text.alias("text"))).withColumnRenamed("score", "__alike")
+    shared = F.greatest(F.lit(0.0), *[F.when(has_any(text, v), F.coalesce(F.col("__sales")[k], F.lit(0.0))) for k, v in L.AFTER_SALES_TERMS.items()])
+    plus = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    bonus = plus(has_any(text, L.AFTER_SALES_HINTS), 0.12) + plus(F.col("paper_domain") == "after_sales_knowledge_base", 0.18) + plus(F.col("structure_type").isin("after_sales_policy", "manual_profile"), 0.12) + plus(F.col("node_type") == "title", 0.04)
+    own = rows.join(alike, ["question_id", "node_id"]).select("question_id", "node_id", (0.65 * F.col("__alike") + bonus + 0.25 * shared).alias("score"))
+    return pairs.select("question_id", "node_id").join(own, ["question_id", "node_id"], "left").select("question_id", "node_id", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))

@@ -10,11 +10,12 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from dossier.functions import blocks
+from dossier.functions import blocks, node_texts
+from dossier.functions import lexicon as L
 from dossier.functions import text as T
-from dossier.operators import ablation, answers, chains, chunking, evaluate, fusion, knowledge, layout, planning, questions, rerank, retrieval, signals, sparse, structure, tables
+from dossier.operators import ablation, answers, chains, chunking, evaluate, expansion, fusion, knowledge, knowledge_route, layout, planning, questions, rerank, retrieval, signals, sparse, structure, tables
 from dossier.operators import routes as routes_of
-from dossier.sources import benchmarks
+from dossier.sources import benchmarks, content
 from dossier.sources.tables import document_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -675,3 +676,127 @@ def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("section") != "", F.col("section")).otherwise(F.concat(F.lit("page:"), F.col("page").cast("string")))
     out = nodes.join(degree, "node_id", "left").join(terms, "node_id", "left")
     return out.select("node_id", "doc_id", "page", "node_type", label.alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the beginnings of the lines around them."""
+    w = Window.partitionBy("doc_id").orderBy("node_pos")
+    return lines(spark, sf_dir).withColumns({f"{n}_chunk_preview": f(T.preview(F.col("content"), 120)).over(w) for n, f in (("previous", F.lag), ("next", F.lead))})
+
+
+@query
+def node_texts_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts by which routes find each line."""
+    names = ("retrieval", "section", "table", "product", "after_sales", "guard")
+    return node_texts.with_texts(_described(spark, sf_dir), *names).select("node_id", *[F.md5(F.col(f"text_{n}").cast("binary")).alias(n) for n in names])
+
+
+@query
+def question_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's question with the hints of the route that it is understood to take."""
+    asks = document_questions(spark, sf_dir).withColumn("question_id", F.concat(F.lit("d"), F.col("question_id").cast("string")))
+    routes = expansion.keyed(expansion.routing(questions.understand(asks)), "question_id")
+    return expansion.expand(asks.select("question_id", "question"), routes)
+
+
+@query
+def product_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's question, with its source, against its lines; products are the known groups and the first words of titles."""
+    asks = document_questions(spark, sf_dir)
+    source = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "source").dropDuplicates(["question_id"])
+    blob = T.casefold(T.clean_text(F.concat_ws(" ", "question", "source")))
+    word = T.casefold(F.regexp_extract(T.clean_text(F.col("title")), r"^\S+", 0))
+    groups = knowledge_route.product_groups(spark).unionByName(asks.select(word.alias("canonical")).where("canonical <> ''").distinct().select("canonical", F.array("canonical").alias("terms")))
+    nodes = node_texts.with_texts(_described(spark, sf_dir), "product", "visual").withColumn("source_ref", F.lit(""))
+    return knowledge_route.product_scores(nodes.withColumn("question_id", F.col("doc_id")), asks.join(source, "question_id", "left").select("question_id", blob.alias("blob")), groups)
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, their nodes, and relations with the nodes that they come from: documents, terms, and the policies whose words a line holds."""
+    nodes = lines(spark, sf_dir)
+    terms = structure.settle(knowledge.node_terms(nodes), "terms")
+    part, product = F.concat(F.lit("part:"), F.lower("term")), F.concat(F.lit("product:"), F.col("doc_id").cast("string"))
+    policy = spark.createDataFrame([(f"policy:{L.KG_POLICIES[k]}", L.KG_POLICIES[k], list(v), "policy") for k, v in L.AFTER_SALES_TERMS.items()], "entity_id string, name string, aliases array<string>, entity_type string")
+    none = F.array().cast("array<string>").alias("aliases")
+    parts = terms.select(part.alias("entity_id"), F.lower("term").alias("name"), none, F.lit("part").alias("entity_type")).distinct()
+    products = terms.select(product.alias("entity_id"), F.col("doc_id").cast("string").alias("name"), none, F.lit("product").alias("entity_type")).distinct()
+    told = F.array_compact(F.array(*[F.when(T.has_any(T.casefold(T.clean_text(F.col("content"))), v), f"policy:{L.KG_POLICIES[k]}") for k, v in L.AFTER_SALES_TERMS.items()]))
+    links = terms.select("node_id", part.alias("entity_id")).unionByName(terms.select("node_id", product.alias("entity_id"))).unionByName(nodes.select("node_id", F.explode(told).alias("entity_id"))).distinct()
+    of_part = terms.select(product.alias("source_id"), part.alias("target_id"), F.lit("product_has_part").alias("relation_type"), F.col("node_id").alias("evidence_node_id"))
+    of_policy = nodes.select(F.explode(told).alias("source_id"), product.alias("target_id"), F.lit("policy_applies_to_product").alias("relation_type"), F.col("node_id").alias("evidence_node_id"))
+    return parts.unionByName(products).unionByName(policy), links, of_part.unionByName(of_policy).distinct()
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.after_sales(questions.intents(document_questions(spark, sf_dir)))
+
+
+@query
+def kg_query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge_route.query_context(_known(spark, sf_dir), _knowledge(spark, sf_dir)[0])
+
+
+@query
+def kg_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's question against its lines by the entities and relations of both."""
+    entities_, links, relations_ = _knowledge(spark, sf_dir)
+    context = structure.settle(knowledge_route.query_context(_known(spark, sf_dir), entities_), "context")
+    pairs = lines(spark, sf_dir).select(F.col("doc_id").alias("question_id"), "node_id", "node_type", F.lit("").alias("structure_type"), F.lit(False).alias("captioned"))
+    return knowledge_route.graph_scores(pairs, context, links, relations_)
+
+
+@query
+def after_sales_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = node_texts.with_texts(_described(spark, sf_dir), "after_sales")
+    pairs = nodes.select(F.col("doc_id").alias("question_id"), "node_id", "node_type", F.lit("").alias("structure_type"), F.lit("").alias("paper_domain"), "text_after_sales")
+    return signals.after_sales_scores(pairs, _known(spark, sf_dir).select("question_id", "question", "sales"))
+
+
+def _answer_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of the five best documents by BM25, of the kinds that their languages stand for."""
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("lang")), F.lit("text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), kind.alias("node_type"), T.preview(F.col("text"), 220).alias("content_preview"))
+    best = bm25_best(spark, sf_dir, 5).join(docs, "node_id")
+    empty = [F.lit("").alias(n) for n in ("visual_summary", "visual_caption", "crop_image_path", "page_image_path")]
+    step = F.struct("rank", F.struct(F.col("node_id").cast("string").alias("node_id"), "node_type", F.lit(1).alias("page"), "content_preview", *empty).alias("s"))
+    steps = best.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"))
+    out = asked(spark, sf_dir).select("question_id", F.col("text").alias("question"), F.lit("").alias("summary")).join(steps, "question_id", "left")
+    return out.withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{answers.STEP}>")))
+
+
+@query
+def chain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractive answers of every benchmark question, what an upload's answer would say, and the evidence of both."""
+    out = answers.evidence_metadata(answers.extractive(_answer_chains(spark, sf_dir)))
+    return out.select("question_id", F.col("fallback").alias("answer"), answers.local_answer(F.col("question"), F.col("steps")).alias("local_answer"), "evidence_node_ids", "evidence_pages", "evidence_modalities", "citations", "evidence_count", "visual_evidence_count")
+
+
+@query
+def card_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the benchmark questions' chains; no card has been drawn and no crop cut."""
+    chains_ = _answer_chains(spark, sf_dir)
+    steps = chains_.select("question_id", F.explode("steps").alias("s")).select("question_id", "s.*", F.lit(False).alias("crop_exists"))
+    asks = chains_.select("question_id", F.lit("").alias("question_type"), "question", F.lit("").alias("answer"), F.lit("").alias("gold_modalities"))
+    return evaluate.card_checks(asks, steps, spark.createDataFrame([], "question_id long, width int, height int, nonblank boolean"))
+
+
+@query
+def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = lines(spark, sf_dir)
+    edges = structure.all_edges(nodes).withColumn("doc_id", F.split("source_id", "_")[1].cast("long"))
+    return evaluate.chunk_report(nodes, edges)
+
+
+@query
+def common_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's most frequent kind of node, of equals the first."""
+    return evaluate.most_common(lines(spark, sf_dir), "doc_id", "node_type", "node_pos")
+
+
+@query
+def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as content lists, an item for each line, and read as nodes."""
+    item = F.struct(F.when(F.col("node_type") == "title", "doc-title").otherwise(F.col("node_type")).alias("type"), F.col("content").alias("text"), (F.col("page") - 1).alias("page_idx"))
+    items = lines(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_pos", item.alias("i")))), lambda x: x["i"]).alias("content_list"))
+    lists = items.select("doc_id", F.to_json(F.struct("content_list")).alias("text"), F.lit("").alias("path"))
+    return content.content_nodes(lists).select("doc_id", "node_id", "pos", "page", "node_type", F.md5(F.col("content").cast("binary")).alias("content_md5"))

@@ -488,12 +488,18 @@ ev AS (SELECT question_id, node_id, 1 AS phase, 'main' AS role, n::DOUBLE AS o0,
 fi AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY phase, o0, o1, o2) = 1)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, o0, o1, o2, node_id) AS step, node_id, role FROM fi QUALIFY step <= 5"""
 _LG = "regexp_replace(lower(" + clean("text") + "), '\\s\\s+', ' ', 'g')"
-ORACLES["local_lexical"] = f"""WITH {NODES}, {DOC_ASKS}, lt AS (SELECT question_id, '' AS node_id, true AS ask, question AS text FROM dq UNION ALL SELECT doc_id, node_id, false, content FROM nodes),
+def _fitted(lt: str) -> str:
+    """CTEs that end in ls: (question_id, node_id, dot, norm, length) of texts fitted on each question's own. lt selects question_id, node_id, ask, text."""
+    return f"""lt AS ({lt}),
 lc AS (SELECT question_id, node_id, ask, regexp_extract_all({_LG}, '(?s).') AS c FROM lt), lh AS (SELECT question_id, node_id, ask, generate_subscripts(c, 1) AS i, unnest(c) AS c FROM lc), lw AS (SELECT question_id, node_id, ask, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3 FROM lh WINDOW w AS (PARTITION BY question_id, node_id ORDER BY i)), lg AS (SELECT question_id, node_id, ask, unnest([c || c1, c || c1 || c2, c || c1 || c2 || c3]) AS term FROM lw),
 lp AS (SELECT question_id, node_id, ask, term, count(*) AS tf FROM lg WHERE term IS NOT NULL GROUP BY ALL), ln_ AS (SELECT question_id, count(*) AS n FROM lt GROUP BY question_id), li AS (SELECT question_id, term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM lp JOIN ln_ USING (question_id) GROUP BY ALL),
 lq AS (SELECT question_id, term, tf * idf AS w FROM lp JOIN li USING (question_id, term) WHERE ask), ll AS (SELECT question_id, sum({_B('w * w')}) AS length FROM lq GROUP BY question_id),
-ld AS (SELECT p.question_id, p.node_id, sum({_B('tf * idf * coalesce(lq.w, 0)')}) AS dot, sum({_B('tf * idf * tf * idf')}) AS norm FROM lp p JOIN li USING (question_id, term) LEFT JOIN lq USING (question_id, term) WHERE NOT ask GROUP BY ALL)
-SELECT n.doc_id AS question_id, n.node_id, round(coalesce(CASE WHEN norm > 0 AND length > 0 THEN dot::DOUBLE / sqrt(norm::DOUBLE * length::DOUBLE) END, 0), 6) AS score FROM nodes n JOIN dq ON dq.question_id = n.doc_id LEFT JOIN ld ON ld.question_id = n.doc_id AND ld.node_id = n.node_id LEFT JOIN ll ON ll.question_id = n.doc_id"""
+ld AS (SELECT p.question_id, p.node_id, sum({_B('tf * idf * coalesce(lq.w, 0)')}) AS dot, sum({_B('tf * idf * tf * idf')}) AS norm FROM lp p JOIN li USING (question_id, term) LEFT JOIN lq USING (question_id, term) WHERE NOT ask GROUP BY ALL),
+ls AS (SELECT question_id, node_id, CASE WHEN norm > 0 AND length > 0 THEN dot::DOUBLE / sqrt(norm::DOUBLE * length::DOUBLE) END AS score FROM ld JOIN ll USING (question_id))"""
+
+
+ORACLES["local_lexical"] = f"""WITH {NODES}, {DOC_ASKS}, {_fitted("SELECT question_id, '' AS node_id, true AS ask, question AS text FROM dq UNION ALL SELECT doc_id, node_id, false, content FROM nodes")}
+SELECT n.doc_id AS question_id, n.node_id, round(coalesce(score, 0), 6) AS score FROM nodes n JOIN dq ON dq.question_id = n.doc_id LEFT JOIN ls ON ls.question_id = n.doc_id AND ls.node_id = n.node_id"""
 
 _CUT = "CASE WHEN length(x) > 900 THEN list_transform(range(0, (length(x) - 1) // 900 + 1), lambda i: trim(substr(x, i * 900 + 1, 900))) ELSE [x] END"
 ORACLES["sentence_chunks"] = f"""WITH d AS (SELECT doc_id, {clean('text')} AS t FROM documents),
@@ -522,3 +528,89 @@ SELECT node_id, md5(trim(regexp_replace(regexp_replace(c, '(?i)^\\s*(?:[IVXLC]+|
 ORACLES["question_kinds"] = f"""WITH {SAID}, b AS (SELECT *, lower(question) AS low, lower({clean('question_type')}) AS kind, lower({clean('question_type')}) || ' ' || lower({clean('question')}) AS blob FROM s),
 w AS (SELECT *, regexp_matches(blob, 'table|tabular|表') AS wants_table, regexp_matches(blob, 'image|figure|fig\\.|chart|plot|diagram|图') AS wants_figure FROM b), x AS (SELECT *, regexp_matches(blob, 'cross|multi') OR contains(kind, 'text-table-image') OR (wants_table AND wants_figure) AS wants_cross FROM w)
 SELECT question_id, CASE WHEN regexp_matches(low, 'table|表格|表 |表中') THEN '表格问答' WHEN regexp_matches(low, 'figure|fig\\.|图|曲线|趋势') THEN '图表理解' WHEN regexp_matches(low, '跨模态|结合|多模态') THEN '跨模态综合' ELSE '自定义问题' END AS online_type, CASE WHEN regexp_matches(question_id, '\\d$') THEN regexp_extract(question_id, '(\\d+)$', 1) ELSE question_id END AS submission_id, wants_table, wants_figure, wants_cross, wants_table OR wants_figure OR wants_cross AS wants_visual FROM x"""
+
+DESCRIBED = f"nd AS (SELECT *, coalesce(lag({preview('content', 120)}) OVER w, '') AS before, coalesce(lead({preview('content', 120)}) OVER w, '') AS after, coalesce(section, '') AS sec FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY node_pos))"
+_PRODUCT_TEXT = fold(clean("doc_id || ' ' || sec || ' ' || content"))
+_SALES_TEXT = fold(clean("doc_id || ' ' || sec || ' ' || node_type || ' ' || before || ' ' || content || ' ' || after"))
+ORACLES["node_texts_by_route"] = f"""WITH {NODES}, {DESCRIBED} SELECT node_id, md5({clean("doc_id || ' ' || sec || ' ' || before || ' ' || content || ' ' || after")}) AS retrieval,
+md5({clean("'paper_domain: section:' || sec || ' node_type:' || node_type || ' structure_type: chunk_strategy: layout_role: explicit_refs: ' || " + preview('content', 240))}) AS section, md5({clean("node_type || ' ' || " + clean('sec') + " || ' ' || " + preview('content', 500))}) AS "table",
+md5({_PRODUCT_TEXT}) AS product, md5({_SALES_TEXT}) AS after_sales, md5({clean("node_type || ' ' || sec || ' ' || content")}) AS guard FROM nd"""
+
+
+def _alias_of(x: str, terms: tuple[str, ...]) -> str:
+    return any_of(x, terms, False)
+
+
+_ROUTE = "CASE WHEN score > 0 AND profile IN ('policy', 'after_sales') THEN CASE WHEN has_product THEN 'service_with_product' ELSE 'service' END WHEN profile = 'manual_visual' THEN 'manual_visual' WHEN profile IN ('manual', 'troubleshooting') THEN 'manual' WHEN wants_visual THEN 'visual' ELSE '' END"
+_NAMED = "CASE " + " ".join(f"WHEN {_alias_of('blob', (k, *v))} THEN {lit(k)}" for k, v in L.PRODUCT_ALIASES.items()) + " ELSE '' END"
+_ALIASES = "list_filter([" + ", ".join(f"CASE WHEN {_alias_of('blob', (a,))} THEN {lit(a)} END" for a in dict.fromkeys(a for v in L.PRODUCT_ALIASES.values() for a in v)) + "], lambda a: a IS NOT NULL)"
+_SERVICES = "list_filter([" + ", ".join(f"CASE WHEN contains(blob, {lit(a)}) THEN {lit(a)} END" for a in L.SERVICE_HINTS) + "], lambda a: a IS NOT NULL)"
+_HINT = lambda d, x: f"CASE {x} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in d.items()) + " END"
+ORACLES["question_expansion"] = f"""WITH {NODES}, {DOC_ASKS}, s AS (SELECT 'd' || question_id AS question_id, question, question_type FROM dq), {UNDERSTOOD},
+r AS (SELECT question_id, question, plain, {_ROUTE} AS route, {_NAMED} AS product, {_ALIASES} AS aliases, {_SERVICES} AS services FROM prof), x AS (SELECT *, {_HINT(L.ROUTE_HINTS, 'route')} AS rh, {_HINT(L.PRODUCT_HINTS, 'product')} AS ph FROM r),
+h AS (SELECT *, list_concat(list_filter([CASE WHEN rh IS NOT NULL THEN 'route=' || route || '; intent aliases=' || rh END, CASE WHEN product <> '' THEN 'product=' || product || CASE WHEN ph IS NOT NULL THEN '; product aliases=' || ph ELSE '' END END, CASE WHEN len(aliases) > 0 THEN 'matched product aliases=' || array_to_string(aliases[1:10], ' ') END], lambda a: a IS NOT NULL),
+  CASE WHEN route = 'service' OR len(list_filter(services, lambda a: a <> '售后')) > 0 THEN list_transform(services, lambda a: 'service_term=' || a || '; ' || {_HINT(L.SERVICE_HINTS, 'a')}) ELSE [] END) AS hints FROM x)
+SELECT question_id, question, CASE WHEN len(hints) > 0 THEN plain || chr(10) || 'Search context: ' || array_to_string(hints[1:8], ' | ') ELSE question END AS expanded, CASE WHEN len(hints) > 0 THEN route ELSE '' END AS route_name, CASE WHEN len(hints) > 0 THEN product ELSE '' END AS route_product FROM h"""
+_HOLDS = lambda x, name: f"(contains({x}, {name}) AND (regexp_matches({name}, '[一-鿿]') OR regexp_matches({x}, '(^|[^a-z0-9])' || regexp_escape({name}) || '($|[^a-z0-9])')))"
+_GROUPS = ", ".join(f"({lit(k)}, {lit(t.casefold())})" for k, v in L.PRODUCT_ALIASES.items() for t in (k, *v))
+ORACLES["product_route"] = f"""WITH {NODES}, {DOC_ASKS}, {DESCRIBED}, qb AS (SELECT q.question_id, {fold(clean("concat_ws(' ', q.question, d.source)"))} AS blob FROM dq q LEFT JOIN documents d ON d.doc_id = q.question_id),
+gr AS (SELECT DISTINCT * FROM (SELECT * FROM (VALUES {_GROUPS}) AS t(canonical, term) UNION ALL SELECT w, w FROM (SELECT DISTINCT {fold("regexp_extract(" + clean('title') + ", '^[^\s]+')")} AS w FROM dq) WHERE w <> '')),
+gq AS (SELECT question_id, canonical, term FROM qb, gr WHERE {_HOLDS('blob', 'term')}), nt AS (SELECT doc_id AS question_id, node_id, {fold(clean('CAST(doc_id AS VARCHAR)'))} AS d, {fold(clean("sec || ' '"))} AS p, {_PRODUCT_TEXT} AS t FROM nd),
+gs AS (SELECT question_id, node_id, canonical, least(1.0, CASE WHEN bool_or({_HOLDS('d', 'term')}) THEN 0.58 ELSE 0 END + CASE WHEN bool_or({_HOLDS('p', 'term')}) THEN 0.42 ELSE 0 END + CASE WHEN bool_or({_HOLDS('t', 'term')}) THEN 0.26 ELSE 0 END) AS score FROM nt JOIN gq USING (question_id) GROUP BY ALL)
+SELECT n.question_id, n.node_id, round(coalesce(max(score), 0), 4)::DOUBLE AS score FROM nt n LEFT JOIN gs USING (question_id, node_id) GROUP BY ALL"""
+
+_POLICIES = ", ".join(f"('policy:{L.KG_POLICIES[k]}', 'policy', {lit(L.KG_POLICIES[k])}, {lit(t.casefold())})" for k, v in L.AFTER_SALES_TERMS.items() for t in (L.KG_POLICIES[k], *v))
+_KEPT = "NOT (kinds = 1 AND generic AND NOT (hinted OR has_product))"
+_STRONG = "list_concat(CASE WHEN " + _KEPT + " THEN list_filter([" + ", ".join(f"CASE WHEN h[{i}] >= 2 THEN {lit(L.KG_POLICIES[k])} END" for i, k in enumerate(L.AFTER_SALES_TERMS, 1)) + "], lambda a: a IS NOT NULL) ELSE [] END, list_filter([" + ", ".join(f"CASE WHEN contains(blob, {lit(v)}) THEN {lit(v)} END" for v in L.KG_POLICIES.values()) + "], lambda a: a IS NOT NULL))"
+KG_CONTEXT = f"""{KG}, {DOC_ASKS}, s AS (SELECT * FROM dq), {UNDERSTOOD},
+en AS (SELECT DISTINCT * FROM (SELECT 'part:' || lower(term) AS entity_id, 'part' AS type, lower(term) AS title, {fold('lower(term)')} AS name FROM terms UNION ALL SELECT 'product:' || doc_id, 'product', doc_id::VARCHAR, doc_id::VARCHAR FROM terms UNION ALL SELECT * FROM (VALUES {_POLICIES}) AS t(a, b, c, d))),
+eh AS (SELECT question_id, entity_id, type, bool_or(name NOT IN ({', '.join(map(lit, L.KG_GENERIC_POLICY))})) AS own FROM prof, en WHERE {_HOLDS('blob', 'name')} GROUP BY ALL),
+es AS (SELECT question_id, unnest({_STRONG}) AS title FROM prof),
+context AS (SELECT DISTINCT question_id, entity_id, CASE WHEN type = 'policy' THEN 'policy' ELSE 'concrete' END AS kind FROM (SELECT question_id, entity_id, type FROM eh WHERE type <> 'policy' OR own UNION ALL SELECT question_id, entity_id, type FROM es JOIN en USING (title) WHERE type = 'policy'))"""
+ORACLES["kg_query_context"] = f"WITH {KG_CONTEXT} SELECT * FROM context"
+_TOLD = "list_filter([" + ", ".join(f"CASE WHEN {any_of(fold(clean('content')), v)} THEN 'policy:{L.KG_POLICIES[k]}' END" for k, v in L.AFTER_SALES_TERMS.items()) + "], lambda a: a IS NOT NULL)"
+ORACLES["kg_route"] = f"""WITH {KG_CONTEXT}, pl AS (SELECT node_id, doc_id, unnest({_TOLD}) AS entity_id FROM nodes),
+lk_ AS (SELECT DISTINCT * FROM (SELECT node_id, 'part:' || lower(term) AS entity_id FROM terms UNION ALL SELECT node_id, 'product:' || doc_id FROM terms UNION ALL SELECT node_id, entity_id FROM pl)),
+re AS (SELECT DISTINCT * FROM (SELECT node_id, 'product:' || doc_id AS a, 'part:' || lower(term) AS b, 'has' AS type FROM terms UNION ALL SELECT node_id, entity_id, 'product:' || doc_id, 'applies' FROM pl)),
+pr AS (SELECT doc_id AS question_id, node_id, node_type IN {_VIS} AS looks, node_type = 'title' AS title FROM nodes),
+di AS (SELECT pr.question_id, pr.node_id, count(*) FILTER (WHERE kind = 'concrete') AS c, count(*) FILTER (WHERE kind = 'policy') AS p FROM pr JOIN lk_ USING (node_id) JOIN context x ON x.question_id = pr.question_id AND x.entity_id = lk_.entity_id GROUP BY ALL),
+rm AS (SELECT pr.question_id, pr.node_id, a, b, re.type, count(*) AS n, count(*) FILTER (WHERE kind = 'concrete') AS c, bool_or(kind = 'policy') AS p FROM pr JOIN re USING (node_id) JOIN context x ON x.question_id = pr.question_id AND (x.entity_id = a OR x.entity_id = b) GROUP BY ALL),
+rb AS (SELECT question_id, node_id, max(greatest(CASE WHEN n >= 2 THEN 0.32 WHEN c > 0 THEN 0.16 ELSE 0 END, CASE WHEN type = 'has' AND c >= 2 THEN 0.36 WHEN type = 'applies' AND c > 0 AND p THEN 0.2 ELSE 0 END)) AS bonus FROM rm GROUP BY ALL),
+ab AS (SELECT question_id, bool_or(kind = 'policy') AND NOT bool_or(kind = 'concrete') AS alone FROM context GROUP BY question_id),
+sc AS (SELECT pr.*, coalesce(c, 0) AS c, coalesce(p, 0) AS p, coalesce(bonus, 0) AS bonus, coalesce(alone, false) AS alone FROM pr LEFT JOIN di USING (question_id, node_id) LEFT JOIN rb USING (question_id, node_id) LEFT JOIN ab USING (question_id))
+SELECT question_id, node_id, round(least(1.0, CASE WHEN alone THEN CASE WHEN p = 0 THEN 0 WHEN title THEN 0.18 WHEN looks THEN 0.25 ELSE 0.45 END ELSE least(0.72, 0.3 * c + 0.08 * p) + bonus END), 4)::DOUBLE AS score FROM sc"""
+_TERMS_OF = "flatten([" + ", ".join(f"CASE WHEN h[{i}] > 0 THEN [{', '.join(map(lit, v))}] ELSE [] END" for i, v in enumerate(L.AFTER_SALES_TERMS.values(), 1)) + "])"
+_SHARED = "greatest(0, " + ", ".join(f"CASE WHEN {any_of('x', v)} AND kept AND h[{i}] > 0 THEN least(1.0, 0.35 + 0.18 * h[{i}]) ELSE 0 END" for i, v in enumerate(L.AFTER_SALES_TERMS.values(), 1)) + ")"
+ORACLES["after_sales_domain"] = f"""WITH {NODES}, {DOC_ASKS}, {DESCRIBED}, s AS (SELECT * FROM dq), {UNDERSTOOD}, sq AS (SELECT question_id, h, {_KEPT} AS kept, CASE WHEN {_KEPT} THEN array_to_string(list_concat({_TERMS_OF}, [question]), ' ') ELSE question END AS ask FROM prof WHERE score > 0),
+st AS (SELECT doc_id AS question_id, node_id, node_type, {_SALES_TEXT} AS x FROM nd), {_fitted("SELECT question_id, '' AS node_id, true AS ask, ask AS text FROM sq UNION ALL SELECT question_id, node_id, false, x FROM st WHERE question_id IN (SELECT question_id FROM sq)")},
+sb AS (SELECT st.question_id, st.node_id, 0.65 * round(coalesce(ls.score, 0), 6) + CASE WHEN {any_of('x', L.AFTER_SALES_HINTS)} THEN 0.12 ELSE 0 END + CASE WHEN node_type = 'title' THEN 0.04 ELSE 0 END + 0.25 * {_SHARED} AS score FROM st JOIN sq USING (question_id) LEFT JOIN ls USING (question_id, node_id))
+SELECT st.question_id, st.node_id, round(coalesce(sb.score, 0), 4)::DOUBLE AS score FROM st LEFT JOIN sb USING (question_id, node_id)"""
+
+_ZH = "len(regexp_extract_all({0}, '[一-鿿]')) >= greatest(2, len(regexp_extract_all({0}, '[A-Za-z]')) // 3)"
+STEPS = f"""{BM25}, tb AS ({top('bm25', 5)}), sp AS (SELECT tb.question_id, tb.rank AS n, tb.node_id::VARCHAR AS id, coalesce({_KIND}, 'text') AS kind, {preview('d.text', 220)} AS said FROM tb JOIN documents d ON d.doc_id = tb.node_id),
+sl AS (SELECT question_id, list({{'n': n, 'id': id, 'kind': kind, 'said': said, 'look': kind IN {_VIS}}} ORDER BY n) AS steps FROM sp GROUP BY question_id), ch AS (SELECT question_id, text AS question, coalesce(steps, []) AS steps, {_ZH.format('text')} AS zh FROM asked LEFT JOIN sl USING (question_id))"""
+_ONE = lambda zh: "list_transform(list_filter(steps[1:3], lambda x: x.said <> ''), lambda x: '[E' || x.n || '] " + ("第1页' || x.kind" if zh else "page 1 ' || x.kind") + " || ': ' || " + preview("x.said", 110) + ")"
+ORACLES["chain_answers"] = f"""WITH {STEPS}, ct AS (SELECT *, list_filter(list_transform(steps, lambda x: {{'n': x.n, 'id': x.id, 'look': x.look, 'text': {preview('x.said', 240)}}}), lambda x: x.text <> '') AS told FROM ch),
+cm_ AS (SELECT *, list_transform(told[1:3], lambda x: x.text) AS m3, array_to_string(list_transform(told[1:3], lambda x: '[E' || x.n || ']'), ' ') AS cited, list_filter(told, lambda x: x.look)[1:2] AS looks FROM ct),
+cu AS (SELECT *, list_filter(m3, lambda x, i: list_position(m3, x) = i) AS main, CASE WHEN len(looks) > 0 THEN ' ' || array_to_string(list_transform(looks, lambda x: '<PIC:' || x.id || '>'), ' ') ELSE '' END AS marks FROM cm_)
+SELECT question_id, CASE WHEN len(told) = 0 THEN CASE WHEN zh THEN '根据当前证据链，暂时无法确认该问题的答案。' ELSE 'The current evidence chain is insufficient to answer the question.' END ELSE CASE WHEN zh THEN '根据证据链，' || array_to_string(list_filter(list_transform(main, lambda x: regexp_replace(x, '[\s。；;,.，、]+$', '')), lambda x: x <> ''), '；') || marks || '。证据来源：' || cited ELSE 'Based on the evidence chain, ' || array_to_string(main, '; ') || marks || '. Sources: ' || cited END END AS answer,
+CASE WHEN len(steps) = 0 THEN '未检索到可用于回答该问题的证据。' WHEN zh THEN '根据上传文档的证据链，可以直接依据主证据回答：' || {preview('steps[1].said', 180)} || '。支撑证据包括' || array_to_string({_ONE(True)}, '；') || '。' ELSE 'The answer is grounded in the top evidence: ' || {preview('steps[1].said', 180)} || '. Supporting evidence: ' || array_to_string({_ONE(False)}, '; ') || '.' END AS local_answer,
+array_to_string(list_transform(steps, lambda x: x.id), ';') AS evidence_node_ids, CASE WHEN len(steps) > 0 THEN '1' ELSE '' END AS evidence_pages, array_to_string(list_filter(list_transform(steps, lambda x: x.kind), lambda x, i: list_position(list_transform(steps, lambda y: y.kind), x) = i), ';') AS evidence_modalities,
+array_to_string(list_transform(steps, lambda x: '[E' || x.n || '] ' || x.id || ' (' || x.kind || ', p.1)'), ' | ') AS citations, len(steps) AS evidence_count, len(list_filter(steps, lambda x: x.look)) AS visual_evidence_count FROM cu"""
+ORACLES["card_checks"] = f"""WITH {STEPS}, cc_ AS (SELECT *, len(steps) AS n, len(list_filter(steps, lambda x: x.look)) AS v, regexp_matches(lower({clean('question')}), 'table|figure|fig\.|chart|plot|表|图|跨模态') AS req FROM ch)
+SELECT question_id, req AS visual_required, false AS card_exists, n AS chain_steps, v AS visual_node_steps, 0 AS crop_steps, 0 AS existing_crop_steps, 0 AS captioned_steps, CASE WHEN n > 0 THEN '1' ELSE '' END AS source_pages, 'fail' AS status,
+concat_ws(';', 'missing_card', 'unexpected_card_size', 'blank_or_unreadable_card', CASE WHEN {clean('question')} = '' THEN 'missing_question' END, 'missing_answer', CASE WHEN n < 3 THEN 'too_few_chain_steps' END, 'missing_existing_crop', CASE WHEN req AND v < 1 THEN 'visual_required_without_visual_node' END, CASE WHEN req THEN 'visual_required_without_caption' END) AS issues FROM cc_"""
+ORACLES["common_kinds"] = f"WITH {NODES}, c AS (SELECT doc_id, node_type, count(*) AS n, min(node_pos) AS o FROM nodes GROUP BY ALL) SELECT doc_id, node_type FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) = 1"
+_N = lambda k: f"count(*) FILTER (WHERE node_type = '{k}') AS \"{k}\""
+_E = lambda k: f"coalesce(any_value({k}_edges), 0) AS {k}_edges"
+_REPORTED = ("table_caption", "figure_caption", "section_title", "same_section", "chunk_sequence")
+ORACLES["chunk_report"] = f"""WITH {ALL}, de AS (SELECT string_split(source_id, '_')[2]::BIGINT AS doc_id, * FROM edges), ec AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE edge_type = '{k}') AS {k}_edges" for k in _REPORTED)} FROM de GROUP BY doc_id), ends AS (SELECT source_id AS x FROM edges UNION SELECT target_id FROM edges),
+cl AS (SELECT *, length({clean('content')}) AS l, node_id NOT IN (SELECT x FROM ends) AS alone FROM nodes),
+cr_ AS (SELECT doc_id, count(*) AS total_nodes, count(*) AS evidence_nodes, {', '.join(map(_N, ('title', 'text', 'table', 'figure', 'caption', 'equation')))}, count(DISTINCT nullif({clean('section')}, '')) AS section_count, round(avg(l), 2) AS avg_chunk_chars, round(quantile_cont(l::DOUBLE, 0.5), 2) AS median_chunk_chars,
+  count(*) FILTER (WHERE l > 1200) AS long_chunks, count(*) FILTER (WHERE l < 80) AS short_chunks, count(*) FILTER (WHERE alone) AS isolated_chunks, {', '.join(map(_E, _REPORTED))} FROM cl LEFT JOIN ec USING (doc_id) GROUP BY doc_id),
+cx AS (SELECT *, "table" + figure + caption AS visual_nodes, round(table_caption_edges / greatest(1, "table")::DOUBLE, 4) AS table_caption_pair_rate, round(figure_caption_edges / greatest(1, figure)::DOUBLE, 4) AS figure_caption_pair_rate, round(isolated_chunks / greatest(1, evidence_nodes)::DOUBLE, 4) AS isolated_rate FROM cr_)
+SELECT *, concat_ws(';', CASE WHEN section_count = 0 THEN 'no_sections' END, CASE WHEN visual_nodes = 0 THEN 'no_visual_nodes' END, CASE WHEN isolated_rate > 0.35 THEN 'high_isolated_rate' END, CASE WHEN caption > 0 AND figure_caption_pair_rate < 0.25 AND table_caption_pair_rate < 0.25 THEN 'low_caption_pair_rate' END, CASE WHEN long_chunks > greatest(2.0, evidence_nodes * 0.08) THEN 'many_long_chunks' END) AS warnings FROM cx"""
+_BLOCK = r"""CASE WHEN regexp_matches(c, '(?i)^\s*(图|圖|Fig\.?|Figure|表|Table)\s*[\p{L}\p{N}_\-.]+') THEN 'caption' WHEN regexp_matches(c, '\d+\s+\d+\s+\d+') THEN 'table' WHEN length(c) < 500 AND len(regexp_extract_all(c, '[=∑∫≤≥≈]')) >= 2
+ AND regexp_matches(c, '(\\begin\{equation\}|\\\[|\\\(|\bEq\.?\s*\(?\d+|\([0-9]{1,3}\)\s*$|[=<>]\s*[-+*/()A-Za-z0-9_{}^\\]+|[∑∫√∞≤≥≈≠±])') THEN 'equation' ELSE 'text' END"""
+ORACLES["content_lists"] = f"""WITH {NODES}, i AS (SELECT doc_id, node_pos AS pos, page, node_type AS said, {clean('content')} AS c FROM nodes), k AS (SELECT *, CASE WHEN said = 'text' THEN {_BLOCK} ELSE said END AS node_type FROM i)
+SELECT doc_id, CASE node_type WHEN 'title' THEN 'H' WHEN 'table' THEN 'TB' WHEN 'caption' THEN 'C' WHEN 'equation' THEN 'E' ELSE 'T' END || '_' || doc_id || '_' || page || '_' || row_number() OVER (PARTITION BY doc_id, page, node_type ORDER BY pos) AS node_id, pos, page, node_type, md5(c) AS content_md5 FROM k"""

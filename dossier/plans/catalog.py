@@ -728,7 +728,8 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.after_sales(questions.intents(document_questions(spark, sf_dir)))
+    # Dozens of patterns a question, which several joins read.
+    return structure.settle(questions.after_sales(questions.intents(document_questions(spark, sf_dir))).select("question_id", "question", "blob", "sales"), "known")
 
 
 @query

@@ -25,7 +25,10 @@ def name_hits(texts: DataFrame, names: DataFrame) -> DataFrame:
     key = F.when(F.col("name").rlike(f"[{CJK}]"), first(f"[{CJK}]")).when(F.col("name").rlike("[a-z0-9]"), first("[a-z0-9]+")).otherwise(first("(?s)^."))
     own = names.where("name <> ''").select("name_id", "name", key.alias("__key")).distinct()
     words = texts.select("text_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), F.lit(0)))).alias("__key"))
-    return words.join(own, "__key").where(holds(F.col("text"), F.col("name"))).select("text_id", "name_id", "name")
+    # A name of one word, or of one ideograph, is its key, which the text holds.
+    alone = (F.col("name") == F.col("__key")) & F.col("name").rlike(f"^([a-z0-9]+|[{CJK}])$")
+    rest = F.contains("text", F.col("name")) & holds(F.col("text"), F.col("name"))
+    return words.join(own, "__key").where(F.when(alone, True).otherwise(rest)).select("text_id", "name_id", "name")
 
 
 def product_groups(spark: SparkSession) -> DataFrame:

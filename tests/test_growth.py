@@ -20,3 +20,13 @@ def test_texts_meet_names_without_broadcast(spark):
     got = K.name_hits(texts, names)
     assert sorted((r["text_id"], r["name_id"]) for r in got.collect()) == [("a", "water"), ("a", "water pump"), ("a", "water pump of the old well"), ("b", "water"), ("c", "a空调b c"), ("c", "空调"), ("e", "-x"), ("e", "c++")]
     assert "BroadcastHashJoin" not in plan(got)
+
+
+def test_context_and_relations_are_not_broadcast(spark):
+    pairs = spark.createDataFrame([("q", "a", "text", "", False)], "question_id string, node_id string, node_type string, structure_type string, captioned boolean")
+    context = spark.createDataFrame([("q", "pump", "concrete")], "question_id string, entity_id string, kind string")
+    links = spark.createDataFrame([("a", "pump")], "node_id string, entity_id string")
+    edges = spark.createDataFrame([("pump", "seal", "product_has_part", "a")], "source_id string, target_id string, relation_type string, evidence_node_id string")
+    got = K.graph_scores(pairs, context, links, edges)
+    assert got.first()["score"] == 0.46
+    assert "BroadcastHashJoin" not in plan(got)

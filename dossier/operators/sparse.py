@@ -40,20 +40,34 @@ def listed_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def gram_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the runs of 2, 3 and 4 characters of each text, size by size."""
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    c = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(c))
+    rows, terms, h = [], [], c * _STEP[0]
+    for n in (2, 3, 4):
+        # Runs of so many characters, of which those are left out that go on into the next text.
+        h = h[:-1] + c[n - 1 :] * _STEP[n - 1]
+        whole = left[: len(h)] >= n
+        rows.append(row[: len(h)][whole])
+        terms.append(_spread(h[whole] + np.uint64(n)))
+    return np.concatenate(rows), np.concatenate(terms).view(np.int64)
+
+
 def gram_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of 2, 3 and 4 characters of each text, as listed_terms()."""
-    parts, at = [], [0]
-    for text in column.to_pylist():
-        c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-        runs = [_spread(sum((c[i : len(c) - n + 1 + i] * _STEP[i] for i in range(1, n)), c[: len(c) - n + 1] * _STEP[0]) + np.uint64(n)) for n in (2, 3, 4) if len(c) >= n]
-        parts.extend(runs)
-        at.append(at[-1] + sum(map(len, runs)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64), np.array(at)
+    row, terms = gram_rows(column.to_pylist())
+    return terms[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
 
 
 def counted(terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count) of the distinct terms of each row, in order."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return distinct(np.repeat(np.arange(len(at) - 1), np.diff(at)), terms)
+
+
+def distinct(row: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((terms, row))
     row, terms = row[order], terms[order]
     new = np.ones(len(terms), bool)

@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from dossier.operators import knowledge_route as K
+from dossier.operators import signals
 
 
 def plan(df):
@@ -30,3 +31,15 @@ def test_context_and_relations_are_not_broadcast(spark):
     got = K.graph_scores(pairs, context, links, edges)
     assert got.first()["score"] == 0.46
     assert "BroadcastHashJoin" not in plan(got)
+
+
+def test_local_lexical_makes_no_row_for_each_run(spark, monkeypatch):
+    monkeypatch.setattr(signals, "CHARACTERS", 20)
+    rows = [(q, f"{q}{i}", "pump seal", t) for q in ("a", "b", "c") for i, t in enumerate(("pump seal", "zzz", "", "pump", "a seal of a pump"))]
+    df = spark.createDataFrame(rows, "question_id string, node_id string, question string, text string")
+    got = signals.local_lexical(df)
+    score = {r["node_id"]: r["score"] for r in got.collect()}
+    assert len(score) == 15 and "Generate" not in plan(got)
+    for q in ("a", "b", "c"):
+        assert (score[f"{q}0"], score[f"{q}1"], score[f"{q}2"]) == (1.0, 0.0, 0.0)
+        assert 0 < score[f"{q}4"] < 1 and score[f"{q}3"] == score["a3"]

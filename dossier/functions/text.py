@@ -105,18 +105,25 @@ def term_pattern(term: str, plural: bool = True) -> str:
     return rf"(?:^|[^a-z0-9]){body}{'s?' if plural else ''}(?:[^a-z0-9]|$)"
 
 
+def _longest(term: str) -> str:
+    """A part of a term that each text holds which term_pattern() fits."""
+    term = term.casefold()
+    return term if re.search(f"[{CJK}]", term) else max(term.split(" "), key=len)
+
+
 def has_any(c: Column, terms: tuple[str, ...], plural: bool = True) -> Column:
-    return c.rlike("|".join(term_pattern(t, plural) for t in terms))
+    """Whether any term is in a text, which is best a column. The pattern, slow on long texts, runs only where a term's longest word is found."""
+    return holds_any(c, tuple(dict.fromkeys(_longest(t) for t in terms))) & c.rlike("|".join(term_pattern(t, plural) for t in terms))
 
 
 def holds_any(c: Column, terms: tuple[str, ...]) -> Column:
     """Whether any term is part of the text, anywhere."""
-    return c.rlike("|".join(re.escape(t) for t in terms))
+    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
 
 
 def count_terms(c: Column, terms: tuple[str, ...], whole: bool = True) -> Column:
     """How many of the terms the text holds."""
-    hits = [(c.rlike(term_pattern(t)) if whole else F.contains(c, F.lit(t))).cast("int") for t in terms]
+    hits = [((F.contains(c, F.lit(_longest(t))) & c.rlike(term_pattern(t))) if whole else F.contains(c, F.lit(t))).cast("int") for t in terms]
     return sum(hits[1:], hits[0])
 
 

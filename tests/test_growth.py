@@ -2,9 +2,13 @@
 
 import contextlib
 import io
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from dossier.operators import knowledge_route as K
-from dossier.operators import signals
+from dossier.operators import retrieval, signals
 
 
 def plan(df):
@@ -43,3 +47,16 @@ def test_local_lexical_makes_no_row_for_each_run(spark, monkeypatch):
     for q in ("a", "b", "c"):
         assert (score[f"{q}0"], score[f"{q}1"], score[f"{q}2"]) == (1.0, 0.0, 0.0)
         assert 0 < score[f"{q}4"] < 1 and score[f"{q}3"] == score["a3"]
+
+
+def test_nearest_holds_a_bounded_number_of_products():
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(6000, 8)), rng.normal(size=(1000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.FixedSizeListArray.from_arrays(v.ravel(), 8).cast(pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    tracemalloc.start()
+    got = next(retrieval.nearest(np.arange(1000), retrieval.unit(q), 3)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = np.argsort(-(retrieval.unit(q) @ retrieval.unit(v).T), axis=1)[:, :3]
+    # 48 MB for one table of all products, of which several are needed at once.
+    assert peak < 100e6 and (got.column(1).to_numpy().reshape(1000, 3) == best).all()

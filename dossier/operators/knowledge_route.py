@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from dossier.functions import lexicon as L
 from dossier.functions.text import CJK, casefold, clean_text, let
+from dossier.operators.structure import settle
 
 VISUAL = ("table", "figure", "caption")
 
@@ -56,7 +57,8 @@ def name_hits(texts: DataFrame, names: DataFrame) -> DataFrame:
     key = F.when(cjk, first(f"(?s)[{CJK}][^a-z0-9]{{0,{RUN - 1}}}")).otherwise(first(f"(?s)^(?:[a-z0-9]+|[^a-z0-9]){{1,{RUN}}}"))
     own = names.where("name <> ''").select("name_id", "name", key.alias("__key"), cjk.alias("__cjk")).distinct()
     found = texts.select("text_id", F.explode(runs(F.col("text"))).alias("r")).select("text_id", F.col("r.run").alias("__key"), "r.free")
-    met = found.join(own.hint("merge"), "__key")
+    # A few rows for each text, which are read twice; the runs, hundreds for each, are made once.
+    met = settle(found.join(own.hint("merge"), "__key"), "met")
     whole = met.where("name = __key and (free or __cjk)").select("text_id", "name_id", "name")
     rest = met.where("name <> __key").select("text_id", "name_id", "name").join(texts.select("text_id", "text").hint("merge"), "text_id")
     rest = rest.where(F.contains("text", F.col("name")) & holds(F.col("text"), F.col("name"))).select("text_id", "name_id", "name")

@@ -1,10 +1,13 @@
-"""Text functions as Column builders. Everything stays in the JVM; nulls are empty texts unless said otherwise."""
+"""Text functions as Column builders. Everything but char_jaccard() stays in the JVM; nulls are empty texts unless said otherwise."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -90,10 +93,46 @@ def bm25_tokens(c: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(t.rlike(f"^[{CJK}]"), cjk(t)).otherwise(word(t))))
 
 
+#: Characters of texts whose bigrams are held at a time, of one pair of texts at least.
+CHARACTERS = 1 << 20
+
+
 def char_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the sets of character bigrams; a text of one character is one, an empty text too."""
-    sets = [F.array_distinct(F.when(F.length(x) < 2, F.array(x)).otherwise(grams(x, 2))) for x in (a, b)]
-    return F.size(F.array_intersect(*sets)) / F.size(F.array_union(*sets))
+    """Jaccard similarity of the sets of character bigrams; a text of one character is one, an empty text too. Null where a text is."""
+    return F.arrow_udf(bigram_jaccard, "double")(a.cast("string"), b.cast("string"))
+
+
+def bigram_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    size = np.cumsum([x + y for x, y in zip(*(pa.compute.fill_null(pa.compute.utf8_length(t), 0).to_pylist() for t in (a, b)), strict=True)])
+    out, first = [np.zeros(0)], 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + CHARACTERS, "right")))
+        x, y = (_bigrams(t.slice(first, last - first).to_pylist()) for t in (a, b))
+        both = np.sort(np.concatenate([x, y]))
+        met = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(42)).astype(np.int64), minlength=last - first)
+        every = sum(np.bincount((t >> np.uint64(42)).astype(np.int64), minlength=last - first) for t in (x, y))
+        out.append(met / (every - met))
+        first = last
+    missing = pa.compute.or_(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate(out), mask=missing)
+
+
+def _bigrams(texts: list[str | None]) -> np.ndarray:
+    """The distinct bigrams of each text as row << 42 | first << 21 | second, sorted; characters count from 1, and 0 stands for one that is not there."""
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    c = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths) << np.uint64(42)
+    # Of a text's last character no bigram begins.
+    inner = np.ones(len(c), bool)
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    inner = np.flatnonzero(inner)
+    short = np.flatnonzero(lengths < 2)
+    alone = np.zeros(len(short), np.uint64)
+    alone[lengths[short] == 1] = c[(np.cumsum(lengths) - lengths)[short[lengths[short] == 1]]] << np.uint64(21)
+    found = np.sort(np.concatenate([row[inner] | c[inner] << np.uint64(21) | c[np.minimum(inner + 1, max(0, len(c) - 1))], short.astype(np.uint64) << np.uint64(42) | alone]))
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return found[new]
 
 
 def term_pattern(term: str, plural: bool = True) -> str:

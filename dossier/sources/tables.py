@@ -57,10 +57,11 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
-def document_nodes(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
-    """A node for each line of each document: the first is its title, lines with a | are table rows, the rest text; pages have ten lines, sections are the sources."""
-    lines = documents.where("text is not null").select("doc_id", F.col("source").alias("section"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
+def document_nodes(documents: DataFrame, lines_per_page: int = 10, titles: bool = False) -> DataFrame:
+    """A node for each line of each document: the first is its title, lines with a | are table rows, the rest text; pages have ten lines, sections are the sources. With `titles` each has its document's."""
+    title = [F.substring_index("text", "\n", 1).alias("title")] if titles else []
+    lines = documents.where("text is not null").select("doc_id", F.col("source").alias("section"), *title, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     kind = F.when(F.col("line") == 0, "title").when(F.contains(F.col("content"), F.lit("|")), "table").otherwise("text")
     out = lines.withColumn("node_type", kind).withColumn("page", (F.floor(F.col("line") / lines_per_page) + 1).cast("int"))
     id_ = node_id(F.col("node_type"), F.col("doc_id").cast("string"), F.col("page").cast("string"), (F.col("line") % lines_per_page + 1).cast("string"))
-    return out.select(id_.alias("node_id"), "doc_id", "page", "node_type", "section", F.col("line").alias("node_pos"), "content")
+    return out.select(id_.alias("node_id"), "doc_id", "page", "node_type", "section", F.col("line").alias("node_pos"), "content", *(["title"] if titles else []))

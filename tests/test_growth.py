@@ -6,9 +6,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.functions as F
 
+from dossier.functions import text as T
 from dossier.operators import knowledge_route as K
 from dossier.operators import retrieval, signals
+from dossier.plans import catalog
 
 
 def plan(df):
@@ -60,3 +63,20 @@ def test_nearest_holds_a_bounded_number_of_products():
     best = np.argsort(-(retrieval.unit(q) @ retrieval.unit(v).T), axis=1)[:, :3]
     # 48 MB for one table of all products, of which several are needed at once.
     assert peak < 100e6 and (got.column(1).to_numpy().reshape(1000, 3) == best).all()
+
+
+def test_bigrams_are_compared_without_lambdas_and_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHARACTERS", 8)
+    rows = [("", ""), ("", "a"), ("a", "a"), ("a", "aa"), ("abc", "bcd"), ("aaaa", "aa"), ("\U0001f600b", "\U0001f600b\U0001f600b"), ("x" * 50, "x" * 40 + "y"), (None, "a")]
+    got = T.bigram_jaccard(pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())).to_pylist()
+    assert got == [1.0, 0.0, 1.0, 0.0, 1 / 3, 1.0, 0.5, 0.5, None]
+    assert T.bigram_jaccard(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", T.char_jaccard(F.col("a"), F.col("b")).alias("j"))
+    assert [r["j"] for r in df.orderBy("i").collect()] == got and "lambda" not in plan(df)
+
+
+def test_titles_come_without_a_shuffle_of_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\nc", "s"), (2, "x", "s"), (3, "\ny", "s"), (4, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.titled(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["title"], r["content"]) for r in got.collect()) == [(1, "a b", "a b"), (1, "a b", "c"), (2, "x", "x"), (3, "", ""), (3, "", "y")]
+    assert "Exchange" not in plan(got) and "Exchange" not in plan(catalog.char_jaccard(spark, str(tmp_path)))

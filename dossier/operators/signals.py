@@ -102,7 +102,9 @@ def _by_pieces(rows: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBat
 def _cosines(texts: list[str], questions: list[str], size: np.ndarray) -> np.ndarray:
     """Likeness of each text to its question; the i-th question has the next size[i] texts."""
     n, asks = len(texts), np.arange(len(questions))
-    row, term, tf = distinct(*gram_rows([*texts, *questions]))
+    row, term = gram_rows([*texts, *questions])
+    order = np.argsort(row, kind="stable")
+    row, term, tf = distinct(row[order], term[order])
     group = np.concatenate([np.repeat(asks, size), asks])[row]
     order = np.lexsort((term, group))
     new = np.ones(len(order), bool)

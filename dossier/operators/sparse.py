@@ -17,11 +17,18 @@ from pyspark.sql import Column, DataFrame
 
 from dossier.functions.text import bm25_tokens, clean_text
 from dossier.operators.retrieval import bm25, char_tfidf, top_k
+from dossier.operators.structure import settle
 
 #: Questions of a block, and terms whose frequencies are sent to every task (16 bytes each).
 QUESTION_BLOCK, MOST_TERMS = 4096, 4_000_000
-#: Products of a node's and a question's weight that are held at a time.
-PRODUCTS = 1 << 21
+#: Products of a node's and a question's weight that are held at a time, and cells of a table of weights.
+PRODUCTS, CELLS = 1 << 21, 1 << 22
+#: Characters of texts that are counted at a time, of one text at least.
+SIZE = 1 << 19
+#: Distinct terms of a task that are counted before they are sent on.
+HELD_TERMS = 1 << 20
+#: How many products of a table take as long as one of the index.
+TABLE_GAIN = 16
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 Terms = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -57,9 +64,18 @@ def gram_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of 2, 3 and 4 characters of each text, as listed_terms()."""
-    row, terms = gram_rows(column.to_pylist())
-    return terms[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
+    """The runs of 2, 3 and 4 characters of each text as numbers, as listed_terms(). A text at a time, whose numbers stay near the processor."""
+    out, ends = [np.zeros(0, np.uint64)], [0]
+    for text in column.to_pylist():
+        c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        h, size = c * _STEP[0], 0
+        for n in (2, 3, 4):
+            # Runs of fewer characters than n + 1 are sums of fewer products.
+            h = h[:-1] + c[n - 1 :] * _STEP[n - 1]
+            out.append(h)
+            size += len(h)
+        ends.append(ends[-1] + size)
+    return np.concatenate(out).view(np.int64), np.array(ends, np.int64)
 
 
 def counted(terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,32 +84,63 @@ def counted(terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def distinct(row: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((terms, row))
-    row, terms = row[order], terms[order]
-    new = np.ones(len(terms), bool)
-    new[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    return row[first], terms[first], np.diff(np.append(first, len(terms)))
+    """(row, term, count) of the distinct terms of rows that ascend."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(row):
+        at = np.searchsorted(row, np.arange(int(row[0]), int(row[-1]) + 2))
+        # A sort of a row's own terms is many times faster than one by two keys.
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), int(row[0])):
+            if b > a:
+                t = np.sort(terms[a:b])
+                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                out.append((np.full(len(first), i), t[first], np.diff(np.append(first, b - a))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(batch), rows):
-        yield batch.slice(i, rows)
+    """Slices of a batch (node_id, x) of so many rows and SIZE characters or terms at most, of one row at least."""
+    x = batch.column(1)
+    length = pa.compute.list_value_length(x) if pa.types.is_list(x.type) else pa.compute.utf8_length(x)
+    ends, first = np.cumsum(pa.compute.fill_null(length, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while first < len(batch):
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SIZE, "right"))))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def frequencies(nodes: DataFrame, terms_of: Terms, among: np.ndarray | None = None) -> DataFrame:
     """(term, df): in how many nodes (node_id, x) each term is; of all terms, or of those among sorted ones."""
 
+    return nodes.mapInArrow(counter(terms_of, among), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def counter(terms_of: Terms, among: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches (node_id, x) that adds up a task's counts, a bounded number of terms at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for part in pieces(batch, 2048):
+            for part in pieces(batch):
                 _, terms, _ = counted(*terms_of(part.column(1)))
                 if among is not None:
                     terms = terms[np.isin(terms, among)]
-                terms, n = np.unique(terms, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], ["term", "df"])
+                held.append(np.unique(terms, return_counts=True))
+                n += len(held[-1][0])
+                if n > HELD_TERMS:
+                    held, n = [added(held)], 0
+                    if len(held[0][0]) > HELD_TERMS // 2:
+                        yield row_of(held.pop())
+        if held:
+            yield row_of(added(held))
+
+    row_of = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["term", "df"])
+    return run
 
-    return nodes.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of counts (term, n)."""
+    terms, place = np.unique(np.concatenate([t for t, _ in counts]), return_inverse=True)
+    return terms, np.bincount(place, np.concatenate([n for _, n in counts]), minlength=len(terms)).astype(np.int64)
 
 
 def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], names: np.ndarray, k: int) -> DataFrame:
@@ -104,7 +151,7 @@ def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = len(names)
-        score, node = np.zeros((q, 0)), np.zeros((q, 0), np.int64)
+        score, node, table = np.zeros((q, 0)), np.zeros((q, 0), np.int64), None
         for batch in batches:
             for part in pieces(batch):
                 ids = part.column(0).to_numpy()
@@ -114,19 +161,14 @@ def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.nda
                 found = np.flatnonzero((place < len(vocabulary)) & (vocabulary[np.minimum(place, len(vocabulary) - 1)] == term)) if len(vocabulary) else np.zeros(0, np.int64)
                 row, place, w = row[found], place[found], w[found]
                 many = begin[place + 1] - begin[place]
-                got = np.zeros(len(ids) * q)
-                ends = np.cumsum(many)
-                start = 0
-                while start < len(many):
-                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PRODUCTS, "right")))
-                    n = many[start:stop]
-                    post = np.arange(int(n.sum())) + np.repeat(begin[place[start:stop]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                    low = int(row[start])
-                    to = (np.repeat(row[start:stop], n) - low) * q + question[post]
-                    part_sum = np.bincount(to, np.repeat(w[start:stop], n) * weight[post])
-                    got[low * q : low * q + len(part_sum)] += part_sum
-                    start = stop
-                s = np.concatenate([score, np.round(got.reshape(len(ids), q).T, 6)], 1)
+                if len(vocabulary) * q <= CELLS and len(ids) * len(vocabulary) * q <= TABLE_GAIN * int(many.sum()):
+                    if table is None:
+                        table = np.zeros((len(vocabulary), q))
+                        table[np.repeat(np.arange(len(vocabulary)), np.diff(begin)), question] = weight
+                    got = by_table(row, place, w, len(ids), table)
+                else:
+                    got = by_index(row, place, w, many, len(ids), q, begin, question, weight)
+                s = np.concatenate([score, np.round(got.T, 6)], 1)
                 d = np.concatenate([node, np.broadcast_to(ids, (q, len(ids)))], 1)
                 order = np.lexsort((d, -s), axis=1)[:, :k]
                 score, node = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
@@ -136,6 +178,31 @@ def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.nda
     return nodes.mapInArrow(run, "question_id long, node_id long, score double")
 
 
+def by_table(row: np.ndarray, place: np.ndarray, w: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """Scores (node, question) by products of tables, where most terms are in many questions."""
+    got, step = np.zeros((n, table.shape[1])), max(1, CELLS // max(1, len(table)))
+    for a in range(0, n, step):
+        low, high = np.searchsorted(row, (a, a + step))
+        own = np.zeros((min(step, n - a), len(table)))
+        own[row[low:high] - a, place[low:high]] = w[low:high]
+        got[a : a + step] = own @ table
+    return got
+
+
+def by_index(row: np.ndarray, place: np.ndarray, w: np.ndarray, many: np.ndarray, n: int, q: int, begin: np.ndarray, question: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Scores (node, question) by the postings of the nodes' terms, some at a time."""
+    got, ends, start = np.zeros(n * q), np.cumsum(many), 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PRODUCTS, "right")))
+        m = many[start:stop]
+        post = np.arange(int(m.sum())) + np.repeat(begin[place[start:stop]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
+        low = int(row[start])
+        part_sum = np.bincount((np.repeat(row[start:stop], m) - low) * q + question[post], np.repeat(w[start:stop], m) * weight[post])
+        got[low * q : low * q + len(part_sum)] += part_sum
+        start = stop
+    return got.reshape(n, q)
+
+
 def question_blocks(questions: DataFrame, terms_of: Terms) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of questions (question_id, x) in the order of ids: their ids, and (row, term, count) of their terms. Only the first of rows that repeat an id counts."""
     asked, last = questions.dropDuplicates(["question_id"]).where("question_id is not null"), None
@@ -162,6 +229,8 @@ def _hashed(tokens: Column) -> Column:
 def bm25_topk(nodes: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(question_id, node_id, score, rank): the k best nodes above 0 by BM25; scores have six digits, ties go by node. Ids are whole numbers."""
     own = nodes.select(F.col("node_id").cast("long").alias("node_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"))
+    # Three maps read them; to make them takes longer than all of these.
+    own = settle(own, "tokens")
     asked = questions.select(F.col("question_id").cast("long").alias("question_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"))
     size = own.agg(F.count("*").alias("n"), F.avg(F.size("x")).alias("mean")).first()
     out = None

@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 
 from dossier.functions import text as T
 from dossier.operators import knowledge_route as K
-from dossier.operators import retrieval, signals
+from dossier.operators import retrieval, signals, sparse
 from dossier.plans import catalog
 
 
@@ -80,3 +80,34 @@ def test_titles_come_without_a_shuffle_of_texts(spark, tmp_path):
     got = catalog.titled(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["title"], r["content"]) for r in got.collect()) == [(1, "a b", "a b"), (1, "a b", "c"), (2, "x", "x"), (3, "", ""), (3, "", "y")]
     assert "Exchange" not in plan(got) and "Exchange" not in plan(catalog.char_jaccard(spark, str(tmp_path)))
+
+
+def test_terms_are_counted_by_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 8000))) for _ in range(1000)] + [None, "", "a", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], ["node_id", "x"])
+    tracemalloc.start()
+    got = sparse.added([(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in sparse.counter(sparse.gram_terms, None)(iter([batch]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 192 MB for one table of the runs of all texts, of which several were needed at once.
+    assert peak < 180e6
+    grams = {g for n in (2, 3, 4) for g in (texts[0][i : i + n] for i in range(len(texts[0]) - n + 1))}
+    assert len(sparse.counted(*sparse.gram_terms(batch.column(1).slice(0, 1)))[1]) == len(grams) and got[1].max() > 999
+    assert sum(sparse.gram_terms(pa.array([None, "", "a"]))[1]) == 0
+
+
+def test_scores_by_table_and_by_index_are_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    q, v = 30, 50
+    question, term = (x.ravel() for x in np.meshgrid(np.arange(q), np.arange(v), indexing="ij"))
+    there = rng.random(len(term)) < 0.5
+    vocabulary, begin, asked, weight = sparse.inverted(question[there], term[there], rng.random(int(there.sum())))
+    row, place, _ = sparse.distinct(np.repeat(np.arange(40), 20), rng.integers(0, len(vocabulary), 800))
+    w, many = rng.random(len(row)), begin[place + 1] - begin[place]
+    table = np.zeros((len(vocabulary), q))
+    table[np.repeat(np.arange(len(vocabulary)), np.diff(begin)), asked] = weight
+    monkeypatch.setattr(sparse, "CELLS", 70)
+    monkeypatch.setattr(sparse, "PRODUCTS", 90)
+    by_table, by_index = sparse.by_table(row, place, w, 40, table), sparse.by_index(row, place, w, many, 40, q, begin, asked, weight)
+    assert by_table.shape == (40, q) and np.allclose(by_table, by_index) and by_table.max() > 0

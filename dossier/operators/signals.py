@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyspark.sql.functions as F
@@ -125,33 +124,72 @@ def _cosines(texts: list[str], questions: list[str], size: np.ndarray) -> np.nda
 
 
 def walk(links: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 400, tolerance: float = 1e-14) -> DataFrame:
-    """(question_id, node_id, score): personalised PageRank where each question has a graph of its own, such as a document's: a group's power iteration runs in one task.
+    """(question_id, node_id, score): personalised PageRank where each question has a graph of its own, such as a document's: the power iterations of many questions run side by side in a map over rows that stand by question.
 
     links and seeds as in structure.pagerank(), which is for graphs that no task could hold. Seeds that are all 0 count alike."""
     rows = links.select("question_id", "x", "y", F.col("weight").cast("double").alias("weight")).unionByName(seeds.select("question_id", F.col("node_id").alias("x"), F.lit(None).cast("string").alias("y"), F.greatest(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")))
-
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        seed = df["y"].isna()
-        names = pd.Index(pd.unique(pd.concat([df["x"], df.loc[~seed, "y"]])))
-        n = len(names)
-        x, y, w = names.get_indexer(df.loc[~seed, "x"]), names.get_indexer(df.loc[~seed, "y"]), df.loc[~seed, "weight"].to_numpy()
-        at = names.get_indexer(df.loc[seed, "x"])
-        start = np.bincount(at, df.loc[seed, "weight"], minlength=n) if len(at) else np.zeros(n)
-        if start.sum() <= 0:
-            start = np.bincount(at, minlength=n).astype(float) if len(at) else np.ones(n)
-        start = start / start.sum()
-        total = np.bincount(x, w, minlength=n)
-        p = w / total[x] if len(w) else w
-        score, lost = np.full(n, 1.0 / n), total <= 0
-        for _ in range(rounds):
-            new = alpha * (np.bincount(y, score[x] * p, minlength=n) + score[lost].sum() * start) + (1 - alpha) * start
-            moved, score = np.abs(new - score).sum(), new
-            if moved < n * tolerance:
-                break
-        return pd.DataFrame({"question_id": df["question_id"].iloc[0], "node_id": names.to_numpy(), "score": score})
+    rows = rows.where("x is not null and weight is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            new = _begins(part.column(0))
+            group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(part))))
+            names = pa.concat_arrays([part.column(1), part.column(2)]).dictionary_encode()
+            code = pa.compute.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            x, y = np.split(code, 2)
+            score, key = _walked(group, x, y, part.column(3).to_numpy(zero_copy_only=False), len(names.dictionary), len(new), alpha, rounds, tolerance)
+            of, node = np.divmod(key, len(names.dictionary))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(new[of])), names.dictionary.take(pa.array(node)), pa.array(score)], ["question_id", "node_id", "score"])
 
     kind = links.schema["question_id"].dataType.simpleString()
-    return rows.groupBy("question_id").applyInPandas(solve, f"question_id {kind}, node_id string, score double")
+    return rows.repartition("question_id").sortWithinPartitions("question_id").mapInArrow(run, f"question_id {kind}, node_id string, score double")
+
+
+#: Rows of graphs that are walked at a time, of one question at least.
+LINKS = 1 << 16
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole questions, LINKS at a time where a question has no more, of batches that stand by question."""
+    held, n = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            n += len(batch)
+            if n >= LINKS and (held[0].column(0)[0] != batch.column(0)[-1]):
+                every = pa.concat_batches(held)
+                end = int(_begins(every.column(0))[-1])
+                yield every.slice(0, end)
+                held, n = [every.slice(end)], len(every) - end
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _walked(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, many: int, groups: int, alpha: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of nodes and their keys, group * many + name; rows are links, or seeds where y is -1. A group ends by itself."""
+    seed = y < 0
+    link = ~seed
+    key, place = np.unique(np.concatenate([group * many + x, group[link] * many + y[link]]), return_inverse=True)
+    n, of = len(key), key // many
+    size = np.bincount(of, minlength=groups)
+    at, x, y, w, given = place[: len(x)][seed], place[: len(x)][link], place[len(x) :], w[link], w[seed]
+    sums = lambda v: np.bincount(of, v, minlength=groups)
+    start = np.bincount(at, given, minlength=n)
+    none = sums(start) <= 0
+    start = np.where(none[of], np.bincount(at, minlength=n), start)
+    start = np.where((sums(start) <= 0)[of], 1.0, start)
+    start = start / sums(start)[of]
+    total = np.bincount(x, w, minlength=n)
+    p = w / total[x]
+    score, lost, going = 1.0 / size[of], total <= 0, np.ones(groups, bool)
+    for _ in range(rounds):
+        new = alpha * (np.bincount(y, score[x] * p, minlength=n) + sums(np.where(lost, score, 0.0))[of] * start) + (1 - alpha) * start
+        moved = sums(np.abs(new - score))
+        score = np.where(going[of], new, score)
+        going &= moved >= size * tolerance
+        if not going.any():
+            break
+    return score, key
 
 
 def around(candidates: DataFrame, nodes: DataFrame, graph: DataFrame, plans: DataFrame) -> DataFrame:

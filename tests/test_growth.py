@@ -111,3 +111,29 @@ def test_scores_by_table_and_by_index_are_alike(monkeypatch):
     monkeypatch.setattr(sparse, "PRODUCTS", 90)
     by_table, by_index = sparse.by_table(row, place, w, 40, table), sparse.by_index(row, place, w, many, 40, q, begin, asked, weight)
     assert by_table.shape == (40, q) and np.allclose(by_table, by_index) and by_table.max() > 0
+
+
+def test_walks_of_many_graphs_run_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(signals, "LINKS", 4)
+    rng = np.random.default_rng(3)
+    links = [(q, f"n{a}", f"n{b}", float(w)) for q in range(12) for a, b, w in zip(rng.integers(0, 6, 8), rng.integers(0, 6, 8), rng.random(8) + 0.1, strict=True)]
+    seeds = [(q, f"n{i}", 0.0 if q == 3 else float(i)) for q in range(13) for i in range(3)]
+    l = spark.createDataFrame(links, "question_id long, x string, y string, weight double")
+    s = spark.createDataFrame(seeds, "question_id long, node_id string, weight double")
+    for rounds in (5, 400):
+        got = {(r["question_id"], r["node_id"]): r["score"] for r in signals.walk(l, s, rounds=rounds, tolerance=0.0 if rounds == 5 else 1e-14).collect()}
+        want = {}
+        for q in range(13):
+            own, given = [x[1:] for x in links if x[0] == q], {x[1]: x[2] for x in seeds if x[0] == q}
+            names = sorted({n for x in own for n in x[:2]} | set(given))
+            total = sum(given.values())
+            start = {n: (given.get(n, 0) / total if total else (n in given) / len(given)) for n in names}
+            score = dict.fromkeys(names, 1 / len(names))
+            out = {n: sum(w for a, _, w in own if a == n) for n in names}
+            for _ in range(rounds):
+                lost = sum(score[n] for n in names if not out[n])
+                score = {n: 0.85 * (sum(score[a] * w / out[a] for a, b, w in own if b == n) + lost * start[n]) + 0.15 * start[n] for n in names}
+            want |= {(q, n): v for n, v in score.items()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    text = plan(signals.walk(l, s))
+    assert "FlatMapGroupsInPandas" not in text and text.count("Exchange") == 1

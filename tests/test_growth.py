@@ -137,3 +137,17 @@ def test_walks_of_many_graphs_run_side_by_side(spark, monkeypatch):
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
     text = plan(signals.walk(l, s))
     assert "FlatMapGroupsInPandas" not in text and text.count("Exchange") == 1
+
+
+def test_the_ranker_reads_its_inputs_once(spark, tmp_path, monkeypatch):
+    words = "pump seal water filter of the old well a | b | c | 1"
+    text = "\n".join(f"{words[i:]} {i}" for i in range(0, 30, 2))
+    spark.createDataFrame([(i, text, "s", "en") for i in range(4)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, own = [], catalog.structure.settle
+    monkeypatch.setattr(catalog.structure, "settle", lambda df, name: made.append(name) or own(df, name))
+    got = catalog.QUERIES["g_methods_rank"](spark, str(tmp_path))
+    assert {"candidates", "traits", "graph", "plans", "signals"} <= set(made) and got.count() == 4 * 5 * 5
+    # The ranker's plan reads settled tables, no documents.
+    assert "documents.parquet" not in "".join(got.inputFiles())
+    made.clear()
+    assert catalog.QUERIES["evidence_chain"](spark, str(tmp_path)).count() > 4 and made.count("graph") == 1

@@ -4,11 +4,15 @@ Names are found by an equi-join of whole names with runs of a text's words, so t
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from dossier.functions import lexicon as L
-from dossier.functions.text import CJK, casefold, clean_text, let
+from dossier.functions.text import CJK, casefold, clean_text
 from dossier.operators.structure import settle
 
 VISUAL = ("table", "figure", "caption")
@@ -33,30 +37,72 @@ def holds(text: Column, name: Column, text_marked: Column | None = None) -> Colu
     return F.when(name == "", False).when(name.rlike(f"[{CJK}]"), F.contains(text, name)).otherwise(F.contains(marked(text) if text_marked is None else text_marked, marked(name)))
 
 
-def runs(c: Column) -> Column:
-    """The distinct runs (run, free) of up to RUN tokens of a text that neither begin nor end with white space, free being whether no Latin letter or digit stands on either side."""
-
-    def of(t: Column) -> Column:
-        word, blank = lambda i: F.coalesce(F.get(t, i).rlike("^[a-z0-9]"), F.lit(False)), lambda i: F.get(t, i).rlike(r"\s")
-        free = lambda i, end: (word(i) | ~word(i - 1)) & (word(end - 1) | ~word(end))
-        run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(t) - i)), lambda n: F.when(~blank(i + n - 1), F.struct(F.array_join(F.slice(t, i + 1, n), "").alias("run"), free(i, i + n).alias("free"))))
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~blank(i))
-        return F.array_distinct(F.array_compact(F.flatten(F.transform(starts, run))))
-
-    tokens = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
-    return F.when(c != "", let(tokens, of))
+#: Distinct keys of names that are sent to every task, which then makes no rows of runs that meet none.
+MOST_KEYS = 500_000
+#: Rows of a batch whose texts are held as Python texts at a time.
+ROWS = 256
+_BLANK = frozenset(" \t\n\x0b\f\r")
+_LATIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_TOKENS, _WORDS, _IDEOGRAPH = re.compile(_TOKEN), re.compile("[a-z0-9]+"), re.compile(f"[{CJK}]")
+
+
+def key_sizes(keys: frozenset[str]) -> dict[str, tuple[int, ...]]:
+    """How many tokens the keys have that begin with a token, but for those of a word alone."""
+    sizes: dict[str, set[int]] = {}
+    for key in keys:
+        t = _TOKENS.findall(key)
+        if t and (len(t) > 1 or t[0][0] not in _LATIN):
+            sizes.setdefault(t[0], set()).add(len(t))
+    return {t: tuple(sorted(n)) for t, n in sizes.items()}
+
+
+def text_runs(text: str | None, keys: frozenset[str] | None = None, sizes: dict[str, tuple[int, ...]] | None = None) -> set[tuple[str, bool]]:
+    """The distinct runs (run, free) of up to RUN tokens of a text that neither begin nor end with white space, free being whether no Latin letter or digit stands on either side; of all runs, or of those among the keys, with their key_sizes()."""
+    t = _TOKENS.findall(text or "")
+    # A word alone is free.
+    out = {(w, True) for w in (keys.intersection(t) if keys is not None else ()) if w[0] in _LATIN}
+    every = range(1, RUN + 1)
+    for i, first in enumerate(t):
+        many = every if sizes is None else sizes.get(first)
+        if many and first not in _BLANK:
+            for n in many:
+                if i + n > len(t):
+                    break
+                last = t[i + n - 1]
+                run = "".join(t[i : i + n])
+                if last not in _BLANK and (keys is None or run in keys):
+                    out.add((run, (first[0] in _LATIN or not i or t[i - 1][0] not in _LATIN) and (last[0] in _LATIN or i + n == len(t) or t[i + n][0] not in _LATIN)))
+    return out
+
+
+def run_rows(keys: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches (text_id, text) that makes a row (text_id, __key, free) for each of a text's runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = key_sizes(keys) if keys is not None else None
+        for part in (batch.slice(i, ROWS) for batch in batches for i in range(0, len(batch), ROWS)):
+            found = [(i, *r) for i, text in enumerate(part.column(1).to_pylist()) for r in text_runs(text, keys, sizes)]
+            for at in range(0, len(found), 1 << 16):
+                row, key, free = zip(*found[at : at + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key, pa.string()), pa.array(free)], ["text_id", "__key", "free"])
+
+    return run
 
 
 def name_hits(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, name_id, name) for the names that a text holds. texts: (text_id, text); names: (name_id, name); both casefolded, names cleaned.
 
     Runs of tokens meet names by an equi-join, without the texts, and both sides are shuffled: the planner does not see how many runs a
-    text has. Names of more than RUN tokens are met by their first ones, of ideographs by the first run of these, and then held against the text."""
+    text has. Where the names have no more than MOST_KEYS keys, only runs among these become rows. Names of more than RUN tokens are met
+    by their first ones, of ideographs by the first run of these, and then held against the text."""
     first = lambda pattern: F.regexp_replace(F.regexp_extract("name", pattern, 0), r"\s+$", "")
     cjk = F.col("name").rlike(f"[{CJK}]")
     key = F.when(cjk, first(f"(?s)[{CJK}][^a-z0-9]{{0,{RUN - 1}}}")).otherwise(first(f"(?s)^(?:[a-z0-9]+|[^a-z0-9]){{1,{RUN}}}"))
-    own = names.where("name <> ''").select("name_id", "name", key.alias("__key"), cjk.alias("__cjk")).distinct()
-    found = texts.select("text_id", F.explode(runs(F.col("text"))).alias("r")).select("text_id", F.col("r.run").alias("__key"), "r.free")
+    own = settle(names.where("name <> ''").select("name_id", "name", key.alias("__key"), cjk.alias("__cjk")).distinct(), "names")
+    keys = own.select("__key").distinct()
+    few = frozenset(keys.toArrow().column(0).to_pylist()) if keys.count() <= MOST_KEYS else None
+    kind = texts.schema["text_id"].dataType.simpleString()
+    found = texts.select("text_id", "text").mapInArrow(run_rows(few), f"text_id {kind}, __key string, free boolean")
     # A few rows for each text, which are read twice; the runs, hundreds for each, are made once.
     met = settle(found.join(own.hint("merge"), "__key"), "met")
     whole = met.where("name = __key and (free or __cjk)").select("text_id", "name_id", "name")
@@ -71,17 +117,98 @@ def product_groups(spark: SparkSession) -> DataFrame:
 
 
 def product_scores(pairs: DataFrame, questions: DataFrame, groups: DataFrame) -> DataFrame:
-    """(question_id, node_id, score): for the group that fits best, .58 if its terms in the question are in the document's name, .42 in section or source, .26 in the text, .06 for visuals that are described.
+    """(question_id, node_id, score), once each: for the group that fits best, .58 if its terms in the question are in the document's name, .42 in section or source, .26 in the text, .06 for visuals that are described.
 
-    pairs: (question_id, node_id, doc_id, section, source_ref, node_type, text_product, text_visual); questions: (question_id, blob)."""
+    pairs: (question_id, node_id, doc_id, section, source_ref, node_type, text_product, text_visual); questions: (question_id, blob).
+    A question's terms and then its pairs go through one map over rows that stand by question, so that no row is made for a pair and a term."""
     names = groups.select(F.col("canonical").alias("name_id"), F.explode("terms").alias("name")).withColumn("name", casefold(clean_text(F.col("name"))))
     found = name_hits(questions.select(F.col("question_id").alias("text_id"), F.col("blob").alias("text")), names)
-    found = found.groupBy(F.col("text_id").alias("question_id"), F.col("name_id").alias("canonical")).agg(F.collect_set("name").alias("terms"))
-    inside = lambda c, points: F.when(F.exists("terms", lambda t: holds(c, t)), points).otherwise(0.0)
     place = casefold(clean_text(F.concat_ws(" ", F.coalesce("section", F.lit("")), F.coalesce("source_ref", F.lit("")))))
-    score = inside(casefold(clean_text(F.col("doc_id").cast("string"))), 0.58) + inside(place, 0.42) + inside(F.col("text_product"), 0.26) + F.when(F.col("node_type").isin(*VISUAL) & (F.col("text_visual") != ""), 0.06).otherwise(0.0)
-    best = pairs.join(found, "question_id").groupBy("question_id", "node_id").agg(F.max(F.least(F.lit(1.0), score)).alias("score"))
-    return pairs.select("question_id", "node_id").join(best, ["question_id", "node_id"], "left").select("question_id", "node_id", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+    looks = F.coalesce(F.col("node_type").isin(*VISUAL) & (F.col("text_visual") != ""), F.lit(False))
+    lines = pairs.select("question_id", F.lit(True).alias("pair"), F.col("node_id").cast("string").alias("node_id"), casefold(clean_text(F.col("doc_id").cast("string"))).alias("own"), place.alias("place"), F.col("text_product").alias("text"), looks.alias("looks"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    terms = found.select(F.col("text_id").alias("question_id"), F.lit(False).alias("pair"), none("node_id"), F.col("name_id").cast("string").alias("own"), F.col("name").alias("place"), none("text"), F.lit(False).alias("looks"))
+    rows = terms.unionByName(lines).repartition("question_id").sortWithinPartitions("question_id", "pair")
+    kind = rows.schema["question_id"].dataType.simpleString()
+    got = rows.mapInArrow(fitted, f"question_id {kind}, node_id string, score double").groupBy("question_id", "node_id").agg(F.max("score").alias("score"))
+    return got.select("question_id", F.col("node_id").cast(pairs.schema["node_id"].dataType).alias("node_id"), F.round("score", 4).alias("score"))
+
+
+class Terms:
+    """The terms of a question's groups, and which groups have one in a text, as holds() has it."""
+
+    def __init__(self) -> None:
+        #: Groups by terms of one word; longer terms by their first word, and those without a word.
+        self.words: dict[str, set[str]] = {}
+        self.longer: dict[str, list[tuple[str, list[str], str]]] = {}
+        self.others: list[tuple[str, bool, str]] = []
+        self.before: dict[str, set[str]] = {}
+
+    def add(self, group: str, term: str) -> None:
+        words = _WORDS.findall(term)
+        if words == [term]:
+            self.words.setdefault(term, set()).add(group)
+        elif words and not _IDEOGRAPH.search(term):
+            self.longer.setdefault(words[0], []).append((term, words, group))
+        else:
+            self.others.append((term, bool(_IDEOGRAPH.search(term)), group))
+
+    def groups(self, text: str | None) -> set[str]:
+        out: set[str] = set()
+        if not text:
+            return out
+        words = set(_WORDS.findall(text)) if self.words or self.longer else set()
+        for w in words & self.words.keys():
+            out |= self.words[w]
+        for w in words & self.longer.keys():
+            out.update(group for term, parts, group in self.longer[w] if group not in out and words.issuperset(parts) and _apart(text, term))
+        out.update(group for term, cjk, group in self.others if group not in out and (term in text if cjk else _apart(text, term)))
+        return out
+
+    def names(self, text: str | None) -> set[str]:
+        """The groups of a name or place, which many lines share."""
+        text = text or ""
+        if text not in self.before:
+            if len(self.before) >= ROWS:
+                self.before.clear()
+            self.before[text] = self.groups(text)
+        return self.before[text]
+
+
+def _apart(text: str, term: str) -> bool:
+    """Whether the text holds the term somewhere with no Latin letter or digit on either side."""
+    at = text.find(term)
+    while at >= 0:
+        end = at + len(term)
+        if (not at or text[at - 1] not in _LATIN) and (end == len(text) or text[end] not in _LATIN):
+            return True
+        at = text.find(term, at + 1)
+    return False
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map over rows (question_id, pair, node_id, own, place, text, looks) that stand by question, its terms (group and term as own and place) before its pairs, to (question_id, node_id, score)."""
+    asked, terms = None, Terms()
+    for part in (batch.slice(i, ROWS) for batch in batches for i in range(0, len(batch), ROWS)):
+        at, score = [], []
+        for i, (question, pair, own, place, text, looks) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)), strict=True)):
+            if question != asked:
+                asked, terms = question, Terms()
+            if not pair:
+                # Texts without an id meet no pair.
+                if question is not None:
+                    terms.add(own, place)
+                continue
+            at.append(i)
+            if not (terms.words or terms.longer or terms.others):
+                score.append(0.0)
+                continue
+            in_name, in_place, in_text = terms.names(own), terms.names(place), terms.groups(text)
+            each = ((0.58 if g in in_name else 0.0) + (0.42 if g in in_place else 0.0) + (0.26 if g in in_text else 0.0) for g in in_name | in_place) if in_name or in_place else ()
+            best = max(each, default=0.0)
+            score.append(min(1.0, max(best, 0.26 if in_text else 0.0) + (0.06 if looks else 0.0)))
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(score, pa.float64())], ["question_id", "node_id", "score"])
 
 
 def entity_names(entities: DataFrame) -> DataFrame:

@@ -151,3 +151,32 @@ def test_the_ranker_reads_its_inputs_once(spark, tmp_path, monkeypatch):
     assert "documents.parquet" not in "".join(got.inputFiles())
     made.clear()
     assert catalog.QUERIES["evidence_chain"](spark, str(tmp_path)).count() > 4 and made.count("graph") == 1
+
+
+def test_pairs_meet_terms_in_one_map(spark):
+    terms = ("pump", "pump,", "-x", "c++", "water pump", "空调", "a空", "ße", "...", "o'clock")
+    texts = ("water pump, c++", "pumps c++x", "x-x a-x", "a空调b", "water  pump", "...", "a...b", "it is o'clock", "o'clocks o'clock2 o'clock", "", None)
+    own = K.Terms()
+    for t in terms:
+        own.add(t, t)
+    pairs = spark.createDataFrame([(x, t) for x in texts for t in terms], "x string, t string").where(F.coalesce(K.holds(F.col("x"), F.col("t")), F.lit(False)))
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r["x"], set()).add(r["t"])
+    assert {x: own.groups(x) for x in texts if own.groups(x)} == want
+    runs = K.text_runs("water pump, c++ x")
+    keys = frozenset(("water pump", "c++", "pump", ", c", "x", "pump, c+"))
+    assert ("water pump", True) in runs and ("+", False) in runs and ("pump, c", True) in runs and {r for r in runs if r[0] in keys} == K.text_runs("water pump, c++ x", keys, K.key_sizes(keys))
+    nodes = [("q", n, "d", "", "", "figure", t, "seen") for n, t in (("a", "a pump"), ("a", "no"), ("b", "no"))] + [(None, "c", "d", "", "", "text", "a pump", ""), ("r", "d", "d", "", "", "text", "a pump", "")]
+    df = spark.createDataFrame(nodes, "question_id string, node_id string, doc_id string, section string, source_ref string, node_type string, text_product string, text_visual string")
+    got = K.product_scores(df, spark.createDataFrame([("q", "the pump"), (None, "the pump")], "question_id string, blob string"), spark.createDataFrame([("pump", ["pump"])], "canonical string, terms array<string>"))
+    assert sorted((r["node_id"], r["score"]) for r in got.collect()) == [("a", 0.32), ("b", 0.06), ("c", 0.0), ("d", 0.0)]
+    # One join, of runs with names, at most; none of pairs with terms, whose search was a lambda over each pair's.
+    assert "lambda" not in plan(got) and plan(got).count("Join") <= 1
+
+
+def test_cleaning_looks_for_what_it_replaces(spark):
+    rows = ["a  b", "a\tb", " \t\x0b\f\r\na\n\n\n\nb\x00c　 \x85 ", "᠎a​", "  x\xa0", "\n", None, "a b"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a string").select("i", T.clean_text(F.col("a")).alias("c"))
+    assert [r["c"] for r in df.orderBy("i").collect()] == ["a b", "a b", "a\n\nb c", "᠎a​", "x", "", "", "a b"]
+    assert "[ \\t" not in plan(df)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from dossier.functions.text import bm25_tokens, clean_text
 from dossier.operators.retrieval import bm25, char_tfidf, top_k
@@ -143,15 +143,18 @@ def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return terms, np.bincount(place, np.concatenate([n for _, n in counts]), minlength=len(terms)).astype(np.int64)
 
 
-def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], names: np.ndarray, k: int) -> DataFrame:
+def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], names: np.ndarray, k: int, scopes: list[str | None] | None = None) -> DataFrame:
     """(question_id, node_id, score): each task's k best nodes above 0 of each question.
 
-    index: sorted terms, where the postings of each begin, and the postings' questions and weights; weigh(row, term, count, n) gives the weights of nodes' terms."""
+    index: sorted terms, where the postings of each begin, and the postings' questions and weights; weigh(row, term, count, n) gives the weights of nodes' terms.
+    With a scope for each question, nodes have a third column, doc_id: (question_id, node_id, score, inside), the k best that share a term with the question of the nodes of its scope, and of the others."""
     vocabulary, begin, question, weight = index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = len(names)
-        score, node, table = np.zeros((q, 0)), np.zeros((q, 0), np.int64), None
+        table = None
+        # The best of all nodes, or of those inside and of those outside a question's scope.
+        kept = [(np.zeros((q, 0)), np.zeros((q, 0), np.int64)) for _ in range(1 if scopes is None else 2)]
         for batch in batches:
             for part in pieces(batch):
                 ids = part.column(0).to_numpy()
@@ -168,14 +171,35 @@ def best(nodes: DataFrame, terms_of: Terms, weigh: Callable, index: tuple[np.nda
                     got = by_table(row, place, w, len(ids), table)
                 else:
                     got = by_index(row, place, w, many, len(ids), q, begin, question, weight)
-                s = np.concatenate([score, np.round(got.T, 6)], 1)
-                d = np.concatenate([node, np.broadcast_to(ids, (q, len(ids)))], 1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                score, node = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-        there = score > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], score.shape)[there]), pa.array(node[there]), pa.array(score[there])], ["question_id", "node_id", "score"])
+                got = np.where(got.T > 0, np.round(got.T, 6), -1.0)
+                if scopes is None:
+                    kept[0] = top(*kept[0], got, ids, k)
+                else:
+                    inside = within(scopes, part.column(2))
+                    kept = [top(*x, np.where(inside == side, got, -1.0), ids, k) for x, side in zip(kept, (True, False), strict=True)]
+        for (score, node), side in zip(kept, (True, False), strict=False):
+            # A pair that shares a term may have a score that rounds to 0, which only a scope can have among its best.
+            there = score > 0 if scopes is None else score >= 0
+            out = [pa.array(np.broadcast_to(names[:, None], score.shape)[there]), pa.array(node[there]), pa.array(score[there])]
+            yield pa.RecordBatch.from_arrays(out if scopes is None else [*out, pa.array(np.full(len(out[0]), side))], columns)
+
+    columns = ["question_id", "node_id", "score"] + ([] if scopes is None else ["inside"])
+    return nodes.mapInArrow(run, "question_id long, node_id long, score double" + ("" if scopes is None else ", inside boolean"))
+
 
-    return nodes.mapInArrow(run, "question_id long, node_id long, score double")
+def top(score: np.ndarray, node: np.ndarray, more: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of scores (question, place) with their nodes and of more of these, whose nodes are the ids; ties by node."""
+    s, d = np.concatenate([score, more], 1), np.concatenate([node, np.broadcast_to(ids, more.shape)], 1)
+    order = np.lexsort((d, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+
+
+def within(scopes: list[str | None], docs: pa.Array) -> np.ndarray:
+    """Whether a node (column) is in the scope of a question (row); a null is in none."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(x for x in scopes if x is not None))}
+    own = np.array([number.get(x, -1) for x in scopes])
+    named = np.array([number.get(x, -2) for x in docs.to_pylist()])
+    return own[:, None] == named[None, :]
 
 
 def by_table(row: np.ndarray, place: np.ndarray, w: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
@@ -203,8 +227,8 @@ def by_index(row: np.ndarray, place: np.ndarray, w: np.ndarray, many: np.ndarray
     return got.reshape(n, q)
 
 
-def question_blocks(questions: DataFrame, terms_of: Terms) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of questions (question_id, x) in the order of ids: their ids, and (row, term, count) of their terms. Only the first of rows that repeat an id counts."""
+def question_blocks(questions: DataFrame, terms_of: Terms) -> Iterator[tuple[np.ndarray, list[list], np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of questions (question_id, x, ...) in the order of ids: their ids, their columns after x, and (row, term, count) of their terms. Only the first of rows that repeat an id counts."""
     asked, last = questions.dropDuplicates(["question_id"]).where("question_id is not null"), None
     while True:
         rest = asked if last is None else asked.where(F.col("question_id") > last)
@@ -213,7 +237,7 @@ def question_blocks(questions: DataFrame, terms_of: Terms) -> Iterator[tuple[np.
             return
         names = block.column(0).to_numpy()
         last = int(names[-1])
-        yield names, *counted(*terms_of(block.column(1).combine_chunks()))
+        yield names, [c.to_pylist() for c in block.columns[2:]], *counted(*terms_of(block.column(1).combine_chunks()))
 
 
 def inverted(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -228,13 +252,30 @@ def _hashed(tokens: Column) -> Column:
 
 def bm25_topk(nodes: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(question_id, node_id, score, rank): the k best nodes above 0 by BM25; scores have six digits, ties go by node. Ids are whole numbers."""
-    own = nodes.select(F.col("node_id").cast("long").alias("node_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"))
+    out = _bm25(nodes, questions, k, k1, b)
+    return top_k(out if out is not None else bm25(nodes, questions).select(F.col("question_id").cast("long"), F.col("node_id").cast("long"), "score"), k)
+
+
+def bm25_scoped(nodes: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(question_id, node_id, score, rank): the k best nodes that share a term with the question among those of its scope; among all where it has none or one without such a node. As bm25_topk(), which see.
+
+    nodes: (node_id, text, doc_id); questions: (question_id, text, scope), doc_id and scope being texts."""
+    out = _bm25(nodes, questions, k, k1, b, scoped=True)
+    if out is None:
+        return top_k(bm25(nodes, questions).select(F.col("question_id").cast("long"), F.col("node_id").cast("long"), "score"), k)
+    some = F.max("inside").over(Window.partitionBy("question_id"))
+    return top_k(out.withColumn("some", some).where(F.col("inside") == F.col("some")).select("question_id", "node_id", "score"), k)
+
+
+def _bm25(nodes: DataFrame, questions: DataFrame, k: int, k1: float, b: float, scoped: bool = False) -> DataFrame | None:
+    """The best nodes of each task, or None where there is no question."""
+    own = nodes.select(F.col("node_id").cast("long").alias("node_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"), *(["doc_id"] if scoped else []))
     # Three maps read them; to make them takes longer than all of these.
     own = settle(own, "tokens")
-    asked = questions.select(F.col("question_id").cast("long").alias("question_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"))
+    asked = questions.select(F.col("question_id").cast("long").alias("question_id"), _hashed(bm25_tokens(F.col("text"))).alias("x"), *(["scope"] if scoped else []))
     size = own.agg(F.count("*").alias("n"), F.avg(F.size("x")).alias("mean")).first()
     out = None
-    for names, row, term, count in question_blocks(asked, listed_terms):
+    for names, rest, row, term, count in question_blocks(asked, listed_terms):
         df = frequencies(own, listed_terms, np.unique(term)).toArrow()
         at = np.argsort(df.column(0).to_numpy())
         known, n = df.column(0).to_numpy()[at], df.column(1).to_numpy()[at]
@@ -247,9 +288,9 @@ def bm25_topk(nodes: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b
             length = np.bincount(r, tf, minlength=rows)
             return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[r] / size["mean"]))
 
-        got = best(own, listed_terms, weigh, inverted(row, term, count * idf), names, k)
+        got = best(own, listed_terms, weigh, inverted(row, term, count * idf), names, k, rest[0] if scoped else None)
         out = got if out is None else out.unionByName(got)
-    return top_k(out if out is not None else bm25(nodes, questions).select(F.col("question_id").cast("long"), F.col("node_id").cast("long"), "score"), k)
+    return out
 
 
 def gram_topk(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -268,7 +309,7 @@ def gram_topk(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         return w / np.sqrt(np.bincount(r, w * w, minlength=rows))[r]
 
     out = None
-    for names, row, term, count in question_blocks(asked, gram_terms):
+    for names, _, row, term, count in question_blocks(asked, gram_terms):
         there = np.isin(term, known)
         row, term, count = row[there], term[there], count[there]
         got = best(own, gram_terms, weigh, inverted(row, term, weigh(row, term, count, len(names))), names, k)

@@ -180,3 +180,20 @@ def test_cleaning_looks_for_what_it_replaces(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a string").select("i", T.clean_text(F.col("a")).alias("c"))
     assert [r["c"] for r in df.orderBy("i").collect()] == ["a b", "a b", "a\n\nb c", "᠎a​", "x", "", "", "a b"]
     assert "[ \\t" not in plan(df)
+
+
+def test_scoped_questions_keep_the_best_of_each_task(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(12)]
+    nodes = [(i, " ".join(["all", *rng.choice(words, 6)]), [None, "a", "b", "c"][i % 4]) for i in range(300)]
+    # All nodes share one term; no node shares zzz, none is in the scope d, and the last question has no scope.
+    asks = [(1, "w1 w2 w2", "a"), (2, "w3 all", "b"), (3, "all", "c"), (4, "zzz", "a"), (5, "w5 w6", "d"), (6, "w7 all", None)]
+    n = spark.createDataFrame(nodes, "node_id long, text string, doc_id string").repartition(5)
+    q = spark.createDataFrame(asks, "question_id long, text string, scope string")
+    scores = retrieval.bm25(n, q).withColumn("score", F.round("score", 6))
+    rows = lambda df: sorted((r["question_id"], r["rank"], r["node_id"], r["score"]) for r in df.collect())
+    got = sparse.bm25_scoped(n, q, 5)
+    want = rows(retrieval.scoped_top_k(scores, n.select("node_id", "doc_id"), q.select("question_id", "scope"), 5))
+    assert rows(got) == want and {r[0] for r in want} == {1, 2, 3, 5, 6}
+    # No row for each pair of a question and a node: what is shuffled are the best of tasks.
+    assert "Join" not in plan(got) and "Generate" not in plan(got)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 
 from dossier.functions import text as T
+from dossier.operators import knowledge
 from dossier.operators import knowledge_route as K
 from dossier.operators import retrieval, signals, sparse
 from dossier.plans import catalog
@@ -197,3 +198,20 @@ def test_scoped_questions_keep_the_best_of_each_task(spark):
     assert rows(got) == want and {r[0] for r in want} == {1, 2, 3, 5, 6}
     # No row for each pair of a question and a node: what is shuffled are the best of tasks.
     assert "Join" not in plan(got) and "Generate" not in plan(got)
+
+
+def test_terms_are_counted_by_node_in_a_map(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "HELD", 4)
+    rows = [("a", 1, "s", "The Pump and the pump; the Pump seal of Table 2"), ("b", 1, "s", "größe Größe Zähler with pumps 空调"), ("c", 2, None, "the and 12"), ("d", 2, "s", None)]
+    # An id that two rows have is one node, whose twelve terms are of both; rows without an id too.
+    rows += [("e", 3, "s", " / ".join(f"word{i}x" for i in range(10))), ("e", 4, "t", " / ".join(f"longer{i}x" for i in range(10))), (None, 5, "s", "pump"), (None, 5, "s", "pump")]
+    df = spark.createDataFrame(rows, "node_id string, doc_id long, section string, content string").repartition(3)
+    made = knowledge.node_terms(df)
+    got = {(r["node_id"], r["place"]): (r["doc_id"], r["term"], r["n"]) for r in made.collect()}
+    assert got["a", 1][1:] == ("table 2", 4) and got["a", 2][1:] == ("Pump seal", 2) and got["a", 3][1:] == ("The Pump", 2)
+    assert sum(k[0] == "e" for k in got) == 12 and sum(k[0] == "e" and v[0] == 4 for k, v in got.items()) == 10
+    assert got[None, 1] == (5, "pump", 2) and not [k for k in got if k[0] in ("c", "d")]
+    assert [got["b", i][1] for i in (1,)] == ["空调"] and ("b", 2) in got and all("hler" not in v[1] and "gr" not in v[1].lower() for v in got.values())
+    assert "Window" not in plan(made) and "HashAggregate" not in plan(made)
+    plain = spark.createDataFrame([("Pump seal x1 a-b-c of the old well, S2 \n 12ab Ab_c C++ abcd\x1cefgh",)], "t string").select(F.regexp_extract_all("t", F.lit(knowledge._PLAIN), F.lit(0)).alias("p"), F.regexp_extract_all("t", F.lit(knowledge._LATIN), F.lit(0)).alias("l")).first()
+    assert plain["p"] == plain["l"] and len(plain["p"]) > 3

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 
-from dossier.functions.text import clean_text
+from dossier.functions.text import SPACES
 
 # Words that are no terms.
 STOP_TERMS = ("this", "that", "with", "from", "into", "were", "been", "have", "will", "should", "using", "based", "figure", "table", "page", "section", "system", "method", "result", "results", "the", "and", "for", "are", "not")
@@ -23,91 +25,142 @@ FOREIGN = "[A-Za-z0-9_À-
 #: A letter, digit or underscore of any script, and a boundary between such and others.
 _IN = r"[\p{L}\p{N}_]"
 _EDGE = rf"(?:(?<={_IN})(?!{_IN})|(?<!{_IN})(?={_IN}))"
+#: Latin terms as Spark's patterns; the map finds the same by Python's, whose word boundaries know all scripts.
 _LATIN = rf"(?U)(?<!{_IN}){_WORD}(?:\s+{_WORD}){{0,2}}{_EDGE}"
-#: The same for texts of ASCII alone, many times faster.
+#: The same for texts of ASCII alone, for Spark and Python.
 _PLAIN = rf"\b{_WORD}(?:\s+{_WORD}){{0,2}}\b"
 _NUMBER = r"[Ss]?\d+(?:[.\-]\d+)?[A-Za-z]?"
-_REFERENCE = rf"(?iU)(?:(?<!{_IN})(?:fig\.?|figure|table)|[图圖表])\s*{_NUMBER}"
-_CJK = "[\u4e00-\u9fff]{2,12}"
-
-
-def _weighted(terms: Column, n: Column) -> Column:
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), n.alias("n")))
-
-
-def _references(text: Column) -> Column:
-    """The figures and tables that a text names, as figure 3 or table S2a; each counts 4. They are looked for where a digit is."""
-    kind = lambda m: F.when(m.rlike("(?i)^(table|表)"), "table").otherwise("figure")
-    found = F.when(text.rlike(r"(?U)\d"), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return _weighted(F.transform(found, lambda m: F.concat_ws(" ", kind(m), F.regexp_extract(m, f"(?U){_NUMBER}$", 0))), F.lit(4))
-
-
-def _latin(text: Column) -> Column:
-    """Runs of one to three words, which placed() weighs."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, F.regexp_extract_all(text, F.lit(_PLAIN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(_LATIN), F.lit(0)))
-
-
-def _cjk(text: Column) -> Column:
-    """Runs of up to six ideographs, which count twice; of longer ones (a run ends after twelve) the parts of two to four."""
-    parts = lambda run: F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.length(run) - k + 1), lambda i: run.substr(i, k))))
-    each = lambda run: F.when(F.length(run) <= 6, _weighted(F.array(run), F.lit(2))).otherwise(_weighted(parts(run), F.lit(1)))
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_CJK), F.lit(0)), each))
+_BLANK = f"[{SPACES}]"
+
+#: Where a word may start. Letters beyond the BMP are none to what follows them, as to SQL and to lookbehinds of Spark's patterns.
+_START = "(?:(?<!\\w)|(?<=[\U00010000-\U0010ffff]))"
+
+_plain = re.compile(_PLAIN, re.ASCII).findall
+_latin = re.compile(rf"{_START}{_WORD}(?:{_BLANK}+{_WORD}){{0,2}}\b").findall
+_references = re.compile(rf"(?:{_START}(?:fig\.?|figure|table)|[图圖表]){_BLANK}*{_NUMBER}", re.IGNORECASE).findall
+_is_table = re.compile("table|表", re.IGNORECASE | re.ASCII).match
+_number = re.compile(rf"{_NUMBER}\Z").search
+_has_digit = re.compile(r"\d").search
+_cjk = re.compile("[一-鿿]{2,12}").findall
+_blanks = re.compile("  +").sub
+_feeds = re.compile("\n{3,}").sub
+_STOP = frozenset(STOP_TERMS)
+
+
+def cleaned(text: str) -> str:
+    """clean_text() of a value."""
+    for x in "\x00\t\r\f\x0b":
+        text = text.replace(x, " ")
+    if "  " in text:
+        text = _blanks(" ", text)
+    if "\n\n\n" in text:
+        text = _feeds("\n\n", text)
+    return text.strip(SPACES)
+
+
+def text_terms(text: str) -> dict[str, int]:
+    """The weights of a text's terms, in order: references, as figure 3 or table S2a, count 4; runs of one to three Latin words
+    one, with a capital two; runs of up to six ideographs two, of longer ones (a run ends after twelve) the parts of two to four one."""
+    out: dict[str, int] = {}
+    text = cleaned(text)
+    if plain := text.isascii():
+        low = text.lower()
+        named = "fig" in low or "table" in low
+    else:
+        named = True
+    if named and _has_digit(text):
+        for m in _references(text):
+            n = _number(m)
+            term = f"{'table' if _is_table(m) else 'figure'} {n[0] if n else ''}"
+            out[term] = out.get(term, 0) + 4
+    for t in _plain(text) if plain else _latin(text):
+        low = t.lower()
+        if low not in _STOP:
+            out[t] = out.get(t, 0) + (1 if low == t else 2)
+    if not plain:
+        for run in _cjk(text):
+            if len(run) <= 6:
+                out[run] = out.get(run, 0) + 2
+            else:
+                for k in (2, 3, 4):
+                    for i in range(len(run) - k + 1):
+                        out[run[i : i + k]] = out.get(run[i : i + k], 0) + 1
+    return out
+
+
+def _weightiest(counts: dict, limit: int, size: Callable = len) -> list:
+    """The keys of the `limit` heaviest, ties by the longer term, then in order."""
+    best = sorted(counts, key=size, reverse=True)
+    best.sort(key=counts.__getitem__, reverse=True)
+    return best[:limit]
+
+
+def node_weights(rows: list[tuple], limit: int) -> list[tuple]:
+    """(doc_id, section, term, weight) of a node's weightiest terms. rows: (doc_id, section, text), most often one."""
+    if len(rows) == 1:
+        doc, section, text = rows[0]
+        counts = text_terms(text)
+        return [(doc, section, t, counts[t]) for t in _weightiest(counts, limit)]
+    total: dict[tuple, int] = {}
+    first: dict[tuple, int] = {}
+    for doc, section, text in rows:
+        for pos, (t, n) in enumerate(text_terms(text).items()):
+            key = (doc, section, t)
+            total[key] = total.get(key, 0) + n
+            first[key] = min(first.get(key, pos), pos)
+    ordered = {k: total[k] for k in sorted(total, key=first.__getitem__)}
+    return [(*k, ordered[k]) for k in _weightiest(ordered, limit, lambda k: len(k[2]))]
+
+
+def _text(value: bytes | None) -> str:
+    return value.decode("utf-8", "replace") if value else ""
+
+
+#: Rows that are sent on and entities that are held at a time, and input rows held as Python values.
+HELD, ENTITIES, ROWS = 1 << 16, 1 << 18, 256
+
+
+def _values(batches: Iterator[pa.RecordBatch], kinds: list[pa.DataType] | None = None) -> Iterator[tuple]:
+    for batch in batches:
+        if kinds is not None:
+            kinds[:] = batch.schema.types
+        for i in range(0, len(batch), ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns), strict=True)
+
+
+def _standing(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a key stand together in one task."""
+    return df.repartition(key).sortWithinPartitions(key)
 
 
 def node_terms(nodes: DataFrame, limit: int = 12) -> DataFrame:
     """(node_id, doc_id, section, term, n, place): each node's `limit` weightiest references, Latin and CJK terms; ties go to the longer, then to the first in this order.
 
-    Terms are counted in a map over rows that stand by node, so that no row is made for a term which is not among these."""
-    own = nodes.select("node_id", "doc_id", "section", clean_text(F.col("content")).alias("__text"))
-    text = F.col("__text")
-    found = own.select("node_id", "doc_id", "section", _references(text).alias("references"), _latin(text).alias("latin"), _cjk(text).alias("cjk"))
+    Terms are found and counted in a map over texts that stand by node, so that no row is made for a term which is not among these."""
+    own = nodes.select("node_id", "doc_id", "section", F.col("content").cast("binary").alias("__text"))
     kinds = ", ".join(f"{n} {nodes.schema[n].dataType.simpleString()}" for n in ("node_id", "doc_id", "section"))
-    return found.repartition("node_id").sortWithinPartitions("node_id").mapInArrow(placed(limit), f"{kinds}, term string, n long, place int")
-
-
-#: Terms that are sent on at a time, and rows held as Python values.
-HELD, ROWS = 1 << 16, 256
+    return _standing(own, "node_id").mapInArrow(placed(limit), f"{kinds}, term string, n long, place int")
 
 
 def placed(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over batches (node_id, doc_id, section, references, latin, cjk) that stand by node to the terms of node_terms(). Latin terms with a capital count twice."""
-    stop = frozenset(STOP_TERMS)
-
-    def weighed(references: list[dict], latin: list[str], cjk: list[dict]) -> Iterator[tuple[str, int]]:
-        for x in references:
-            yield x["term"], x["n"]
-        for t in latin:
-            low = t.lower()
-            if low not in stop:
-                yield t, 1 if low == t else 2
-        for x in cjk:
-            yield x["term"], x["n"]
+    """A map over batches (node_id, doc_id, section, text) that stand by node to the terms of node_terms()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list[pa.DataType] = []
+        names, out = ["node_id", "doc_id", "section", "term", "n", "place"], []
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                kinds[:] = [*batch.schema.types[:3], pa.string(), pa.int64(), pa.int32()]
-                for i in range(0, len(batch), ROWS):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns), strict=True)
+        def made() -> pa.RecordBatch:
+            types = [*kinds[:3], pa.string(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        names, out = ["node_id", "doc_id", "section", "term", "n", "place"], []
-        for node, own in groupby(rows(), itemgetter(0)):
-            counts: dict[tuple, list[int]] = {}
-            for _, doc, section, *terms in own:
-                for pos, (term, n) in enumerate(weighed(*terms)):
-                    had = counts.setdefault((doc, section, term), [0, pos])
-                    had[0] += n
-                    had[1] = min(had[1], pos)
-            best = sorted(counts.items(), key=lambda x: (-x[1][0], -len(x[0][2]), x[1][1]))[:limit]
-            out.extend((node, *key, n, place) for place, (key, (n, _)) in enumerate(best, 1))
+        for node, own in groupby(_values(batches, kinds), itemgetter(0)):
+            best = node_weights([(doc, section, _text(t)) for _, doc, section, t in own], limit)
+            out.extend((node, *x, place) for place, x in enumerate(best, 1))
             if len(out) >= HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield made()
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield made()
 
     return run
 
@@ -115,7 +168,7 @@ def placed(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def entities(terms: DataFrame) -> DataFrame:
     """(entity_id, entity_type, n_nodes, n_docs, evidence_count): documents as products, sections and terms as parts; ids ignore case."""
     part = terms.select(F.concat(F.lit("part:"), F.lower("term")).alias("entity_id"), F.lit("part").alias("entity_type"), "node_id", "doc_id")
-    section = terms.where("section <> ''").select("node_id", "doc_id", "section").distinct().select(F.concat(F.lit("part:"), F.lower("section")).alias("entity_id"), F.lit("part").alias("entity_type"), "node_id", "doc_id")
+    section = terms.where("section <> ''").select(F.concat(F.lit("part:"), F.lower("section")).alias("entity_id"), F.lit("part").alias("entity_type"), "node_id", "doc_id").distinct()
     product = terms.select("node_id", "doc_id").distinct().select(F.concat(F.lit("product:"), F.col("doc_id").cast("string")).alias("entity_id"), F.lit("product").alias("entity_type"), "node_id", "doc_id")
     rows = part.unionByName(section).unionByName(product)
     by_node = rows.groupBy("entity_id", "entity_type", "doc_id", "node_id").agg(F.count("*").alias("n"))
@@ -123,6 +176,79 @@ def entities(terms: DataFrame) -> DataFrame:
     return by_doc.groupBy("entity_id", "entity_type").agg(F.sum("nodes").alias("n_nodes"), F.count("*").alias("n_docs"), F.sum("n").alias("evidence_count"))
 
 
+def document_entities(documents: DataFrame, limit: int = 12) -> DataFrame:
+    """entities() of the terms of document_nodes(): a node is a line, whose kind and place in its document are its id.
+
+    A document's lines stand in one task, so a map counts its nodes and evidence as it finds their terms; no row is made for a line or
+    a term, and what is shuffled after are the entities of each task."""
+    lower = F.lower("source").alias("lower")
+    own = documents.where("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("name"), "source", lower, F.col("text").cast("binary").alias("text"))
+    schema = "entity_id string, entity_type string, n_nodes long, n_docs long, evidence_count long"
+    sums = [F.sum(c).alias(c) for c in ("n_nodes", "n_docs", "evidence_count")]
+    return _standing(own, "doc_id").mapInArrow(counted(limit), schema).groupBy("entity_id", "entity_type").agg(*sums)
+
+
+def _lines(texts: list[tuple]) -> Iterator[list[tuple]]:
+    """The nodes of one document's texts (section, lower, text), each with its rows ((section, lower), None, line), most often one."""
+    if len(texts) == 1:
+        ((section, lower, text),) = texts
+        for line in text.split("\n"):
+            yield [((section, lower), None, line)]
+        return
+    nodes: dict[tuple, list[tuple]] = {}
+    for section, lower, text in texts:
+        for i, line in enumerate(text.split("\n")):
+            nodes.setdefault((i, i > 0 and "|" in line), []).append(((section, lower), None, line))
+    yield from nodes.values()
+
+
+def counted(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches (doc_id, name, source, lower, text) that stand by document to the nodes, documents and evidence of entities; an entity comes again when ENTITIES were held between."""
+    names = ["entity_id", "entity_type", "n_nodes", "n_docs", "evidence_count"]
+
+    def made(nodes: Counter, docs: Counter, more: dict[str, int], products: list[tuple]) -> pa.RecordBatch:
+        ids = [f"part:{k}" for k in nodes] + [None if d is None else f"product:{d}" for d, _ in products]
+        kinds = ["part"] * len(nodes) + ["product"] * len(products)
+        own = [n for _, n in products]
+        numbers = ([*nodes.values(), *own], [*map(docs.__getitem__, nodes), *[1] * len(products)], [*(n + more.get(k, 0) for k, n in nodes.items()), *own])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string()), *(pa.array(c, pa.int64()) for c in numbers)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each part its nodes, its documents and, if a node tells it more than once, its further evidence.
+        nodes, docs, more, products = Counter(), Counter(), {}, []
+        for _, own in groupby(_values(batches), itemgetter(0)):
+            texts, name = [], None
+            for _, name, section, lower, text in own:  # noqa: B007
+                texts.append((section, lower, _text(text)))
+            found, n = [], 0
+            for rows in _lines(texts):
+                best = node_weights(rows, limit)
+                if not best:
+                    continue
+                n += 1
+                keys = [x[2].lower() for x in best]
+                keys += {lower for (_, lower), *_ in best if lower}
+                once = set(keys)
+                found += once
+                if len(once) < len(keys):
+                    for k in keys:
+                        if k in once:
+                            once.remove(k)
+                        else:
+                            more[k] = more.get(k, 0) + 1
+            if n:
+                nodes.update(found)
+                docs.update(set(found))
+                products.append((name, n))
+            if len(nodes) + len(products) >= ENTITIES:
+                yield made(nodes, docs, more, products)
+                nodes, docs, more, products = Counter(), Counter(), {}, []
+        if products:
+            yield made(nodes, docs, more, products)
+
+    return run
+
+
 def relations(terms: DataFrame) -> DataFrame:
     """(source_id, target_id, relation_type, weight, n): products and sections with their parts, and the pairs of a node's first six terms; weights summed."""
     term = F.concat(F.lit("part:"), F.lower("term"))

@@ -215,3 +215,37 @@ def test_terms_are_counted_by_node_in_a_map(spark, monkeypatch):
     assert "Window" not in plan(made) and "HashAggregate" not in plan(made)
     plain = spark.createDataFrame([("Pump seal x1 a-b-c of the old well, S2 \n 12ab Ab_c C++ abcd\x1cefgh",)], "t string").select(F.regexp_extract_all("t", F.lit(knowledge._PLAIN), F.lit(0)).alias("p"), F.regexp_extract_all("t", F.lit(knowledge._LATIN), F.lit(0)).alias("l")).first()
     assert plain["p"] == plain["l"] and len(plain["p"]) > 3
+
+
+def test_entities_are_counted_where_their_documents_stand(spark, tmp_path, monkeypatch):
+    rows = [(1, "The Pump and the pump\nPump seal of Table 2 | a\n\nWeb", "web"), (2, "größe pumps 空调\npump", "Web"), (3, "the and", "web"), (4, None, "web"), (5, "", None), (None, "a pump\nPump", "web"), (None, "pump", "web"), (6, "pump  seal\x00Pump", "")]
+    # Lines that two texts of an id have at the same place are one node, whose terms and sources are of both.
+    rows += [(7, " / ".join(f"word{i}x" for i in range(10)), "Web"), (7, " / ".join(f"longer{i}x" for i in range(10)), "web"), (7, "x\npump", "S"), (7, "x\npump | seal", "S")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sorted(map(str, knowledge.entities(knowledge.node_terms(catalog.document_nodes(documents))).collect()))
+    got = {r["entity_id"]: tuple(r)[2:] for r in knowledge.document_entities(documents).collect()}
+    assert sorted(map(str, knowledge.document_entities(documents).collect())) == want
+    assert got["part:pump"] == (6, 4, 6) and got["product:1"] == (3, 1, 3) and got["product:7"] == (3, 1, 3) and "product:3" not in got
+    # A section counts once a node, however it is spelt; what a line says and its source are one entity.
+    assert got["part:web"] == (8, 4, 9) and got["part:s"] == (2, 1, 2)
+    # What a task holds between is bounded, and gives the same sums.
+    counts = lambda batches: [len(b) for b in knowledge.counted(12)(iter(batches))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 2, 3], "name": ["1", "2", "2", "3"], "source": ["web"] * 4, "lower": ["web"] * 4, "text": [b"pump seal", b"pump\nseal", b"pump\nseal", b"seal"]})
+    assert counts([batch.slice(0, 2), batch.slice(2)]) == [7]
+    monkeypatch.setattr(knowledge, "ENTITIES", 2)
+    assert counts([batch.slice(0, 2), batch.slice(2)]) == [3, 4, 3]
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    query = plan(catalog.QUERIES["entities"](spark, str(tmp_path)))
+    # Texts and the sums of entities are shuffled once each: no row for a line or a term, nothing written between or read again.
+    assert query.count("Exchange") == 2 and query.count("Scan") == 1 and "Generate" not in query and "Union" not in query
+
+
+def test_terms_are_found_as_by_the_patterns(spark):
+    bits = ("Pump", "seal", "with", "The", "C++", "a-b-c", "Ab_c", "größe", "xé", "éxyz", "élan", "fig", "Fig.", "fıg 3", "TABLE 7", "表", "見图", "使用", "3", "S2a", "ſ3", "3K", "３", "𝒜bcd", "abc𝟛", "😀abcd", "½abcd", " ", "　", "\x85", "\x1c", "\x0b", "\x00", "  ", "-", "_", "|", "İst", "Kelvin", "á")
+    rng = np.random.default_rng(5)
+    texts = sorted({"".join(x + rng.choice(["", " "]) for x in rng.choice(bits, rng.integers(1, 6))) for _ in range(4000)})
+    said = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_text(F.col("t")).alias("c"))
+    rows = said.select("t", "c", F.regexp_extract_all("c", F.lit(knowledge._LATIN), F.lit(0)).alias("l")).collect()
+    assert all(knowledge.cleaned(r["t"]) == r["c"] and (knowledge._plain if r["c"].isascii() else knowledge._latin)(r["c"]) == r["l"] for r in rows)
+    assert sum(bool(r["l"]) for r in rows) > 1000
+    assert knowledge.text_terms("Fig. 3ſ, taBLE\xa0S2-1 and 图３") == {"figure ": 4, "table S2-1": 4, "figure ３": 4, "Fig": 2, "S2-1": 2}
